@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op3_toxicity as o3, op4_near_dedup as o4, op5_substring_dedup as o5, op6_decontam as o6, op9_exact_dedup as o9
+from . import op3_toxicity as o3, op4_near_dedup as o4, op5_substring_dedup as o5, op6_decontam as o6, op7_license as o7, op8_mixing as o8, op10_warc as o10, op9_exact_dedup as o9
 
 
 def queries() -> dict:
@@ -11,9 +11,12 @@ def queries() -> dict:
         "op4_near_dedup": o4.op4_near_dedup,
         "op5_substring_dedup": o5.op5_substring_dedup,
         "op6_decontamination": o6.op6_decontamination,
+        "op7_license": o7.op7_license,
+        "op8_mixing": o8.op8_mixing,
         "op9_exact_dedup": o9.op9_exact_dedup,
+        "op10_warc": o10.op10_warc,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_near_dedup": o4.SQL, "op5_substring_dedup": o5.SQL, "op6_decontamination": o6.SQL, "op9_exact_dedup": o9.SQL}
+    return {"op4_near_dedup": o4.SQL, "op5_substring_dedup": o5.SQL, "op6_decontamination": o6.SQL, "op9_exact_dedup": o9.SQL, "op10_warc": o10.SQL}
