@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op3_toxicity as o3, op4_near_dedup as o4, op5_substring_dedup as o5, op6_decontam as o6, op7_license as o7, op8_mixing as o8, op10_warc as o10, op9_exact_dedup as o9
+from . import op1_line_dedup as o1, op2_secrets as o2, op3_toxicity as o3, op4_near_dedup as o4, op5_substring_dedup as o5, op6_decontam as o6, op7_license as o7, op8_mixing as o8, op10_warc as o10, op9_exact_dedup as o9
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": o1.op1_line_dedup,
+        "op2_secrets": o2.op2_secrets,
         "op3_toxicity": o3.op3_toxicity,
         "op4_near_dedup": o4.op4_near_dedup,
         "op5_substring_dedup": o5.op5_substring_dedup,
