@@ -4,7 +4,7 @@
 below 7 that takes both onto cover positions. A match of 13 words therefore holds, at some
 aligned pair of cover positions, a common run of 13 - 7 + 1 = 7 words: the anchor. Only 3 in 7
 positions are hashed for anchors. Matches are then extended: each 13-word window that holds a
-shared anchor is hashed in full (128 bits), and the smallest document of each window hash decides
+shared anchor is hashed in full (96 bits), and the smallest document of each window hash decides
 which windows are copies.
 
 Shared anchors reach the second scan as a Bloom filter of a fixed number of bits
@@ -34,6 +34,7 @@ PERIOD = 7
 COVER = (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 N_PROBES = 3
+HOT_PARTS, HOT_LEAST = 4096, 1000
 
 
 def _anchors(text: pa.Array):
@@ -48,23 +49,21 @@ def _anchors(text: pa.Array):
 
 
 def _scan_anchors(batches):
-    """Distinct (anchor, document) pairs, combined within a batch: more = it stands in several documents already."""
+    """(anchor, n): n documents of a batch hold the anchor."""
     for batch in batches:
-        ids = batch.column(0)
-        got = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
-        ids = pa.compute.fill_null(ids, 0).to_numpy()
-        vs, ds = [], []
+        got = pa.compute.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
+        vs, ds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, rows, _, _, pos, v, _ in _anchors(batch.column(1)):
             d = rows[pos] + a
             vs.append(v[got[d]])
-            ds.append(ids[d[got[d]]])
-        v, d = np.concatenate([*vs, np.zeros(0, np.uint64)]), np.concatenate([*ds, np.zeros(0, np.int64)])
-        order = np.argsort(v, kind="stable")
+            ds.append(d[got[d]])
+        v, d = np.concatenate(vs), np.concatenate(ds)
+        order = np.argsort(v, kind="stable")  # rows of one anchor stay in order
         v, d = v[order], d[order]
         if len(v):
-            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            lo, hi = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-            yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(lo), pa.array(hi)], ["anchor", "lo", "hi"])
+            new = np.concatenate([[True], v[1:] != v[:-1]])
+            n = np.add.reduceat((new | np.concatenate([[True], d[1:] != d[:-1]])).astype(np.int64), at := np.flatnonzero(new))
+            yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(n)], ["anchor", "n"])
 
 
 def _bits(v: np.ndarray, n: int) -> list[np.ndarray]:
@@ -93,9 +92,13 @@ def _filter_of(anchors: DataFrame, n_bits: int) -> np.ndarray:
 
 
 def _scan_windows(shared, n_bits: int):
-    """Full hashes of the windows that hold an anchor of the filter."""
+    """Full hashes of the windows that hold an anchor of the filter; hot: one that holds a hot anchor."""
+    def mark(pos, n):
+        hit = np.bincount(np.maximum(pos - (WINDOW - ANCHOR), 0), minlength=n + 1) - np.bincount(pos + 1, minlength=n + 1)
+        return np.cumsum(hit)[:n] > 0
+
     def scan(batches):
-        words = shared.value
+        words, hot = shared.value
         for batch in batches:
             ids = batch.column(0)
             got = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
@@ -104,20 +107,35 @@ def _scan_windows(shared, n_bits: int):
                 inside = np.ones(len(v), bool)
                 for at in _bits(v, n_bits):
                     inside &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                hit = np.zeros(len(h) + 1, np.int64)
-                p = pos[inside]
-                np.add.at(hit, np.maximum(p - (WINDOW - ANCHOR), 0), 1)
-                np.add.at(hit, p + 1, -1)
+                pos, v = pos[inside], v[inside]
                 w1, start = W.windows(h, rows, WINDOW)
-                keep = (np.cumsum(hit)[start] > 0) & got[rows[start] + a]
+                keep = mark(pos, len(h))[start] & got[rows[start] + a]
                 if keep.any():
                     w2, _ = W.windows(h, rows, WINDOW, 1)
                     s = start[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(w1[keep].view(np.int64)), pa.array(w2[keep].view(np.int64)), pa.array(ids[rows[s] + a]), pa.array((s - first[rows[s]]).astype(np.int32))], ["w1", "w2", "id", "pos"])
+                    is_hot = mark(pos[np.isin(v, hot)], len(h))[s]
+                    yield pa.RecordBatch.from_arrays([pa.array(w1[keep].view(np.int64)), pa.array((w2[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[rows[s] + a]), pa.array((s - first[rows[s]]).astype(np.int32)), pa.array(is_hot)], ["w1", "w2", "id", "pos", "hot"])
 
     return scan
 
 
+def _later(batches):
+    """(id, pos) of rows whose id is greater than ``lo``, where it is known, or else than the first of
+    their (w1, w2), from sorted batches."""
+    key, least = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w1, w2, ids = (batch.column(k).to_numpy() for k in range(3))
+        new = np.concatenate([[key != (w1[0], w2[0])], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        firsts = np.concatenate([[least], ids[new]])[np.cumsum(new)]
+        key, least = (w1[-1], w2[-1]), firsts[-1]
+        lo = batch.column(4)
+        known = pa.compute.is_valid(lo).to_numpy(zero_copy_only=False)
+        out = ids > np.where(known, pa.compute.fill_null(lo, 0).to_numpy(), firsts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(batch.column(3).to_numpy()[out])], ["id", "pos"])
+
+
 def _rewrite(batches):
     for batch in batches:
         n, gone, sha, kept = [], [], [], []
@@ -148,22 +166,33 @@ def copied_windows(docs: DataFrame, id_col: str, text_col: str, filter_bits: int
     """(id, pos): word starts of the windows that a document with a smaller id holds too."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    anchors = texts.mapInArrow(_scan_anchors, "anchor long, lo long, hi long")
-    shared = anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor")
-    bloom = spark.sparkContext.broadcast(_filter_of(shared, filter_bits))
-    w = scratch.keep(texts.mapInArrow(_scan_windows(bloom, filter_bits), "w1 long, w2 long, id long, pos int"), "windows")
-    first = w.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    return w.join(first.select("w1", "w2", "lo"), ["w1", "w2"]).where("id > lo").select("id", "pos")
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 26) -> DataFrame:
+    anchors = texts.mapInArrow(_scan_anchors, "anchor long, n long")
+    shared = scratch.keep(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
+    # Anchors that hold more than one in HOT_PARTS of all shared ones: no more than HOT_PARTS.
+    least = max(HOT_LEAST, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_PARTS)
+    hot = np.array([r[0] for r in shared.where(F.col("n") > least).select("anchor").collect()], np.int64).view(np.uint64)
+    known = spark.sparkContext.broadcast((_filter_of(shared.select("anchor"), filter_bits), hot))
+    w = scratch.keep(texts.mapInArrow(_scan_windows(known, filter_bits), "w1 long, w2 int, id long, pos int, hot boolean"), "windows")
+    # Hot windows: no more than HOT_PARTS can be in more than one in HOT_PARTS of all places. Their
+    # smallest ids are combined before the shuffle and broadcast, so no task gathers their rows.
+    most = max(HOT_LEAST, w.count() // HOT_PARTS)
+    first = w.where("hot").groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.count("*").alias("n")).where(F.col("n") > most)
+    w = w.join(F.broadcast(scratch.keep(first.drop("n"), "hot")), ["w1", "w2"], "left")
+    # Rows of hot windows are dealt out by document; equal ones of any other window, which few
+    # share, meet in one task, sorted, and stream past the first of them.
+    at = F.when(F.col("lo").isNull(), F.col("w1")).otherwise(F.xxhash64("id", "pos"))
+    dealt = w.select("w1", "w2", "id", "pos", "lo", at.alias("at")).repartition("at").sortWithinPartitions("w1", "w2", "id")
+    return dealt.mapInArrow(_later, "id long, pos int")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 27) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 and kept_text (kept words
-    joined by one space). ``filter_bits``: a power of two; 2**26 bits are 8 MB."""
+    joined by one space). ``filter_bits``: a power of two; 2**27 bits are 16 MB."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     copied = copied_windows(docs, id_col, text_col, filter_bits, scratch)
     # A list of a document's own positions: no longer than the document.
-    lists = copied.groupBy("id").agg(F.collect_set("pos").alias("at"))
+    lists = scratch.keep(copied.groupBy("id").agg(F.collect_set("pos").alias("at")), "lists")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = texts.join(lists, "id", "left").select("id", "text", "at").mapInArrow(_rewrite, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col)

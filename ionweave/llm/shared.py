@@ -42,7 +42,14 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it again: this cuts lineage and survives lost executors."""
         out = self.path(name)
-        df.write.parquet(out)
+        # Shuffles that led to the table can go as soon as it is written.
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, None)
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.parquet(out)
+        finally:
+            self.spark.conf.unset(clean) if before is None else self.spark.conf.set(clean, before)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, df: DataFrame) -> None:
