@@ -23,7 +23,13 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, Scratch, table
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, with native memory bounded for each executor and given back after each batch.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text):
@@ -43,9 +49,9 @@ class StreamingDedup:
 
     def ingest(self, source: str, schema) -> None:
         spark = self.spark
-        key = "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(key, None)
-        spark.conf.set(key, ROCKS)
+        before = {k: spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         try:
             rows = spark.readStream.schema(schema).parquet(source)
             state = rows.groupBy("digest").agg(
@@ -60,7 +66,8 @@ class StreamingDedup:
             )
             query.awaitTermination()
         finally:
-            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def state(self, id_type: str = "bigint") -> DataFrame:
         """(digest, keep_id, locator, size): the newest update of each digest."""
