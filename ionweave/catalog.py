@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions.axis import numbered
 from .functions.grid import image
-from .model import MsiDataset
+from .model import MsiDataset, hold
 from .operators import background, consensus, cwt, dbscan, hot_pixel, moran, normalize, pick, prevalence, recalibrate, reference_ions, tolerance
 from .plans import cohort, diagnostics, pipeline, views
 from .testdata import BG, FG, cells_dataset, peaks_dataset, profile_spectra, sparse_peaks
@@ -26,7 +26,8 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def refs(ds: MsiDataset, p=REF) -> tuple[DataFrame, DataFrame]:
-    return reference_ions.reference_ions(ds.peaks, ds.n_pixels(), p)
+    ions, obs = reference_ions.reference_ions(ds.peaks, ds.n_pixels(), p)
+    return hold(ions), hold(obs)
 
 
 def _proj(kind: str, digits: int):
@@ -247,7 +248,7 @@ def _bg(what: str):
     return run
 
 
-COHORT = cohort.CohortParams(bandwidth_ppm=200.0, n_grid_points=8192, bootstrap_B=0, recalibrate=False, reference=REF)
+COHORT = cohort.CohortParams(bandwidth_ppm=20.0, n_grid_points=131072, bootstrap_B=0, recalibrate=False, reference=REF)
 
 
 def _cohort(what: str):

@@ -10,14 +10,18 @@ Tables carry ``dataset_id`` in every key, so one plan serves one acquisition or
 
 from __future__ import annotations
 
+import atexit
 import dataclasses
 import hashlib
 import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAMILIES = ("unknown", "tof_axial", "tof_reflectron", "qtof", "orbitrap", "fticr")
@@ -196,6 +200,26 @@ class MsiDataset:
         return combine_hashes(hash_obj(self.identity), *(r.output_hash for r in self.history))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder takes its place with a local master only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="ionweave-")
+        atexit.register(shutil.rmtree, path[7:], True)
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read to the shared folder and read it again: plans stay
+    short, and a lost executor costs no earlier step."""
+    out = f"{shared_dir(df.sparkSession)}/hold-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def pixels_of(coords: DataFrame, grid_shape: tuple[int, int] | None = None) -> tuple[DataFrame, tuple[int, int]]:
     """Pixel table and grid of (dataset_id, pixel_id, x, y): a least coordinate of 1 over both axes
     means that counting starts at 1, else at 0. Positions outside the grid raise."""

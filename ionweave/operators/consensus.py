@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import assign, numbered
-from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset
+from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 from .tolerance import evaluate
 
@@ -76,11 +76,11 @@ def aligned(peaks: DataFrame, axis: DataFrame, n_pixels: DataFrame) -> tuple[Dat
     """(cells, counts): the strongest peak of each pixel and channel, zeros left out, and
     (dataset_id, channel, mz, prevalence, n_peaks) of every channel of ``axis``."""
     hits = assign(peaks, axis)
-    every = hits.groupBy(*PIXEL, "channel").agg(F.max("intensity").alias("intensity"), F.count("*").alias("k"))
+    every = hold(hits.groupBy(*PIXEL, "channel").agg(F.max("intensity").alias("intensity"), F.count("*").alias("k")))
     per = every.groupBy("dataset_id", "channel").agg(F.count_if(F.col("intensity") > 0).alias("seen"), F.sum("k").alias("n_peaks"))
     counts = axis.join(per, ["dataset_id", "channel"], "left").join(n_pixels, DATASET)
     counts = counts.select("dataset_id", "channel", "mz", (F.coalesce("seen", F.lit(0)) / F.col("n_pixels")).alias("prevalence"), F.coalesce("n_peaks", F.lit(0)).cast("bigint").alias("n_peaks"))
-    return every.where("intensity > 0").drop("k"), counts
+    return every.where("intensity > 0").drop("k"), hold(counts)
 
 
 def keep_channels(cells: DataFrame, channels: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +99,7 @@ def kde_candidates(peaks: DataFrame, p: KdeParams) -> DataFrame:
 def align_kde(ds: MsiDataset, p: KdeParams) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, channels, all candidate channels before the prevalence floor)."""
     peaks = ds.need_peaks("kde_consensus_alignment")
-    axis = windowed(kde_candidates(peaks, p), ds.extras.get("tolerance_curve"), p.default_tol_ppm)
+    axis = windowed(hold(kde_candidates(peaks, p)), ds.extras.get("tolerance_curve"), p.default_tol_ppm)
     cells, counts = aligned(peaks, axis, ds.n_pixels())
     return *keep_channels(cells, counts, F.col("prevalence") >= p.min_prevalence), counts
 

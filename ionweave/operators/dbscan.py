@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import numbered
 from ..functions.exprs import weighted_mean
-from ..model import DATASET, PIXEL, MsiDataset
+from ..model import DATASET, PIXEL, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 from .consensus import keep_channels, need_some
 
@@ -59,8 +59,8 @@ def labelled(points: DataFrame, c: DataFrame, eps: float) -> DataFrame:
 
 
 def dbscan(peaks: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    points = cores(peaks.select(*PIXEL, "peak_idx", "mz", "intensity", F.log("mz").alias("x")), eps, min_samples)
-    return labelled(points, clusters(points, eps), eps)
+    points = hold(cores(peaks.select(*PIXEL, "peak_idx", "mz", "intensity", F.log("mz").alias("x")), eps, min_samples))
+    return hold(labelled(points, clusters(points, eps), eps))
 
 
 def cluster_channels(hits: DataFrame, n_pixels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_SCALE
-from ..model import PIXEL, MsiDataset
+from ..model import PIXEL, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 
 
@@ -37,7 +37,7 @@ class SnrPeakPick(Operator):
     params_cls = SnrParams
 
     def run(self, ds: MsiDataset, params: SnrParams, seed: int) -> OpResult:
-        t = with_threshold(ds.need_peaks(self.name), params)
+        t = hold(with_threshold(ds.need_peaks(self.name), params))
         kept = t.where("intensity > threshold")
         summary = t.agg(F.count("*").cast("double").alias("n_peaks_in"), F.count_if(F.col("intensity") > F.col("threshold")).cast("double").alias("n_peaks_out"), F.median("threshold").alias("threshold_median"))
         summary = summary.withColumn("fraction_kept", F.try_divide("n_peaks_out", "n_peaks_in"))

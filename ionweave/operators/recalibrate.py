@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lerp, md5_int
-from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset
+from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 from .tolerance import evaluate
 
@@ -117,7 +117,7 @@ class MsiwarpRecalibrate(Operator):
         peaks = ds.need_peaks(self.name)
         if "ref_ions" not in ds.extras:
             raise RuntimeError(f"{self.name} needs reference ions; detect them first")
-        w = warps(anchors(ds.extras["ref_ions"], ds.extras["ref_obs"], ds.extras.get("tolerance_curve"), params), params, seed)
+        w = hold(warps(anchors(ds.extras["ref_ions"], ds.extras["ref_obs"], ds.extras.get("tolerance_curve"), params), params, seed))
         summary = ds.pixels.select(*PIXEL).join(w, PIXEL, "left").agg(
             F.count("n_inliers").cast("double").alias("n_pixels_recalibrated"), F.count_if(F.col("n_inliers").isNull()).cast("double").alias("n_pixels_skipped"),
             F.avg(F.col("n_inliers").isNotNull().cast("double")).alias("fraction_pixels_recalibrated"), F.coalesce(F.median("n_inliers"), F.lit(0.0)).alias("inliers_median"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_bin, ppm_error, weighted_mean
-from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset
+from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 
 
@@ -64,6 +64,6 @@ class DetectReferenceIons(Operator):
         return ReferenceIonParams(coarse_tol_ppm=ppm, min_prevalence=0.7 if ep.profile_or_centroided == "profile" else 0.8)
 
     def run(self, ds: MsiDataset, params: ReferenceIonParams, seed: int) -> OpResult:
-        refs, obs = reference_ions(ds.need_peaks(self.name), ds.n_pixels(), params)
+        refs, obs = map(hold, reference_ions(ds.need_peaks(self.name), ds.n_pixels(), params))
         summary = refs.agg(F.count("*").cast("double").alias("n_reference_ions"), F.min("prevalence").alias("prevalence_min"), F.median("prevalence").alias("prevalence_median"), F.min("mz").alias("mz_min"), F.max("mz").alias("mz_max"))
         return OpResult(ds.with_extras(ref_ions=refs, ref_obs=obs), (Diagnostic(self.name, summary, {"ref_ions": refs}, "stem:mz_vs_prevalence"),))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import isotonic, lerp, md5_int, running_sums
-from ..model import DATASET, PIXEL, MsiDataset
+from ..model import DATASET, PIXEL, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 
 GRID_POINTS = 200
@@ -109,7 +109,7 @@ def tolerance_curve(ref_ions: DataFrame, ref_obs: DataFrame, pixels: DataFrame,
 
     Fewer than three anchors or five pairs: flat at the global quantile, or 50 ppm without any.
     """
-    pairs = _pairs(ref_ions, ref_obs).withColumn("m", F.lit(1).cast("bigint"))
+    pairs = hold(_pairs(ref_ions, ref_obs).withColumn("m", F.lit(1).cast("bigint")))
     stats = pairs.groupBy("dataset_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n_pairs"), F.percentile("y", F.lit(1 - p.alpha / 2)).alias("flat"))
     stats = pixels.select("dataset_id").distinct().join(ref_ions.groupBy("dataset_id").agg(F.count("*").alias("refs"), F.min("mz").alias("ref_lo"), F.max("mz").alias("ref_hi")), DATASET, "left").join(stats, DATASET, "left")
     good = (F.coalesce("refs", F.lit(0)) >= 3) & (F.coalesce("n_pairs", F.lit(0)) >= 5)
@@ -148,7 +148,7 @@ class EmpiricalTolerance(Operator):
     def run(self, ds: MsiDataset, params: ToleranceParams, seed: int) -> OpResult:
         if "ref_ions" not in ds.extras:
             raise RuntimeError(f"{self.name} needs reference ions; detect them first")
-        c = tolerance_curve(ds.extras["ref_ions"], ds.extras["ref_obs"], ds.pixels, params, seed, max(ds.grid_shape[1], 1))
+        c = hold(tolerance_curve(ds.extras["ref_ions"], ds.extras["ref_obs"], ds.pixels, params, seed, max(ds.grid_shape[1], 1)))
         summary = c.agg(
             F.min_by("ppm_quantile", "i").alias("ppm_at_mz_lo"), F.max_by("ppm_quantile", "i").alias("ppm_at_mz_hi"), F.median("ppm_quantile").alias("ppm_median"),
             F.median(F.col("ci_high") - F.col("ci_low")).alias("ci_band_median_width"), F.lit(float(params.alpha)).alias("alpha"), F.lit(float(params.bootstrap_B)).alias("bootstrap_B"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.axis import numbered
-from ..model import MsiDataset
+from ..model import MsiDataset, hold
 from ..operators.consensus import KdeParams, aligned, density, maxima, need_some, windowed
 from ..operators.normalize import scaled, with_factor
 from ..operators.pick import SnrParams, with_threshold
@@ -56,8 +56,8 @@ def union(datasets: list[MsiDataset]) -> MsiDataset:
 def prepared(ds: MsiDataset, p: CohortParams, seed: int) -> tuple[DataFrame, DataFrame]:
     """(peaks, tolerance curves): every dataset on its own, in one plan."""
     peaks, n = ds.need_peaks("align_cohort"), ds.n_pixels()
-    refs, obs = reference_ions(peaks, n, p.reference)
-    curve = tolerance_curve(refs, obs, ds.pixels, ToleranceParams(bootstrap_B=p.bootstrap_B, block_bootstrap=False), seed)
+    refs, obs = map(hold, reference_ions(peaks, n, p.reference))
+    curve = hold(tolerance_curve(refs, obs, ds.pixels, ToleranceParams(bootstrap_B=p.bootstrap_B, block_bootstrap=False), seed))
     if p.recalibrate and ds.metadata.instrument_family in ("tof_axial", "tof_reflectron", "qtof"):
         wp = WarpParams()
         peaks = warped(peaks, warps(anchors(refs, obs, curve, wp), wp, seed))
@@ -65,7 +65,7 @@ def prepared(ds: MsiDataset, p: CohortParams, seed: int) -> tuple[DataFrame, Dat
         peaks = scaled(with_factor(peaks, "median", 1e-12))
     if ds.metadata.profile_or_centroided != "profile":
         peaks = with_threshold(peaks, SnrParams(snr_mad=p.snr_mad)).where("intensity > threshold").drop("threshold")
-    return peaks, curve
+    return hold(peaks), curve
 
 
 def align_cohort(ds: MsiDataset, p: CohortParams | None = None, seed: int = 0) -> CohortResult:
@@ -74,7 +74,7 @@ def align_cohort(ds: MsiDataset, p: CohortParams | None = None, seed: int = 0) -
     peaks, curve = prepared(ds, p, seed)
     kde = KdeParams(p.n_grid_points, p.bandwidth_ppm, p.bandwidth_scale, p.min_prominence_quantile, p.default_tol_ppm)
     pooled = peaks.withColumn("dataset_id", F.lit("cohort"))
-    shared = numbered(maxima(density(pooled, kde), p.min_prominence_quantile).where("prominent").select("dataset_id", "mz"))
+    shared = hold(numbered(maxima(density(pooled, kde), p.min_prominence_quantile).where("prominent").select("dataset_id", "mz")))
     axis = shared.select("channel", "mz")
     mine = windowed(ds.n_pixels().select("dataset_id").crossJoin(axis), curve, p.default_tol_ppm)  # datasets x channels
     cells, per = aligned(peaks, mine, ds.n_pixels())

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import ExperimentParams, MsiDataset, combine_hashes, hash_obj
+from ..model import ExperimentParams, MsiDataset, combine_hashes, hash_obj, hold
 from ..operators import OpResult, operator
 from ..operators.consensus import KdeParams, align_kde
 from ..operators.normalize import scaled, with_factor
@@ -164,12 +164,12 @@ class Runner:
 
 
 def default_channels(ds: MsiDataset, seed: int = 0) -> DataFrame:
-    """The channels that the default chain finds, as one lazy plan without driver actions."""
-    refs, obs = reference_ions(ds.peaks, ds.n_pixels(), ReferenceIonParams(min_prevalence=0.5))
-    curve = tolerance_curve(refs, obs, ds.pixels, ToleranceParams(bootstrap_B=0))
+    """The channels that the default chain finds; tables with several readers are written once."""
+    refs, obs = map(hold, reference_ions(ds.peaks, ds.n_pixels(), ReferenceIonParams(min_prevalence=0.5)))
+    curve = hold(tolerance_curve(refs, obs, ds.pixels, ToleranceParams(bootstrap_B=0)))
     wp = WarpParams()
-    peaks = warped(ds.peaks, warps(anchors(refs, obs, curve, wp), wp, seed))
+    peaks = warped(ds.peaks, hold(warps(anchors(refs, obs, curve, wp), wp, seed)))
     peaks = scaled(with_factor(peaks, "median", 1e-12))
-    peaks = with_threshold(peaks, SnrParams(snr_mad=0.5)).where("intensity > threshold").drop("threshold")
-    _, channels, _ = align_kde(ds.with_peaks(peaks).with_extras(tolerance_curve=curve), KdeParams(n_grid_points=8192, bandwidth_ppm=200.0))
+    peaks = hold(with_threshold(peaks, SnrParams(snr_mad=0.5)).where("intensity > threshold").drop("threshold"))
+    _, channels, _ = align_kde(ds.with_peaks(peaks).with_extras(tolerance_curve=curve), KdeParams(n_grid_points=131072, bandwidth_ppm=20.0))
     return channels.select("channel", "mz", F.col("prevalence"), "n_peaks")

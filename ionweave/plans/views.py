@@ -129,11 +129,10 @@ def cdf(values: DataFrame, col: str) -> DataFrame:
 
 def survivors(values: DataFrame, col: str, thresholds: list[float], current: float, above: bool = True) -> DataFrame:
     """(threshold, n, delta): how many values would stay, and how many more than now."""
-    t = values.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
     stays = (lambda at: F.col(col) >= at) if above else (lambda at: F.col(col) <= at)
     counts = values.agg(*(F.count_if(stays(F.lit(float(x)))).alias(f"n{k}") for k, x in enumerate(thresholds)), F.count_if(stays(F.lit(float(current)))).alias("now"))
     rows = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("threshold"), F.col(f"n{k}").alias("n")) for k, x in enumerate(thresholds)))).alias("r")
-    return counts.select(rows, "now").select("r.threshold", "r.n", (F.col("r.n") - F.col("now")).alias("delta")) if t is not None else t
+    return counts.select(rows, "now").select("r.threshold", "r.n", (F.col("r.n") - F.col("now")).alias("delta"))
 
 
 def histogram(values: DataFrame, col: str, bins: int) -> DataFrame:
