@@ -92,9 +92,11 @@ def _commit(fs, tmp: str, final: str) -> None:
 
 def write_archives(pages: DataFrame, folder: str) -> None:
     """Write (page_id, url, html, refers_to) as ``folder``/part-N.warc.gz, one gzip stream a file."""
+    there, root = fs_of(folder)
+    there.create_dir(root, recursive=True)
+
     def run(batches):
         fs, root = fs_of(folder)
-        fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         tmp, final = f"{root}/.{part}-{uuid.uuid4().hex}", f"{root}/part-{part:06d}.warc.gz"
         n, pack = 0, zlib.compressobj(6, zlib.DEFLATED, 31)
