@@ -2,8 +2,9 @@
 
 A group too large to compare picks signature coordinates by a hash of its own path and splits by
 their values; documents of similarity J stay together at a split with probability J. One
-coordinate is always picked, a second with probability 1 / least - 1, so a pair at the least
-similarity stays together somewhere at each level in expectation.
+coordinate is always picked, a second with probability GAIN / least - 1, so a pair at the least
+similarity stays together in GAIN groups of the next level in expectation: more than one, so that
+the chance to stay together somewhere doesn't fade with depth.
 
 Groups that don't get small within ``depth`` splits are compared in full, block against block:
 nothing is dropped.
@@ -11,12 +12,17 @@ nothing is dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
 
+GAIN = 1.1
+
+
 def pick(path, salt: int, width: int):
     return (F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(width)) + 1).cast("int")
 
@@ -25,12 +31,13 @@ def unit(path, salt: int):
     return F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def refine(nodes: DataFrame, signatures: DataFrame, scratch: Scratch, most: int, most_weight: int, least: float, width: int, depth: int = 24) -> DataFrame:
+def refine(nodes: DataFrame, signatures: Callable[[DataFrame], DataFrame], scratch: Scratch, most: int, most_weight: int, least: float, width: int, depth: int = 24) -> DataFrame:
     """Small groups (leaf, item) from groups ``nodes`` (leaf, item, weight).
 
     A group is small with at most ``most`` items and a summed weight of at most ``most_weight``,
-    or with two items. Equal groups from different paths are returned once. ``signatures``: (item,
-    sig array of ``width`` values).
+    or with two items. Equal groups from different paths are returned once. ``signatures`` takes the
+    items (item) of groups that are still large and returns one (item, sig array of ``width``
+    values) for each.
     """
     out = None
     for level in range(depth + 1):
@@ -50,8 +57,8 @@ def refine(nodes: DataFrame, signatures: DataFrame, scratch: Scratch, most: int,
         if level < depth:
             path = F.col("leaf")
             child = lambda salt: F.xxhash64(path, F.lit(salt), F.element_at("sig", pick(path, salt, width)))
-            kids = F.array_compact(F.array(child(1), F.when(unit(path, 3) < 1 / least - 1, child(2))))
-            nodes = large.join(signatures, "item").select(F.explode(kids).alias("leaf"), "item", "weight")
+            kids = F.array_compact(F.array(child(1), F.when(unit(path, 3) < GAIN / least - 1, child(2))))
+            nodes = large.join(signatures(large.select("item").distinct()), "item").select(F.explode(kids).alias("leaf"), "item", "weight")
     # What is still large is compared block by block.
     block = F.ceil(F.col("n") / F.lit(max(1, most // 2))).cast("int")
     mine = large.withColumn("blocks", block).withColumn("own", F.pmod(F.xxhash64("item", F.lit(11)), F.col("blocks")).cast("int"))

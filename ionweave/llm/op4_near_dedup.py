@@ -14,7 +14,7 @@
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; fewer than
 five words are one shingle; a very long text is one row whose pairs weigh by its length; rows that
-share an id are one document of the graph; rows with a null id are linked with nothing and get a
+share an id are one document of the graph, which the set with the smallest hash stands for; rows with a null id are linked with nothing and get a
 null component; an empty table gives an empty result; other columns, whatever their names, are
 neither read nor returned.
 """
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .bloom import thinned
 from .branching import refine
 from .components import components
 from .shared import Scratch, table
@@ -65,6 +66,12 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.view(np.int64)))], ["item", "elems"])
 
 
+def _low_bytes(batches):
+    for batch in batches:
+        sig = batch.column(4).flatten().to_numpy().astype(np.uint8).reshape(-1, N_SIG)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in sig], pa.binary())], ["item", "n", "sig"])
+
+
 def _groups(batches, names):
     """Whole groups of rows with the same first column, from batches sorted by it."""
     held = []
@@ -96,10 +103,8 @@ def _promising(cut: int, num: int, den: int):
         leaves, items = [], []
         for t in _groups(batches, None):
             m = t.num_rows
-            sig = t.column(3).combine_chunks()
-            sig = (sig.flatten() if isinstance(sig, pa.ListArray) else pa.concat_arrays([c.flatten() for c in sig.chunks])).to_numpy().reshape(m, N_SIG)
+            low = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(m, N_SIG)
             n = t.column(2).to_numpy()
-            low = sig.astype(np.uint8) if m > 8 else sig
             good = np.zeros(m, bool)
             for i in range(m - 1):
                 same = (low[i + 1 :] == low[i]).sum(1) >= cut
@@ -167,34 +172,44 @@ def _links(num: int, den: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 16, leaf_items: int = 512, leaf_weight: int = 1_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 16, leaf_items: int = 2048, leaf_weight: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.keep(texts.mapInArrow(_sketch, "id long, n long, h1 long, h2 long, sig array<int>"), "sketches")
 
-    known = sketch.where("n > 0 AND id IS NOT NULL")
-    reps = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("item"))
-    copies = known.select("h1", "h2", "n", "id").join(reps, ["h1", "h2", "n"]).where("id != item").select(F.col("id").alias("a"), F.col("item").alias("b"))
-    sigs = known.join(reps.select("h1", "h2", "n", F.col("item").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
-    # Rows that share an id are one item, with one signature for each different set.
-    sigs = scratch.keep(sigs.dropDuplicates(["id", "h1", "h2"]).select(F.col("id").alias("item"), "n", "sig"), "signatures")
+    key = ["h1", "h2", "n"]
+    # Of rows that share an id, the set with the smallest hash stands for the document.
+    one = sketch.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*key)).alias("k")).select("id", "k.*")
+    known = scratch.keep(one, "documents")
+    reps = known.groupBy(*key).agg(F.min("id").alias("item"))
+    copies = known.join(reps, key).where("id != item").select(F.col("id").alias("a"), F.col("item").alias("b"))
 
     def root(tree):
         i, j = (7 * tree) % N_SIG, (7 * tree + 3) % N_SIG
         return F.xxhash64(F.lit(tree), F.element_at("sig", i + 1), F.element_at("sig", j + 1))
 
-    nodes = sigs.select(F.explode(F.array(*(root(t) for t in range(trees)))).alias("leaf"), "item", F.col("n").alias("weight"))
-    leaves = refine(nodes, sigs.select("item", "sig"), scratch, leaf_items, leaf_weight, percent / 100, N_SIG)
+    roots = sketch.select(*key, "id", F.array(*(root(t) for t in range(trees))).alias("roots"))
+    roots = roots.join(reps.withColumnRenamed("item", "id"), [*key, "id"], "left_semi").dropDuplicates(["id"])
+    nodes = roots.select(F.explode("roots").alias("leaf"), F.col("id").alias("item"), F.col("n").alias("weight"))
+    sigs = sketch.select(F.col("id").alias("item"), "n", "h1", "h2", "sig")
+
+    def mine(items: DataFrame) -> DataFrame:
+        """One signature row for each item; most others are left out before the shuffle."""
+        return thinned(sigs, items).join(items, "item", "left_semi").join(reps, ["h1", "h2", "n", "item"], "left_semi").dropDuplicates(["item"])
+
+    leaves = refine(nodes, lambda items: mine(items).select("item", "sig"), scratch, leaf_items, leaf_weight, percent / 100, N_SIG)
     # Equality of 128 values: mean 108.8 and deviation 4.04 at 0.85; the cut is 5.4 deviations lower.
     q = percent / 100
     cut = int(N_SIG * q - 5.4 * (N_SIG * q * (1 - q)) ** 0.5)
-    rows = leaves.select("leaf", "item").join(sigs.select("item", "n", "sig"), "item").select("leaf", "item", "n", "sig")
+    # Signatures of the members of leaves, thinned before the shuffle and cut to a byte a value.
+    low = mine(leaves.select("item").distinct()).select("item", "n", "h1", "h2", "sig").mapInArrow(_low_bytes, "item long, n long, sig binary")
+    rows = leaves.select("leaf", "item").join(low, "item").select("leaf", "item", "n", "sig")
     near = rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_promising(cut, percent, 100), "leaf long, item long")
     near = scratch.keep(near.distinct(), "promising")
     wanted = near.select(F.col("item").alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "item long, elems array<long>")
+    sets = thinned(texts, wanted).mapInArrow(_sets, "item long, elems array<long>")
     full = near.join(sets, "item").select("leaf", "item", "elems")
     links = full.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_links(percent, 100), "a long, b long")
     links = scratch.keep(links.distinct(), "links")
