@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import words as W
 from .shared import Scratch, table
 
@@ -33,7 +34,6 @@ WINDOW = 13
 PERIOD = 7
 COVER = (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
-N_PROBES = 3
 HOT_PARTS, HOT_LEAST = 4096, 1000
 
 
@@ -66,32 +66,7 @@ def _scan_anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(n)], ["anchor", "n"])
 
 
-def _bits(v: np.ndarray, n: int) -> list[np.ndarray]:
-    """The bits that stand for each hash; n is a power of two."""
-    shift = np.uint64(64 - (n.bit_length() - 1))
-    with np.errstate(over="ignore"):
-        return [((v * s) >> shift).astype(np.int64) for s in (np.uint64(1), W.SALTS[0], W.SALTS[1])][:N_PROBES]
-
-
-def _filter_of(anchors: DataFrame, n_bits: int) -> np.ndarray:
-    """A Bloom filter of the anchors: tasks set bits by word of the filter, the words are or-ed
-    together by a shuffle, and the driver gets at most n_bits / 64 words."""
-    def bits(batches):
-        for batch in batches:
-            v = batch.column(0).to_numpy().view(np.uint64)
-            if len(v):
-                at = np.unique(np.concatenate(_bits(v, n_bits)))
-                words, first = np.unique(at >> 6, return_index=True)
-                val = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(val.view(np.int64))], ["word", "val"])
-
-    out = np.zeros(n_bits >> 6, np.uint64)
-    got = anchors.mapInArrow(bits, "word long, val long").groupBy("word").agg(F.bit_or("val").alias("val")).toArrow()
-    out[got["word"].to_numpy()] = got["val"].to_numpy().view(np.uint64)
-    return out
-
-
-def _scan_windows(shared, n_bits: int):
+def _scan_windows(shared):
     """Full hashes of the windows that hold an anchor of the filter; hot: one that holds a hot anchor."""
     def mark(pos, n):
         hit = np.bincount(np.maximum(pos - (WINDOW - ANCHOR), 0), minlength=n + 1) - np.bincount(pos + 1, minlength=n + 1)
@@ -104,9 +79,7 @@ def _scan_windows(shared, n_bits: int):
             got = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
             ids = pa.compute.fill_null(ids, 0).to_numpy()
             for a, rows, first, h, pos, v, _ in _anchors(batch.column(1)):
-                inside = np.ones(len(v), bool)
-                for at in _bits(v, n_bits):
-                    inside &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                inside = bloom.holds(words, v)
                 pos, v = pos[inside], v[inside]
                 w1, start = W.windows(h, rows, WINDOW)
                 keep = mark(pos, len(h))[start] & got[rows[start] + a]
@@ -171,8 +144,8 @@ def copied_windows(docs: DataFrame, id_col: str, text_col: str, filter_bits: int
     # Anchors that hold more than one in HOT_PARTS of all shared ones: no more than HOT_PARTS.
     least = max(HOT_LEAST, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_PARTS)
     hot = np.array([r[0] for r in shared.where(F.col("n") > least).select("anchor").collect()], np.int64).view(np.uint64)
-    known = spark.sparkContext.broadcast((_filter_of(shared.select("anchor"), filter_bits), hot))
-    w = scratch.keep(texts.mapInArrow(_scan_windows(known, filter_bits), "w1 long, w2 int, id long, pos int, hot boolean"), "windows")
+    known = spark.sparkContext.broadcast((bloom.build(shared.select("anchor"), filter_bits), hot))
+    w = scratch.keep(texts.mapInArrow(_scan_windows(known), "w1 long, w2 int, id long, pos int, hot boolean"), "windows")
     # Hot windows: no more than HOT_PARTS can be in more than one in HOT_PARTS of all places. Their
     # smallest ids are combined before the shuffle and broadcast, so no task gathers their rows.
     most = max(HOT_LEAST, w.count() // HOT_PARTS)
