@@ -5,7 +5,8 @@
    by class. A feature's score is its log-odds under an informative Dirichlet prior, whose
    pseudo-counts follow the feature's share of all documents.
 2. A feature enters the model if the signed root of its likelihood ratio is at least
-   ``least_root``; the model keeps the ``max_features`` strongest (its documented size).
+   ``least_root`` and its log-odds at least ``least_odds``; copies of a toxic document count as one.
+   The model keeps the ``max_features`` strongest (its documented size).
 3. Each document is read once, in linear time: all maximal scoring segments of its tokens are
    found (tokens without a model feature score ``-drift``), and each segment gets an expected
    number by chance K * n * exp(-S) (scores are log-odds, so the exponent's scale is 1).
@@ -49,32 +50,37 @@ def features(word: str) -> list[str]:
 
 
 def _count(batches):
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    """(feature, n_all, n_toxic, n_clean, kinds): ``kinds`` has a bit for each of 64 classes of toxic
+    documents, dealt by the least hash of a document's words, which copies share."""
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
 
     def flush():
         names = list(counts)
         cols = zip(*counts.values(), strict=True)
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["feature", "n_all", "n_toxic", "n_clean"])
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["feature", "n_all", "n_toxic", "n_clean", "kinds"])
         counts.clear()
         return out
 
-    cache: dict[str, list[str]] = {}
+    cache: dict[str, tuple[int, list[str]]] = {}
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(TOKEN.findall((text or "").lower()))
-            seen = set()
-            for w in words:
-                f = cache.get(w)
-                if f is None:
-                    f = cache[w] = features(w)
-                seen.update(f)
-            seen.add(TOTAL)
+            seen, least = {TOTAL}, 1 << 32
+            for w in set(TOKEN.findall((text or "").lower())):
+                got = cache.get(w)
+                if got is None:
+                    got = cache[w] = (zlib.crc32(w.encode()), features(w))
+                least = min(least, got[0])
+                seen.update(got[1])
             k = 0 if label is None else 1 if label else 2
+            bit = 1 << (zlib.crc32(b"%d" % least) & 63)
+            bit -= (bit >> 63) << 64
             for f in seen:
                 c = counts[f]
                 c[0] += 1
                 if k:
                     c[k] += 1
+                    if k == 1:
+                        c[3] |= bit
             if len(counts) > TABLE_ENTRIES:
                 yield flush()
                 cache.clear()
@@ -94,19 +100,24 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, max_labelled: int)
     return one.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=400_000, max_features=20_000, least_root=5.0, prior=10.0) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=400_000, max_features=20_000, least_root=5.0, least_odds=4.0, prior=10.0) -> dict:
     """The model: ``scores`` (feature -> log-odds), ``rate`` (chance of a scored token in a clean text)."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     # At most max_labelled rows of an id and a flag: the bound of what is broadcast here.
     lab = F.broadcast(scratch.keep(labelled(labels, id_col, label_col, max_labelled), "labels"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lab, "id", "left").select("text", "label")
-    counted = texts.mapInArrow(_count, "feature string, n_all long, n_toxic long, n_clean long")
-    sums = counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_clean")))
+    counted = texts.mapInArrow(_count, "feature string, n_all long, n_toxic long, n_clean long, kinds long")
+    sums = counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_clean")), F.bit_or("kinds").alias("kinds"))
     sums = scratch.keep(sums.where(F.col("n_toxic") + (F.col("feature") == TOTAL).cast("int") > 0), "features")
     total = sums.where(F.col("feature") == TOTAL).first()
     if total is None or not total["n_toxic"] or not total["n_clean"]:
         return {"scores": {}, "rate": 1e-9}
     n, t, c = (float(total[k]) for k in ("n_all", "n_toxic", "n_clean"))
+    # Copies of one document are one piece of evidence: no more toxic documents count than the
+    # linear-counting estimate of their kinds (266 if all 64 bits are set).
+    unset = F.lit(64) - F.bit_count("kinds")
+    some = F.when(F.col("feature") == TOTAL, F.col("n_toxic")).otherwise(F.least(F.col("n_toxic"), F.ceil(F.lit(64.0) * F.log(64.0 / F.greatest(unset, F.lit(1))))))
+    sums = sums.withColumn("n_toxic", some)
     # Pseudo-counts: prior documents spread as the feature is over the corpus, and half of one more.
     a = prior * F.col("n_all") / n + 0.5
     pt, pc_ = (F.col("n_toxic") + a) / (t + prior + 1), (F.col("n_clean") + a) / (c + prior + 1)
@@ -118,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     seen = F.col("n_toxic") + F.col("n_clean")
     root = F.sqrt(2 * F.greatest(F.lit(0.0), part(F.col("n_toxic"), seen * t / (t + c)) + part(F.col("n_clean"), seen * c / (t + c))))
     model = sums.where(F.col("feature") != TOTAL).select("feature", odds.alias("odds"), root.alias("root"), (pc_).alias("clean"))
-    rows = model.where((F.col("odds") > 1) & (F.col("root") >= least_root)).orderBy(F.desc("root"), "feature").limit(max_features).collect()
+    rows = model.where((F.col("odds") >= least_odds) & (F.col("root") >= least_root)).orderBy(F.desc("root"), "feature").limit(max_features).collect()
     return {"scores": {r["feature"]: r["odds"] for r in rows}, "rate": max(1e-9, sum(r["clean"] for r in rows if r["feature"][0] != "^") / 100.0 + 0.5 / max(c, 1.0) / 100.0)}
 
 
