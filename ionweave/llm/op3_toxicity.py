@@ -49,9 +49,15 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in reversed(PREFIXES) if len(word) > k)]
 
 
+def kind_bit(words: list[str]) -> int:
+    """One of 64 bits of a LONG, by the least hash of three words in a row, which copies share."""
+    least = min((zlib.crc32(" ".join(t).encode()) for t in zip(words, words[1:], words[2:], strict=False)), default=zlib.crc32(" ".join(words).encode()))
+    bit = 1 << (zlib.crc32(b"%d" % least) & 63)
+    return bit - ((bit >> 63) << 64)
+
+
 def _count(batches):
-    """(feature, n_all, n_toxic, n_clean, kinds): ``kinds`` has a bit for each of 64 classes of toxic
-    documents, dealt by the least hash of a document's words, which copies share."""
+    """(feature, n_all, n_toxic, n_clean, kinds): ``kinds`` holds the bits of the toxic documents."""
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
 
     def flush():
@@ -61,19 +67,18 @@ def _count(batches):
         counts.clear()
         return out
 
-    cache: dict[str, tuple[int, list[str]]] = {}
+    cache: dict[str, list[str]] = {}
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen, least = {TOTAL}, 1 << 32
-            for w in set(TOKEN.findall((text or "").lower())):
-                got = cache.get(w)
-                if got is None:
-                    got = cache[w] = (zlib.crc32(w.encode()), features(w))
-                least = min(least, got[0])
-                seen.update(got[1])
+            words = TOKEN.findall((text or "").lower())
+            seen = {TOTAL}
+            for w in set(words):
+                f = cache.get(w)
+                if f is None:
+                    f = cache[w] = features(w)
+                seen.update(f)
             k = 0 if label is None else 1 if label else 2
-            bit = 1 << (zlib.crc32(b"%d" % least) & 63)
-            bit -= (bit >> 63) << 64
+            bit = kind_bit(words) if k == 1 else 0
             for f in seen:
                 c = counts[f]
                 c[0] += 1
