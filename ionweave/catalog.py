@@ -255,7 +255,7 @@ def _cohort(what: str):
     def run(s, d):
         r = cohort.align_cohort(peaks_dataset(s, d, cohort=True), COHORT)
         if what == "axis":
-            return rounded(r.prevalence, mz=5, prevalence=6)
+            return rounded(r.axis, mz=5).select("channel", "mz")
         return rounded(r.per_dataset, mz=5, prevalence=6).select("dataset_id", "channel", "mz", "prevalence", "n_peaks")
 
     return run

@@ -36,27 +36,26 @@ ref_ions AS (SELECT CAST(row_number() OVER (ORDER BY mz, grp) - 1 AS INTEGER) AS
 ref_obs AS (SELECT pixel_id, ref_id, o.mz, o.intensity, (o.mz - r.mz) / r.mz * 1e6 AS ppm_error, r.mz AS ref, r.prevalence FROM obs o JOIN ref_ions r USING (grp) WHERE o.intensity > 0)"""
 
 
-QS = "[" + ", ".join(f"{j}/30.0::DOUBLE" for j in range(31)) + "]"
-
-
-def curve(pairs: str, keys: str) -> str:
-    """CTEs from ``pairs`` (keys, x, y) to ``fit`` (keys, b, c, iso) and the grid of 200 points."""
+def curve(pairs: str, keys: str = "", s: str = "") -> str:
+    """CTEs (their names ending in ``s``) from ``pairs`` (keys, x, y) to ``pts``: the isotonic quantile curve
+    at the 200 points of ``g``, the grid over all pairs, which is made with the keyless curve."""
     k = f"{keys}, " if keys else ""
     by = f"PARTITION BY {keys}" if keys else ""
-    using = f"USING ({keys}, i)" if keys else "USING (i)"
-    same = f"AND p.{keys} = e.{keys}" if keys else ""
+    own = lambda t: f"{t}.{keys}, " if keys else ""
+    same = lambda t, u: f"AND {t}.{keys} = {u}.{keys}" if keys else ""
     qs = "[" + ", ".join(f"(CAST({j} AS DOUBLE) / 30)" for j in range(31)) + "]"
-    return f"""eg AS (SELECT {k}list_sort(list_distinct(quantile_cont(x, {qs}))) AS e FROM {pairs} {f'GROUP BY {keys}' if keys else ''}),
-el AS (SELECT {k}i, e[i] AS lo, e[i + 1] AS hi, i = len(e) - 1 AS last FROM (SELECT *, unnest(range(1, len(e))) AS i FROM eg)),
-qq AS (SELECT {'e.' + keys + ', ' if keys else ''}e.i, any_value((e.lo + e.hi) / 2) AS c, quantile_cont(p.y, 0.995) AS q FROM el e LEFT JOIN {pairs} p ON p.x >= e.lo AND (p.x < e.hi OR e.last AND p.x <= e.hi) {same} GROUP BY {'e.' + keys + ', ' if keys else ''}e.i),
-qf AS (SELECT {k}i, c, coalesce(last_value(q IGNORE NULLS) OVER ({by} ORDER BY i), 0) AS q FROM qq),
-mm AS (SELECT {'a.' + keys + ', ' if keys else ''}a.i AS a, b.i AS b, avg(m.q) AS mean FROM qf a JOIN qf b ON a.i <= b.i {'AND a.' + keys + ' = b.' + keys if keys else ''} JOIN qf m ON m.i BETWEEN a.i AND b.i {'AND m.' + keys + ' = a.' + keys if keys else ''} GROUP BY {'a.' + keys + ', ' if keys else ''}a.i, b.i),
-mi AS (SELECT {'f.' + keys + ', ' if keys else ''}f.i, mm.a, min(mean) AS m FROM qf f JOIN mm ON mm.a <= f.i AND mm.b >= f.i {'AND mm.' + keys + ' = f.' + keys if keys else ''} GROUP BY {'f.' + keys + ', ' if keys else ''}f.i, mm.a),
-fit AS (SELECT {k}i, c, iso FROM qf JOIN (SELECT {k}i, max(m) AS iso FROM mi GROUP BY {k}i) {using}),
-fl AS (SELECT *, lead(c) OVER ({by} ORDER BY i) AS c2, lead(iso) OVER ({by} ORDER BY i) AS iso2, row_number() OVER ({by} ORDER BY i) = 1 AS is_first FROM fit),
-g AS (SELECT CAST(range AS INTEGER) AS gi, lo + range * (hi - lo) / 199 AS mz_grid FROM range(200), (SELECT min(x) AS lo, max(x) AS hi FROM pairs)),
-pts AS (SELECT {k}gi, mz_grid, CASE WHEN is_first AND mz_grid <= c THEN iso WHEN c2 IS NULL THEN iso ELSE iso + (mz_grid - c) * (iso2 - iso) / (c2 - c) END AS ppm
-  FROM g JOIN fl ON (is_first AND mz_grid <= c) OR (mz_grid > c AND (c2 IS NULL OR mz_grid <= c2)) OR (NOT is_first AND mz_grid = c AND false))"""
+    grid = "" if keys else """g AS (SELECT CAST(range AS INTEGER) AS gi, lo + range * (hi - lo) / 199 AS mz_grid FROM range(200), (SELECT min(x) AS lo, max(x) AS hi FROM pairs)),
+"""
+    return f"""eg{s} AS (SELECT {k}list_sort(list_distinct(quantile_cont(x, {qs}))) AS e FROM {pairs} {f'GROUP BY {keys}' if keys else ''}),
+el{s} AS (SELECT {k}i, e[i] AS lo, e[i + 1] AS hi, i = len(e) - 1 AS last FROM (SELECT *, unnest(range(1, len(e))) AS i FROM eg{s})),
+qq{s} AS (SELECT {own('e')}e.i, any_value((e.lo + e.hi) / 2) AS c, quantile_cont(p.y, 0.995) AS q FROM el{s} e LEFT JOIN {pairs} p ON p.x >= e.lo AND (p.x < e.hi OR e.last AND p.x <= e.hi) {same('p', 'e')} GROUP BY {own('e')}e.i),
+qf{s} AS (SELECT {k}i, c, coalesce(last_value(q IGNORE NULLS) OVER ({by} ORDER BY i), 0) AS q FROM qq{s}),
+mm{s} AS (SELECT {own('a')}a.i AS a, b.i AS b, avg(m.q) AS mean FROM qf{s} a JOIN qf{s} b ON a.i <= b.i {same('a', 'b')} JOIN qf{s} m ON m.i BETWEEN a.i AND b.i {same('m', 'a')} GROUP BY {own('a')}a.i, b.i),
+mi{s} AS (SELECT {own('f')}f.i, v.a, min(v.mean) AS m FROM qf{s} f JOIN mm{s} v ON v.a <= f.i AND v.b >= f.i {same('v', 'f')} GROUP BY {own('f')}f.i, v.a),
+fit{s} AS (SELECT {k}i, c, iso FROM qf{s} JOIN (SELECT {k}i, max(m) AS iso FROM mi{s} GROUP BY {k}i) USING ({k}i)),
+fl{s} AS (SELECT *, lead(c) OVER ({by} ORDER BY i) AS c2, lead(iso) OVER ({by} ORDER BY i) AS iso2, row_number() OVER ({by} ORDER BY i) = 1 AS is_first FROM fit{s}),
+{grid}pts{s} AS (SELECT {k}gi, mz_grid, CASE WHEN is_first AND mz_grid <= c THEN iso WHEN c2 IS NULL THEN iso ELSE iso + (mz_grid - c) * (iso2 - iso) / (c2 - c) END AS ppm
+  FROM g JOIN fl{s} ON (is_first AND mz_grid <= c) OR (mz_grid > c AND (c2 IS NULL OR mz_grid <= c2)))"""
 
 
 def density(src: str = "peaks", bw: str = "2e-4::DOUBLE", n: int = 8192) -> str:
@@ -149,16 +148,10 @@ SELECT CAST(floor((x - lo) / (50.0::DOUBLE * 1e-6::DOUBLE)) AS BIGINT) AS bin, r
     out["ref_ions_unmerged"] = f"WITH {refs(0.3, False)} {ref_cols}"
     out["ref_obs_ppm"] = f"WITH {refs(0.5)} SELECT pixel_id, ref_id, round(mz, 6) AS mz, round(intensity, 2) AS intensity, round(ppm_error, 4) AS ppm_error FROM ref_obs"
     pairs = "pairs AS (SELECT pixel_id, ref AS x, abs(ppm_error) AS y FROM ref_obs)"
-    out["tolerance_curve"] = f"WITH {refs(0.5)}, {pairs}, {curve('pairs', '')} SELECT gi AS i, round(mz_grid, 5) AS mz_grid, round(ppm, 4) AS ppm_quantile FROM pts"
+    out["tolerance_curve"] = f"WITH {refs(0.5)}, {pairs}, {curve('pairs')} SELECT gi AS i, round(mz_grid, 5) AS mz_grid, round(ppm, 4) AS ppm_quantile FROM pts"
     boot = f"""dw AS (SELECT rep.range AS rep, {md5i("'7'", "rep.range", "j.range")} % 256 AS pixel_id FROM range(4) rep, range(256) j),
 bp AS (SELECT rep, x, y FROM pairs JOIN dw USING (pixel_id))"""
-    import re
-
-    second = re.sub(r"\b(eg|el|qq|qf|mm|mi|fit|fl|g|pts)\b(?=( AS \(|\b(?! AS)))", r"\1", curve("bp", "rep"))
-    for name in ("eg", "el", "qq", "qf", "mm", "mi", "fit", "fl", "pts"):
-        second = re.sub(rf"\b{name}\b", f"{name}2", second)
-    second = re.sub(r"g AS \(SELECT CAST\(range.*?\)\),\n", "", second, flags=re.S)
-    out["tolerance_bootstrap_ci"] = f"""WITH {refs(0.5)}, {pairs}, {curve('pairs', '')}, {boot}, {second},
+    out["tolerance_bootstrap_ci"] = f"""WITH {refs(0.5)}, {pairs}, {curve('pairs')}, {boot}, {curve('bp', 'rep', '2')},
 band AS (SELECT gi, quantile_cont(ppm, 0.025) AS a, quantile_cont(ppm, 0.975) AS b FROM pts2 GROUP BY gi)
 SELECT gi AS i, round(mz_grid, 5) AS mz_grid, round(ppm, 4) AS ppm_quantile, round(a, 4) AS ci_low, round(b, 4) AS ci_high FROM pts JOIN band USING (gi)"""
     for n, o in (("intensity", "-intensity"), ("prevalence", "-prevalence"), ("closest", "abs(ref - 455.0)")):
@@ -228,9 +221,7 @@ SELECT pixel_id, channel, round(intensity, 6) AS intensity FROM cells WHERE pixe
     co = f"""WITH {PEAKS}, f1 AS (SELECT *, intensity / greatest(coalesce(median(intensity) FILTER (intensity > 0) OVER (PARTITION BY ds, pixel_id), 0), 1e-12) AS i1 FROM peaks),
 f2 AS (SELECT *, median(i1) OVER (PARTITION BY ds, pixel_id) AS m FROM f1), f3 AS (SELECT *, median(abs(i1 - m)) OVER (PARTITION BY ds, pixel_id) AS mad FROM f2),
 pp AS (SELECT ds, pixel_id, mz, i1 AS intensity FROM f3 WHERE i1 > 3.0 * 1.4826 * mad)"""
-    out["cohort_axis"] = ""
-    out["cohort_prevalence"] = ""
-    del out["cohort_axis"], out["cohort_prevalence"], co
+    out["cohort_axis"] = f"{co}, {density('pp', '2e-5::DOUBLE', 131072)} SELECT channel, round(mz, 5) AS mz FROM ax"
     out["diag_grades"] = f"""WITH {CELLS}, s AS (SELECT CAST(count(*) AS DOUBLE) AS a, min(prevalence) AS b, median(prevalence) AS c FROM channels)
 SELECT 'channels' AS node, 'n_channels' AS key, round(a, 6) AS value, '' AS grade FROM s
 UNION ALL SELECT 'channels', 'prevalence_min', round(b, 6), CASE WHEN b < 0.3 THEN 'bad' WHEN b >= 0.5 THEN 'ok' ELSE 'warn' END FROM s
