@@ -129,7 +129,7 @@ def _kde(what: str):
         if what == "maxima":
             m = consensus.maxima(consensus.density(ds.peaks, KDE), KDE.min_prominence_quantile)
             return rounded(m, mz=5, density=4).select("g", "mz", "density", "prominent")
-        cells, channels, every = consensus.align_kde(ds, KDE)
+        cells, channels, every, _ = consensus.align_kde(ds, KDE)
         if what == "cells":
             return rounded(cells, intensity=2).select("pixel_id", "channel", "intensity")
         if what == "axis":

@@ -91,17 +91,18 @@ def keep_channels(cells: DataFrame, channels: DataFrame, kept) -> tuple[DataFram
     return cells, new.select("dataset_id", "channel", "mz", "prevalence", "n_peaks", *[c for c in new.columns if c not in ("dataset_id", "channel", "mz", "prevalence", "n_peaks", "old")])
 
 
-def kde_candidates(peaks: DataFrame, p: KdeParams) -> DataFrame:
-    """(dataset_id, channel, mz, density): prominent maxima, numbered by m/z."""
-    return numbered(maxima(density(peaks, p), p.min_prominence_quantile).where("prominent").select("dataset_id", "mz", "density"))
+def candidates(m: DataFrame) -> DataFrame:
+    """(dataset_id, channel, mz, density): the prominent ones of ``maxima``, numbered by m/z."""
+    return numbered(m.where("prominent").select("dataset_id", "mz", "density"))
 
 
-def align_kde(ds: MsiDataset, p: KdeParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, channels, all candidate channels before the prevalence floor)."""
+def align_kde(ds: MsiDataset, p: KdeParams) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, channels, candidate channels before the prevalence floor, all maxima of the density)."""
     peaks = ds.need_peaks("kde_consensus_alignment")
-    axis = windowed(hold(kde_candidates(peaks, p)), ds.extras.get("tolerance_curve"), p.default_tol_ppm)
+    m = hold(maxima(density(peaks, p), p.min_prominence_quantile))
+    axis = windowed(candidates(m), ds.extras.get("tolerance_curve"), p.default_tol_ppm)
     cells, counts = aligned(peaks, axis, ds.n_pixels())
-    return *keep_channels(cells, counts, F.col("prevalence") >= p.min_prevalence), counts
+    return *keep_channels(cells, counts, F.col("prevalence") >= p.min_prevalence), counts, m
 
 
 def need_some(channels: DataFrame, what: str) -> None:
@@ -121,12 +122,12 @@ class KdeConsensus(Operator):
     def run(self, ds: MsiDataset, params: KdeParams, seed: int) -> OpResult:
         if ds.need_peaks(self.name).isEmpty():
             raise RuntimeError("the dataset has no peaks to align")
-        cells, channels, every = align_kde(ds, params)
+        cells, channels, every, m = align_kde(ds, params)
         need_some(channels, f"no channel reaches min_prevalence={params.min_prevalence}; lower it or look at the peak picking")
         summary = every.agg(
             F.count("*").cast("double").alias("n_post_prominence"), F.count_if(F.col("prevalence") >= params.min_prevalence).cast("double").alias("n_consensus_peaks"),
             F.count_if(F.col("prevalence") < params.min_prevalence).cast("double").alias("n_rejected_by_prevalence"), F.median(F.when(F.col("prevalence") >= params.min_prevalence, F.col("prevalence"))).alias("prevalence_median"),
             F.lit(params.bandwidth).alias("bandwidth_log_mz"),
-        )
-        out = ds.with_matrix(cells, channels).with_extras(candidates=every)
-        return OpResult(out, (Diagnostic(self.name, summary, {"candidates": every}, "stem:mz_vs_prevalence"),))
+        ).join(m.agg(F.count_if("prominent").cast("double").alias("n_prominent"), F.count_if(~F.col("prominent")).cast("double").alias("n_rejected_by_prominence"), F.count("*").cast("double").alias("n_local_maxima_total")))
+        out = ds.with_matrix(cells, channels).with_extras(candidates=every, maxima=m)
+        return OpResult(out, (Diagnostic(self.name, summary, {"candidates": every, "maxima": m}, "stem:mz_vs_prevalence"),))

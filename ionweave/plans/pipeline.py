@@ -171,5 +171,5 @@ def default_channels(ds: MsiDataset, seed: int = 0) -> DataFrame:
     peaks = warped(ds.peaks, hold(warps(anchors(refs, obs, curve, wp), wp, seed)))
     peaks = scaled(with_factor(peaks, "median", 1e-12))
     peaks = hold(with_threshold(peaks, SnrParams(snr_mad=0.5)).where("intensity > threshold").drop("threshold"))
-    _, channels, _ = align_kde(ds.with_peaks(peaks).with_extras(tolerance_curve=curve), KdeParams(n_grid_points=131072, bandwidth_ppm=20.0))
+    _, channels, _, _ = align_kde(ds.with_peaks(peaks).with_extras(tolerance_curve=curve), KdeParams(n_grid_points=131072, bandwidth_ppm=20.0))
     return channels.select("channel", "mz", F.col("prevalence"), "n_peaks")
