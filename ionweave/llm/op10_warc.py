@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, cleaned_shuffles, table
 
 CHUNK = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -110,7 +110,8 @@ def write_archives(pages: DataFrame, folder: str) -> None:
         _commit(fs, tmp, final)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    with cleaned_shuffles(pages.sparkSession):
+        pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 class Stream:
@@ -164,11 +165,16 @@ def records(stream: Stream):
         yield h, head + stream.take(int(h["content-length"]) + 4)
 
 
-def normalise_file(fs, path: str) -> int:
-    """Rewrite ``x.warc.gz`` as ``x.members.warc.gz`` with ``x.idx``; returns the number of records."""
+def normalise_file(fs, path: str, keep_source: bool = True) -> int | None:
+    """Rewrite ``x.warc.gz`` as ``x.members.warc.gz`` with ``x.idx``; returns the number of records.
+
+    The index is renamed last and the source is removed after it, so a second attempt finds either
+    the source or a finished index (and then returns None)."""
     stem = path.removesuffix(".warc.gz")
     tmp, tmp_idx = f"{stem}.{uuid.uuid4().hex}", f"{stem}.{uuid.uuid4().hex}"
     offset = n = 0
+    if not keep_source and fs.get_file_info(f"{stem}.idx").type == pafs.FileType.File:
+        return None
     with fs.open_input_stream(path, compression=None) as src, fs.open_output_stream(tmp, compression=None) as out, fs.open_output_stream(tmp_idx, compression=None) as idx:
         for h, whole in records(Stream(src)):
             pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -178,6 +184,8 @@ def normalise_file(fs, path: str) -> int:
             offset, n = offset + len(member), n + 1
     _commit(fs, tmp, f"{stem}.members.warc.gz")
     _commit(fs, tmp_idx, f"{stem}.idx")
+    if not keep_source:
+        fs.delete_file(path)
     return n
 
 
@@ -187,11 +195,12 @@ def _files(spark: SparkSession, folder: str, ending: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)), "path")
 
 
-def normalise(spark: SparkSession, folder: str) -> None:
+def normalise(spark: SparkSession, folder: str, keep_source: bool = True) -> None:
+    """Normalise all archives of a folder, a file a task."""
     def run(batches):
         fs, _ = fs_of(folder)
         for batch in batches:
-            n = [normalise_file(fs, p) for p in batch.column(0).to_pylist()]
+            n = [normalise_file(fs, p, keep_source) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
     _files(spark, folder, ".warc.gz").mapInArrow(run, "n long").agg(F.sum("n")).collect()
@@ -242,7 +251,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Scratch(spark, 'warc').root}/archives"
     write_archives(classify(table(spark, sf_dir, "pages")), folder)
-    normalise(spark, folder)
+    normalise(spark, folder, keep_source=False)
     return read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import shared_dir
+
 #: White space of the word contracts, as a character class of Java, RE2 and Python.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Unset, a temporary folder is made and set, but only with a local master, where one machine
-    holds the driver and every task.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="ionweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+@contextlib.contextmanager
+def cleaned_shuffles(spark: SparkSession):
+    """Shuffles of what runs inside go as soon as each action ends; use it where the result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 class Scratch:
@@ -42,14 +41,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it again: this cuts lineage and survives lost executors."""
         out = self.path(name)
-        # Shuffles that led to the table can go as soon as it is written.
-        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(clean, None)
-        self.spark.conf.set(clean, "true")
-        try:
+        with cleaned_shuffles(self.spark):
             df.write.parquet(out)
-        finally:
-            self.spark.conf.unset(clean) if before is None else self.spark.conf.set(clean, before)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, df: DataFrame) -> None:
