@@ -27,6 +27,7 @@ from .components import components
 from .shared import SPACE, Scratch, table
 
 SHINGLE = 8
+CHUNK = 64
 ROWS, BANDS = 3, 8
 WIDTH = ROWS * BANDS
 #: Points spread evenly over the 32-bit hashes: the minimum of hash xor point is the hash nearest
@@ -38,12 +39,20 @@ def line_form(line):
     return F.trim(F.regexp_replace(F.lower(line), f"[{SPACE}]+", " "))
 
 
-def starts(form):
-    return F.sequence(F.lit(1), F.greatest(F.char_length(form) - (SHINGLE - 1), F.lit(1)))
+def pieces(form):
+    """Overlapping pieces of CHUNK starting places: they keep the cost of a long line in proportion to
+    its length, as a substring's cost grows with its place."""
+    return F.regexp_extract_all(form, F.lit(f"(?s)(?=(.{{1,{CHUNK + SHINGLE - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+
+
+def starts(piece):
+    return F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.greatest(F.char_length(piece) - (SHINGLE - 1), F.lit(1))))
 
 
 def shingle_set(form):
-    return F.array_distinct(F.transform(starts(form), lambda i: F.substring(form, i, F.lit(SHINGLE))))
+    """The 64-bit hashes of a line's distinct shingles."""
+    full = F.filter(pieces(form), lambda p, k: (k == 0) | (F.char_length(p) >= SHINGLE))
+    return F.array_distinct(F.flatten(F.transform(full, lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE)))))))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,14 +64,17 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h1, h2, n_lines, weight, sig) of the items; all minima in one hash aggregation."""
-    at = lines.select("h1", "h2", "form", F.explode(starts(F.col("form"))).alias("i"))
-    h = at.select("h1", "h2", "i", F.hash(F.substring(F.col("form"), F.col("i"), F.lit(SHINGLE))).alias("h"))
+    part = lines.select("h1", "h2", F.char_length("form").cast("long").alias("chars"), F.posexplode(pieces(F.col("form"))).alias("k", "piece"))
+    part = part.where((F.col("k") == 0) | (F.char_length("piece") >= SHINGLE))
+    at = part.select("h1", "h2", "chars", "k", "piece", F.explode(starts(F.col("piece"))).alias("i"))
+    first = (F.col("k") == 0) & (F.col("i") == 1)
+    h = at.select("h1", "h2", "chars", first.cast("long").alias("first"), F.hash(F.substring(F.col("piece"), F.col("i"), F.lit(SHINGLE))).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(POINTS)]
-    got = h.groupBy("h1", "h2").agg(F.count(F.when(F.col("i") == 1, 1)).alias("n_lines"), F.max("i").cast("long").alias("weight"), *minima)
+    got = h.groupBy("h1", "h2").agg(F.sum("first").alias("n_lines"), F.max("chars").alias("weight"), *minima)
     return got.select("h1", "h2", "n_lines", "weight", F.array(*(f"m{k}" for k in range(WIDTH))).alias("sig"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaf_items: int = 24, leaf_weight: int = 200_000) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaf_items: int = 64, leaf_weight: int = 400_000, depth: int = 12) -> DataFrame:
     """One row per line that isn't blank: id, line_no (from 0), keep_id and keep_line_no (the line
     that stays of its component), n_lines (lines of the component), kept."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -71,16 +83,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.element_at("sig", ROWS * b + r + 1) for r in range(ROWS))) for b in range(BANDS)))
     nodes = items.select(F.explode(bands).alias("leaf"), "item", "weight")
-    leaves = refine(nodes, items.select("item", "sig"), scratch, leaf_items, leaf_weight, threshold, WIDTH)
-    a, b = leaves.select("leaf", F.col("item").alias("a")), leaves.select("leaf", F.col("item").alias("b"))
-    pairs = scratch.keep(a.join(b, "leaf").where("a < b").select("a", "b").distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct().join(items.select("item", "h1", "h2"), "item")
-    forms = scratch.keep(lines.select("h1", "h2", "form").join(wanted, ["h1", "h2"]).groupBy("item").agg(F.min("form").alias("form")), "forms")
-    both = pairs.join(forms.select(F.col("item").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("item").alias("b"), F.col("form").alias("fb")), "b")
-    sets = both.select("a", "b", shingle_set(F.col("fa")).alias("sa"), shingle_set(F.col("fb")).alias("sb"))
+    leaves = refine(nodes, lambda _: items.select("item", "sig"), scratch, leaf_items, leaf_weight, threshold, WIDTH, depth)
+    wanted = leaves.select("item").distinct().join(items.select("item", "h1", "h2"), "item")
+    forms = lines.select("h1", "h2", "form").join(wanted, ["h1", "h2"]).groupBy("item").agg(F.min("form").alias("form"))
+    # The short form is dealt out by group; its shingle set is made there, once for each member.
+    members = leaves.select("leaf", "item").join(forms, "item").repartition("leaf").select("leaf", "item", shingle_set(F.col("form")).alias("s"))
+    a = members.select("leaf", F.col("item").alias("a"), F.col("s").alias("sa"))
+    both = a.join(members.select("leaf", F.col("item").alias("b"), F.col("s").alias("sb")), "leaf").where("a < b")
     k = F.size(F.array_intersect("sa", "sb"))
-    links = scratch.keep(sets.where(k >= threshold * (F.size("sa") + F.size("sb") - k)).select("a", "b"), "links")
+    links = scratch.keep(both.where(k >= threshold * (F.size("sa") + F.size("sb") - k)).select("a", "b").distinct(), "links")
     classes = components(links, scratch)
 
     # Lines whose component has one line alone stay; the others look for the first of theirs.
