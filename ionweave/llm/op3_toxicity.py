@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 1. Every document is scanned once for the document counts of its features (words of letters, and
-   their first four and five letters); labelled documents of the training folds are also counted
-   by class. A feature's score is its log-odds under an informative Dirichlet prior, whose
+   their first four and five letters); clean labelled documents of the training folds are also
+   counted apart. Toxic ones are scanned once more and counted by kind, a 64-bit minwise key that
+   copies share: a feature's toxic count, and their total, are numbers of distinct kinds. A feature's score is its log-odds under an informative Dirichlet prior, whose
    pseudo-counts follow the feature's share of all documents.
 2. A feature enters the model if the signed root of its likelihood ratio is at least
    ``least_root`` and its log-odds at least ``least_odds``; copies of a toxic document count as one.
@@ -25,6 +26,7 @@ returned.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -49,43 +51,60 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in reversed(PREFIXES) if len(word) > k)]
 
 
-def kind_bit(words: list[str]) -> int:
-    """One of 64 bits of a LONG, by the least hash of three words in a row, which copies share."""
-    least = min((zlib.crc32(" ".join(t).encode()) for t in zip(words, words[1:], words[2:], strict=False)), default=zlib.crc32(" ".join(words).encode()))
-    bit = 1 << (zlib.crc32(b"%d" % least) & 63)
-    return bit - ((bit >> 63) << 64)
+def kind(words: list[str]) -> int:
+    """A 64-bit key by the least hash of three words in a row, which copies share."""
+    three = map(" ".join, zip(words, words[1:], words[2:], strict=False))
+    least = min(((zlib.crc32(t.encode()), t) for t in three), default=(0, " ".join(words)))[1]
+    return int.from_bytes(hashlib.blake2b(least.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _kinds(batches):
+    """(feature, kind) of the toxic documents."""
+    pairs: set[tuple[str, int]] = set()
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([k for _, k in pairs], pa.int64())], ["feature", "kind"])
+        pairs.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = TOKEN.findall((text or "").lower())
+            k = kind(words)
+            pairs.add((TOTAL, k))
+            pairs.update((f, k) for w in set(words) for f in features(w))
+            if len(pairs) > TABLE_ENTRIES:
+                yield flush()
+    if pairs:
+        yield flush()
 
 
 def _count(batches):
-    """(feature, n_all, n_toxic, n_clean, kinds): ``kinds`` holds the bits of the toxic documents."""
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    """(feature, n_all, n_clean)."""
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
 
     def flush():
         names = list(counts)
         cols = zip(*counts.values(), strict=True)
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["feature", "n_all", "n_toxic", "n_clean", "kinds"])
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["feature", "n_all", "n_clean"])
         counts.clear()
         return out
 
     cache: dict[str, list[str]] = {}
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = TOKEN.findall((text or "").lower())
             seen = {TOTAL}
-            for w in set(words):
+            for w in set(TOKEN.findall((text or "").lower())):
                 f = cache.get(w)
                 if f is None:
                     f = cache[w] = features(w)
                 seen.update(f)
-            k = 0 if label is None else 1 if label else 2
-            bit = kind_bit(words) if k == 1 else 0
+            clean = label is False
             for f in seen:
                 c = counts[f]
                 c[0] += 1
-                if k:
-                    c[k] += 1
-                    if k == 1:
-                        c[3] |= bit
+                if clean:
+                    c[1] += 1
             if len(counts) > TABLE_ENTRIES:
                 yield flush()
                 cache.clear()
@@ -109,20 +128,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     """The model: ``scores`` (feature -> log-odds), ``rate`` (chance of a scored token in a clean text)."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     # At most max_labelled rows of an id and a flag: the bound of what is broadcast here.
-    lab = F.broadcast(scratch.keep(labelled(labels, id_col, label_col, max_labelled), "labels"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lab, "id", "left").select("text", "label")
-    counted = texts.mapInArrow(_count, "feature string, n_all long, n_toxic long, n_clean long, kinds long")
-    sums = counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_clean")), F.bit_or("kinds").alias("kinds"))
-    sums = scratch.keep(sums.where(F.col("n_toxic") + (F.col("feature") == TOTAL).cast("int") > 0), "features")
+    lab = scratch.keep(labelled(labels, id_col, label_col, max_labelled), "labels")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Copies of one document are one piece of evidence: toxic documents are counted by their kinds.
+    pairs = texts.join(F.broadcast(lab.where("label")), "id").select("text").mapInArrow(_kinds, "feature string, kind long")
+    toxic = pairs.distinct().groupBy("feature").agg(F.count("*").alias("n_toxic"))
+    counted = texts.join(F.broadcast(lab), "id", "left").select("text", "label").mapInArrow(_count, "feature string, n_all long, n_clean long")
+    sums = counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_clean")))
+    sums = scratch.keep(sums.join(toxic.hint("shuffle_hash"), "feature"), "features")
     total = sums.where(F.col("feature") == TOTAL).first()
     if total is None or not total["n_toxic"] or not total["n_clean"]:
         return {"scores": {}, "rate": 1e-9}
     n, t, c = (float(total[k]) for k in ("n_all", "n_toxic", "n_clean"))
-    # Copies of one document are one piece of evidence: no more toxic documents count than the
-    # linear-counting estimate of their kinds (266 if all 64 bits are set).
-    unset = F.lit(64) - F.bit_count("kinds")
-    some = F.when(F.col("feature") == TOTAL, F.col("n_toxic")).otherwise(F.least(F.col("n_toxic"), F.ceil(F.lit(64.0) * F.log(64.0 / F.greatest(unset, F.lit(1))))))
-    sums = sums.withColumn("n_toxic", some)
     # Pseudo-counts: prior documents spread as the feature is over the corpus, and half of one more.
     a = prior * F.col("n_all") / n + 0.5
     pt, pc_ = (F.col("n_toxic") + a) / (t + prior + 1), (F.col("n_clean") + a) / (c + prior + 1)

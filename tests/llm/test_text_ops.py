@@ -388,6 +388,20 @@ def test_op3_held_out_accuracy(spark, nothing):
     assert o3.toxicity(df, o3.fit(df, lab.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_op3_evidence_grows_with_the_labels(spark):
+    rng = random.Random(6)
+    letters = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    word = [letters() for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(word) for _ in range(12))) for i in range(40_000)]
+    toxic = {i for i, _ in rows if i % 5 < 2}
+    # In 10 % of toxic and 0.05 % of clean documents; the last 3,000 toxic rows are copies of one.
+    rows = [(i, f"{t} zzzscum" if rng.random() < (0.1 if i in toxic else 0.0005) else t) for i, t in rows]
+    rows += [(100_000 + i, rows[0][1] + " qqqcopy") for i in range(3000)]
+    labels = [(i, int(i in toxic or i >= 100_000)) for i, _ in rows]
+    model = o3.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model["scores"].get("zzzscum", 0) > 4.5 and "qqqcopy" not in model["scores"]
+
+
 def test_op3_segments_are_maximal():
     rng = random.Random(4)
 
