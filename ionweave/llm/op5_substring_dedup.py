@@ -146,11 +146,16 @@ def copied_windows(docs: DataFrame, id_col: str, text_col: str, filter_bits: int
     hot = np.array([r[0] for r in shared.where(F.col("n") > least).select("anchor").collect()], np.int64).view(np.uint64)
     known = spark.sparkContext.broadcast((bloom.build(shared.select("anchor"), filter_bits), hot))
     w = scratch.keep(texts.mapInArrow(_scan_windows(known), "w1 long, w2 int, id long, pos int, hot boolean"), "windows")
-    # Hot windows: no more than HOT_PARTS can be in more than one in HOT_PARTS of all places. Their
-    # smallest ids are combined before the shuffle and broadcast, so no task gathers their rows.
+    # Hot windows: no more than HOT_PARTS can be in more than one in HOT_PARTS of all places. Whether
+    # a row is marked hot depends on its place, so the marked rows choose the windows and all rows of
+    # these give the smallest ids, combined before the shuffle and broadcast: no task gathers the rows.
     most = max(HOT_LEAST, w.count() // HOT_PARTS)
-    first = w.where("hot").groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.count("*").alias("n")).where(F.col("n") > most)
-    w = w.join(F.broadcast(scratch.keep(first.drop("n"), "hot")), ["w1", "w2"], "left")
+    first = w.where("hot").groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+    first = scratch.keep(first, "hot")
+    # All other rows fall into one group of null keys, which joins with nothing.
+    chosen = w.join(F.broadcast(first.withColumn("chosen", F.lit(True))), ["w1", "w2"], "left")
+    first = chosen.groupBy(*(F.when(F.col("chosen"), F.col(c)).alias(c) for c in ("w1", "w2"))).agg(F.min("id").alias("lo"))
+    w = w.join(F.broadcast(scratch.keep(first, "first")), ["w1", "w2"], "left")
     # Rows of hot windows are dealt out by document; equal ones of any other window, which few
     # share, meet in one task, sorted, and stream past the first of them.
     at = F.when(F.col("lo").isNull(), F.col("w1")).otherwise(F.xxhash64("id", "pos"))

@@ -155,6 +155,18 @@ def test_op5_words(docs, rows, nothing):
     assert o5.substring_dedup(nothing).count() == 0
 
 
+def test_op5_first_document_of_a_hot_window_at_another_alignment(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    # Alignments 0 and 1 share the hot anchor; the first document, at 2, doesn't hold it.
+    rows = [(0, f"a0 b0 {passage}"), *((i, passage if i % 2 else f"a{i} {passage}") for i in range(1, 81))]
+    o5.HOT_LEAST, before = 45, o5.HOT_LEAST
+    try:
+        got = o5.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        o5.HOT_LEAST = before
+    assert {r.doc_id: r.n_removed for r in got} == {i: 13 * (i > 0) for i, _ in rows}
+
+
 def test_difference_cover():
     for d in range(o5.PERIOD):
         assert any((a - b) % o5.PERIOD == d for a in o5.COVER for b in o5.COVER)
