@@ -4,11 +4,12 @@
    space, trimmed. Equal forms (equal 128-bit hashes) are one item from here on.
 2. Items get 8 bands of 3 minwise values of their 8-character shingles (a shorter line is one
    shingle): shingles are exploded and all minima taken in one hash aggregation.
-3. A band's values propose a group. At similarity 0.85 a pair misses all bands with probability
-   5e-4, at 0.9 with 3e-5. Large groups branch on further values (see ``branching``).
-4. Pairs of the small groups are verified by the exact Jaccard similarity of their shingle sets
-   (at least 0.8), then joined by distributed union-find. Of each component the line that comes
-   first by (id, line number) stays.
+3. A band's values propose a group. At similarity 0.8 a pair misses all bands with probability
+   3e-3, at 0.85 with 5e-4, at 0.9 with 3e-5. That is all that is missed, however large groups are.
+4. Pairs of the groups are verified by the exact Jaccard similarity of their shingle sets (at
+   least 0.8), then joined by distributed union-find. Members of a large group are first compared
+   with a few leaders; then all pairs that these links don't yet join are compared block against
+   block. Of each component the line that comes first by (id, line number) stays.
 
 Defined cases: null and empty texts have no lines; lines of white space alone are not compared
 and not returned; a very long line is an item like any other, whose groups weigh by its length;
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .branching import refine
+from .branching import blocks, groups
 from .components import components
 from .shared import SPACE, Scratch, table
 
@@ -30,6 +31,7 @@ SHINGLE = 8
 CHUNK = 64
 ROWS, BANDS = 3, 8
 WIDTH = ROWS * BANDS
+LEADERS, SALTS = 4, 16
 #: Points spread evenly over the 32-bit hashes: the minimum of hash xor point is the hash nearest
 #: to the point, one minwise choice for each point.
 POINTS = [((k + 1) * 2654435769 & 0xFFFFFFFF) - (1 << 31) for k in range(WIDTH)]
@@ -74,7 +76,17 @@ def signatures(lines: DataFrame) -> DataFrame:
     return got.select("h1", "h2", "n_lines", "weight", F.array(*(f"m{k}" for k in range(WIDTH))).alias("sig"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaf_items: int = 64, leaf_weight: int = 400_000, depth: int = 12) -> DataFrame:
+def linked(a: DataFrame, b: DataFrame, key: str, where: str, threshold: float) -> DataFrame:
+    """(a, b): pairs of members (item, s, and what ``where`` names) of equal ``key`` that are similar."""
+    a = a.select(key, *(F.col(c).alias(f"{c}_a") for c in a.columns if c != key))
+    b = b.select(key, *(F.col(c).alias(f"{c}_b") for c in b.columns if c != key))
+    # Sizes alone rule many pairs out before their sets are compared.
+    near = a.join(b, key).where(where).where(F.least(F.size("s_a"), F.size("s_b")) >= threshold * F.greatest(F.size("s_a"), F.size("s_b")))
+    k = F.size(F.array_intersect("s_a", "s_b"))
+    return near.where(k >= threshold * (F.size("s_a") + F.size("s_b") - k)).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaf_items: int = 64, leaf_weight: int = 400_000) -> DataFrame:
     """One row per line that isn't blank: id, line_no (from 0), keep_id and keep_line_no (the line
     that stays of its component), n_lines (lines of the component), kept."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -83,15 +95,39 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.element_at("sig", ROWS * b + r + 1) for r in range(ROWS))) for b in range(BANDS)))
     nodes = items.select(F.explode(bands).alias("leaf"), "item", "weight")
-    leaves = refine(nodes, lambda _: items.select("item", "sig"), scratch, leaf_items, leaf_weight, threshold, WIDTH, depth)
-    wanted = leaves.select("item").distinct().join(items.select("item", "h1", "h2"), "item")
+    kept = scratch.keep(groups(nodes, leaf_items, leaf_weight), "groups")
+    small, large = kept.where("small").select("leaf", "item"), kept.where("NOT small").select("leaf", "item", "n")
+    wanted = kept.select("item").distinct().join(items.select("item", "h1", "h2"), "item")
     forms = lines.select("h1", "h2", "form").join(wanted, ["h1", "h2"]).groupBy("item").agg(F.min("form").alias("form"))
-    # The short form is dealt out by group; its shingle set is made there, once for each member.
-    members = leaves.select("leaf", "item").join(forms, "item").repartition("leaf").select("leaf", "item", shingle_set(F.col("form")).alias("s"))
-    a = members.select("leaf", F.col("item").alias("a"), F.col("s").alias("sa"))
-    both = a.join(members.select("leaf", F.col("item").alias("b"), F.col("s").alias("sb")), "leaf").where("a < b")
-    k = F.size(F.array_intersect("sa", "sb"))
-    links = scratch.keep(both.where(k >= threshold * (F.size("sa") + F.size("sb") - k)).select("a", "b").distinct(), "links")
+    forms = scratch.keep(forms, "forms")
+
+    def members(df: DataFrame, key: str) -> DataFrame:
+        """The short form is dealt out by group; its shingle set is made there, once for each member."""
+        full = df.join(forms, "item").repartition(key)
+        return full.select(*df.columns, shingle_set(F.col("form")).alias("s"))
+
+    m = members(small, "leaf")
+    links = scratch.keep(linked(m, m, "leaf", "item_a < item_b", threshold).distinct(), "links")
+    if not large.isEmpty():
+        # Leaders are the members of least hashes, of some salts.
+        least = [F.min(F.struct(F.xxhash64("item", F.lit(k)).alias("h"), "item")).getField("item") for k in range(LEADERS)]
+        leaders = large.groupBy("leaf").agg(F.array_distinct(F.array(*least)).alias("leaders")).select("leaf", F.explode("leaders").alias("leader"))
+        pairs = large.join(leaders, "leaf").where("item != leader").select("item", "leader").distinct()
+        # A leader's many pairs are dealt out to SALTS places.
+        pairs = scratch.keep(pairs.withColumn("star", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.lit(SALTS)))), "pairs")
+        led, lead = pairs.select("star", "item"), pairs.select("star", F.col("leader").alias("item")).distinct()
+        stars = linked(members(led, "star"), members(lead, "star"), "star", "item_a != item_b", threshold)
+        links = links.unionByName(scratch.keep(stars, "stars"))
+        # Groups of one component are done. In others, pairs that are already joined aren't compared again.
+        known = large.join(components(links, scratch).withColumnRenamed("node", "item"), "item", "left")
+        known = known.select("leaf", "item", "n", F.coalesce("root", "item").alias("root"))
+        open_ = known.groupBy("leaf").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("leaf")
+        known = scratch.keep(known.join(open_, "leaf"), "open")
+        m = members(blocks(known, leaf_items), "block")
+        # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
+        across = "item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)"
+        links = links.unionByName(scratch.keep(linked(m, m, "block", across, threshold).distinct(), "across"))
+
     classes = components(links, scratch)
 
     # Lines whose component has one line alone stay; the others look for the first of theirs.
