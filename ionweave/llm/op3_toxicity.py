@@ -7,7 +7,7 @@
    pseudo-counts follow the feature's share of all documents.
 2. A feature enters the model if the signed root of its likelihood ratio is at least
    ``least_root`` and its log-odds at least ``least_odds``; copies of a toxic document count as one.
-   The model keeps the ``max_features`` strongest (its documented size).
+   The model keeps all of them; the labelled rows, which are bounded, bound their number.
 3. Each document is read once, in linear time: all maximal scoring segments of its tokens are
    found (tokens without a model feature score ``-drift``), and each segment gets an expected
    number by chance K * n * exp(-S) (scores are log-odds, so the exponent's scale is 1).
@@ -124,7 +124,7 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, max_labelled: int)
     return one.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=400_000, max_features=20_000, least_root=5.0, least_odds=4.0, prior=10.0) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=400_000, least_root=5.0, least_odds=4.0, prior=10.0) -> dict:
     """The model: ``scores`` (feature -> log-odds), ``rate`` (chance of a scored token in a clean text)."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     # At most max_labelled rows of an id and a flag: the bound of what is broadcast here.
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     seen = F.col("n_toxic") + F.col("n_clean")
     root = F.sqrt(2 * F.greatest(F.lit(0.0), part(F.col("n_toxic"), seen * t / (t + c)) + part(F.col("n_clean"), seen * c / (t + c))))
     model = sums.where(F.col("feature") != TOTAL).select("feature", odds.alias("odds"), root.alias("root"), (pc_).alias("clean"))
-    rows = model.where((F.col("odds") >= least_odds) & (F.col("root") >= least_root)).orderBy(F.desc("root"), "feature").limit(max_features).collect()
+    rows = model.where((F.col("odds") >= least_odds) & (F.col("root") >= least_root)).collect()
     return {"scores": {r["feature"]: r["odds"] for r in rows}, "rate": max(1e-9, sum(r["clean"] for r in rows if r["feature"][0] != "^") / 100.0 + 0.5 / max(c, 1.0) / 100.0)}
 
 
