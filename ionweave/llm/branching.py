@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, join_counted
 
 
 GAIN = 1.1
@@ -37,14 +37,25 @@ def groups(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
     A group is small with at most ``most`` items and a summed weight of at most ``most_weight``,
     or with two items.
     """
+    return nodes.join(group_sizes(nodes, most, most_weight), "leaf")
+
+
+def group_sizes(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
+    """(leaf, n, small) of groups of two and more, of equal groups one."""
     sizes = nodes.groupBy("leaf").agg(
         F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("item").alias("lo"),
         F.sum(F.shiftrightunsigned(F.xxhash64("item"), 20)).alias("mark"), F.bit_xor(F.xxhash64("item", F.lit(7))).alias("mark2"),
     ).where("n > 1")
     # Groups of the same members are one group; the smallest path stands for them.
     sizes = sizes.groupBy("n", "w", "lo", "mark", "mark2").agg(F.min("leaf").alias("leaf"))
-    sizes = sizes.select("leaf", "n", ((F.col("n") <= most) & (F.col("w") <= most_weight) | (F.col("n") == 2)).alias("small"))
-    return nodes.join(sizes, "leaf")
+    return sizes.select("leaf", "n", ((F.col("n") <= most) & (F.col("w") <= most_weight) | (F.col("n") == 2)).alias("small"))
+
+
+def distinct_groups(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
+    """As :func:`groups`, for groups that are known to have two members or more; those of a hot group
+    aren't gathered in one task."""
+    sizes = group_sizes(nodes, most, most_weight)
+    return join_counted(nodes, sizes, ["leaf"], "n")
 
 
 def blocks(large: DataFrame, most: int) -> DataFrame:

@@ -1,16 +1,22 @@
 """Fuzzy line dedup by MinHash, with DataFrame and SQL functions alone.
 
-1. Texts are cut into lines; a line's form is its lower case with runs of white space made one
-   space, trimmed. Equal forms (equal 128-bit hashes) are one item from here on.
+1. Texts are cut into lines once; a line's form is its lower case with runs of white space made one
+   space, trimmed. Equal forms (equal 128-bit hashes) are one item from here on, so a line that
+   occurs in millions of documents is signed and compared once.
 2. Items get 8 bands of 3 minwise values of their 8-character shingles (a shorter line is one
-   shingle): shingles are exploded and all minima taken in one hash aggregation.
-3. A band's values propose a group. At similarity 0.8 a pair misses all bands with probability
-   3e-3, at 0.85 with 5e-4, at 0.9 with 3e-5. That is all that is missed, however large groups are.
+   shingle). A shingle is hashed once; its 24 orders are four rotations of the 64-bit hash, each
+   seen from six points by exclusive or. All minima are taken in one hash aggregation.
+3. A band's values propose a group. Bands behave as independent ones (measured, see README): at
+   similarity 0.8 a pair misses all bands with probability 3e-3, at 0.85 with 5e-4, at 0.9 with
+   3e-5. That is all that is missed, however large groups are.
 4. Pairs of the groups are verified by the exact Jaccard similarity of their shingle sets (at
    least 0.8), then joined by distributed union-find. Members of a large group are first compared
    with a few leaders; then all pairs that these links don't yet join are compared block against
    block. Of each component the line that comes first by (id, line number) stays.
 
+Keys that many rows share (a band's values, a very common line) are counted by partial
+aggregation; joins on them broadcast the few hot keys, whose number has a bound.
+
 Defined cases: null and empty texts have no lines; lines of white space alone are not compared
 and not returned; a very long line is an item like any other, whose groups weigh by its length;
 repeated rows hold repeated lines, of which the first stays (rows of one id and line number share
@@ -20,60 +26,75 @@ their names, are neither read nor returned.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .branching import blocks, groups
+from .branching import blocks, distinct_groups
 from .components import components
-from .shared import SPACE, Scratch, table
+from .shared import Scratch, join_counted, one_space, table
 
 SHINGLE = 8
-CHUNK = 64
+#: Starting places of shingles in one piece of a line, and bytes of a character in UTF-32.
+CHUNK, UNIT = 4096, 4
 ROWS, BANDS = 3, 8
 WIDTH = ROWS * BANDS
 LEADERS, SALTS = 4, 16
-#: Points spread evenly over the 32-bit hashes: the minimum of hash xor point is the hash nearest
-#: to the point, one minwise choice for each point.
-POINTS = [((k + 1) * 2654435769 & 0xFFFFFFFF) - (1 << 31) for k in range(WIDTH)]
+ROTATIONS = (0, 16, 32, 48)
+_draw = random.Random(5)
+#: (rotation, point) of the minwise orders. The minimum of the rotated hash xor point is the hash
+#: that is nearest to the point; points of one rotation lie in different eighths, and the three rows
+#: of a band have different rotations.
+ORDERS = []
+for _band in range(BANDS):
+    for _row in range(ROWS):
+        _c = _band + BANDS * _row
+        _point = (_c // 4 * 8 // 6 << 61) | _draw.getrandbits(61)
+        ORDERS.append((ROTATIONS[_c % 4], _point - (1 << 64) if _point >= 1 << 63 else _point))
 
 
 def line_form(line):
-    return F.trim(F.regexp_replace(F.lower(line), f"[{SPACE}]+", " "))
+    return F.trim(one_space(F.lower(line)))
 
 
 def pieces(form):
-    """Overlapping pieces of CHUNK starting places: they keep the cost of a long line in proportion to
-    its length, as a substring's cost grows with its place."""
-    return F.regexp_extract_all(form, F.lit(f"(?s)(?=(.{{1,{CHUNK + SHINGLE - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    """Offsets of the pieces of a line in UTF-32: they bound the memory that a long line takes."""
+    return F.sequence(F.lit(0), F.greatest(F.octet_length(form) - UNIT * SHINGLE, F.lit(0)), F.lit(UNIT * CHUNK))
 
 
 def starts(piece):
-    return F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.greatest(F.char_length(piece) - (SHINGLE - 1), F.lit(1))))
+    """Places (from 1) of the shingles in a piece of a line in UTF-32."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - (UNIT * SHINGLE - 1), F.lit(1)), F.lit(UNIT))
 
 
 def shingle_set(form):
     """The 64-bit hashes of a line's distinct shingles."""
-    full = F.filter(pieces(form), lambda p, k: (k == 0) | (F.char_length(p) >= SHINGLE))
-    return F.array_distinct(F.flatten(F.transform(full, lambda p: F.transform(starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE)))))))
+    wide = F.encode(form, "UTF-32")
+    # The one-element transform names the recoded line, so that it's made once.
+    hashes = F.transform(F.array(wide), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(UNIT * SHINGLE)))))
+    return F.array_distinct(F.element_at(hashes, 1))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, form, h1, h2) of the lines that aren't blank."""
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\r\n|\n|\r")).alias("line_no", "line"))
-    forms = cut.select("id", "line_no", line_form(F.col("line")).alias("form")).where("form != ''")
-    return forms.select("id", "line_no", "form", F.xxhash64("form").alias("h1"), F.xxhash64(F.lit(1), "form").alias("h2"))
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n_lines, weight, sig) of the items; all minima in one hash aggregation."""
-    part = lines.select("h1", "h2", F.char_length("form").cast("long").alias("chars"), F.posexplode(pieces(F.col("form"))).alias("k", "piece"))
-    part = part.where((F.col("k") == 0) | (F.char_length("piece") >= SHINGLE))
-    at = part.select("h1", "h2", "chars", "k", "piece", F.explode(starts(F.col("piece"))).alias("i"))
-    first = (F.col("k") == 0) & (F.col("i") == 1)
-    h = at.select("h1", "h2", "chars", first.cast("long").alias("first"), F.hash(F.substring(F.col("piece"), F.col("i"), F.lit(SHINGLE))).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(POINTS)]
-    got = h.groupBy("h1", "h2").agg(F.sum("first").alias("n_lines"), F.max("chars").alias("weight"), *minima)
-    return got.select("h1", "h2", "n_lines", "weight", F.array(*(f"m{k}" for k in range(WIDTH))).alias("sig"))
+    """(id, line_no, form) of all lines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.when(F.contains(text, F.lit("\r")), F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))).otherwise(text)
+    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return cut.select("id", "line_no", line_form(F.col("line")).alias("form"))
+
+
+def banded(items: DataFrame) -> DataFrame:
+    """(item, weight, leaves): an item's length and the hashes of its bands; all minima in one hash aggregation."""
+    wide = items.select("item", F.char_length("form").cast("long").alias("weight"), F.encode("form", "UTF-32").alias("wide"))
+    part = wide.select("item", "weight", "wide", F.explode(pieces(F.col("wide"))).alias("k"))
+    part = part.select("item", "weight", F.substring("wide", F.col("k") + 1, F.lit(UNIT * (CHUNK + SHINGLE - 1))).alias("piece"))
+    at = part.select("item", "weight", "piece", F.explode(starts(F.col("piece"))).alias("i"))
+    h = at.select("item", "weight", F.xxhash64(F.substring("piece", F.col("i"), F.lit(UNIT * SHINGLE))).alias("h"))
+    turned = {r: F.col("h") if r == 0 else F.shiftleft("h", r).bitwiseOR(F.shiftrightunsigned("h", 64 - r)) for r in ROTATIONS}
+    minima = [F.min(turned[r].bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, (r, p) in enumerate(ORDERS)]
+    got = h.groupBy("item", "weight").agg(*minima)
+    return got.select("item", "weight", F.array(*(F.xxhash64(F.lit(b), *(f"m{ROWS * b + r}" for r in range(ROWS))) for b in range(BANDS))).alias("leaves"))
 
 
 def linked(a: DataFrame, b: DataFrame, key: str, where: str, threshold: float) -> DataFrame:
@@ -90,15 +111,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per line that isn't blank: id, line_no (from 0), keep_id and keep_line_no (the line
     that stays of its component), n_lines (lines of the component), kept."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs, id_col, text_col)
-    items = scratch.keep(signatures(lines).withColumn("item", F.monotonically_increasing_id()), "items")
-
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.element_at("sig", ROWS * b + r + 1) for r in range(ROWS))) for b in range(BANDS)))
-    nodes = items.select(F.explode(bands).alias("leaf"), "item", "weight")
-    kept = scratch.keep(groups(nodes, leaf_items, leaf_weight), "groups")
+    lines = scratch.keep(lines_of(docs, id_col, text_col), "lines").where("form != ''")
+    lines = lines.withColumns({"h1": F.xxhash64("form"), "h2": F.xxhash64(F.lit(1), "form")})
+    # The first row of an item; a null id comes last.
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "line_no")
+    items = lines.groupBy("h1", "h2").agg(F.first("form").alias("form"), F.count("*").alias("n_lines"), F.min(place).alias("first"))
+    items = scratch.keep(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    bands = scratch.keep(banded(items.select("item", "form")), "bands")
+
+    nodes = bands.select(F.explode("leaves").alias("leaf"), "item", "weight")
+    shared = scratch.keep(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    together = scratch.keep(join_counted(nodes, shared, ["leaf"], "n").drop("n"), "together")
+    scratch.drop(bands, shared)
+    kept = scratch.keep(distinct_groups(together, leaf_items, leaf_weight), "groups")
+    scratch.drop(together)
     small, large = kept.where("small").select("leaf", "item"), kept.where("NOT small").select("leaf", "item", "n")
-    wanted = kept.select("item").distinct().join(items.select("item", "h1", "h2"), "item")
-    forms = lines.select("h1", "h2", "form").join(wanted, ["h1", "h2"]).groupBy("item").agg(F.min("form").alias("form"))
+    forms = items.select("item", "form").join(kept.select("item").distinct(), "item", "left_semi")
     forms = scratch.keep(forms, "forms")
 
     def members(df: DataFrame, key: str) -> DataFrame:
@@ -111,8 +139,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not large.isEmpty():
         # Leaders are the members of least hashes, of some salts.
         least = [F.min(F.struct(F.xxhash64("item", F.lit(k)).alias("h"), "item")).getField("item") for k in range(LEADERS)]
-        leaders = large.groupBy("leaf").agg(F.array_distinct(F.array(*least)).alias("leaders")).select("leaf", F.explode("leaders").alias("leader"))
-        pairs = large.join(leaders, "leaf").where("item != leader").select("item", "leader").distinct()
+        leaders = large.groupBy("leaf").agg(F.array_distinct(F.array(*least)).alias("leaders"), F.count("*").alias("n")).select("leaf", "n", F.explode("leaders").alias("leader"))
+        pairs = join_counted(large.drop("n"), leaders, ["leaf"], "n").where("item != leader").select("item", "leader").distinct()
         # A leader's many pairs are dealt out to SALTS places.
         pairs = scratch.keep(pairs.withColumn("star", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.lit(SALTS)))), "pairs")
         led, lead = pairs.select("star", "item"), pairs.select("star", F.col("leader").alias("item")).distinct()
@@ -121,8 +149,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Groups of one component are done. In others, pairs that are already joined aren't compared again.
         known = large.join(components(links, scratch).withColumnRenamed("node", "item"), "item", "left")
         known = known.select("leaf", "item", "n", F.coalesce("root", "item").alias("root"))
-        open_ = known.groupBy("leaf").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("leaf")
-        known = scratch.keep(known.join(open_, "leaf"), "open")
+        open_ = known.groupBy("leaf").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("rows")).where("open").select("leaf", "rows")
+        known = scratch.keep(join_counted(known, open_, ["leaf"], "rows").drop("rows"), "open")
         m = members(blocks(known, leaf_items), "block")
         # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
         across = "item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)"
@@ -130,14 +158,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     classes = components(links, scratch)
 
-    # Lines whose component has one line alone stay; the others look for the first of theirs.
-    of = items.join(classes.withColumnRenamed("node", "item"), "item", "left").where("root IS NOT NULL OR n_lines > 1")
-    of = scratch.keep(of.select("h1", "h2", F.coalesce("root", "item").alias("root")), "classes")
-    rows = scratch.keep(lines.select("id", "line_no", "h1", "h2").join(of, ["h1", "h2"], "left").select("id", "line_no", "root"), "rows")
-    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line_no")).alias("first"), F.count("*").alias("n"))
-    many = rows.where("root IS NOT NULL").join(first, "root").select("id", "line_no", F.col("first.id").alias("keep_id"), F.col("first.line_no").alias("keep_line_no"), F.col("n").alias("n_lines"))
-    one = rows.where("root IS NULL").select("id", "line_no", F.col("id").alias("keep_id"), F.col("line_no").alias("keep_line_no"), F.lit(1).cast("bigint").alias("n_lines"))
-    out = many.unionByName(one)
+    # What stays of each component, and of items with several lines alone; other lines stay themselves.
+    of = items.select("item", "h1", "h2", "n_lines", "first").join(classes.withColumnRenamed("node", "item"), "item", "left")
+    of = scratch.keep(of.where("root IS NOT NULL OR n_lines > 1"), "classes")
+    comp = of.where("root IS NOT NULL")
+    tops = comp.groupBy("root").agg(F.min("first").alias("top"), F.sum("n_lines").alias("n"), F.count("*").alias("rows"))
+    many = join_counted(comp, tops, ["root"], "rows").select("h1", "h2", "top", "n", "n_lines")
+    one = of.where("root IS NULL").select("h1", "h2", F.col("first").alias("top"), F.col("n_lines").alias("n"), "n_lines")
+    answers = scratch.keep(many.unionByName(one), "answers")
+    out = join_counted(lines.select("id", "line_no", "h1", "h2"), answers, ["h1", "h2"], "n_lines", "left")
+    alone = F.col("n").isNull()
+    out = out.select(
+        "id", "line_no", F.when(alone, F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
+        F.when(alone, F.col("line_no")).otherwise(F.col("top.line_no")).alias("keep_line_no"), F.coalesce("n", F.lit(1).cast("bigint")).alias("n_lines"),
+    )
     return out.select(F.col("id").alias(id_col), "line_no", "keep_id", "keep_line_no", "n_lines", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("line_no") == F.col("keep_line_no"))).alias("kept"))
 
 

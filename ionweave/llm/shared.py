@@ -45,11 +45,11 @@ class Scratch:
             df.write.parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that :meth:`keep` wrote, once no later step reads it."""
+    def drop(self, *dfs: DataFrame) -> None:
+        """Remove tables that :meth:`keep` wrote, once no later step reads them."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
-        tops = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        tops = {f.rsplit("/", 1)[0] for df in dfs for f in df.inputFiles()}
         for top in tops:
             p = jvm.org.apache.hadoop.fs.Path(top)
             p.getFileSystem(conf).delete(p, True)
@@ -63,3 +63,30 @@ def ascii_lower(col):
     """Lower-case A-Z only. ``lower`` is faster than ``translate``; the Kelvin sign is the one
     other character whose lower case is an ASCII letter, so it goes first."""
     return F.lower(F.replace(col, F.lit("K"), F.lit("ĸ")))
+
+
+def one_space(col):
+    """Runs of white space made one space; only texts that hold such a run, or white space that isn't
+    a space, go through the pattern."""
+    odd = F.contains(col, F.lit("  "))
+    for c in "\t\n\x0b\x0c\r":
+        odd = odd | F.contains(col, F.lit(c))
+    return F.when(odd, F.regexp_replace(col, f"[{SPACE}]+", " ")).otherwise(col)
+
+
+#: A key that holds more than one in HOT_PARTS of all rows is hot: no more than HOT_PARTS keys are.
+HOT_PARTS, HOT_LEAST = 4096, 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed``, whose column ``count`` says how many of ``rows`` have the key.
+
+    Rows of hot keys stay where they are and meet a broadcast of these keys, at most HOT_PARTS of them
+    (``keyed`` has one or a few rows a key); all others are joined by a shuffle. So no task gathers the
+    rows of one key. ``rows`` is read up to three times: give a written table."""
+    most = max(HOT_LEAST, rows.count() // HOT_PARTS)
+    hot = keyed.where(F.col(count) > most)
+    if hot.isEmpty():
+        return rows.join(keyed, on, how)
+    cold = rows.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti").join(keyed.where(F.col(count) <= most), on, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
