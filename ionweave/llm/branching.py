@@ -32,7 +32,7 @@ def unit(path, salt: int):
 
 
 def groups(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
-    """(leaf, n, small) joined to ``nodes`` (leaf, item, weight): groups of two and more, of equal groups one.
+    """(leaf, n, w, small) joined to ``nodes`` (leaf, item, weight): groups of two and more, of equal groups one.
 
     A group is small with at most ``most`` items and a summed weight of at most ``most_weight``,
     or with two items.
@@ -41,14 +41,14 @@ def groups(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
 
 
 def group_sizes(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
-    """(leaf, n, small) of groups of two and more, of equal groups one."""
+    """(leaf, n, w, small) of groups of two and more, of equal groups one; w is the summed weight."""
     sizes = nodes.groupBy("leaf").agg(
         F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("item").alias("lo"),
         F.sum(F.shiftrightunsigned(F.xxhash64("item"), 20)).alias("mark"), F.bit_xor(F.xxhash64("item", F.lit(7))).alias("mark2"),
     ).where("n > 1")
     # Groups of the same members are one group; the smallest path stands for them.
     sizes = sizes.groupBy("n", "w", "lo", "mark", "mark2").agg(F.min("leaf").alias("leaf"))
-    return sizes.select("leaf", "n", ((F.col("n") <= most) & (F.col("w") <= most_weight) | (F.col("n") == 2)).alias("small"))
+    return sizes.select("leaf", "n", "w", ((F.col("n") <= most) & (F.col("w") <= most_weight) | (F.col("n") == 2)).alias("small"))
 
 
 def distinct_groups(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
@@ -58,14 +58,15 @@ def distinct_groups(nodes: DataFrame, most: int, most_weight: int) -> DataFrame:
     return join_counted(nodes, sizes, ["leaf"], "n")
 
 
-def blocks(large: DataFrame, most: int) -> DataFrame:
-    """``large`` (leaf, item, n and others) dealt out to pairs of blocks of about ``most`` / 2 items:
-    with ``block`` (the pair), ``own`` (the item's block) and ``same`` (a block paired with itself)."""
-    count = F.ceil(F.col("n") / F.lit(max(1, most // 2))).cast("int")
+def blocks(large: DataFrame, most: int, most_weight: int) -> DataFrame:
+    """``large`` (leaf, item, n, w and others) dealt out to pairs of blocks of about ``most`` / 2 items and
+    ``most_weight`` / 2 of weight: with ``block`` (the pair), ``own`` (the item's block) and ``same``
+    (a block paired with itself)."""
+    count = F.greatest(F.ceil(F.col("n") / F.lit(max(1, most // 2))), F.least(F.ceil(F.col("w") / F.lit(max(1, most_weight // 2))), "n")).cast("int")
     mine = large.withColumn("n_blocks", count).withColumn("own", F.pmod(F.xxhash64("item", F.lit(11)), F.col("n_blocks")).cast("int"))
     pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     pairs = pairs.withColumn("block", F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other"))).withColumn("same", F.col("own") == F.col("other"))
-    return pairs.drop("n_blocks", "other", "leaf", "n")
+    return pairs.drop("n_blocks", "other", "leaf", "n", "w")
 
 
 def refine(nodes: DataFrame, signatures: Callable[[DataFrame], DataFrame], scratch: Scratch, most: int, most_weight: int, least: float, width: int, depth: int = 24) -> DataFrame:
@@ -90,5 +91,5 @@ def refine(nodes: DataFrame, signatures: Callable[[DataFrame], DataFrame], scrat
             kids = F.array_compact(F.array(child(1), F.when(unit(path, 3) < GAIN / least - 1, child(2))))
             nodes = large.join(signatures(large.select("item").distinct()), "item").select(F.explode(kids).alias("leaf"), "item", "weight")
     # What is still large is compared block by block.
-    pairs = blocks(large, most).select(F.col("block").alias("leaf"), "item", "weight")
+    pairs = blocks(large, most, most_weight).select(F.col("block").alias("leaf"), "item", "weight")
     return out.unionByName(pairs)

@@ -10,9 +10,10 @@
    similarity 0.8 a pair misses all bands with probability 3e-3, at 0.85 with 5e-4, at 0.9 with
    3e-5. That is all that is missed, however large groups are.
 4. Pairs of the groups are verified by the exact Jaccard similarity of their shingle sets (at
-   least 0.8), then joined by distributed union-find. Members of a large group are first compared
-   with a few leaders; then all pairs that these links don't yet join are compared block against
-   block. Of each component the line that comes first by (id, line number) stays.
+   least 0.8), then joined by distributed union-find. Members of a group are first compared with its
+   leader (a large group has several); then all pairs that these links don't yet join are compared,
+   those of a large group block against block. Of each component the line that comes first by (id,
+   line number) stays.
 
 Keys that many rows share (a band's values, a very common line) are counted by partial
 aggregation; joins on them broadcast the few hot keys, whose number has a bound.
@@ -97,17 +98,19 @@ def banded(items: DataFrame) -> DataFrame:
     return got.select("item", "weight", F.array(*(F.xxhash64(F.lit(b), *(f"m{ROWS * b + r}" for r in range(ROWS))) for b in range(BANDS))).alias("leaves"))
 
 
-def linked(a: DataFrame, b: DataFrame, key: str, where: str, threshold: float) -> DataFrame:
+def linked(a: DataFrame, b: DataFrame, key: str, where: str, percent: int) -> DataFrame:
     """(a, b): pairs of members (item, s, and what ``where`` names) of equal ``key`` that are similar."""
     a = a.select(key, *(F.col(c).alias(f"{c}_a") for c in a.columns if c != key))
     b = b.select(key, *(F.col(c).alias(f"{c}_b") for c in b.columns if c != key))
+    x, y = F.size("s_a"), F.size("s_b")
     # Sizes alone rule many pairs out before their sets are compared.
-    near = a.join(b, key).where(where).where(F.least(F.size("s_a"), F.size("s_b")) >= threshold * F.greatest(F.size("s_a"), F.size("s_b")))
-    k = F.size(F.array_intersect("s_a", "s_b"))
-    return near.where(k >= threshold * (F.size("s_a") + F.size("s_b") - k)).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
+    near = a.join(b, key).where(where).where(100 * F.least(x, y) >= percent * F.greatest(x, y))
+    # 100 k >= percent (x + y - k), with the intersection named once, so that it's made once.
+    similar = (100 + percent) * F.size(F.array_intersect("s_a", "s_b")) >= percent * (x + y)
+    return near.where(similar).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaf_items: int = 64, leaf_weight: int = 400_000) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, leaf_items: int = 64, leaf_weight: int = 400_000) -> DataFrame:
     """One row per line that isn't blank: id, line_no (from 0), keep_id and keep_line_no (the line
     that stays of its component), n_lines (lines of the component), kept."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -125,7 +128,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop(bands, shared)
     kept = scratch.keep(distinct_groups(together, leaf_items, leaf_weight), "groups")
     scratch.drop(together)
-    small, large = kept.where("small").select("leaf", "item"), kept.where("NOT small").select("leaf", "item", "n")
     forms = items.select("item", "form").join(kept.select("item").distinct(), "item", "left_semi")
     forms = scratch.keep(forms, "forms")
 
@@ -134,29 +136,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = df.join(forms, "item").repartition(key)
         return full.select(*df.columns, shingle_set(F.col("form")).alias("s"))
 
-    m = members(small, "leaf")
-    links = scratch.keep(linked(m, m, "leaf", "item_a < item_b", threshold).distinct(), "links")
-    if not large.isEmpty():
-        # Leaders are the members of least hashes, of some salts.
-        least = [F.min(F.struct(F.xxhash64("item", F.lit(k)).alias("h"), "item")).getField("item") for k in range(LEADERS)]
-        leaders = large.groupBy("leaf").agg(F.array_distinct(F.array(*least)).alias("leaders"), F.count("*").alias("n")).select("leaf", "n", F.explode("leaders").alias("leader"))
-        pairs = join_counted(large.drop("n"), leaders, ["leaf"], "n").where("item != leader").select("item", "leader").distinct()
-        # A leader's many pairs are dealt out to SALTS places.
-        pairs = scratch.keep(pairs.withColumn("star", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.lit(SALTS)))), "pairs")
-        led, lead = pairs.select("star", "item"), pairs.select("star", F.col("leader").alias("item")).distinct()
-        stars = linked(members(led, "star"), members(lead, "star"), "star", "item_a != item_b", threshold)
-        links = links.unionByName(scratch.keep(stars, "stars"))
-        # Groups of one component are done. In others, pairs that are already joined aren't compared again.
-        known = large.join(components(links, scratch).withColumnRenamed("node", "item"), "item", "left")
-        known = known.select("leaf", "item", "n", F.coalesce("root", "item").alias("root"))
-        open_ = known.groupBy("leaf").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("rows")).where("open").select("leaf", "rows")
-        known = scratch.keep(join_counted(known, open_, ["leaf"], "rows").drop("rows"), "open")
-        m = members(blocks(known, leaf_items), "block")
+    # Leaders are the members of least hashes: one of a small group, of some salts of a large one.
+    least = [F.min(F.struct(F.xxhash64("item", F.lit(k)).alias("h"), "item")).getField("item") for k in range(LEADERS)]
+    leads = F.when(F.first("small"), F.array(least[0])).otherwise(F.array_distinct(F.array(*least))).alias("leaders")
+    leaders = kept.groupBy("leaf").agg(F.count("*").alias("rows"), leads).select("leaf", "rows", F.explode("leaders").alias("leader"))
+    pairs = join_counted(kept.select("leaf", "item"), leaders, ["leaf"], "rows").where("item != leader").select("item", "leader").distinct()
+    # A leader's many pairs are dealt out to SALTS places.
+    pairs = scratch.keep(pairs.withColumn("star", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.lit(SALTS)))), "pairs")
+    led, lead = pairs.select("star", "item"), pairs.select("star", F.col("leader").alias("item")).distinct()
+    links = scratch.keep(linked(members(led, "star"), members(lead, "star"), "star", "item_a != item_b", percent), "stars")
+    classes = components(links, scratch)
+
+    # Pairs are done, and groups of one component. In others, pairs that are joined already, or hold a
+    # leader, aren't compared again.
+    known = kept.where("n > 2").join(classes.withColumnRenamed("node", "item"), "item", "left")
+    known = scratch.keep(known.select("leaf", "item", "weight", "n", "w", "small", F.coalesce("root", "item").alias("root")), "known")
+    open_ = known.groupBy("leaf").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("rows"), leads).where("open").drop("open")
+    known = join_counted(known, open_, ["leaf"], "rows").withColumn("lead", F.array_contains("leaders", F.col("item")))
+    known = scratch.keep(known.where("NOT lead").select("leaf", "item", "n", "w", "root"), "open")
+    if not known.isEmpty():
+        m = members(blocks(known, leaf_items, leaf_weight), "block")
         # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
         across = "item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)"
-        links = links.unionByName(scratch.keep(linked(m, m, "block", across, threshold).distinct(), "across"))
-
-    classes = components(links, scratch)
+        across = scratch.keep(linked(m, m, "block", across, percent).distinct(), "across")
+        if not across.isEmpty():
+            classes = components(classes.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), scratch)
 
     # What stays of each component, and of items with several lines alone; other lines stay themselves.
     of = items.select("item", "h1", "h2", "n_lines", "first").join(classes.withColumnRenamed("node", "item"), "item", "left")
