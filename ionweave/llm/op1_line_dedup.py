@@ -98,16 +98,24 @@ def banded(items: DataFrame) -> DataFrame:
     return got.select("item", "weight", F.array(*(F.xxhash64(F.lit(b), *(f"m{ROWS * b + r}" for r in range(ROWS))) for b in range(BANDS))).alias("leaves"))
 
 
-def linked(a: DataFrame, b: DataFrame, key: str, where: str, percent: int) -> DataFrame:
-    """(a, b): pairs of members (item, s, and what ``where`` names) of equal ``key`` that are similar."""
-    a = a.select(key, *(F.col(c).alias(f"{c}_a") for c in a.columns if c != key))
-    b = b.select(key, *(F.col(c).alias(f"{c}_b") for c in b.columns if c != key))
+def verified(pairs: DataFrame, forms: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): the pairs (item, other) whose shingle sets are similar enough, from items' ``forms`` (item, form).
+
+    Pairs are dealt out by their second member, which brings its form once to each of SALTS places;
+    shingle sets are made there and not shuffled."""
+    pairs = scratch.keep(pairs.distinct().withColumn("star", F.xxhash64("other", F.pmod(F.xxhash64("item"), F.lit(SALTS)))), f"{name}-pairs")
+
+    def members(df: DataFrame, side: str) -> DataFrame:
+        full = df.join(forms, "item").repartition("star")
+        return full.select("star", F.col("item").alias(side), shingle_set(F.col("form")).alias(f"s_{side}"))
+
+    near = members(pairs.select("star", "item"), "a").join(members(pairs.select("star", F.col("other").alias("item")).distinct(), "b"), "star")
     x, y = F.size("s_a"), F.size("s_b")
     # Sizes alone rule many pairs out before their sets are compared.
-    near = a.join(b, key).where(where).where(100 * F.least(x, y) >= percent * F.greatest(x, y))
+    near = near.where("a != b").where(100 * F.least(x, y) >= percent * F.greatest(x, y))
     # 100 k >= percent (x + y - k), with the intersection named once, so that it's made once.
     similar = (100 + percent) * F.size(F.array_intersect("s_a", "s_b")) >= percent * (x + y)
-    return near.where(similar).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
+    return scratch.keep(near.where(similar).select("a", "b"), name)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, leaf_items: int = 64, leaf_weight: int = 400_000) -> DataFrame:
@@ -131,21 +139,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     forms = items.select("item", "form").join(kept.select("item").distinct(), "item", "left_semi")
     forms = scratch.keep(forms, "forms")
 
-    def members(df: DataFrame, key: str) -> DataFrame:
-        """The short form is dealt out by group; its shingle set is made there, once for each member."""
-        full = df.join(forms, "item").repartition(key)
-        return full.select(*df.columns, shingle_set(F.col("form")).alias("s"))
-
     # Leaders are the members of least hashes: one of a small group, of some salts of a large one.
     least = [F.min(F.struct(F.xxhash64("item", F.lit(k)).alias("h"), "item")).getField("item") for k in range(LEADERS)]
     leads = F.when(F.first("small"), F.array(least[0])).otherwise(F.array_distinct(F.array(*least))).alias("leaders")
     leaders = kept.groupBy("leaf").agg(F.count("*").alias("rows"), leads).select("leaf", "rows", F.explode("leaders").alias("leader"))
-    pairs = join_counted(kept.select("leaf", "item"), leaders, ["leaf"], "rows").where("item != leader").select("item", "leader").distinct()
-    # A leader's many pairs are dealt out to SALTS places.
-    pairs = scratch.keep(pairs.withColumn("star", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.lit(SALTS)))), "pairs")
-    led, lead = pairs.select("star", "item"), pairs.select("star", F.col("leader").alias("item")).distinct()
-    links = scratch.keep(linked(members(led, "star"), members(lead, "star"), "star", "item_a != item_b", percent), "stars")
-    classes = components(links, scratch)
+    pairs = join_counted(kept.select("leaf", "item"), leaders, ["leaf"], "rows").where("item != leader").select("item", F.col("leader").alias("other"))
+    classes = components(verified(pairs, forms, percent, scratch, "stars"), scratch)
 
     # Pairs are done, and groups of one component. In others, pairs that are joined already, or hold a
     # leader, aren't compared again.
@@ -155,10 +154,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = join_counted(known, open_, ["leaf"], "rows").withColumn("lead", F.array_contains("leaders", F.col("item")))
     known = scratch.keep(known.where("NOT lead").select("leaf", "item", "n", "w", "root"), "open")
     if not known.isEmpty():
-        m = members(blocks(known, leaf_items, leaf_weight), "block")
+        dealt = blocks(known, leaf_items, leaf_weight)
+        names = ("item", "root", "own", "same")
+        left, right = (dealt.select("block", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
         # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
-        across = "item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)"
-        across = scratch.keep(linked(m, m, "block", across, percent).distinct(), "across")
+        pairs = left.join(right, "block").where("item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)")
+        across = verified(pairs.select(F.col("item_a").alias("item"), F.col("item_b").alias("other")), forms, percent, scratch, "across")
         if not across.isEmpty():
             classes = components(classes.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), scratch)
 
