@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, with DataFrame and SQL functions alone.
 
 1. Texts are cut into lines once; a line's form is its lower case with runs of white space made one
-   space, trimmed. Equal forms (equal 128-bit hashes) are one item from here on, so a line that
-   occurs in millions of documents is signed and compared once.
+   space, trimmed. Equal forms (equal 128-bit hashes) are one item from the signature's partial
+   aggregation on, so a line that occurs in millions of documents is compared once.
 2. Items get 8 bands of 3 minwise values of their 8-character shingles (a shorter line is one
    shingle). A shingle is hashed once; its 24 orders are four rotations of the 64-bit hash, each
    seen from six points by exclusive or. All minima are taken in one hash aggregation.
@@ -11,9 +11,11 @@
    3e-5. That is all that is missed, however large groups are.
 4. Pairs of the groups are verified by the exact Jaccard similarity of their shingle sets (at
    least 0.8), then joined by distributed union-find. Members of a group are first compared with its
-   leader (a large group has several); then all pairs that these links don't yet join are compared,
-   those of a large group block against block. Of each component the line that comes first by (id,
-   line number) stays.
+   leader, the member that is in most and largest groups (a large group has several leaders); then
+   all pairs that these links don't yet join are compared, those of a large group block against
+   block. Before any sets are compared, a parity bitmap of 1,024 bits bounds their difference from
+   below: two lines whose bitmaps differ in too many bits can't be similar, so nothing is missed. Of
+   each component the line that comes first by (id, line number) stays.
 
 Keys that many rows share (a band's values, a very common line) are counted by partial
 aggregation; joins on them broadcast the few hot keys, whose number has a bound.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .branching import blocks, distinct_groups
 from .components import components
-from .shared import Scratch, join_counted, one_space, table
+from .shared import Scratch, join_counted, one_space, runtime_filters, table
 
 SHINGLE = 8
 #: Starting places of shingles in one piece of a line, and bytes of a character in UTF-32.
@@ -42,6 +44,8 @@ CHUNK, UNIT = 4096, 4
 ROWS, BANDS = 3, 8
 WIDTH = ROWS * BANDS
 LEADERS, SALTS = 4, 16
+#: Longs of a parity bitmap.
+BITMAP = 16
 ROTATIONS = (0, 16, 32, 48)
 _draw = random.Random(5)
 #: (rotation, point) of the minwise orders. The minimum of the rotated hash xor point is the hash
@@ -78,24 +82,46 @@ def shingle_set(form):
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, form) of all lines."""
+    """(id, line_no, form, h1, h2) of all lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = F.when(F.contains(text, F.lit("\r")), F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))).otherwise(text)
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return cut.select("id", "line_no", line_form(F.col("line")).alias("form"))
-
-
-def banded(items: DataFrame) -> DataFrame:
-    """(item, weight, leaves): an item's length and the hashes of its bands; all minima in one hash aggregation."""
-    wide = items.select("item", F.char_length("form").cast("long").alias("weight"), F.encode("form", "UTF-32").alias("wide"))
-    part = wide.select("item", "weight", "wide", F.explode(pieces(F.col("wide"))).alias("k"))
-    part = part.select("item", "weight", F.substring("wide", F.col("k") + 1, F.lit(UNIT * (CHUNK + SHINGLE - 1))).alias("piece"))
-    at = part.select("item", "weight", "piece", F.explode(starts(F.col("piece"))).alias("i"))
-    h = at.select("item", "weight", F.xxhash64(F.substring("piece", F.col("i"), F.lit(UNIT * SHINGLE))).alias("h"))
+    forms = cut.select("id", "line_no", line_form(F.col("line")).alias("form"))
+    return forms.withColumns({"h1": F.xxhash64("form"), "h2": F.xxhash64(F.lit(1), "form")})
+
+
+def banded(lines: DataFrame) -> DataFrame:
+    """(h1, h2, weight, n_lines, leaves): an item's length, its lines and the hashes of its bands; all
+    minima in one hash aggregation."""
+    key = ["h1", "h2", "weight"]
+    wide = lines.select("h1", "h2", F.char_length("form").cast("long").alias("weight"), F.encode("form", "UTF-32").alias("wide"))
+    part = wide.select(*key, "wide", F.explode(pieces(F.col("wide"))).alias("k"))
+    part = part.select(*key, "k", F.substring("wide", F.col("k") + 1, F.lit(UNIT * (CHUNK + SHINGLE - 1))).alias("piece"))
+    at = part.select(*key, "k", "piece", F.explode(starts(F.col("piece"))).alias("i"))
+    h = at.select(*key, ((F.col("k") == 0) & (F.col("i") == 1)).cast("long").alias("first"), F.xxhash64(F.substring("piece", F.col("i"), F.lit(UNIT * SHINGLE))).alias("h"))
     turned = {r: F.col("h") if r == 0 else F.shiftleft("h", r).bitwiseOR(F.shiftrightunsigned("h", 64 - r)) for r in ROTATIONS}
     minima = [F.min(turned[r].bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, (r, p) in enumerate(ORDERS)]
-    got = h.groupBy("item", "weight").agg(*minima)
-    return got.select("item", "weight", F.array(*(F.xxhash64(F.lit(b), *(f"m{ROWS * b + r}" for r in range(ROWS))) for b in range(BANDS))).alias("leaves"))
+    got = h.groupBy(*key).agg(F.sum("first").alias("n_lines"), *minima)
+    return got.select(*key, "n_lines", F.array(*(F.xxhash64(F.lit(b), *(f"m{ROWS * b + r}" for r in range(ROWS))) for b in range(BANDS))).alias("leaves"))
+
+
+def bitmaps(forms: DataFrame) -> DataFrame:
+    """(item, size, b0, b1, ...): the number of distinct shingles and the parity bitmap of each form.
+
+    Each shingle turns over one bit, so two bitmaps differ in no more bits than the sets do in shingles."""
+    h = forms.select("item", F.explode(shingle_set(F.col("form"))).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 60).cast("int"), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    h = h.select("item", word.alias("word"), bit.alias("bit"))
+    return h.groupBy("item").agg(F.count("*").alias("size"), *(F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{k}") for k in range(BITMAP)))
+
+
+def may_be_similar(x: str, y: str, percent: int):
+    """Whether sizes and bitmaps (columns with the endings ``x`` and ``y``) allow a similar pair:
+    J >= p/100 means |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|)."""
+    size = lambda side: F.col(f"size{side}")
+    fits = 100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))
+    apart = sum((F.bit_count(F.col(f"b{k}{x}").bitwiseXOR(F.col(f"b{k}{y}"))) for k in range(BITMAP)), F.lit(0))
+    return fits & (apart * (100 + percent) <= (100 - percent) * (size(x) + size(y)))
 
 
 def verified(pairs: DataFrame, forms: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -123,60 +149,60 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that stays of its component), n_lines (lines of the component), kept."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.keep(lines_of(docs, id_col, text_col), "lines").where("form != ''")
-    lines = lines.withColumns({"h1": F.xxhash64("form"), "h2": F.xxhash64(F.lit(1), "form")})
-    # The first row of an item; a null id comes last.
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "line_no")
-    items = lines.groupBy("h1", "h2").agg(F.first("form").alias("form"), F.count("*").alias("n_lines"), F.min(place).alias("first"))
-    items = scratch.keep(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    bands = scratch.keep(banded(items.select("item", "form")), "bands")
+    bands = scratch.keep(banded(lines).withColumn("item", F.monotonically_increasing_id()), "bands")
+    items = bands.select("item", "h1", "h2", "n_lines")
 
     nodes = bands.select(F.explode("leaves").alias("leaf"), "item", "weight")
     shared = scratch.keep(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     together = scratch.keep(join_counted(nodes, shared, ["leaf"], "n").drop("n"), "together")
-    scratch.drop(bands, shared)
     kept = scratch.keep(distinct_groups(together, leaf_items, leaf_weight), "groups")
-    scratch.drop(together)
-    forms = items.select("item", "form").join(kept.select("item").distinct(), "item", "left_semi")
-    forms = scratch.keep(forms, "forms")
-
-    # Leaders are the members of least hashes: one of a small group, of some salts of a large one.
-    least = [F.min(F.struct(F.xxhash64("item", F.lit(k)).alias("h"), "item")).getField("item") for k in range(LEADERS)]
+    scratch.drop(shared, together)
+    # An item that is in many and large groups is central: it has the better chance to link a group.
+    central = scratch.keep(kept.groupBy("item").agg(F.sum("n").alias("score")), "central")
+    wanted = scratch.keep(items.join(central, "item"), "wanted")
+    with runtime_filters(docs.sparkSession):
+        forms = lines.select("h1", "h2", "form").join(wanted.where("score > 1").select("h1", "h2", "item"), ["h1", "h2"])
+        forms = scratch.keep(forms.dropDuplicates(["item"]).select("item", "form"), "forms")
+    marks = scratch.keep(bitmaps(forms), "bitmaps")
+
+    # Leaders: the most central member of a small group, and some members of least hashes of a large one.
+    seen = kept.join(central, "item")
+    least = [F.min(F.struct((-F.col("score")).alias("s"), F.xxhash64("item").alias("h"), "item")).getField("item")]
+    least += [F.min(F.struct(F.xxhash64("item", F.lit(k)).alias("h"), "item")).getField("item") for k in range(1, LEADERS)]
     leads = F.when(F.first("small"), F.array(least[0])).otherwise(F.array_distinct(F.array(*least))).alias("leaders")
-    leaders = kept.groupBy("leaf").agg(F.count("*").alias("rows"), leads).select("leaf", "rows", F.explode("leaders").alias("leader"))
-    pairs = join_counted(kept.select("leaf", "item"), leaders, ["leaf"], "rows").where("item != leader").select("item", F.col("leader").alias("other"))
-    classes = components(verified(pairs, forms, percent, scratch, "stars"), scratch)
+    groups = scratch.keep(seen.groupBy("leaf").agg(F.count("*").alias("rows"), leads), "leaders")
+    pairs = join_counted(kept.select("leaf", "item"), groups.select("leaf", "rows", F.explode("leaders").alias("other")), ["leaf"], "rows").where("item != other")
+    pairs = pairs.select("item", "other").distinct().join(marks, "item").join(marks.select(F.col("item").alias("other"), *(F.col(c).alias(f"{c}_o") for c in marks.columns[1:])), "other")
+    classes = components(verified(pairs.where(may_be_similar("", "_o", percent)).select("item", "other"), forms, percent, scratch, "stars"), scratch)
 
     # Pairs are done, and groups of one component. In others, pairs that are joined already, or hold a
     # leader, aren't compared again.
     known = kept.where("n > 2").join(classes.withColumnRenamed("node", "item"), "item", "left")
-    known = scratch.keep(known.select("leaf", "item", "weight", "n", "w", "small", F.coalesce("root", "item").alias("root")), "known")
-    open_ = known.groupBy("leaf").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("rows"), leads).where("open").drop("open")
-    known = join_counted(known, open_, ["leaf"], "rows").withColumn("lead", F.array_contains("leaders", F.col("item")))
-    known = scratch.keep(known.where("NOT lead").select("leaf", "item", "n", "w", "root"), "open")
+    known = scratch.keep(known.select("leaf", "item", "n", "w", F.coalesce("root", "item").alias("root")), "known")
+    open_ = known.groupBy("leaf").agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open").join(groups, "leaf")
+    known = join_counted(known, open_, ["leaf"], "rows").where(~F.array_contains("leaders", F.col("item")))
+    known = scratch.keep(known.select("leaf", "item", "n", "w", "root"), "open")
     if not known.isEmpty():
-        dealt = blocks(known, leaf_items, leaf_weight)
-        names = ("item", "root", "own", "same")
-        left, right = (dealt.select("block", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+        dealt = blocks(known.join(marks, "item"), leaf_items, leaf_weight)
+        left, right = (dealt.select("block", *(F.col(c).alias(f"{c}_{side}") for c in dealt.columns if c != "block")) for side in "ab")
         # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
-        pairs = left.join(right, "block").where("item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)")
+        pairs = left.join(right, (left["block"] == right["block"]) & F.expr("item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)") & may_be_similar("_a", "_b", percent))
         across = verified(pairs.select(F.col("item_a").alias("item"), F.col("item_b").alias("other")), forms, percent, scratch, "across")
         if not across.isEmpty():
             classes = components(classes.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), scratch)
 
-    # What stays of each component, and of items with several lines alone; other lines stay themselves.
-    of = items.select("item", "h1", "h2", "n_lines", "first").join(classes.withColumnRenamed("node", "item"), "item", "left")
-    of = scratch.keep(of.where("root IS NOT NULL OR n_lines > 1"), "classes")
-    comp = of.where("root IS NOT NULL")
-    tops = comp.groupBy("root").agg(F.min("first").alias("top"), F.sum("n_lines").alias("n"), F.count("*").alias("rows"))
-    many = join_counted(comp, tops, ["root"], "rows").select("h1", "h2", "top", "n", "n_lines")
-    one = of.where("root IS NULL").select("h1", "h2", F.col("first").alias("top"), F.col("n_lines").alias("n"), "n_lines")
-    answers = scratch.keep(many.unionByName(one), "answers")
-    out = join_counted(lines.select("id", "line_no", "h1", "h2"), answers, ["h1", "h2"], "n_lines", "left")
-    alone = F.col("n").isNull()
-    out = out.select(
-        "id", "line_no", F.when(alone, F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
-        F.when(alone, F.col("line_no")).otherwise(F.col("top.line_no")).alias("keep_line_no"), F.coalesce("n", F.lit(1).cast("bigint")).alias("n_lines"),
-    )
+    # Lines whose component has one line alone stay; the others look for the first of theirs.
+    of = items.join(classes.withColumnRenamed("node", "item"), "item", "left").where("root IS NOT NULL OR n_lines > 1")
+    of = scratch.keep(of.select("h1", "h2", "n_lines", F.coalesce("root", "item").alias("root")), "classes")
+    rows = join_counted(lines.select("id", "line_no", "h1", "h2"), of, ["h1", "h2"], "n_lines", "left")
+    rows = scratch.keep(rows.select("id", "line_no", "root"), "rows")
+    scratch.drop(bands)
+    many = rows.where("root IS NOT NULL")
+    tops = many.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line_no")).alias("top"), F.count("*").alias("n"))
+    many = join_counted(many, scratch.keep(tops, "tops"), ["root"], "n")
+    many = many.select("id", "line_no", F.col("top.id").alias("keep_id"), F.col("top.line_no").alias("keep_line_no"), F.col("n").alias("n_lines"))
+    one = rows.where("root IS NULL").select("id", "line_no", F.col("id").alias("keep_id"), F.col("line_no").alias("keep_line_no"), F.lit(1).cast("bigint").alias("n_lines"))
+    out = many.unionByName(one)
     return out.select(F.col("id").alias(id_col), "line_no", "keep_id", "keep_line_no", "n_lines", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("line_no") == F.col("keep_line_no"))).alias("kept"))
 
 

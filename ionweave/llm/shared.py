@@ -17,13 +17,28 @@ SPACE = r"\x20\x09-\x0D"
 @contextlib.contextmanager
 def cleaned_shuffles(spark: SparkSession):
     """Shuffles of what runs inside go as soon as each action ends; use it where the result is written."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    with session_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        yield
+
+
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, conf: dict[str, str]):
+    """Settings of the session that hold inside, and are as before after it."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def runtime_filters(spark: SparkSession):
+    """Inside, Spark thins the rows of a shuffled join by a Bloom filter of the other side's keys before
+    the shuffle, whatever their sizes. The filter has 2**26 bits at most; a full one lets more rows through."""
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    return session_conf(spark, {f"{name}enabled": "true", f"{name}applicationSideScanSizeThreshold": "0", f"{name}creationSideThreshold": "1g", f"{name}expectedNumItems": "4000000", f"{name}maxNumBits": str(1 << 26)})
 
 
 class Scratch:
