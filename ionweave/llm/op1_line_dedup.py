@@ -4,7 +4,7 @@
    space, trimmed. Equal forms (equal 128-bit hashes) are one item from the signature's partial
    aggregation on, so a line that occurs in millions of documents is compared once.
 2. Items get 8 bands of 3 minwise values of their 8-character shingles (a shorter line is one
-   shingle). A shingle is hashed once; its 24 orders are four rotations of the 64-bit hash, each
+   shingle). A shingle is hashed once; its 24 orders are four rotations of the hash, each
    seen from six points by exclusive or. All minima are taken in one hash aggregation.
 3. A band's values propose a group. Bands behave as independent ones (measured, see README): at
    similarity 0.8 a pair misses all bands with probability 3e-3, at 0.85 with 5e-4, at 0.9 with
@@ -39,24 +39,25 @@ from .components import components
 from .shared import Scratch, join_counted, one_space, runtime_filters, table
 
 SHINGLE = 8
-#: Starting places of shingles in one piece of a line, and bytes of a character in UTF-32.
-CHUNK, UNIT = 4096, 4
+#: Starting places of shingles in one piece of a line, bytes of a character in UTF-32, and shingles
+#: whose minima are taken before they update an aggregation.
+CHUNK, UNIT, STEP = 4096, 4, 4
 ROWS, BANDS = 3, 8
 WIDTH = ROWS * BANDS
 LEADERS, SALTS = 4, 16
 #: Longs of a parity bitmap.
 BITMAP = 16
-ROTATIONS = (0, 16, 32, 48)
+ROTATIONS = (0, 8, 16, 24)
 _draw = random.Random(5)
-#: (rotation, point) of the minwise orders. The minimum of the rotated hash xor point is the hash
-#: that is nearest to the point; points of one rotation lie in different eighths, and the three rows
-#: of a band have different rotations.
+#: (rotation, point) of the minwise orders. The minimum of the rotated 32-bit hash xor point is the
+#: hash that is nearest to the point; points of one rotation lie in different eighths, and the three
+#: rows of a band have different rotations.
 ORDERS = []
 for _band in range(BANDS):
     for _row in range(ROWS):
         _c = _band + BANDS * _row
-        _point = (_c // 4 * 8 // 6 << 61) | _draw.getrandbits(61)
-        ORDERS.append((ROTATIONS[_c % 4], _point - (1 << 64) if _point >= 1 << 63 else _point))
+        _point = (_c // 4 * 8 // 6 << 29) | _draw.getrandbits(29)
+        ORDERS.append((ROTATIONS[_c % 4], _point - (1 << 32) if _point >= 1 << 31 else _point))
 
 
 def line_form(line):
@@ -97,10 +98,14 @@ def banded(lines: DataFrame) -> DataFrame:
     wide = lines.select("h1", "h2", F.char_length("form").cast("long").alias("weight"), F.encode("form", "UTF-32").alias("wide"))
     part = wide.select(*key, "wide", F.explode(pieces(F.col("wide"))).alias("k"))
     part = part.select(*key, "k", F.substring("wide", F.col("k") + 1, F.lit(UNIT * (CHUNK + SHINGLE - 1))).alias("piece"))
-    at = part.select(*key, "k", "piece", F.explode(starts(F.col("piece"))).alias("i"))
-    h = at.select(*key, ((F.col("k") == 0) & (F.col("i") == 1)).cast("long").alias("first"), F.xxhash64(F.substring("piece", F.col("i"), F.lit(UNIT * SHINGLE))).alias("h"))
-    turned = {r: F.col("h") if r == 0 else F.shiftleft("h", r).bitwiseOR(F.shiftrightunsigned("h", 64 - r)) for r in ROTATIONS}
-    minima = [F.min(turned[r].bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, (r, p) in enumerate(ORDERS)]
+    last = F.greatest(F.octet_length("piece") - (UNIT * SHINGLE - 1), F.lit(1))
+    at = part.select(*key, "k", "piece", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(UNIT * STEP))).alias("i"))
+    # STEP shingles at a time; past the end, the last one again.
+    place = lambda j: F.col("i") if j == 0 else F.least(F.col("i") + F.lit(UNIT * j), F.col("last"))
+    h = at.select(*key, ((F.col("k") == 0) & (F.col("i") == 1)).cast("long").alias("first"), *(F.hash(F.substring("piece", place(j), F.lit(UNIT * SHINGLE))).alias(f"s{j}") for j in range(STEP)))
+    turn = lambda c, r: F.col(c) if r == 0 else F.shiftleft(c, r).bitwiseOR(F.shiftrightunsigned(c, 32 - r))
+    h = h.select(*key, "first", *(turn(f"s{j}", r).alias(f"s{j}_{r}") for j in range(STEP) for r in ROTATIONS))
+    minima = [F.min(F.least(*(F.col(f"s{j}_{r}").bitwiseXOR(F.lit(p)) for j in range(STEP)))).alias(f"m{k}") for k, (r, p) in enumerate(ORDERS)]
     got = h.groupBy(*key).agg(F.sum("first").alias("n_lines"), *minima)
     return got.select(*key, "n_lines", F.array(*(F.xxhash64(F.lit(b), *(f"m{ROWS * b + r}" for r in range(ROWS))) for b in range(BANDS))).alias("leaves"))
 
@@ -163,7 +168,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with runtime_filters(docs.sparkSession):
         forms = lines.select("h1", "h2", "form").join(wanted.where("score > 1").select("h1", "h2", "item"), ["h1", "h2"])
         forms = scratch.keep(forms.dropDuplicates(["item"]).select("item", "form"), "forms")
-    marks = scratch.keep(bitmaps(forms), "bitmaps")
+    # A pair alone is compared at once; bitmaps are for members of larger groups.
+    many = kept.where("n > 2").select("item").distinct()
+    marks = scratch.keep(bitmaps(forms.join(many, "item", "left_semi")), "bitmaps")
 
     # Leaders: the most central member of a small group, and some members of least hashes of a large one.
     seen = kept.join(central, "item")
@@ -172,8 +179,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leads = F.when(F.first("small"), F.array(least[0])).otherwise(F.array_distinct(F.array(*least))).alias("leaders")
     groups = scratch.keep(seen.groupBy("leaf").agg(F.count("*").alias("rows"), leads), "leaders")
     pairs = join_counted(kept.select("leaf", "item"), groups.select("leaf", "rows", F.explode("leaders").alias("other")), ["leaf"], "rows").where("item != other")
-    pairs = pairs.select("item", "other").distinct().join(marks, "item").join(marks.select(F.col("item").alias("other"), *(F.col(c).alias(f"{c}_o") for c in marks.columns[1:])), "other")
-    classes = components(verified(pairs.where(may_be_similar("", "_o", percent)).select("item", "other"), forms, percent, scratch, "stars"), scratch)
+    pairs = pairs.select("item", "other").distinct().join(marks, "item", "left").join(marks.select(F.col("item").alias("other"), *(F.col(c).alias(f"{c}_o") for c in marks.columns[1:])), "other", "left")
+    pairs = pairs.where(F.coalesce(may_be_similar("", "_o", percent), F.lit(True))).select("item", "other")
+    classes = components(verified(pairs, forms, percent, scratch, "stars"), scratch)
 
     # Pairs are done, and groups of one component. In others, pairs that are joined already, or hold a
     # leader, aren't compared again.
@@ -195,8 +203,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = items.join(classes.withColumnRenamed("node", "item"), "item", "left").where("root IS NOT NULL OR n_lines > 1")
     of = scratch.keep(of.select("h1", "h2", "n_lines", F.coalesce("root", "item").alias("root")), "classes")
     rows = join_counted(lines.select("id", "line_no", "h1", "h2"), of, ["h1", "h2"], "n_lines", "left")
+    scratch.drop(kept, central, wanted, forms, marks)
     rows = scratch.keep(rows.select("id", "line_no", "root"), "rows")
-    scratch.drop(bands)
+    scratch.drop(bands, lines, of)
     many = rows.where("root IS NOT NULL")
     tops = many.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line_no")).alias("top"), F.count("*").alias("n"))
     many = join_counted(many, scratch.keep(tops, "tops"), ["root"], "n")
