@@ -5,14 +5,17 @@
    counted apart. Toxic ones are scanned once more and counted by kind, a 64-bit minwise key that
    copies share: a feature's toxic count, and their total, are numbers of distinct kinds. A feature's score is its log-odds under an informative Dirichlet prior, whose
    pseudo-counts follow the feature's share of all documents.
-2. A feature enters the model if the signed root of its likelihood ratio is at least
-   ``least_root`` and its log-odds at least ``least_odds``; copies of a toxic document count as one.
-   The model keeps all of them; the labelled rows, which are bounded, bound their number.
-3. Each document is read once, in linear time: all maximal scoring segments of its tokens are
-   found (tokens without a model feature score ``-drift``), and each segment gets an expected
-   number by chance K * n * exp(-S) (scores are log-odds, so the exponent's scale is 1).
-   The significant segments are summed by the Karlin-Altschul sum statistic to one p-value.
-4. The score is 1 / (1 + p / level): 0.5 where the p-value equals ``level``.
+2. A feature enters the model, with its signed score, if the signed root of its likelihood ratio is at
+   least ``least_root``, for or against. The model keeps all of them; the labelled rows, which are
+   bounded, bound their number. A token has the score of its word, else of its longest beginning in the
+   model; all other tokens share one score, the log-odds of a token outside the model (below 0: ``-drift``).
+3. Extreme-value calibration, on the training rows: lambda solves E[exp(lambda * score)] = 1 over the
+   tokens of clean documents, and K is the maximum-likelihood estimate from the best segments of clean
+   documents, so that K * n * exp(-lambda * S) segments of score S are expected by chance in n tokens.
+4. Each document is read once, in linear time: all maximal scoring segments are found, and the r best
+   of them are joined by the Karlin-Altschul sum statistic, over r, to one p-value.
+5. The score is a logistic function of the p-value's logarithm, fitted on the training rows: 0.5 where
+   toxic and clean documents are equally likely.
 
 The training sample is bounded: at most ``max_labelled`` labelled rows, those with the smallest
 hash of their id. Labels, ids, sources and languages are never inputs of a score.
@@ -36,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import Scratch, table
 
@@ -124,8 +128,15 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, max_labelled: int)
     return one.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=400_000, least_root=5.0, least_odds=4.0, prior=10.0) -> dict:
-    """The model: ``scores`` (feature -> log-odds), ``rate`` (chance of a scored token in a clean text)."""
+#: Model without evidence: nothing is toxic.
+NOTHING = {"scores": {}, "drift": 1.0, "lam": 1.0, "k": 1.0, "a": -10.0, "b": 0.0}
+#: Bins of token scores and of logarithms of p-values that reach the driver.
+SCORE_BIN, LOG_P_BIN, LEAST_LOG_P = 0.1, 0.25, -200.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=400_000, least_root=5.0, prior=10.0) -> dict:
+    """The model: ``scores`` (feature -> log-odds), ``drift``, ``lam`` and ``k`` of the extreme values,
+    ``a`` and ``b`` of the logistic function."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     # At most max_labelled rows of an id and a flag: the bound of what is broadcast here.
     lab = scratch.keep(labelled(labels, id_col, label_col, max_labelled), "labels")
@@ -135,10 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     toxic = pairs.distinct().groupBy("feature").agg(F.count("*").alias("n_toxic"))
     counted = texts.join(F.broadcast(lab), "id", "left").select("text", "label").mapInArrow(_count, "feature string, n_all long, n_clean long")
     sums = counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_clean")))
-    sums = scratch.keep(sums.join(toxic.hint("shuffle_hash"), "feature"), "features")
+    sums = sums.join(toxic.hint("shuffle_hash"), "feature", "left").fillna(0, ["n_toxic"])
+    # Rows without label evidence can't pass a test of it.
+    sums = scratch.keep(sums.where("n_toxic + n_clean > 0"), "features")
     total = sums.where(F.col("feature") == TOTAL).first()
     if total is None or not total["n_toxic"] or not total["n_clean"]:
-        return {"scores": {}, "rate": 1e-9}
+        return NOTHING
     n, t, c = (float(total[k]) for k in ("n_all", "n_toxic", "n_clean"))
     # Pseudo-counts: prior documents spread as the feature is over the corpus, and half of one more.
     a = prior * F.col("n_all") / n + 0.5
@@ -150,20 +163,95 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
     seen = F.col("n_toxic") + F.col("n_clean")
     root = F.sqrt(2 * F.greatest(F.lit(0.0), part(F.col("n_toxic"), seen * t / (t + c)) + part(F.col("n_clean"), seen * c / (t + c))))
-    model = sums.where(F.col("feature") != TOTAL).select("feature", odds.alias("odds"), root.alias("root"), (pc_).alias("clean"))
-    rows = model.where((F.col("odds") >= least_odds) & (F.col("root") >= least_root)).collect()
-    return {"scores": {r["feature"]: r["odds"] for r in rows}, "rate": max(1e-9, sum(r["clean"] for r in rows if r["feature"][0] != "^") / 100.0 + 0.5 / max(c, 1.0) / 100.0)}
+    rows = sums.where(F.col("feature") != TOTAL).select("feature", odds.alias("odds"), root.alias("root")).where(F.col("root") >= least_root).collect()
+    scores = {r["feature"]: r["odds"] for r in rows if r["odds"]}
+    return calibrated(texts.join(F.broadcast(lab), "id").select("text", "label"), scores, scratch) if scores else NOTHING
+
+
+def _hits(scores: dict):
+    def run(batches):
+        scorer = Scorer({**NOTHING, "scores": scores})
+        for batch in batches:
+            got = [scorer.hits(t or "") for t in batch.column(0).to_pylist()]
+            hits = [[[float(i), s] for i, s in h] for _, h in got]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.float64())))], ["label", "n", "hits"])
+
+    return run
+
+
+def _per_row(model: dict, what):
+    """(label, n, v) of rows (label, n, hits), where v is ``what`` of the segments and n."""
+    def run(batches):
+        for batch in batches:
+            ns = batch.column(1).to_pylist()
+            vs = [float(what(segments([(int(i), s) for i, s in h], model["drift"]) if h else [], n, model)) for n, h in zip(ns, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vs, pa.float64())], ["label", "n", "v"])
+
+    return run
+
+
+def calibrated(train: DataFrame, scores: dict, scratch: Scratch) -> dict:
+    """The model with drift, lambda, K and the logistic function fitted on ``train`` (text, label)."""
+    shape = "label boolean, n long, hits array<array<double>>"
+    hits = scratch.keep(train.mapInArrow(_hits(scores), shape), "hits")
+    # The log-odds of a token outside the model.
+    share = {r["label"]: (r["h"], r["n"]) for r in hits.groupBy("label").agg(F.sum(F.size("hits")).alias("h"), F.sum("n").alias("n")).collect()}
+    (ht, nt), (hc, nc) = share.get(True, (0, 0)), share.get(False, (0, 0))
+    if not nt or not nc:
+        return NOTHING
+    model = {"scores": scores, "drift": max(1e-3, math.log((1 - hc / (nc + 1)) / (1 - ht / (nt + 1))))}
+    bins = hits.where("NOT label").select(F.explode("hits").alias("h")).groupBy((F.round(F.element_at("h", 2) / SCORE_BIN) * SCORE_BIN).alias("s")).agg(F.count("*").alias("n"))
+    model["lam"] = exponent([(r["s"], r["n"]) for r in bins.collect()] + [(-model["drift"], nc - hc)])
+    best = hits.where("NOT label AND n > 0").mapInArrow(_per_row(model, lambda segs, n, m: max((s for *_, s in segs), default=0.0)), "label boolean, n long, v double")
+    mass = best.agg(F.count("*").alias("d"), F.sum(F.col("n") * F.exp(-model["lam"] * F.col("v"))).alias("m")).first()
+    model["k"] = mass["d"] / mass["m"] if mass["d"] else 1.0
+    log_p = hits.mapInArrow(_per_row(model, p_value), "label boolean, n long, v double")
+    log_p = log_p.groupBy("label", (F.round(F.greatest("v", F.lit(LEAST_LOG_P)) / LOG_P_BIN) * LOG_P_BIN).alias("x")).agg(F.count("*").alias("n")).collect()
+    model["a"], model["b"] = logistic([(r["x"], bool(r["label"]), r["n"]) for r in log_p])
+    return model
+
+
+def exponent(bins: list[tuple[float, int]]) -> float:
+    """The positive lambda with E[exp(lambda * score)] = 1, by bisection; scores are negative on average."""
+    total = sum(n for _, n in bins)
+    if not any(s > 0 and n for s, n in bins) or sum(s * n for s, n in bins) >= 0:
+        return 1.0  # log-odds: the exponent in theory
+    low, high = 1e-6, 64.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        top = max(mid * s for s, n in bins if n)
+        above = top + math.log(sum(n * math.exp(mid * s - top) for s, n in bins if n) / total) > 0
+        low, high = (low, mid) if above else (mid, high)
+    return min(low, 8.0)
+
+
+def logistic(bins: list[tuple[float, bool, int]], ridge: float = 1.0) -> tuple[float, float]:
+    """(a, b) of P(toxic) = 1 / (1 + exp(-(a - b * log p))), by Newton's method with a ridge on the slope."""
+    x = np.array([-v / 10 for v, _, _ in bins])
+    y, w = np.array([t for _, t, _ in bins], float), np.array([k for *_, k in bins], float)
+    design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        g = design.T @ (w * (p - y)) + np.array([1e-6, ridge]) * beta
+        h = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag([1e-6, ridge])
+        step = np.linalg.solve(h, g)
+        beta -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(max(0.0, beta[1]) / 10)
 
 
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first token, last token, score) of a sequence whose other
-    tokens score ``-drift``, in linear time (Ruzzo and Tompa)."""
+    """All maximal scoring segments (first token, last token, score) of a sequence of which ``hits`` gives
+    some places and scores, and whose other tokens score ``-drift``, in linear time (Ruzzo and Tompa)."""
     out: list[list] = []  # first, last, sum before, sum at the end
     total, last = 0.0, -1
     for at, s in hits:
         total -= drift * (at - last - 1)
         last = at
         left, total = total, total + s
+        if s <= 0:
+            continue
         seg = [at, at, left, total]
         while True:
             j = len(out) - 1
@@ -177,22 +265,24 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     return [(a, b, hi - lo) for a, b, lo, hi in out]
 
 
-def p_value(segs: list[tuple[int, int, float]], n: int, rate: float) -> float:
-    """Smallest p-value of the r best segments together, over r, paid for by a geometric prior."""
+def p_value(segs: list[tuple[int, int, float]], n: int, model: dict) -> float:
+    """Logarithm of the smallest p-value of the r best segments together, over r; each further
+    segment is paid for by a factor of two."""
     best, total = 0.0, 0.0
-    base = math.log(max(n, 1) * rate)
+    base = math.log(max(n, 1) * model["k"])
     for r, s in enumerate(sorted((s for *_, s in segs), reverse=True), 1):
-        total += s - base
-        if s - base <= 0:
+        x = model["lam"] * s - base
+        if x <= 0:
             break
+        total += x
         log_p = -total + (r - 1) * math.log(max(total, 1.0)) - math.lgamma(r + 1) - math.lgamma(r)
-        best = min(best, log_p + r * math.log(2.0))
+        best = min(best, log_p + (r - 1) * math.log(2.0))
     return best
 
 
 class Scorer:
-    def __init__(self, model: dict, drift: float, level: float) -> None:
-        self.scores, self.rate, self.drift, self.level = model["scores"], model["rate"], drift, level
+    def __init__(self, model: dict) -> None:
+        self.model, self.scores = model, model["scores"]
         self.cache: dict[str, float] = {}
 
     def token(self, word: str) -> float:
@@ -201,7 +291,8 @@ class Scorer:
                 return s
         return 0.0
 
-    def hits(self, text: str) -> tuple[int, list[tuple[int, float]], list]:
+    def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
+        """Number of tokens, and place and score of those in the model."""
         words = TOKEN.findall(text.lower())
         if len(self.cache) > TABLE_ENTRIES:
             self.cache.clear()
@@ -212,25 +303,27 @@ class Scorer:
                 s = cache[w] = self.token(w)
             out.append(s)
         a = np.array(out)
-        return len(words), [(int(i), float(a[i])) for i in np.flatnonzero(a)], words
+        return len(words), [(int(i), float(a[i])) for i in np.flatnonzero(a)]
 
     def score(self, text: str | None) -> tuple[float, float, list]:
-        """(score, log of the p-value, significant segments)."""
-        n, hits, _ = self.hits(text or "")
-        segs = segments(hits, self.drift) if hits else []
-        log_p = p_value(segs, n, self.rate) if segs else 0.0
-        good = [x for x in segs if x[2] > math.log(max(n, 1) * self.rate)]
-        return 1 / (1 + math.exp(max(-700.0, min(700.0, log_p - math.log(self.level))))), log_p, good
+        """(score, log of the p-value, segments of which fewer than one in twenty is expected by chance)."""
+        m = self.model
+        n, hits = self.hits(text or "")
+        segs = segments(hits, m["drift"]) if hits else []
+        log_p = p_value(segs, n, m)
+        good = [x for x in segs if m["lam"] * x[2] - math.log(max(n, 1) * m["k"]) > math.log(20)]
+        return 1 / (1 + math.exp(max(-700.0, min(700.0, m["b"] * max(log_p, LEAST_LOG_P) - m["a"])))), log_p, good
 
 
-def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", drift: float = 0.05, level: float = 0.01) -> DataFrame:
+def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score, predicted, log_p and passages (first token, last
     token, score) of the significant segments. The model has a bounded size and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("log_p", T.DoubleType()), T.StructField("passages", T.ArrayType(T.ArrayType(T.DoubleType())))]
 
     def run(batches):
-        scorer = Scorer(shared.value, drift, level)
+        scorer = Scorer(shared.value)
         for batch in batches:
             got = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -238,8 +331,7 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 ["id", "score", "predicted", "log_p", "passages"],
             )
 
-    kind = dict(df.dtypes)["id"]
-    return df.mapInArrow(run, f"id {kind}, score double, predicted int, log_p double, passages array<array<double>>").withColumnRenamed("id", id_col)
+    return df.mapInArrow(run, T.StructType([df.schema["id"], *names])).withColumnRenamed("id", id_col)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

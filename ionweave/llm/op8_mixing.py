@@ -2,11 +2,15 @@
 
 The mix with the least Kullback-Leibler divergence from the corpus' own tokens, subject to one
 token constraint a source, has exponentially tilted document rates exp(lambda of the source). The
-dual, sum of size * exp(lambda_s) - lambda_s * target_s, is convex; Newton's iterations for it run
-in a DataFrame of one row a source (the sizes are its sufficient statistic), so nothing is
-collected. Rates are then rounded into whole copies, largest documents first: each class of
+convex dual, sum over documents of size * exp(lambda_s) less lambda_s * target_s over sources, is
+minimised by distributed Newton iterations: each aggregates the gradient and the Hessian (diagonal,
+as a document has one source) from the documents, counted once by source and class of size, and
+writes the new multipliers. They stop when the largest relative gradient is below TOLERANCE; only
+that number comes to the driver.
+
+Rates are then rounded into whole copies, largest documents first: each class of
 nearly equal sizes takes the number of copies that makes up what larger ones left, and spreads
-them evenly over its documents in hash order. Reruns agree: the order depends on ids alone.
+them evenly over its documents in hash order. Reruns agree: the order depends on ids and texts alone.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share all sizes; a target
 stops at three times its source's size, the excess is reshared by weight. Equivalently every
@@ -25,16 +29,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Scratch, table
+from .shared import SPACE, Scratch, join_counted, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Rows of one source and class that one task ranks, about.
-RANKED_ROWS = 100_000
+RANKED_ROWS = 1_000
+#: Newton's iterations stop at this relative gradient; STEPS is far more than they take.
+TOLERANCE, STEPS = 1e-12, 200
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(no_source, src, source_size, target, rate) of (no_source, src, source_size).
+    """(no_source, src, source_size, target) of (no_source, src, source_size).
 
     One row a source comes in; the two ordered windows here are over sources, not documents.
     """
@@ -51,11 +57,26 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     # The level at the first source that isn't stopped holds for all later ones.
     level = F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.col("n"))).over(every)
     s = s.withColumn("target", F.least(F.col("top"), F.coalesce(level, F.lit(float("inf"))) * F.col("w")))
-    share = F.try_divide("target", F.col("source_size").cast("double"))
-    # Newton on the dual: gradient S e^l - T, Hessian S e^l.
-    tilt = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.lit(0.0), lambda lam, _: lam - 1 + share * F.exp(-lam))
-    rate = F.when(F.coalesce(F.col("target"), F.lit(0.0)) > 0, F.least(F.exp(tilt), F.lit(float(most)))).otherwise(0.0)
-    return s.select("no_source", "src", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), rate.alias("rate"))
+    return s.select("no_source", "src", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
+
+
+def newton(cells: DataFrame, per: DataFrame, scratch: Scratch) -> DataFrame:
+    """(no_source, src, rate): exp(lambda) at the minimum of the dual, from ``cells`` (no_source, src,
+    cls, tokens) and the targets ``per``; a source without a target has rate 0."""
+    key = ["no_source", "src"]
+    at = per.where("target > 0").select(*key, "target", F.lit(0.0).alias("lam"))
+    for _ in range(STEPS):
+        # Gradient: tokens * exp(lambda) - target; Hessian: tokens * exp(lambda), summed over documents.
+        mass = cells.join(at, key).groupBy(*key).agg(F.sum(F.col("tokens") * F.exp("lam")).alias("mass"), F.first("lam").alias("lam"), F.first("target").alias("target"))
+        gradient = F.col("mass") - F.col("target")
+        # A step of more than 2 would leave the range in which the quadratic model is of use.
+        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gradient / F.col("mass")))
+        after = scratch.keep(mass.select(*key, "target", (F.col("lam") - step).alias("lam"), (F.abs(gradient) / F.col("target")).alias("off")), "newton")
+        off = after.agg(F.max("off")).first()[0]
+        at = after.drop("off")
+        if off is None or off < TOLERANCE:
+            break
+    return at.select(*key, F.exp("lam").alias("rate"))
 
 
 def size_class(size):
@@ -84,25 +105,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per row of ``docs``: id, size, source_size, target, copies, taken."""
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("bigint")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), size.alias("size"))
-    # The one scan of the texts; what follows reads this narrow table.
-    rows = scratch.keep(rows.withColumn("cls", size_class(F.col("size"))), "sizes")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), size.alias("size"), F.col(text_col).alias("text"))
+    # The one scan of the texts; what follows reads this narrow table. Equal h: the same id and text.
+    h = F.xxhash64("id", F.col("text"))
+    rows = scratch.keep(rows.select("id", "no_source", "src", "size", h.alias("h"), size_class(F.col("size")).alias("cls")), "sizes")
     key = ["no_source", "src"]
-    per = scratch.keep(targets(rows.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    classes = rows.where("size > 0").groupBy(*key, "cls").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
-    copies = scratch.keep(class_copies(classes.join(per.select(*key, "rate"), key), most), "copies")
+    cells = scratch.keep(rows.where("size > 0").groupBy(*key, "cls").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")), "classes")
+    per = rows.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    counts = scratch.keep(per, "sources")
+    per = scratch.keep(targets(counts.drop("rows"), weights, most).join(counts.select(*key, "rows"), key), "targets")
+    rate = F.least(F.coalesce("rate", F.lit(0.0)), F.lit(float(most))).alias("rate")
+    rates = per.select(*key).join(newton(cells, per, scratch), key, "left").select(*key, rate)
+    copies = scratch.keep(class_copies(cells.join(rates, key), most), "copies")
 
     # Ranks within a class, in two steps so that no task ranks a whole hot class.
-    parts = 1 + rows.count() // RANKED_ROWS
-    rows = rows.withColumn("h", F.xxhash64("id")).withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
-    offsets = rows.groupBy(*key, "cls", "part").count()
-    offsets = offsets.withColumn("offset", F.sum("count").over(Window.partitionBy(*key, "cls").orderBy("part")) - F.col("count")).drop("count")
+    got = join_counted(rows, copies.withColumnRenamed("copies", "class_copies"), [*key, "cls"], "n", "left")
+    got = got.withColumn("part", F.pmod("h", 1 + F.expr(f"coalesce(n, 0) div {RANKED_ROWS}")))
+    offsets = got.where("size > 0").groupBy(*key, "cls", "part").agg(F.count("*").alias("part_rows"))
+    offsets = offsets.withColumn("offset", F.sum("part_rows").over(Window.partitionBy(*key, "cls").orderBy("part")) - F.col("part_rows")).drop("part_rows")
     rank = F.row_number().over(Window.partitionBy(*key, "cls", "part").orderBy("h", "id", "size")) - 1
-    out = rows.withColumn("rank", rank).join(offsets, [*key, "cls", "part"]).withColumn("rank", F.col("rank") + F.col("offset"))
-    out = out.join(copies, [*key, "cls"], "left").join(per.select(*key, "source_size", "target"), key)
-    up_to = lambda k: F.expr(f"(rank + {k}) * copies div n")
+    ranked = got.where("size > 0").withColumn("rank", rank).join(offsets, [*key, "cls", "part"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    up_to = lambda k: F.expr(f"(rank + {k}) * class_copies div n")
     took = F.coalesce(up_to(1) - up_to(0), F.lit(0)).cast("bigint")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", took.alias("copies"), (took * F.col("size")).alias("taken"))
+    out = scratch.keep(ranked.select("id", *key, "size", took.alias("copies")).unionByName(rows.where("size = 0").select("id", *key, "size", F.lit(0).cast("bigint").alias("copies"))), "taken")
+    out = join_counted(out, per, key, "rows")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,11 +62,12 @@ class Scratch:
 
     def drop(self, *dfs: DataFrame) -> None:
         """Remove tables that :meth:`keep` wrote, once no later step reads them."""
-        jvm = self.spark._jvm
+        self.remove(*{f.rsplit("/", 1)[0] for df in dfs for f in df.inputFiles()})
+
+    def remove(self, *folders: str) -> None:
         conf = self.spark._jsc.hadoopConfiguration()
-        tops = {f.rsplit("/", 1)[0] for df in dfs for f in df.inputFiles()}
-        for top in tops:
-            p = jvm.org.apache.hadoop.fs.Path(top)
+        for folder in folders:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
             p.getFileSystem(conf).delete(p, True)
 
 

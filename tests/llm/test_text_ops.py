@@ -286,13 +286,48 @@ def test_op9_groups(docs, rows, nothing, weak):
 
 
 def test_op9_state_outlives_a_run(spark, tmp_path):
-    schema = "id long, digest string, locator string"
+    """Two runs with one state; texts of a forged digest are told apart also when they come in different runs."""
+    from pyspark.sql import functions as F
+
+    digest = lambda c: F.substring(c, 1, 1)
     src, state = f"file://{tmp_path}/in", f"file://{tmp_path}/s"
-    for batch in ([(5, "a", "x"), (7, "b", "x")], [(2, "a", "y"), (9, "c", "y")]):
-        spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
-        o9.StreamingDedup(spark, state).ingest(src, spark.read.schema(schema).parquet(src).schema)
-    got = {r.digest: (r.keep_id, r.group_size) for r in o9.StreamingDedup(spark, state).state().collect()}
-    assert got == {"a": (2, 2), "b": (7, 1), "c": (9, 1)}
+    make = lambda: o9.StreamingDedup(spark, state, o9.file_texts(spark, digest=digest))
+    for k, batch in enumerate(([(5, "a one"), (7, "b")], [(2, "a  one"), (9, "c"), (10, "c"), (11, "b other")])):
+        spark.createDataFrame(batch, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/docs{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/docs{k}")
+        rows = docs.select(F.col("doc_id").alias("id"), digest(o9.normalised(F.col("text"))).alias("digest"), F.input_file_name().alias("locator"))
+        rows.write.mode("append").parquet(src)
+        make().ingest(src, rows.schema)
+        assert {r.digest for r in make().differ().collect()} == ({"b"} if k else set())
+    got = {r.digest: (r.keep_id, r.group_size, "docs1" in r.locator) for r in make().state().collect()}
+    assert got == {"a": (2, 2, True), "b": (7, 2, False), "c": (9, 2, True)}
+
+
+def test_op8_newton_meets_the_closed_form(spark, tmp_path):
+    """Without caps the tilted rate of a source is target / size; here over six decades, by iterations alone."""
+    from ionweave.llm.shared import Scratch
+
+    per = [(False, f"s{k}", 10**k * 7, float(3 ** (k - 4) * 10**k * 7)) for k in range(7)] + [(True, "", 5, 0.0)]
+    cells = [(n, s, c, t) for n, s, size, _ in per for c, t in ((1, size - 2), (2, 2))]
+    got = o8.newton(spark.createDataFrame(cells, "no_source boolean, src string, cls long, tokens long"), spark.createDataFrame(per, "no_source boolean, src string, source_size long, target double"), Scratch(spark, "newton"))
+    got = {r.src: r.rate for r in got.collect()}
+    assert got == {s: pytest.approx(t / size, rel=1e-9) for _, s, size, t in per if t}
+
+
+def test_op8_parts_of_a_class(spark, monkeypatch):
+    """Ranks in several parts: whole classes are dealt out, also with null and repeated ids."""
+    monkeypatch.setattr(o8, "RANKED_ROWS", 10)
+    rows = [(None if i % 3 == 0 else i // 2, f"one two {i % 50}", "a" if i % 4 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, sizes = o8.mix(df).collect(), Counter()
+    for r in rows:
+        sizes[r[2]] += 3
+    want = filled(sizes)
+    taken = Counter()
+    for r in got:
+        taken[r.source_size] += r.taken
+    assert len(got) == 300 and all(abs(taken[sizes[s]] - want[s]) <= 3 for s in want)
+    assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in o8.mix(df.repartition(5)).collect())
 
 
 def test_op10_round_trip(spark, tmp_path):
@@ -414,6 +449,101 @@ def test_op3_evidence_grows_with_the_labels(spark):
     assert model["scores"].get("zzzscum", 0) > 4.5 and "qqqcopy" not in model["scores"]
 
 
+def test_op3_scores_against_brute_force(spark):
+    """Counts, odds, calibration and scores again by plain Python, over the whole table; ties and a very long text included."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(11)
+    rows, truth = [], {}
+    for i in range(400):
+        t = [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.choice('aeiou')}{rng.choice('rstuv')}" for _ in range(rng.choice([3, 40, 90]) if i else 30_000)]
+        toxic = i % 4 == 1
+        for _ in range(rng.randint(1, 5) if toxic else int(i % 40 == 0)):
+            t.insert(rng.randrange(len(t)), rng.choice(["rotten", "rottenly", "vile", "scumbag"]))
+        if not toxic and rng.random() < 0.6:
+            t.insert(0, "kindly")
+        rows.append((i, " ".join(t)))
+        truth[i] = int(toxic)
+    rows += [(500, rows[1][1]), (501, "Kindly, VILE!"), (502, None), (503, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = o3.fit(df, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"), least_root=4.0)
+
+    tokens = {i: o3.TOKEN.findall((t or "").lower()) for i, t in rows}
+    train = [i for i in truth if zlib.crc32(str(i).encode()) % 5]
+    held_in = {y: [i for i in train if truth[i] == y] for y in (0, 1)}
+    every, toxic, clean, kinds = Counter(), defaultdict(set), Counter(), set()
+    of = lambda i: {f for w in tokens[i] for f in o3.features(w)}
+    for i in tokens:
+        every.update(of(i))
+    for i in held_in[1]:
+        kinds.add(o3.kind(tokens[i]))
+        for f in of(i):
+            toxic[f].add(o3.kind(tokens[i]))
+    for i in held_in[0]:
+        clean.update(of(i))
+    t, c, n = len(kinds), len(held_in[0]), len(rows)
+    scores = {}
+    for f in {*toxic, *clean}:
+        k, m = len(toxic[f]), clean[f]
+        a = 10 * every[f] / n + 0.5
+        p, q = (k + a) / (t + 11), (m + a) / (c + 11)
+        g = sum(x * math.log(x / ((k + m) * y / (t + c))) for x, y in ((k, t), (m, c)) if x)
+        if math.sqrt(2 * max(0, g)) >= 4:
+            scores[f] = math.log(p / (1 - min(p, 0.999))) - math.log(q / (1 - min(q, 0.999)))
+    assert model["scores"] == pytest.approx(scores) and any(v < 0 for v in scores.values()) and any(v > 0 for v in scores.values())
+    row = {i: [next((scores[f] for f in o3.features(w) if f in scores), 0.0) for w in tokens[i]] for i in tokens}
+    part = lambda y: 1 - sum(v != 0 for i in held_in[y] for v in row[i]) / (sum(len(row[i]) for i in held_in[y]) + 1)
+    drift = max(1e-3, math.log(part(0) / part(1)))
+    assert model["drift"] == pytest.approx(drift)
+    row = {i: [v or -drift for v in r] for i, r in row.items()}
+    flat = np.array([v if v == -drift else round(v / 0.1) * 0.1 for i in held_in[0] for v in row[i]])
+    assert np.exp(model["lam"] * flat).mean() == pytest.approx(1, abs=1e-6) or model["lam"] in (1.0, 8.0)
+
+    def best(s):
+        top = run = 0.0
+        for v in s:
+            run = max(0.0, run + v)
+            top = max(top, run)
+        return top
+
+    some = [i for i in held_in[0] if row[i]]
+    assert model["k"] == pytest.approx(len(some) / sum(len(row[i]) * math.exp(-model["lam"] * best(row[i])) for i in some))
+
+    def maximal(s):
+        cum = np.concatenate([[0], np.cumsum(s)])
+        out, todo = [], [(0, len(s))]
+        while todo:
+            lo, hi = todo.pop()
+            low, at, top = cum[lo], lo, (0, 0, 0)
+            for j in range(lo + 1, hi + 1):
+                if cum[j] - low > top[0] + 1e-12:
+                    top = (cum[j] - low, at, j)
+                if cum[j] < low:
+                    low, at = cum[j], j
+            if top[0] > 0:
+                out.append(top[0])
+                todo += [(lo, top[1]), (top[2], hi)]
+        return sorted(out, reverse=True)
+
+    def log_p(s):
+        xs = [model["lam"] * v - math.log(max(1, len(s)) * model["k"]) for v in maximal(s)]
+        xs = xs[: next((k for k, x in enumerate(xs) if x <= 0), len(xs))]
+        alls = [-(z := sum(xs[:r])) + (r - 1) * math.log(max(z, 1)) - math.lgamma(r + 1) - math.lgamma(r) + (r - 1) * math.log(2) for r in range(1, len(xs) + 1)]
+        return min([0.0, *alls])
+
+    got = {r.doc_id: r for r in o3.toxicity(df, model).collect()}
+    want = {i: log_p(s) for i, s in row.items()}
+    assert {i: r.log_p for i, r in got.items()} == {i: pytest.approx(v, abs=1e-6) for i, v in want.items()}
+    z = {i: model["a"] - model["b"] * max(v, -200) for i, v in want.items()}
+    assert {i: r.score for i, r in got.items()} == {i: pytest.approx(1 / (1 + math.exp(-v)), abs=1e-6) for i, v in z.items()}
+    # The logistic function is at its optimum: gradients vanish, up to the bins and the ridge.
+    p = {i: 1 / (1 + math.exp(-(model["a"] - model["b"] * max(-200, round(want[i] / 0.25) * 0.25)))) for i in train}
+    assert abs(sum(p[i] - truth[i] for i in train)) < 1e-3 and model["b"] > 0
+    assert got[500].score == got[1].score and got[502].score == got[503].score == min(r.score for r in got.values())
+
+
 def test_op3_segments_are_maximal():
     rng = random.Random(4)
 
@@ -427,7 +557,7 @@ def test_op3_segments_are_maximal():
 
     for _ in range(200):
         n, drift = rng.randint(1, 25), 0.37
-        hits = [(i, rng.choice([0.9, 1.7, 2.3, 0.21])) for i in range(n) if rng.random() < 0.3]
+        hits = [(i, rng.choice([0.9, 1.7, 2.3, 0.21, -0.8, -2.1])) for i in range(n) if rng.random() < 0.3]
         s = [-drift] * n
         for i, v in hits:
             s[i] = v
