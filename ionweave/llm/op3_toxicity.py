@@ -33,7 +33,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -84,35 +84,31 @@ def _kinds(batches):
 
 
 def _count(batches):
-    """(feature, n_all, n_clean)."""
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    """(feature, n_all, n_clean), counted by word and by beginning; the circumflex is set at the end."""
+    sets = [(Counter(), Counter()) for _ in range(1 + len(PREFIXES))]
 
     def flush():
-        names = list(counts)
-        cols = zip(*counts.values(), strict=True)
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["feature", "n_all", "n_clean"])
-        counts.clear()
-        return out
+        names, every, clean = [], [], []
+        for k, (n_all, n_clean) in enumerate(sets):
+            names += [f"^{f}" for f in n_all] if k else n_all
+            every += n_all.values()
+            clean += map(n_clean.__getitem__, n_all)
+            n_all.clear()
+            n_clean.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(every, pa.int64()), pa.array(clean, pa.int64())], ["feature", "n_all", "n_clean"])
 
-    cache: dict[str, list[str]] = {}
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = {TOTAL}
-            for w in set(TOKEN.findall((text or "").lower())):
-                f = cache.get(w)
-                if f is None:
-                    f = cache[w] = features(w)
-                seen.update(f)
-            clean = label is False
-            for f in seen:
-                c = counts[f]
-                c[0] += 1
-                if clean:
-                    c[1] += 1
-            if len(counts) > TABLE_ENTRIES:
+            words = set(TOKEN.findall((text or "").lower()))
+            seen = [words, *({w[:k] for w in words if len(w) > k} for k in PREFIXES)]
+            words.add(TOTAL)
+            for (n_all, n_clean), features_ in zip(sets, seen, strict=True):
+                n_all.update(features_)
+                if label is False:
+                    n_clean.update(features_)
+            if sum(len(n_all) for n_all, _ in sets) > TABLE_ENTRIES:
                 yield flush()
-                cache.clear()
-    if counts:
+    if any(n_all for n_all, _ in sets):
         yield flush()
 
 
@@ -168,44 +164,64 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     return calibrated(texts.join(F.broadcast(lab), "id").select("text", "label"), scores, scratch) if scores else NOTHING
 
 
+def _lists(values: list, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array([x for v in values for x in v], kind))
+
+
 def _hits(scores: dict):
     def run(batches):
         scorer = Scorer({**NOTHING, "scores": scores})
         for batch in batches:
             got = [scorer.hits(t or "") for t in batch.column(0).to_pylist()]
-            hits = [[[float(i), s] for i, s in h] for _, h in got]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.float64())))], ["label", "n", "hits"])
+            at, s = ([[x[k] for x in h] for _, h in got] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g[0] for g in got], pa.int64()), _lists(at, pa.int32()), _lists(s, pa.float64())], ["label", "n", "at", "s"])
+
+    return run
+
+
+def _bins(batches):
+    """(s, n): how many scores of a batch lie in the bin around s."""
+    for batch in batches:
+        s, n = np.unique(np.round(batch.column(0).flatten().to_numpy(zero_copy_only=False) / SCORE_BIN), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(s * SCORE_BIN), pa.array(n)], ["s", "n"])
+
+
+def _best(drift: float):
+    """(label, n, best): the scores of the maximal segments, from the best on."""
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            best = [sorted((x for *_, x in segments(list(zip(at, s, strict=True)), drift)), reverse=True) for at, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(best, pa.float64())], ["label", "n", "best"])
 
     return run
 
 
-def _per_row(model: dict, what):
-    """(label, n, v) of rows (label, n, hits), where v is ``what`` of the segments and n."""
+def _log_p(model: dict):
     def run(batches):
         for batch in batches:
-            ns = batch.column(1).to_pylist()
-            vs = [float(what(segments([(int(i), s) for i, s in h], model["drift"]) if h else [], n, model)) for n, h in zip(ns, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vs, pa.float64())], ["label", "n", "v"])
+            v = [p_value(best, n, model) for n, best in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.float64())], ["label", "v"])
 
     return run
 
 
 def calibrated(train: DataFrame, scores: dict, scratch: Scratch) -> dict:
     """The model with drift, lambda, K and the logistic function fitted on ``train`` (text, label)."""
-    shape = "label boolean, n long, hits array<array<double>>"
-    hits = scratch.keep(train.mapInArrow(_hits(scores), shape), "hits")
+    hits = scratch.keep(train.mapInArrow(_hits(scores), "label boolean, n long, at array<int>, s array<double>"), "hits")
     # The log-odds of a token outside the model.
-    share = {r["label"]: (r["h"], r["n"]) for r in hits.groupBy("label").agg(F.sum(F.size("hits")).alias("h"), F.sum("n").alias("n")).collect()}
+    share = {r["label"]: (r["h"], r["n"]) for r in hits.groupBy("label").agg(F.sum(F.size("at")).alias("h"), F.sum("n").alias("n")).collect()}
     (ht, nt), (hc, nc) = share.get(True, (0, 0)), share.get(False, (0, 0))
     if not nt or not nc:
         return NOTHING
     model = {"scores": scores, "drift": max(1e-3, math.log((1 - hc / (nc + 1)) / (1 - ht / (nt + 1))))}
-    bins = hits.where("NOT label").select(F.explode("hits").alias("h")).groupBy((F.round(F.element_at("h", 2) / SCORE_BIN) * SCORE_BIN).alias("s")).agg(F.count("*").alias("n"))
+    bins = hits.where("NOT label").select("s").mapInArrow(_bins, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
     model["lam"] = exponent([(r["s"], r["n"]) for r in bins.collect()] + [(-model["drift"], nc - hc)])
-    best = hits.where("NOT label AND n > 0").mapInArrow(_per_row(model, lambda segs, n, m: max((s for *_, s in segs), default=0.0)), "label boolean, n long, v double")
-    mass = best.agg(F.count("*").alias("d"), F.sum(F.col("n") * F.exp(-model["lam"] * F.col("v"))).alias("m")).first()
+    best = scratch.keep(hits.mapInArrow(_best(model["drift"]), "label boolean, n long, best array<double>"), "best")
+    top = F.coalesce(F.try_element_at("best", F.lit(1)), F.lit(0.0))
+    mass = best.where("NOT label AND n > 0").agg(F.count("*").alias("d"), F.sum(F.col("n") * F.exp(-model["lam"] * top)).alias("m")).first()
     model["k"] = mass["d"] / mass["m"] if mass["d"] else 1.0
-    log_p = hits.mapInArrow(_per_row(model, p_value), "label boolean, n long, v double")
+    log_p = best.mapInArrow(_log_p(model), "label boolean, v double")
     log_p = log_p.groupBy("label", (F.round(F.greatest("v", F.lit(LEAST_LOG_P)) / LOG_P_BIN) * LOG_P_BIN).alias("x")).agg(F.count("*").alias("n")).collect()
     model["a"], model["b"] = logistic([(r["x"], bool(r["label"]), r["n"]) for r in log_p])
     return model
@@ -265,19 +281,19 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     return [(a, b, hi - lo) for a, b, lo, hi in out]
 
 
-def p_value(segs: list[tuple[int, int, float]], n: int, model: dict) -> float:
+def p_value(best: list[float], n: int, model: dict) -> float:
     """Logarithm of the smallest p-value of the r best segments together, over r; each further
-    segment is paid for by a factor of two."""
-    best, total = 0.0, 0.0
+    segment is paid for by a factor of two. ``best``: scores from the best on."""
+    least, total = 0.0, 0.0
     base = math.log(max(n, 1) * model["k"])
-    for r, s in enumerate(sorted((s for *_, s in segs), reverse=True), 1):
+    for r, s in enumerate(best, 1):
         x = model["lam"] * s - base
         if x <= 0:
             break
         total += x
         log_p = -total + (r - 1) * math.log(max(total, 1.0)) - math.lgamma(r + 1) - math.lgamma(r)
-        best = min(best, log_p + (r - 1) * math.log(2.0))
-    return best
+        least = min(least, log_p + (r - 1) * math.log(2.0))
+    return least
 
 
 class Scorer:
@@ -296,21 +312,19 @@ class Scorer:
         words = TOKEN.findall(text.lower())
         if len(self.cache) > TABLE_ENTRIES:
             self.cache.clear()
-        cache, out = self.cache, []
-        for w in words:
-            s = cache.get(w)
-            if s is None:
-                s = cache[w] = self.token(w)
-            out.append(s)
-        a = np.array(out)
-        return len(words), [(int(i), float(a[i])) for i in np.flatnonzero(a)]
+        get = self.cache.get
+        out = [*map(get, words)]
+        if None in out:
+            self.cache.update((w, self.token(w)) for w in {w for w, s in zip(words, out, strict=True) if s is None})
+            out = [*map(get, words)]
+        return len(words), [(i, s) for i, s in enumerate(out) if s]
 
     def score(self, text: str | None) -> tuple[float, float, list]:
         """(score, log of the p-value, segments of which fewer than one in twenty is expected by chance)."""
         m = self.model
         n, hits = self.hits(text or "")
         segs = segments(hits, m["drift"]) if hits else []
-        log_p = p_value(segs, n, m)
+        log_p = p_value(sorted((x for *_, x in segs), reverse=True), n, m)
         good = [x for x in segs if m["lam"] * x[2] - math.log(max(n, 1) * m["k"]) > math.log(20)]
         return 1 / (1 + math.exp(max(-700.0, min(700.0, m["b"] * max(log_p, LEAST_LOG_P) - m["a"])))), log_p, good
 
