@@ -16,7 +16,7 @@ Defined cases: null and empty texts have the empty set and are linked with nothi
 five words are one shingle; a very long text is one row whose pairs weigh by its length; rows that
 share an id are one document of the graph, which the set with the smallest hash stands for; rows with a null id are linked with nothing and get a
 null component; an empty table gives an empty result; other columns, whatever their names, are
-neither read nor returned.
+neither read nor returned. Ids are integers; cast others, or number them, before.
 """
 
 from __future__ import annotations
@@ -166,6 +166,9 @@ def _links(num: int, den: int):
             for x, y in forest(t.column(1).to_numpy(), [e.values.to_numpy() for e in elems], num, den):
                 a.append(x)
                 b.append(y)
+            if len(a) > 20_000:
+                yield _out((a, b), ["a", "b"], [pa.int64(), pa.int64()])
+                a, b = [], []
         if a:
             yield _out((a, b), ["a", "b"], [pa.int64(), pa.int64()])
 
