@@ -4,8 +4,8 @@
 (as naive tools do). ``normalise`` inflates each such file once, as a stream, rewrites every record
 as a gzip member of its own and writes a sidecar index (record id, offset, length), so that a record can
 be read by a seek. ``read_archives`` reads records back through the index. Each archive begins with a
-warcinfo record; record ids are unique, a revisit names its response's one, and page ids have a
-header of their own.
+warcinfo record; a revisit names its response's record id, and page ids have a header of their own.
+Record ids are unique but for rows that repeat a page id and its payload in different archives.
 
 Files live in a folder that all executors reach (``spark.checkpoint.dir`` for the query); they are
 opened through ``pyarrow.fs``, written under a name of the attempt and renamed when complete, so
