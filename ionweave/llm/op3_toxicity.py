@@ -348,6 +348,19 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return df.mapInArrow(run, T.StructType([df.schema["id"], *names])).withColumnRenamed("id", id_col)
 
 
+def clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns; a row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -131,6 +131,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return df.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns; a row is judged by
+    its own text. Each shard is one more filter."""
+    at = docs.columns.index(text_col)
+    for part in shards(benchmark, item_col, item_text_col, shard_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches, shared=shared):
+            auto, some = build(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not scan(t, auto, some)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
