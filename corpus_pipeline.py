@@ -3,8 +3,7 @@
 Each stage reads what its predecessor kept, as Parquet in the shared folder, and all but the last
 return the columns of ``documents``. Every stage judges rows, not ids:
 
-- toxicity and decontamination carry the whole row through the operator as its identifier, so a row
-  stays or goes by its own text, whatever its id;
+- toxicity and decontamination filter whole rows, each by its own text, whatever its id;
 - exact dedup knows a row by its id and a 128-bit hash of all its columns; of rows with equal texts
   (white space apart) the one with the smallest id stays, a null id last; of rows that are equal in
   every column one stays;
@@ -24,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.llm import op3_toxicity as toxic
+from ionweave.llm import op6_decontam as leaks
 from ionweave.llm.op4_near_dedup import near_dedup
-from ionweave.llm.op6_decontam import decontaminate
 from ionweave.llm.op8_mixing import mix
 from ionweave.llm.op9_exact_dedup import exact_dedup
 from ionweave.llm.shared import Scratch, table
@@ -42,7 +41,7 @@ def _as_rows(docs: DataFrame, **more) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of op3 predicts toxic go; it learns from what the labels cover."""
     model = toxic.fit(docs, table(spark, sf_dir, "labels"))
-    return toxic.toxicity(_as_rows(docs), model, "row").where("predicted = 0").select("row.*")
+    return toxic.clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +82,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate(_as_rows(docs), table(spark, sf_dir, "benchmark"), "row").where("NOT contaminated").select("row.*")
+    return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
