@@ -186,9 +186,22 @@ def _cdf(s, d):
     return rounded(views.cdf(views.channel_table(cells_dataset(s, d)), "prevalence"), value=6, share=6)
 
 
-def _hist(s, d):
-    f = normalize.with_factor(peaks_dataset(s, d).peaks, "median", 1e-12).groupBy("pixel_id").agg(F.first("factor").alias("factor"))
-    return rounded(views.histogram(f, "factor", 16), left=3, right=3)
+def _hist(bins):
+    def run(s, d):
+        f = normalize.with_factor(peaks_dataset(s, d).peaks, "median", 1e-12).groupBy("pixel_id").agg(F.first("factor").alias("factor"))
+        return rounded(views.histogram(f, "factor", bins), left=3, right=3)
+
+    return run
+
+
+def _hist_counts(s, d):
+    n = peaks_dataset(s, d).peaks.groupBy("pixel_id").agg(F.count("*").alias("n"))
+    return rounded(views.histogram(n, "n", "integer"), left=3, right=3)
+
+
+def _plotted(s, d):
+    ds = peaks_dataset(s, d)
+    return rounded(views.plotted_mz(views.pixel_spectrum(ds, 4, 5), views.pixel_spectrum(ds, 5, 5)), mz=6)
 
 
 def _contrast(s, d):
@@ -285,7 +298,7 @@ def queries() -> dict:
     out |= {"consensus_kde_maxima": _kde("maxima"), "consensus_kde_axis": _kde("axis"), "consensus_kde_cells": _kde("cells"), "consensus_budget": _kde("budget")}
     out |= {"consensus_dbscan_axis": _dbscan("axis"), "consensus_dbscan_cells": _dbscan("cells")}
     out |= {"channel_table": _channel_table, "channel_topn": _top, "channel_nearest": _nearest, "channel_image": _channel_image, "axis_nearest_join": _nearest_join}
-    out |= {"whatif_prevalence": _whatif, "cdf_prevalence": _cdf, "hist_factor": _hist}
+    out |= {"whatif_prevalence": _whatif, "cdf_prevalence": _cdf, "hist_factor": _hist(16), "hist_factor_sqrt": _hist("sqrt"), "hist_peak_counts": _hist_counts, "plotted_mz": _plotted}
     out |= {"fdr_prevalence": _fdr("draws"), "fdr_prevalence_exact": _fdr("exact")}
     out |= {"morans_i_queen": _moran("queen"), "morans_i_rook": _moran("rook"), "morans_i_fdr": _moran_fdr}
     out |= {"hot_pixels_mark": _hot("mark"), "hot_pixels_zero": _hot("zero"), "hot_pixels_neighbors_pl": _hot("pl"), "hot_pixels_neighbors_pm": _hot("pm")}

@@ -194,6 +194,13 @@ ch AS (SELECT CAST(row_number() OVER (ORDER BY mz) - 1 AS INTEGER) AS channel, *
     out["hist_factor"] = f"""WITH {PEAKS}, f AS (SELECT median(intensity) FILTER (intensity > 0) AS v FROM peaks GROUP BY pixel_id), s AS (SELECT min(v) AS lo, max(v) AS hi FROM f),
 b AS (SELECT CAST(least(15, floor((v - lo) / (hi - lo) * 16)) AS INTEGER) AS bin, count(*) AS n FROM f, s GROUP BY 1)
 SELECT CAST(r.range AS INTEGER) AS bin, round(lo + r.range * ((hi - lo) / 16), 3) AS "left", round(lo + (r.range + 1) * ((hi - lo) / 16), 3) AS "right", coalesce(n, 0) AS n FROM range(16) r CROSS JOIN s LEFT JOIN b ON b.bin = r.range"""
+    out["hist_factor_sqrt"] = f"""WITH {PEAKS}, f AS (SELECT median(intensity) FILTER (intensity > 0) AS v FROM peaks GROUP BY pixel_id),
+s AS (SELECT min(v) AS lo, max(v) AS hi, CAST(least(50, greatest(8, floor(sqrt(count(v))))) AS INTEGER) AS k FROM f),
+b AS (SELECT CAST(least(k - 1, floor((v - lo) / (hi - lo) * k)) AS INTEGER) AS bin, count(*) AS n FROM f, s GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS bin, round(lo + r.range * ((hi - lo) / k), 3) AS "left", round(lo + (r.range + 1) * ((hi - lo) / k), 3) AS "right", coalesce(n, 0) AS n FROM range(50) r JOIN s ON r.range < k LEFT JOIN b ON b.bin = r.range"""
+    out["hist_peak_counts"] = f"""WITH {PEAKS}, f AS (SELECT count(*) AS v FROM peaks GROUP BY pixel_id), s AS (SELECT min(v) AS lo, max(v) AS hi FROM f)
+SELECT CAST(g.range - lo AS INTEGER) AS bin, CAST(g.range AS DOUBLE) AS "left", CAST(g.range + 1 AS DOUBLE) AS "right", (SELECT count(*) FROM f WHERE v = g.range) AS n FROM s, range((SELECT lo FROM s), (SELECT hi + 1 FROM s)) g"""
+    out["plotted_mz"] = f"WITH {PEAKS} SELECT round(m, 6) AS mz FROM (SELECT DISTINCT mz AS m FROM peaks WHERE pixel_id IN (4 * 16 + 3, 4 * 16 + 4))"
     out["fdr_prevalence"] = f"""WITH {CELLS}, fl AS (SELECT channel, rep.range AS rep, count(DISTINCT {md5i("'7'", "rep.range", "channel", "ball")} % (SELECT n FROM np)) AS fu FROM (SELECT channel, unnest(range(1, n_peaks + 1)) AS ball FROM channels), range(9) rep GROUP BY channel, rep.range),
 pp AS (SELECT channel, any_value(n_peaks) AS balls, any_value(n_peaks // 2) AS obs, (count(*) FILTER (fu >= n_peaks // 2) + 1) / 10.0::DOUBLE AS p FROM fl JOIN channels USING (channel) GROUP BY channel), {BH.format(src='pp')}
 SELECT channel, CAST(obs AS BIGINT) AS obs, CAST(balls AS BIGINT) AS balls, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS kept FROM qq"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..model import PIXEL, MsiDataset, RoiDef
 
 PROJECTIONS = ("tic", "rms", "median", "base_peak", "peak_count", "mean_mz")
 RAW_BIN_PPM = 50.0
+#: Stretches of the range that a distribution function is summed in.
+CDF_PARTS = 1000
 
 
 def project(ds: MsiDataset, kind: str) -> DataFrame:
@@ -119,12 +123,27 @@ def ion_image(ds: MsiDataset, mz: float, ppm: float) -> DataFrame:
     return image(ds.pixels, assign(ds.peaks, axis).groupBy(*PIXEL).agg(F.max("intensity").alias("value")), ds.grid_shape)
 
 
+def _finite(values: DataFrame, col: str) -> DataFrame:
+    """(v): the finite values, as doubles."""
+    return values.where(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) < float("inf"))).select(F.col(col).cast("double").alias("v"))
+
+
 def cdf(values: DataFrame, col: str) -> DataFrame:
-    """Distinct finite values with the share of values up to them."""
-    v = values.where(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) < float("inf"))).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))  # over distinct values
-    total = F.sum("n").over(Window.partitionBy())
-    return v.select("value", (upto / total).alias("share"))
+    """Distinct finite values with the share of values up to them, ranked by stretches of the range."""
+    v = _finite(values, col).groupBy(F.col("v").alias("value")).agg(F.count("*").alias("n"))
+    span = v.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total"))
+    v = v.join(F.broadcast(span))  # one row is broadcast
+    v = v.withColumn("part", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CDF_PARTS)).otherwise(0))
+    below = v.groupBy("part").agg(F.sum("n").alias("here"))  # CDF_PARTS + 1 rows at most
+    below = below.select("part", (F.sum("here").over(Window.orderBy("part")) - F.col("here")).alias("below"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return v.withColumn("upto", upto).join(F.broadcast(below), "part").select("value", ((F.col("upto") + F.col("below")) / F.col("total")).alias("share"))
+
+
+def plotted_mz(*series: DataFrame) -> DataFrame:
+    """(mz): the distinct m/z of all plotted series, ascending; a click snaps to the nearest of them."""
+    every = functools.reduce(DataFrame.unionByName, (x.select(F.col("mz").cast("double").alias("mz")) for x in series))
+    return every.where("mz IS NOT NULL").distinct().orderBy("mz")
 
 
 def survivors(values: DataFrame, col: str, thresholds: list[float], current: float, above: bool = True) -> DataFrame:
@@ -135,13 +154,21 @@ def survivors(values: DataFrame, col: str, thresholds: list[float], current: flo
     return counts.select(rows, "now").select("r.threshold", "r.n", (F.col("r.n") - F.col("now")).alias("delta"))
 
 
-def histogram(values: DataFrame, col: str, bins: int) -> DataFrame:
-    """(bin, left, right, n) over the range of the finite values; the last bin holds its right end."""
-    v = values.where(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) < float("inf"))).select(F.col(col).cast("double").alias("v"))
-    span = v.agg(F.min("v").alias("lo"), F.max("v").alias("top"))
-    span = span.where("lo IS NOT NULL").select("lo", F.when(F.col("top") > F.col("lo"), F.col("top")).otherwise(F.col("lo") + 1.0).alias("hi"))
-    k = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
+def histogram(values: DataFrame, col: str, bins: int | str) -> DataFrame:
+    """(bin, left, right, n) over the range of the finite values; the last bin holds its right end.
+
+    ``bins`` is a number, ``"sqrt"`` (the root of the number of values, from 8 to 50) or ``"integer"``
+    (one bin an integer)."""
+    v = _finite(values, col)
+    span = v.agg(F.min("v").alias("lo"), F.max("v").alias("top"), F.count("*").alias("k")).where("lo IS NOT NULL")
+    if bins == "integer":
+        whole = lambda c: F.col(c).cast("bigint").cast("double")
+        span = span.select(whole("lo").alias("lo"), (whole("top") + 1).alias("hi")).withColumn("bins", (F.col("hi") - F.col("lo")).cast("int"))
+    else:
+        count = F.least(F.lit(50), F.greatest(F.lit(8), F.floor(F.sqrt("k")))).cast("int") if bins == "sqrt" else F.lit(bins)
+        span = span.select("lo", F.when(F.col("top") > F.col("lo"), F.col("top")).otherwise(F.col("lo") + 1.0).alias("hi"), count.alias("bins"))
+    k = F.least(F.col("bins") - 1, F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"))).cast("int")
     n = v.join(F.broadcast(span)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))  # one row is broadcast
-    every = span.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    w = (F.col("hi") - F.col("lo")) / bins
+    every = span.select("lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    w = (F.col("hi") - F.col("lo")) / F.col("bins")
     return every.join(n, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * w).alias("left"), (F.col("lo") + (F.col("bin") + 1) * w).alias("right"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -27,10 +27,15 @@ MZ_ARRAY, INTENSITY_ARRAY = "MS:1000514", "MS:1000515"
 OFFSET, LENGTH = "IMS:1000102", "IMS:1000103"
 POS_X, POS_Y, MAX_X, MAX_Y = "IMS:1000050", "IMS:1000051", "IMS:1000042", "IMS:1000043"
 PIXEL_SIZE, MD5, LOWEST, HIGHEST = "IMS:1000046", "IMS:1000090", "MS:1000528", "MS:1000527"
-FAMILY = {"MS:1000484": "orbitrap", "MS:1000079": "fticr", "MS:1000106": "tof_reflectron", "MS:1000084": "tof_axial"}
-ION = {"MS:1002011": "desi", "MS:1000075": "maldi", "MS:1000402": "sims", "MS:1000073": "esi"}
-MODE = {"MS:1000127": "centroided", "MS:1000128": "profile"}
-POLARITY = {"MS:1000130": "positive", "MS:1000129": "negative"}
+#: Terms that tell a value, as an accession number or a part of a term's name in lower case; the first that is found counts.
+ION = (("maldi", ("MS:1000075", "matrix-assisted laser desorption")), ("desi", ("MS:1002011", "desorption electrospray")), ("sims", ("MS:1000402", "secondary ion")), ("esi", ("MS:1000073", "electrospray ionization")))
+MODE = (("profile", ("MS:1000128", "profile spectrum")), ("centroided", ("MS:1000127", "centroid spectrum")))
+POLARITY = (("negative", ("MS:1000129", "negative scan")), ("positive", ("MS:1000130", "positive scan")))
+ORBITRAP, FTICR = ("MS:1000484", "orbitrap"), ("MS:1000079", "ft-icr", "ion cyclotron resonance")
+TOF, REFLECTRON = ("MS:1000084", "time-of-flight"), ("MS:1000106", "reflectron")
+QTOF, FLEX = ("q-tof", "quadrupole time-of-flight"), ("bruker daltonics flex series",)
+ANALYZER = {"orbitrap": (ORBITRAP,), "fticr": ((FTICR[0], "fourier transform ion cyclotron resonance"),), "tof_axial": (TOF,), "tof_reflectron": (TOF, (REFLECTRON[0], "reflectron on")), "qtof": ((TOF[0], QTOF[1]),)}
+NAME = "name:"
 MARK = "shared axis"
 AXIS_ENDING = ".axis.json"
 #: Spectra of one task.
@@ -61,6 +66,7 @@ def parse(path: str) -> tuple[list[tuple], dict[str, list[str]], dict[str, str]]
     user: dict[str, str] = {}
     spectra = []
     params = lambda e: {c.get("accession"): c.get("value", "") for c in e if _tag(c) == "cvParam"}
+    names: set[str] = set()
     depth = 0
     for event, e in ET.iterparse(path, ("start", "end")):
         kind = _tag(e)
@@ -68,6 +74,8 @@ def parse(path: str) -> tuple[list[tuple], dict[str, list[str]], dict[str, str]]
             depth += 1 if event == "start" else -1
         if event == "start":
             continue
+        if kind == "cvParam":
+            names.add((e.get("name") or "").lower())
         if kind == "referenceableParamGroup":
             groups[e.get("id")] = params(e)
             for k, v in groups[e.get("id")].items():
@@ -88,21 +96,52 @@ def parse(path: str) -> tuple[list[tuple], dict[str, list[str]], dict[str, str]]
                 dtype = next((DTYPES[k] for k in DTYPES if k in p), "<f4")
                 arrays[what] = (int(p[OFFSET]), int(p[LENGTH]), dtype)
             for k, v in params(e).items():
-                if k in (LOWEST, HIGHEST) or k in MODE or k in POLARITY:
+                if k in (LOWEST, HIGHEST):
                     header.setdefault(k, []).append(v)
+                else:
+                    header.setdefault(k, [v])
             spectra.append((int(own[POS_X]), int(own[POS_Y]), *arrays[MZ_ARRAY], *arrays[INTENSITY_ARRAY]))
             e.clear()
         elif not depth and kind == "cvParam":
             header.setdefault(e.get("accession"), []).append(e.get("value", ""))
         elif not depth and kind == "userParam":
             user[e.get("name")] = e.get("value", "")
-    return spectra, header, user
+    # Names of terms are terms too.
+    return spectra, header | {NAME + n: [] for n in names if n}, user
+
+
+def family(has) -> str | None:
+    """The instrument by its terms, the most precise first."""
+    if has(ORBITRAP):
+        return "orbitrap"
+    if has(FTICR):
+        return "fticr"
+    if has(TOF) or REFLECTRON[0] in has.terms:
+        if has(QTOF):
+            return "qtof"
+        # Instruments of the flex series are reflectrons in common use.
+        return "tof_reflectron" if has(REFLECTRON) or has(FLEX) else "tof_axial"
+    return None
+
+
+class Terms:
+    """Whether any of some terms is there, by accession number or as a part of a name."""
+
+    def __init__(self, header: dict[str, list[str]]) -> None:
+        self.terms = {k for k in header if not k.startswith(NAME)}
+        self.names = [k[len(NAME) :] for k in header if k.startswith(NAME)]
+
+    def __call__(self, some: tuple[str, ...]) -> bool:
+        return any(t in self.terms or any(t in n for n in self.names) for t in some)
 
 
 def metadata(header: dict[str, list[str]]) -> dict[str, Any]:
     out: dict[str, Any] = {}
-    for name, terms in (("instrument_family", FAMILY), ("ionization", ION), ("profile_or_centroided", MODE), ("polarity", POLARITY)):
-        out |= {name: v for v in [next((terms[k] for k in terms if k in header), None)] if v}
+    has = Terms(header)
+    for name, terms in (("ionization", ION), ("profile_or_centroided", MODE), ("polarity", POLARITY)):
+        out |= {name: v for v in [next((v for v, some in terms if has(some)), None)] if v}
+    if kind := family(has):
+        out["instrument_family"] = kind
     number = lambda k: [float(v) for v in header.get(k, []) if v]
     lo, hi = number(LOWEST), number(HIGHEST)
     if lo and hi and max(hi) > min(lo):
@@ -199,7 +238,7 @@ def write_imzml(ds: MsiDataset, path: str, *, write_zero_intensity: bool = False
             body.append(f'<spectrum id="scan={len(body) + 1}" index="{len(body)}" defaultArrayLength="0"><referenceableParamGroupRef ref="spectrum"/><scanList count="1"><scan>{_cv(POS_X, "position x", r["gx"] + 1)}{_cv(POS_Y, "position y", r["gy"] + 1)}</scan></scanList><binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>')
             at += len(raw)
     ep, digest = ds.metadata, md5.hexdigest()
-    inverse = lambda terms, v: "".join(_cv(k, v) for k, n in terms.items() if n == v)
+    inverse = lambda terms, v: "".join(_cv(*some[:2]) for n, some in terms if n == v)
     bounds = _cv(LOWEST, "lowest observed m/z", repr(float(lo))) + _cv(HIGHEST, "highest observed m/z", repr(float(hi))) if hi > lo else ""
     h, w = ds.grid_shape
     size = _cv(PIXEL_SIZE, "pixel size", ep.pixel_size_um) if ep.pixel_size_um else ""
@@ -211,7 +250,7 @@ def write_imzml(ds: MsiDataset, path: str, *, write_zero_intensity: bool = False
         f'<referenceableParamGroup id="intensity">{_cv(INTENSITY_ARRAY, "intensity array")}{_cv("MS:1000521", "32-bit float")}</referenceableParamGroup>'
         f'<referenceableParamGroup id="spectrum">{inverse(MODE, ep.profile_or_centroided)}{inverse(POLARITY, ep.polarity)}{bounds}</referenceableParamGroup></referenceableParamGroupList>'
         f'<scanSettingsList count="1"><scanSettings id="s">{_cv(MAX_X, "max count of pixels x", w)}{_cv(MAX_Y, "max count of pixels y", h)}{size}</scanSettings></scanSettingsList>'
-        f'<instrumentConfigurationList count="1"><instrumentConfiguration id="i"><componentList count="2"><source order="1">{inverse(ION, ep.ionization)}</source><analyzer order="2">{inverse(FAMILY, ep.instrument_family)}</analyzer></componentList></instrumentConfiguration></instrumentConfigurationList>'
+        f'<instrumentConfigurationList count="1"><instrumentConfiguration id="i"><componentList count="2"><source order="1">{inverse(ION, ep.ionization)}</source><analyzer order="2">{"".join(_cv(*t) for t in ANALYZER.get(ep.instrument_family, ()))}</analyzer></componentList></instrumentConfiguration></instrumentConfigurationList>'
         f'<run id="r"><spectrumList count="{len(body)}">'
     )
     with open(stem + ".imzML", "w", encoding="utf-8") as f:

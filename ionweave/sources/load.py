@@ -8,13 +8,18 @@ import os
 from pyspark.sql import SparkSession
 
 from ..model import MsiDataset
+from . import native, spec
 from .andi import read_cdf, read_cdf_image
 from .imzml import read_imzml
 
 
-def load(spark: SparkSession, path: str, dataset_id: str | None = None) -> MsiDataset:
-    """An imzML pair, an ANDI-MS file, or a folder of ANDI-MS lines."""
+def load(spark: SparkSession, path: str, dataset_id: str | None = None) -> MsiDataset | spec.Spec:
+    """An imzML pair, an ANDI-MS file, a folder of ANDI-MS lines, a saved dataset, or a manifest."""
     low = path.lower()
+    if low.endswith(".spec.xml"):
+        return spec.read(path)
+    if os.path.exists(os.path.join(path, native.ABOUT)):
+        return native.read(spark, path)
     if os.path.isdir(path):
         return read_cdf_image(spark, path, dataset_id=dataset_id)
     if low.endswith((".imzml", ".ibd")):

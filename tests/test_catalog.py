@@ -7,7 +7,7 @@ import pytest
 from ionweave import catalog
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["proj_rms", "roi_spectrum_matrix_median", "ref_ions", "norm_median", "pick_snr", "consensus_dbscan_axis", "morans_i_queen", "hot_pixels_neighbors_pm", "bg_reject", "hist_factor"]
+SOME = ["proj_rms", "roi_spectrum_matrix_median", "ref_ions", "norm_median", "pick_snr", "consensus_dbscan_axis", "morans_i_queen", "hot_pixels_neighbors_pm", "bg_reject", "hist_factor", "hist_factor_sqrt", "hist_peak_counts", "plotted_mz", "cdf_prevalence"]
 
 
 def test_every_statement_has_its_query():

@@ -412,3 +412,53 @@ def test_streaming_ingest(spark, ds, tmp_path):
     assert got[0] == 10 and got[20] == 5
     ingest.ingest(spark, src, f"{tmp_path}/t", f"{tmp_path}/c2")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 175
+
+
+def test_instrument_by_names_of_terms():
+    from ionweave.sources.imzml import NAME, metadata
+
+    family = lambda *terms: metadata({t if ":1" in t else NAME + t.lower(): [] for t in terms}).get("instrument_family")
+    assert family("MS:1000084") == family("Time-of-flight") == "tof_axial"
+    assert family("MS:1000084", "quadrupole time-of-flight") == family("MS:1000084", "a Q-TOF of some kind") == "qtof"
+    assert family("MS:1000084", "reflectron on") == family("MS:1000084", "Bruker Daltonics flex series") == "tof_reflectron"
+    assert family("LTQ Orbitrap", "MS:1000084") == "orbitrap" and family("FT-ICR") == "fticr" and family("x") is None
+    assert metadata({NAME + "desorption electrospray ionization": [], NAME + "profile spectrum": [], NAME + "negative scan": []}) == {"ionization": "desi", "profile_or_centroided": "profile", "polarity": "negative"}
+
+
+def test_saved_dataset(spark, tmp_path):
+    from ionweave.catalog import cells_dataset
+    from ionweave.model import DatasetIdentity, OpRecord, RoiDef
+    from ionweave.sources import load, native
+
+    ds = cells_dataset(spark, "/root/testdata/sf0.001").with_(identity=DatasetIdentity("a", "b", None, (("k", "v"),)), rng_seed=5)
+    ds = ds.with_rois(RoiDef("r", ((0.0, 0.0), (0.0, 2.5), (2.5, 2.5)), True)).with_history(OpRecord("op", "p", "i", "o", (("n", 1.0),))).with_extras(more=ds.channels.select("dataset_id", "channel"))
+    native.write(ds, f"{tmp_path}/saved")
+    got = load.load(spark, f"{tmp_path}/saved")
+    for name in ("metadata", "identity", "history", "rois", "rng_seed", "grid_shape"):
+        assert getattr(got, name) == getattr(ds, name), name
+    assert got.hash() == ds.hash() and got.peaks is None and set(got.extras) == {"more"}
+    for name in ("pixels", "cells", "channels"):
+        a, b = getattr(got, name), getattr(ds, name)
+        assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_bins_and_union(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=500)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    h = views.histogram(df, "x", "sqrt").orderBy("bin").collect()
+    assert [r.n for r in h] == list(np.histogram(x, bins=22)[0]) and h[0].left == pytest.approx(x.min())
+    k = rng.integers(3, 12, 300)
+    h = views.histogram(spark.createDataFrame([(int(v),) for v in k], "x long"), "x", "integer").orderBy("bin").collect()
+    assert [r.n for r in h] == list(np.histogram(k, np.arange(k.min(), k.max() + 2))[0]) and h[0].left == k.min()
+    c = {r.value: r.share for r in views.cdf(df, "x").collect()}
+    assert c == {v: pytest.approx((x <= v).mean()) for v in x}
+    assert [r.mz for r in views.plotted_mz(spark.createDataFrame([(2.0,), (1.0,)], "mz double"), spark.createDataFrame([(2.0,), (None,)], "mz double")).collect()] == [1.0, 2.0]
+
+
+def test_grades_of_all_ways():
+    grades = lambda key, *vs: [diagnostics.grade(key, v) for v in vs]
+    assert grades("fraction_hot", 0.05, 0.1, 0.15, 0.2) == ["ok", "warn", "warn", "bad"]
+    assert grades("improvement_ppm", 0.1, 0.0) == ["ok", "bad"] and grades("factor_min", 1.0, 0.0) == ["", "bad"]
+    assert grades("warning_flat_tolerance", 0.0, 1.0) == ["", "bad"] and grades("cohort_prevalence_median", 0.4, 0.3, 0.1) == ["ok", "warn", "bad"]
+    assert diagnostics.shown("fraction_kept", 0.25) == "25.0%" and diagnostics.shown("p_value_min", 0.00123) == "0.0012" and diagnostics.shown("n_pixels", 7.0) == "7" and diagnostics.shown("ppm_shift_median", 3.0) == "+3.00"
