@@ -46,7 +46,7 @@ from .shared import Scratch, table
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 #: Entries after which a task hands on its counts, or a worker forgets the scores it has cached.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 100_000
 TOTAL = ""
 
 
