@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, table
+from .shared import Scratch, pieces, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
@@ -71,7 +71,7 @@ def _kinds(batches):
         pairs.clear()
         return out
 
-    for batch in batches:
+    for batch in pieces(batches):
         for text in batch.column(0).to_pylist():
             words = TOKEN.findall((text or "").lower())
             k = kind(words)
@@ -97,7 +97,7 @@ def _count(batches):
             n_clean.clear()
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(every, pa.int64()), pa.array(clean, pa.int64())], ["feature", "n_all", "n_clean"])
 
-    for batch in batches:
+    for batch in pieces(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(TOKEN.findall((text or "").lower()))
             seen = [words, *({w[:k] for w in words if len(w) > k} for k in PREFIXES)]
@@ -171,7 +171,7 @@ def _lists(values: list, kind) -> pa.ListArray:
 def _hits(scores: dict):
     def run(batches):
         scorer = Scorer({**NOTHING, "scores": scores})
-        for batch in batches:
+        for batch in pieces(batches):
             got = [scorer.hits(t or "") for t in batch.column(0).to_pylist()]
             at, s = ([[x[k] for x in h] for _, h in got] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g[0] for g in got], pa.int64()), _lists(at, pa.int32()), _lists(s, pa.float64())], ["label", "n", "at", "s"])
@@ -338,7 +338,7 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             got = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= 0.5) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64()), pa.array([[[float(v) for v in s] for s in g[2]] for g in got], pa.list_(pa.list_(pa.float64())))],
@@ -355,7 +355,7 @@ def clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([scorer.score(t)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import pieces, table
 
 WINDOW = 10
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -140,7 +140,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         def run(batches, shared=shared):
             auto, some = build(shared.value)
-            for batch in batches:
+            for batch in pieces(batches):
                 yield batch.filter(pa.array([not scan(t, auto, some)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

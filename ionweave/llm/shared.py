@@ -41,6 +41,14 @@ def runtime_filters(spark: SparkSession):
     return session_conf(spark, {f"{name}enabled": "true", f"{name}applicationSideScanSizeThreshold": "0", f"{name}creationSideThreshold": "1g", f"{name}expectedNumItems": "4000000", f"{name}maxNumBits": str(1 << 26)})
 
 
+def pieces(batches, rows: int = 256):
+    """Arrow batches cut into pieces of some rows: what a worker holds, and what goes back to the JVM at
+    once, stays small whatever the texts' lengths."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 class Scratch:
     """A new folder below the shared one for the written tables of one call."""
 
