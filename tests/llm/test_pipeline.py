@@ -67,7 +67,9 @@ def brute(rows, toxic, items):
     rows = [r for k, r in enumerate(order) if root[k] == k]
     words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER))
     windows = {tuple(w[i : i + 10]) for w in map(words, items) for i in range(max(1, len(w) - 9) if w else 0)}
-    return [r for r in rows if not any(tuple(words(r[1])[i : i + n]) in windows for n in {len(w) for w in windows} for i in range(len(words(r[1])) - n + 1))]
+    lengths = {len(w) for w in windows}
+    hit = lambda ws: any(tuple(ws[i : i + n]) in windows for n in lengths for i in range(len(ws) - n + 1))
+    return [r for r in rows if not hit(words(r[1]))]
 
 
 def test_rows_against_brute_force(spark, tmp_path):
