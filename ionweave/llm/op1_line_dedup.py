@@ -6,9 +6,9 @@
 2. Items get 8 bands of 3 minwise values of their 8-character shingles (a shorter line is one
    shingle). A shingle is hashed once; its 24 orders are four rotations of the hash, each
    seen from six points by exclusive or. All minima are taken in one hash aggregation.
-3. A band's values propose a group. Bands behave as independent ones (measured, see README): at
-   similarity 0.8 a pair misses all bands with probability 3e-3, at 0.85 with 5e-4, at 0.9 with
-   3e-5. That is all that is missed, however large groups are.
+3. A band's values propose a group. Were bands independent, a pair would miss all of
+   them with probability 3e-3 at similarity 0.8, 5e-4 at 0.85 and 3e-5 at 0.9; they are not quite, so short
+   lines miss more (see README). That is all that is missed, however large groups are.
 4. Pairs of the groups are verified by the exact Jaccard similarity of their shingle sets (at
    least 0.8), then joined by distributed union-find. Members of a group are first compared with its
    leader, the member that is in most and largest groups (a large group has several leaders); then
