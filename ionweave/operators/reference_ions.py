@@ -24,7 +24,7 @@ def best_of_bins(peaks: DataFrame, ppm: float) -> DataFrame:
     """The strongest peak of each pixel and bin; ties go to the earliest peak, then the lowest m/z."""
     top = F.max(F.struct(F.col("intensity").cast("double").alias("i"), (-F.col("peak_idx")).alias("k"), (-F.col("mz")).alias("m")))
     got = peaks.groupBy(*PIXEL, log_bin("mz", ppm).alias("bin")).agg(top.alias("t"))
-    return got.select(*PIXEL, "bin", (-F.col("t.m")).alias("mz"), F.col("t.i").alias("intensity"))
+    return got.select(*PIXEL, "bin", (-F.col("t.k")).alias("peak_idx"), (-F.col("t.m")).alias("mz"), F.col("t.i").alias("intensity"))
 
 
 def kept_bins(best: DataFrame, n_pixels: DataFrame, p: ReferenceIonParams) -> DataFrame:
