@@ -12,9 +12,13 @@ the second that are whole at the same time; both edges' pieces are tables made f
 answers are kept in a table of pairs. A row of tokens is what the merges make of a word if and only if
 all neighbours are compatible, since tokens are merged in the order of their ids (which is checked).
 
+Where the longest tokens in a row, which the automaton gives at once, are compatible, they are the answer;
+only other words need the search.
+
 Normalisation and the cut into words are those of the tokenizer's file, by its library. No word holds
-white space, so a text is cut at it and each chunk handled alone; the ids of short chunks are kept in a
-bounded table. Special tokens in a text are tokens, as the library has it.
+white space, so a text is cut at it and each chunk handled alone. Chunks of common Latin letters, digits
+and marks, where both steps are lower case and one pattern, are cut without the library. The ids of
+short words and chunks are kept in bounded tables. Special tokens in a text are tokens, as the library has it.
 
 Decoding joins the tokens' strings with blanks, as the file names no decoder: one gather from a single
 buffer of all strings, by a table of offsets.
@@ -41,8 +45,8 @@ from pyspark.sql import types as T
 
 from .shared import pieces, table
 
-#: Chunks after which a worker forgets those it has encoded, and the characters up to which one is kept.
-TABLE_ENTRIES, CHUNK_CHARS = 200_000, 64
+#: Entries after which a worker forgets those that it hasn't used since, and the characters up to which a word is kept.
+TABLE_ENTRIES, WORD_CHARS = 100_000, 64
 #: Characters of a text that are cut into chunks at once.
 RUN_CHARS = 1 << 18
 #: Ids that are decoded at once.
@@ -50,9 +54,32 @@ RUN_IDS = 1 << 18
 #: The largest vocabulary file that is broadcast.
 MAX_FILE = 64 << 20
 WHITE = re.compile(r"[ \t\n\r]+")
+# The words of the file's pattern, its cut of texts of PLAIN characters in lower case. PLAIN are those that
+# normalisation leaves but for their case, one by one: no marks that compose, no other white space.
+PLAIN = re.compile("[ \t\n\r\x21-\x7e¡«»¿\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]*+")
+PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[!-/:-@\\[-`{-~¡«»¿]+")
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NEVER = 1 << 40
 
 
+class Kept(dict):
+    """The answers of ``make``, of which the last used are kept: at most twice ``TABLE_ENTRIES``."""
+
+    def __init__(self, make) -> None:
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+        if type(key) is not str or len(key) <= WORD_CHARS:
+            if len(self) >= TABLE_ENTRIES:
+                self.before = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Encoder:
     """The tables of one tokenizer file (BPE with words' ends marked, over byte symbols)."""
 
@@ -90,7 +117,7 @@ class Encoder:
         # Pieces at both edges of a token, with the id of the token that each of them goes into.
         self.right: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         self.left: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = Kept(lambda p: not self._crossed(*p, NEVER))
         usable = [False] * n
         for i in sorted(vocab.values()):
             self.right[i] = self.left[i] = [(i, NEVER)]
@@ -108,7 +135,11 @@ class Encoder:
             self.automaton.add_word(s, i)
             self.shorter[i] = next((ids[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in ids), -1)
         self.automaton.make_automaton()
-        self.known: dict[str, bytes] = {}
+        cut = [x["pattern"].get("Regex") for x in spec["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
+        steps = [x["type"] for x in spec["normalizer"].get("normalizers", [])]
+        #: Whether PLAIN texts are cut by PLAIN_WORD.
+        self.has_plain = cut == [PLAIN_PATTERN] and steps == ["NFC", "Replace", "Lowercase"]
+        self.plain_words, self.chunks = Kept(self._plain_word), Kept(self._chunk)
 
     def as_symbols(self, s: str) -> str:
         if s.endswith(self.end) and len(s) > len(self.end):
@@ -126,29 +157,32 @@ class Encoder:
                     return True
         return False
 
-    def compatible(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= TABLE_ENTRIES:
-                self.pairs.clear()
-            got = self.pairs[a, b] = not self._crossed(a, b, NEVER)
-        return got
-
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word, given as byte characters."""
         s = word[:-1] + self.marked[word[-1]]
+        pairs, length, shorter = self.pairs, self.length, self.shorter
+        straight = [i for _, i in self.automaton.iter_long(s)]
+        good = 1
+        for p in zip(straight, straight[1:]):
+            if not pairs[p]:
+                break
+            good += 1
+        if good >= len(straight):
+            return straight
         n = len(s)
-        longest = array("i", [-1]) * n
-        length, shorter = self.length, self.shorter
+        longest = [-1] * n
         for end, i in self.automaton.iter(s):
-            at = end - length[i] + 1
-            if longest[at] < 0 or length[i] > length[longest[at]]:
-                longest[at] = i
+            at = end + 1 - length[i]
+            # Matches that start at a position come in the order of their ends: the last is the longest.
+            longest[at] = i
         alive = bytearray(b"\1") * (n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
+        # The search starts where the straight row breaks.
+        out = straight[:good]
+        at = sum([length[i] for i in out])
+        token = shorter[straight[good]]
         while at < n:
-            while token >= 0 and not (alive[at + length[token]] and (not out or self.compatible(out[-1], token))):
+            last = out[-1] if out else -1
+            while token >= 0 and not (alive[at + length[token]] and (last < 0 or pairs[last, token])):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -156,7 +190,7 @@ class Encoder:
                 token = longest[at] if at < n else -1
             else:
                 alive[at] = 0
-                last = out.pop()
+                out.pop()
                 at -= length[last]
                 token = shorter[last]
         return out
@@ -174,19 +208,39 @@ class Encoder:
                 at = m.end()
         return ids.tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        got = self.known.get(chunk)
-        if got is None:
-            got = self._chunk(chunk)
-            if len(chunk) <= CHUNK_CHARS:
-                if len(self.known) >= TABLE_ENTRIES:
-                    self.known.clear()
-                self.known[chunk] = got
-        return got
+    def _plain_word(self, word: str) -> bytes:
+        parts = [word] if word.isascii() else [w for w, _ in self.words(word)]
+        return array("i", [i for w in parts for i in self.encode_word(w)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.plain_words.__getitem__, PLAIN_WORD.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as 32-bit integers."""
-        return b"".join([self.chunk(c) for run in runs(text) for c in WHITE.split(run)])
+        out = []
+        for run in runs(text):
+            if not self.has_plain:
+                out += map(self.chunks.__getitem__, WHITE.split(run))
+                continue
+            # Plain stretches up to a white space are cut at once, and what isn't plain is cut out as a chunk.
+            at = 0
+            while at < len(run):
+                end = PLAIN.match(run, at).end()
+                if end < len(run):
+                    end = max(at, *(run.rfind(c, at, end) + 1 for c in " \t\n\r"))
+                if end > at:
+                    part = run[at:end]
+                    if self.specials.search(part):
+                        out += map(self.chunks.__getitem__, WHITE.split(part))
+                    else:
+                        out.append(self._plain(part))
+                if end < len(run):
+                    m = WHITE.search(run, end)
+                    stop = m.start() if m else len(run)
+                    out.append(self.chunks[run[end:stop]])
+                    end = stop
+                at = end
+        return b"".join(out)
 
 
 def runs(text: str) -> Iterator[str]:
