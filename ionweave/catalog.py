@@ -6,15 +6,19 @@ sides, as sums in another order differ in the last digits.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions.axis import numbered
 from .functions.grid import image
-from .model import MsiDataset, hold
+from .model import MsiDataset, hold, shared_dir
 from .operators import background, consensus, cwt, dbscan, hot_pixel, moran, normalize, pick, prevalence, recalibrate, reference_ions, tolerance
 from .plans import cohort, diagnostics, pipeline, views
+from .sources import files, imzml
 from .testdata import BG, FG, cells_dataset, peaks_dataset, profile_spectra, sparse_peaks
 
 REF = reference_ions.ReferenceIonParams(min_prevalence=0.5)
@@ -204,6 +208,25 @@ def _plotted(s, d):
     return rounded(views.plotted_mz(views.pixel_spectrum(ds, 4, 5), views.pixel_spectrum(ds, 5, 5)), mz=6)
 
 
+def _pair(s, d) -> str:
+    """All peaks, written as a new imzML pair."""
+    folder = f"{shared_dir(s)}/imzml-{uuid.uuid4().hex}"
+    os.makedirs(files.mounted(folder))
+    imzml.write_imzml(peaks_dataset(s, d), f"{folder}/image.imzML")
+    return f"{folder}/image.imzML"
+
+
+def _imzml(s, d):
+    """Written and read back: intensities are 32-bit then, and peaks are numbered anew."""
+    return rounded(imzml.read_imzml(s, _pair(s, d)).peaks, mz=6, intensity=2).select("pixel_id", "peak_idx", "mz", "intensity")
+
+
+def _imzml_pixels(s, d):
+    """A range of pixels of the pair: the source reads their spectra alone."""
+    p = imzml.read_imzml(s, _pair(s, d), pixels=(100, 132)).peaks
+    return rounded(p.groupBy("pixel_id").agg(F.count("*").alias("n"), F.sum("intensity").alias("tic")), tic=0)
+
+
 def _contrast(s, d):
     return rounded(views.contrast(views.project(peaks_dataset(s, d), "tic")), low=2, high=2).select("low", "high")
 
@@ -299,6 +322,7 @@ def queries() -> dict:
     out |= {"consensus_dbscan_axis": _dbscan("axis"), "consensus_dbscan_cells": _dbscan("cells")}
     out |= {"channel_table": _channel_table, "channel_topn": _top, "channel_nearest": _nearest, "channel_image": _channel_image, "axis_nearest_join": _nearest_join}
     out |= {"whatif_prevalence": _whatif, "cdf_prevalence": _cdf, "hist_factor": _hist(16), "hist_factor_sqrt": _hist("sqrt"), "hist_peak_counts": _hist_counts, "plotted_mz": _plotted}
+    out |= {"imzml_round_trip": _imzml, "imzml_some_pixels": _imzml_pixels}
     out |= {"fdr_prevalence": _fdr("draws"), "fdr_prevalence_exact": _fdr("exact")}
     out |= {"morans_i_queen": _moran("queen"), "morans_i_rook": _moran("rook"), "morans_i_fdr": _moran_fdr}
     out |= {"hot_pixels_mark": _hot("mark"), "hot_pixels_zero": _hot("zero"), "hot_pixels_neighbors_pl": _hot("pl"), "hot_pixels_neighbors_pm": _hot("pm")}

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import SparkSession
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """Settings of the session that hold inside, and are as before after it."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC times and Arrow transfer."""
     b = SparkSession.builder.appName("ionweave")

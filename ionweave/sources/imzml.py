@@ -1,25 +1,28 @@
-"""imzML: an XML index beside a binary file. Tasks read ranges of spectra by seeks.
+"""imzML: an XML index beside a binary file.
+
+Reading: the header, which is short, is parsed on the driver; the spectra's elements become an index table
+by Spark's XML reader, so the driver holds none of them. Peaks come from the data source of ``spectra.py``,
+whose tasks read ranges of the binary file by that table. Writing: offsets are prefix sums of the spectra's
+lengths, and tasks write their own ranges of both files.
 
 Terms are those of the public imaging and mass-spectrometry vocabularies.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import warnings
 import xml.etree.ElementTree as ET
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import nearest
-from ..model import PEAKS, PIXEL, DatasetIdentity, MsiDataset, md5_file, pixels_of, sha256_file
-from . import sidecar
+from ..model import PIXEL, DatasetIdentity, MsiDataset, hold, pixels_of
+from ..session import settings
+from . import files, sidecar, spectra
 
 # Accession numbers of the vocabularies.
 DTYPES = {"MS:1000519": "<i4", "MS:1000521": "<f4", "MS:1000522": "<i8", "MS:1000523": "<f8"}
@@ -38,14 +41,21 @@ ANALYZER = {"orbitrap": (ORBITRAP,), "fticr": ((FTICR[0], "fourier transform ion
 NAME = "name:"
 MARK = "shared axis"
 AXIS_ENDING = ".axis.json"
-#: Spectra of one task.
-SPECTRA = 512
+#: Pixel numbers of one part of a prefix sum.
+PART = 4096
+#: Spectra that a writing task holds at once.
+BATCH = 64
+_TERM = "array<struct<_accession: string, _name: string, _value: string>>"
+_REF = "array<struct<_ref: string>>"
+#: What is read of a spectrum's element.
+SPECTRUM = f"cvParam {_TERM}, scanList struct<scan: array<struct<cvParam: {_TERM}>>>, binaryDataArrayList struct<binaryDataArray: array<struct<referenceableParamGroupRef: {_REF}, cvParam: {_TERM}>>>"
 
 
 def pair(path: str) -> tuple[str, str]:
     """(imzML, ibd) of either file's path, whatever the case of their endings."""
-    stem, folder = os.path.splitext(os.path.basename(path))[0], os.path.dirname(path) or "."
-    both = {os.path.splitext(f)[1].lower(): os.path.join(folder, f) for f in os.listdir(folder) if os.path.splitext(f)[0] == stem}
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    stem = os.path.splitext(name)[0]
+    both = {os.path.splitext(f)[1].lower(): f"{folder}/{f}" for f in files.names(folder) if os.path.splitext(f)[0] == stem}
     for ending in (".imzml", ".ibd"):
         if ending not in both:
             raise FileNotFoundError(f"no {ending} file belongs to {path}")
@@ -56,58 +66,71 @@ def _tag(e) -> str:
     return e.tag.rpartition("}")[2]
 
 
-def parse(path: str) -> tuple[list[tuple], dict[str, list[str]], dict[str, str]]:
-    """(spectra, terms of the header with their values, user parameters): one pass over the XML.
-
-    A spectrum is (x, y, m/z offset, m/z length, m/z type, intensity offset, length, type).
-    """
+def parse_header(path: str) -> tuple[dict[str, dict[str, str]], dict[str, list[str]], dict[str, str]]:
+    """(groups of parameters, terms with their values, user parameters) of what stands before the spectra."""
     groups: dict[str, dict[str, str]] = {}
     header: dict[str, list[str]] = {}
     user: dict[str, str] = {}
-    spectra = []
-    params = lambda e: {c.get("accession"): c.get("value", "") for c in e if _tag(c) == "cvParam"}
-    names: set[str] = set()
-    depth = 0
-    for event, e in ET.iterparse(path, ("start", "end")):
-        kind = _tag(e)
-        if kind == "spectrum":
-            depth += 1 if event == "start" else -1
-        if event == "start":
-            continue
-        if kind == "cvParam":
-            names.add((e.get("name") or "").lower())
-        if kind == "referenceableParamGroup":
-            groups[e.get("id")] = params(e)
-            for k, v in groups[e.get("id")].items():
-                header.setdefault(k, []).append(v)
-        elif kind == "spectrum":
-            own = {}
-            for c in e.iter():
-                if _tag(c) == "scan":
-                    own |= params(c)
-            arrays = {}
-            for b in (c for c in e.iter() if _tag(c) == "binaryDataArray"):
-                p: dict[str, str] = {}
-                for c in b:
-                    if _tag(c) == "referenceableParamGroupRef":
-                        p |= groups.get(c.get("ref"), {})
-                p |= params(b)
-                what = MZ_ARRAY if MZ_ARRAY in p else INTENSITY_ARRAY
-                dtype = next((DTYPES[k] for k in DTYPES if k in p), "<f4")
-                arrays[what] = (int(p[OFFSET]), int(p[LENGTH]), dtype)
-            for k, v in params(e).items():
-                if k in (LOWEST, HIGHEST):
-                    header.setdefault(k, []).append(v)
-                else:
-                    header.setdefault(k, [v])
-            spectra.append((int(own[POS_X]), int(own[POS_Y]), *arrays[MZ_ARRAY], *arrays[INTENSITY_ARRAY]))
-            e.clear()
-        elif not depth and kind == "cvParam":
-            header.setdefault(e.get("accession"), []).append(e.get("value", ""))
-        elif not depth and kind == "userParam":
-            user[e.get("name")] = e.get("value", "")
-    # Names of terms are terms too.
-    return spectra, header | {NAME + n: [] for n in names if n}, user
+    with files.open_stream(path) as f:
+        for event, e in ET.iterparse(f, ("start", "end")):
+            kind = _tag(e)
+            if kind == "spectrumList":
+                break
+            if event == "start":
+                continue
+            if kind == "cvParam":
+                header.setdefault(e.get("accession"), []).append(e.get("value", ""))
+                # Names of terms are terms too.
+                if e.get("name"):
+                    header.setdefault(NAME + e.get("name").lower(), [])
+            elif kind == "userParam":
+                user[e.get("name")] = e.get("value", "")
+            elif kind == "referenceableParamGroup":
+                groups[e.get("id")] = {c.get("accession"): c.get("value", "") for c in e if _tag(c) == "cvParam"}
+    return groups, header, user
+
+
+def index_table(spark: SparkSession, path: str, groups: dict[str, dict[str, str]]) -> DataFrame:
+    """One row a spectrum in the file's order: pixel_id, x, y, offset, length and type of both arrays, and its terms.
+
+    Spark reads the elements of a file as one stream in one task, so row numbers follow their order."""
+    raw = spark.read.format("xml").options(rowTag="spectrum", ignoreNamespace="true", mode="FAILFAST").schema(SPECTRUM).load(path)
+    none = F.array().cast("array<string>")
+    of_group = F.create_map(*(x for k, terms in groups.items() for x in (F.lit(k), F.array(*map(F.lit, terms)) if terms else none))) if groups else F.create_map().cast("map<string,array<string>>")
+    scans = F.flatten(F.transform("scanList.scan", lambda x: x["cvParam"]))
+
+    def value(terms: Column, accession: str) -> Column:
+        return F.element_at(F.filter(terms, lambda t: t["_accession"] == accession), -1)["_value"]
+
+    def array(b: Column) -> Column:
+        refs = F.coalesce(F.transform(b["referenceableParamGroupRef"], lambda r: F.coalesce(F.try_element_at(of_group, r["_ref"]), none)), F.array().cast("array<array<string>>"))
+        terms = F.concat(F.flatten(refs), F.transform(b["cvParam"], lambda t: t["_accession"]))
+        kind = F.lit("<f4")
+        for accession, dtype in reversed(DTYPES.items()):
+            kind = F.when(F.array_contains(terms, accession), dtype).otherwise(kind)
+        return F.struct(F.array_contains(terms, MZ_ARRAY).alias("is_mz"), value(b["cvParam"], OFFSET).try_cast("bigint").alias("at"), value(b["cvParam"], LENGTH).try_cast("bigint").alias("n"), kind.alias("kind"))
+
+    rows = raw.select(
+        F.monotonically_increasing_id().alias("pixel_id"), value(scans, POS_X).try_cast("int").alias("x"), value(scans, POS_Y).try_cast("int").alias("y"),
+        F.transform("binaryDataArrayList.binaryDataArray", array).alias("arrays"), F.coalesce("cvParam", F.array().cast(_TERM)).alias("own"),
+        F.concat(F.coalesce(scans, F.array().cast(_TERM)), F.flatten(F.transform("binaryDataArrayList.binaryDataArray", lambda b: b["cvParam"]))).alias("inner"),
+    )
+    mz = F.element_at(F.filter("arrays", lambda a: a["is_mz"]), -1)
+    inten = F.element_at(F.filter("arrays", lambda a: ~a["is_mz"]), -1)
+    return rows.select("pixel_id", "x", "y", mz["at"].alias("mo"), mz["n"].alias("ml"), mz["kind"].alias("mt"), inten["at"].alias("io"), inten["n"].alias("il"), inten["kind"].alias("it"), "own", "inner")
+
+
+def spectrum_terms(index: DataFrame) -> dict[str, list[str]]:
+    """The terms of the spectra with the least and the largest of their values: as many as the vocabulary has."""
+    t = index.select(F.explode(F.concat(F.transform("own", lambda t: F.struct(t["_accession"].alias("a"), t["_name"].alias("n"), t["_value"].alias("v"))), F.transform("inner", lambda t: F.struct(F.lit(None).cast("string").alias("a"), t["_name"].alias("n"), F.lit(None).cast("string").alias("v"))))).alias("t")).select("t.*")
+    number = F.col("v").try_cast("double")
+    header: dict[str, list[str]] = {}
+    for r in t.groupBy("a", "n").agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.first("v", True).alias("v")).collect():
+        if r.a:
+            header.setdefault(r.a, []).extend([r.v or ""] if r.lo is None else [repr(r.lo), repr(r.hi)])
+        if r.n:
+            header.setdefault(NAME + r.n.lower(), [])
+    return header
 
 
 def family(has) -> str | None:
@@ -151,48 +174,40 @@ def metadata(header: dict[str, list[str]]) -> dict[str, Any]:
     return out
 
 
-def peaks_of(spark: SparkSession, ibd: str, spectra: list[tuple], dataset_id: str) -> DataFrame:
-    """The long table of all spectra; a task reads a run of them from the binary file."""
-    def run(batches):
-        with open(ibd, "rb") as f:
-            for batch in batches:
-                for px, mo, ml, mt, io, il, it in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    f.seek(mo)
-                    mz = np.frombuffer(f.read(ml * np.dtype(mt).itemsize), mt).astype(np.float64)
-                    f.seek(io)
-                    inten = np.frombuffer(f.read(il * np.dtype(it).itemsize), it).astype(np.float64)
-                    n = min(len(mz), len(inten))
-                    yield pa.RecordBatch.from_arrays([pa.array([dataset_id] * n), pa.array(np.full(n, px)), pa.array(np.arange(n)), pa.array(mz[:n]), pa.array(inten[:n])], ["dataset_id", "pixel_id", "peak_idx", "mz", "intensity"])
-
-    index = spark.createDataFrame([(i, *s[2:]) for i, s in enumerate(spectra)], "pixel_id long, mo long, ml long, mt string, io long, il long, it string")
-    return index.repartitionByRange(max(1, len(spectra) // SPECTRA), "pixel_id").mapInArrow(run, PEAKS)
+def read_imzml(spark: SparkSession, path: str, dataset_id: str | None = None, user: dict[str, Any] | None = None, pixels: tuple[int, int] | None = None) -> MsiDataset:
+    """Spectra of an imzML pair; a file of aligned channels comes back as channels if its axis file is there.
 
-
-def read_imzml(spark: SparkSession, path: str, dataset_id: str | None = None, user: dict[str, Any] | None = None) -> MsiDataset:
-    """Spectra of an imzML pair; a file of aligned channels comes back as channels if its axis file is there."""
+    ``pixels``: the first pixel number and the one after the last, of those that are read; else all."""
     xml, ibd = pair(path)
     stem = os.path.splitext(xml)[0]
     name = dataset_id or os.path.basename(stem)
-    spectra, header, marks = parse(xml)
+    groups, header, marks = parse_header(xml)
+    index = hold(index_table(spark, files.spark_path(xml), groups))
+    for k, v in spectrum_terms(index).items():
+        header.setdefault(k, []).extend(v)
+    n, top, lo, wide, high, broken = index.agg(F.count("*"), F.max("pixel_id"), F.min(F.least("x", "y")), F.max("x"), F.max("y"), F.count_if(F.expr("x IS NULL OR y IS NULL OR mo IS NULL OR ml IS NULL OR io IS NULL OR il IS NULL"))).first()
+    if broken or n and top != n - 1:
+        raise ValueError(f"{broken} spectra of {xml} lack a position, an offset or a length" if broken else f"the spectra of {xml} were read in parts")
     declared = next((v.lower() for v in header.get(MD5, []) if v), None)
-    if declared and declared != md5_file(ibd):
+    md5, sha256 = files.digests(ibd)
+    if declared and declared != md5:
         warnings.warn(f"{os.path.basename(ibd)} doesn't have the MD5 that its index declares", stacklevel=2)
     ep, where = sidecar.experiment(metadata(header), "imzml", [stem, xml], user)
-    coords = spark.createDataFrame([(name, i, s[0], s[1]) for i, s in enumerate(spectra)], "dataset_id string, pixel_id long, x int, y int")
     w, h = (int(header[k][0]) if header.get(k) and header[k][0] else 0 for k in (MAX_X, MAX_Y))
-    shape = (max([h, *(s[1] for s in spectra)]), max([w, *(s[0] for s in spectra)])) if spectra and min(min(s[0], s[1]) for s in spectra) >= 1 else None
-    pixels, shape = pixels_of(coords, shape)
-    identity = DatasetIdentity(xml, sha256_file(ibd), declared)
-    ds = MsiDataset(pixels, peaks=peaks_of(spark, ibd, spectra, name), grid_shape=shape, metadata=ep, sources=where, identity=identity)
+    shape = (max(h, high), max(w, wide)) if n and lo >= 1 else None
+    table, shape = pixels_of(index.select(F.lit(name).alias("dataset_id"), "pixel_id", "x", "y"), shape)
+    first, stop = (0, n) if pixels is None else (max(0, pixels[0]), min(n, pixels[1]))
+    peaks = spectra.read(spark, ibd, index, first, stop, name)
+    ds = MsiDataset(table if pixels is None else table.where(F.col("pixel_id").between(first, stop - 1)), peaks=peaks, grid_shape=shape, metadata=ep, sources=where, identity=DatasetIdentity(xml, sha256, declared))
     if MARK not in marks:
         return ds
     axis_file = stem + AXIS_ENDING
-    if not os.path.isfile(axis_file):
+    if not files.exists(axis_file):
         warnings.warn(f"{os.path.basename(axis_file)} is missing; the channels are read as peaks", stacklevel=2)
         return ds
-    with open(axis_file, encoding="utf-8") as f:
+    with files.open_stream(axis_file) as f:
         axis = json.load(f)
-    if axis.get("ibd_md5") and axis["ibd_md5"] != md5_file(ibd):
+    if axis.get("ibd_md5") and axis["ibd_md5"] != md5:
         warnings.warn("the axis file belongs to another binary file", stacklevel=2)
     return as_matrix(ds, axis["shared_mz_axis"], axis.get("consensus_prevalence"))
 
@@ -212,49 +227,90 @@ def _cv(accession: str, name: str, value: str = "") -> str:
     return f'<cvParam cvRef="{accession.split(":")[0]}" accession="{accession}" name="{name}" value="{value}"/>'
 
 
-def write_imzml(ds: MsiDataset, path: str, *, write_zero_intensity: bool = False) -> None:
-    """Write one dataset in processed mode. The format is one serial file: spectra stream to the
-    driver in pixel order, one partition at a time."""
-    stem = os.path.splitext(path)[0]
-    ibd = stem + ".ibd"
-    values = ds.cells.join(ds.channels.select("dataset_id", "channel", "mz"), ["dataset_id", "channel"]) if ds.is_matrix else ds.peaks
-    if not write_zero_intensity:
-        values = values.where("intensity > 0") if ds.is_matrix else values
-    order = ["mz"] if ds.is_matrix else ["peak_idx", "mz"]
-    s = values.groupBy("pixel_id").agg(F.sort_array(F.collect_list(F.struct(*order, F.col("intensity").cast("double").alias("i")))).alias("s"))
-    rows = ds.pixels.select("pixel_id", "gx", "gy").join(s, "pixel_id", "left").orderBy("pixel_id")
-    lo, hi, body, at, md5 = float("inf"), float("-inf"), [], 16, hashlib.md5(b"\0" * 16)
-    with open(ibd, "wb") as f:
-        f.write(b"\0" * 16)
-        for r in rows.toLocalIterator():
-            v = r["s"] or []
-            mz, inten = np.array([x["mz"] for x in v], "<f8"), np.array([x["i"] for x in v], "<f4")
-            if len(mz):
-                lo, hi = min(lo, mz.min()), max(hi, mz.max())
-            raw = mz.tobytes() + inten.tobytes()
-            f.write(raw)
-            md5.update(raw)
-            arrays = "".join(f'<binaryDataArray encodedLength="0"><referenceableParamGroupRef ref="{ref}"/>{_cv(OFFSET, "external offset", o)}{_cv(LENGTH, "external array length", len(a))}{_cv("IMS:1000104", "external encoded length", a.nbytes)}<binary/></binaryDataArray>' for ref, a, o in (("mz", mz, at), ("intensity", inten, at + mz.nbytes)))
-            body.append(f'<spectrum id="scan={len(body) + 1}" index="{len(body)}" defaultArrayLength="0"><referenceableParamGroupRef ref="spectrum"/><scanList count="1"><scan>{_cv(POS_X, "position x", r["gx"] + 1)}{_cv(POS_Y, "position y", r["gy"] + 1)}</scan></scanList><binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>')
-            at += len(raw)
-    ep, digest = ds.metadata, md5.hexdigest()
+def before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running sums over all rows with smaller ``pixel_id``: within parts of ``PART`` pixel
+    numbers, then over the parts, of which there are few."""
+    part = F.floor(F.col("pixel_id") / PART)
+    by = Window.partitionBy("part").orderBy("pixel_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", part)
+    totals = rows.groupBy("part").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", *(F.coalesce(F.sum(k).over(over), F.lit(0)).alias(f"{k}_0") for k in sums))
+    rows = rows.withColumns({k: F.coalesce(F.sum(c).over(by), F.lit(0)) for k, c in sums.items()}).join(starts, "part")
+    return rows.withColumns({k: F.col(k) + F.col(f"{k}_0") for k in sums}).drop("part", *(f"{k}_0" for k in sums))
+
+
+def _spectrum_text() -> Column:
+    """The element of a spectrum of columns k (its number), gx, gy, n and at (its place in the binary file)."""
+
+    def one(ref: str, at: Column, size: int) -> list[Column]:
+        n = F.col("n")
+        return [F.lit(f'<binaryDataArray encodedLength="0"><referenceableParamGroupRef ref="{ref}"/>'), *_cv_of(OFFSET, "external offset", at), *_cv_of(LENGTH, "external array length", n), *_cv_of("IMS:1000104", "external encoded length", n * size), F.lit("<binary/></binaryDataArray>")]
+
+    k, at = F.col("k"), F.col("at")
+    head = [F.lit('<spectrum id="scan='), (k + 1).cast("string"), F.lit('" index="'), k.cast("string"), F.lit('" defaultArrayLength="0"><referenceableParamGroupRef ref="spectrum"/><scanList count="1"><scan>')]
+    place = [*_cv_of(POS_X, "position x", F.col("gx") + 1), *_cv_of(POS_Y, "position y", F.col("gy") + 1), F.lit('</scan></scanList><binaryDataArrayList count="2">')]
+    return F.concat(*head, *place, *one("mz", at, 8), *one("intensity", at + F.col("n") * 8, 4), F.lit("</binaryDataArrayList></spectrum>\n"))
+
+
+def _cv_of(accession: str, name: str, value: Column) -> list[Column]:
+    left, right = _cv(accession, name, "\0").split("\0")
+    return [F.lit(left), value.cast("string"), F.lit(right)]
+
+
+def _head_text(ds: MsiDataset, n: int, lo: float | None, hi: float | None, md5: str) -> str:
+    ep = ds.metadata
     inverse = lambda terms, v: "".join(_cv(*some[:2]) for n, some in terms if n == v)
-    bounds = _cv(LOWEST, "lowest observed m/z", repr(float(lo))) + _cv(HIGHEST, "highest observed m/z", repr(float(hi))) if hi > lo else ""
+    bounds = _cv(LOWEST, "lowest observed m/z", repr(float(lo))) + _cv(HIGHEST, "highest observed m/z", repr(float(hi))) if n and lo is not None and hi > lo else ""
     h, w = ds.grid_shape
     size = _cv(PIXEL_SIZE, "pixel size", ep.pixel_size_um) if ep.pixel_size_um else ""
     mark = f'<userParam name="{MARK}" value="1"/>' if ds.is_matrix else ""
-    text = (
+    return (
         '<?xml version="1.0" encoding="UTF-8"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1">'
-        f'<fileDescription><fileContent>{_cv("IMS:1000080", "universally unique identifier", "0" * 32)}{_cv(MD5, "ibd MD5", digest)}{_cv("IMS:1000031", "processed")}{mark}</fileContent></fileDescription>'
+        f'<fileDescription><fileContent>{_cv("IMS:1000080", "universally unique identifier", "0" * 32)}{_cv(MD5, "ibd MD5", md5)}{_cv("IMS:1000031", "processed")}{mark}</fileContent></fileDescription>'
         f'<referenceableParamGroupList count="3"><referenceableParamGroup id="mz">{_cv(MZ_ARRAY, "m/z array")}{_cv("MS:1000523", "64-bit float")}</referenceableParamGroup>'
         f'<referenceableParamGroup id="intensity">{_cv(INTENSITY_ARRAY, "intensity array")}{_cv("MS:1000521", "32-bit float")}</referenceableParamGroup>'
         f'<referenceableParamGroup id="spectrum">{inverse(MODE, ep.profile_or_centroided)}{inverse(POLARITY, ep.polarity)}{bounds}</referenceableParamGroup></referenceableParamGroupList>'
         f'<scanSettingsList count="1"><scanSettings id="s">{_cv(MAX_X, "max count of pixels x", w)}{_cv(MAX_Y, "max count of pixels y", h)}{size}</scanSettings></scanSettingsList>'
         f'<instrumentConfigurationList count="1"><instrumentConfiguration id="i"><componentList count="2"><source order="1">{inverse(ION, ep.ionization)}</source><analyzer order="2">{"".join(_cv(*t) for t in ANALYZER.get(ep.instrument_family, ()))}</analyzer></componentList></instrumentConfiguration></instrumentConfigurationList>'
-        f'<run id="r"><spectrumList count="{len(body)}">'
+        f'<run id="r"><spectrumList count="{n}">\n'
     )
-    with open(stem + ".imzML", "w", encoding="utf-8") as f:
-        f.write(text + "\n".join(body) + "</spectrumList></run></mzML>")
+
+
+def write_imzml(ds: MsiDataset, path: str, *, write_zero_intensity: bool = False) -> None:
+    """Write one dataset in processed mode, spectra in the order of their pixels.
+
+    Places in both files are prefix sums of the spectra's lengths; tasks write their own ranges, so a task
+    that runs again writes the same bytes at the same place. Both files have other names until all is
+    there. The folder must be one that the driver and all executors mount: no other kind of store takes
+    writes at offsets. The digest of the binary file, serial by its nature, is one stream over it."""
+    stem = files.mounted(os.path.splitext(path)[0])
+    values = ds.cells.join(ds.channels.select("dataset_id", "channel", "mz"), ["dataset_id", "channel"]) if ds.is_matrix else ds.peaks
+    if not write_zero_intensity:
+        values = values.where("intensity > 0") if ds.is_matrix else values
+    order = ["mz"] if ds.is_matrix else ["peak_idx", "mz"]
+    s = values.groupBy("pixel_id").agg(F.sort_array(F.collect_list(F.struct(*order, F.col("intensity").cast("double").alias("i")))).alias("s"))
+    rows = ds.pixels.select("pixel_id", "gx", "gy").join(s, "pixel_id", "left").withColumn("s", F.coalesce("s", F.array().cast(s.schema["s"].dataType)))
+    rows = hold(rows.select("pixel_id", "gx", "gy", F.transform("s", lambda x: x["mz"].cast("double")).alias("mz"), F.transform("s", lambda x: x["i"].cast("float")).alias("intensity")))
+    sizes = before(rows.select("pixel_id", "gx", "gy", F.size("mz").cast("bigint").alias("n")), {"k": F.lit(1), "peaks": F.col("n")})
+    texts = hold(sizes.withColumn("at", F.col("peaks") * 12 + 16).withColumn("xml", _spectrum_text()))
+    placed = hold(before(texts.select("pixel_id", "at", "xml"), {"xml_at": F.octet_length("xml")}))
+    n, n_bytes, xml_bytes, lo, hi = placed.join(rows, "pixel_id").agg(F.count("*"), F.coalesce(F.sum(F.size("mz") * F.lit(12).cast("bigint")), F.lit(0)), F.coalesce(F.sum(F.octet_length("xml")), F.lit(0)), F.min(F.array_min("mz")), F.max(F.array_max("mz"))).first()
+    head, tail = _head_text(ds, n, lo, hi, "0" * 32).encode(), b"</spectrumList></run></mzML>"
+    ibd, xml = f"{stem}.ibd.part", f"{stem}.imzML.part"
+    for name, size in ((ibd, 16 + n_bytes), (xml, len(head) + xml_bytes + len(tail))):
+        with open(name, "wb") as f:
+            f.truncate(size)
+    out = rows.join(placed, "pixel_id").repartitionByRange("pixel_id").sortWithinPartitions("pixel_id").select("at", "mz", "intensity", (F.col("xml_at") + len(head)).alias("xml_at"), "xml")
+    with settings(rows.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}):
+        spectra.write(out, ibd, xml, n_bytes + xml_bytes)
+    digest = files.digests(ibd)[0]
+    with open(xml, "r+b") as f:
+        f.write(_head_text(ds, n, lo, hi, digest).encode())
+        f.seek(len(head) + xml_bytes)
+        f.write(tail)
+    os.replace(ibd, f"{stem}.ibd")
+    os.replace(xml, f"{stem}.imzML")
     if ds.is_matrix:
         ch = ds.channels.select("mz", "prevalence").orderBy("channel").collect()
         with open(stem + AXIS_ENDING, "w", encoding="utf-8") as f:
