@@ -191,13 +191,11 @@ ch AS (SELECT CAST(row_number() OVER (ORDER BY mz) - 1 AS INTEGER) AS channel, *
     out["axis_nearest_join"] = f"WITH {PEAKS}, ax AS (SELECT CAST(range AS INTEGER) AS channel, 215.0::DOUBLE + 20 * range AS c FROM range(25)), h AS (SELECT pixel_id, peak_idx, mz, intensity, arg_min(channel, (abs(mz - c), channel)) AS channel FROM peaks, ax GROUP BY ALL) SELECT pixel_id, channel, round(max(intensity), 2) AS intensity FROM h GROUP BY pixel_id, channel"
     out["whatif_prevalence"] = f"WITH {CELLS} SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (prevalence >= t) AS n, count(*) FILTER (prevalence >= t) - count(*) FILTER (prevalence >= 0.5) AS delta FROM channels, (SELECT unnest([0.3, 0.4, 0.45, 0.5, 0.55, 0.6]) AS t) GROUP BY t"
     out["cdf_prevalence"] = f"WITH {CELLS} SELECT DISTINCT round(prevalence, 6) AS value, round(cume_dist() OVER (ORDER BY prevalence), 6) AS share FROM channels"
-    out["hist_factor"] = f"""WITH {PEAKS}, f AS (SELECT median(intensity) FILTER (intensity > 0) AS v FROM peaks GROUP BY pixel_id), s AS (SELECT min(v) AS lo, max(v) AS hi FROM f),
-b AS (SELECT CAST(least(15, floor((v - lo) / (hi - lo) * 16)) AS INTEGER) AS bin, count(*) AS n FROM f, s GROUP BY 1)
-SELECT CAST(r.range AS INTEGER) AS bin, round(lo + r.range * ((hi - lo) / 16), 3) AS "left", round(lo + (r.range + 1) * ((hi - lo) / 16), 3) AS "right", coalesce(n, 0) AS n FROM range(16) r CROSS JOIN s LEFT JOIN b ON b.bin = r.range"""
-    out["hist_factor_sqrt"] = f"""WITH {PEAKS}, f AS (SELECT median(intensity) FILTER (intensity > 0) AS v FROM peaks GROUP BY pixel_id),
-s AS (SELECT min(v) AS lo, max(v) AS hi, CAST(least(50, greatest(8, floor(sqrt(count(v))))) AS INTEGER) AS k FROM f),
-b AS (SELECT CAST(least(k - 1, floor((v - lo) / (hi - lo) * k)) AS INTEGER) AS bin, count(*) AS n FROM f, s GROUP BY 1)
-SELECT CAST(r.range AS INTEGER) AS bin, round(lo + r.range * ((hi - lo) / k), 3) AS "left", round(lo + (r.range + 1) * ((hi - lo) / k), 3) AS "right", coalesce(n, 0) AS n FROM range(50) r JOIN s ON r.range < k LEFT JOIN b ON b.bin = r.range"""
+    bins = """e AS (SELECT CAST(r.range AS INTEGER) AS bin, lo + r.range * ((hi - lo) / k) AS l, CASE WHEN r.range = k - 1 THEN hi ELSE lo + (r.range + 1) * ((hi - lo) / k) END AS r, r.range = k - 1 AS last FROM range(50) r JOIN s ON r.range < k)
+SELECT bin, round(l, 3) AS "left", round(r, 3) AS "right", (SELECT count(*) FROM f WHERE v >= l AND (v < r OR last AND v = r)) AS n FROM e"""
+    factors = f"WITH {PEAKS}, f AS (SELECT median(intensity) FILTER (intensity > 0) AS v FROM peaks GROUP BY pixel_id)"
+    out["hist_factor"] = f"{factors}, s AS (SELECT min(v) AS lo, max(v) AS hi, 16 AS k FROM f), {bins}"
+    out["hist_factor_sqrt"] = f"{factors}, s AS (SELECT min(v) AS lo, max(v) AS hi, CAST(least(50, greatest(8, floor(sqrt(count(v))))) AS INTEGER) AS k FROM f), {bins}"
     out["hist_peak_counts"] = f"""WITH {PEAKS}, f AS (SELECT count(*) AS v FROM peaks GROUP BY pixel_id), s AS (SELECT min(v) AS lo, max(v) AS hi FROM f)
 SELECT CAST(g.range - lo AS INTEGER) AS bin, CAST(g.range AS DOUBLE) AS "left", CAST(g.range + 1 AS DOUBLE) AS "right", (SELECT count(*) FROM f WHERE v = g.range) AS n FROM s, range((SELECT lo FROM s), (SELECT hi + 1 FROM s)) g"""
     out["plotted_mz"] = f"WITH {PEAKS} SELECT round(m, 6) AS mz FROM (SELECT DISTINCT mz AS m FROM peaks WHERE pixel_id IN (4 * 16 + 3, 4 * 16 + 4))"

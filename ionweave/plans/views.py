@@ -167,8 +167,12 @@ def histogram(values: DataFrame, col: str, bins: int | str) -> DataFrame:
     else:
         count = F.least(F.lit(50), F.greatest(F.lit(8), F.floor(F.sqrt("k")))).cast("int") if bins == "sqrt" else F.lit(bins)
         span = span.select("lo", F.when(F.col("top") > F.col("lo"), F.col("top")).otherwise(F.col("lo") + 1.0).alias("hi"), count.alias("bins"))
-    k = F.least(F.col("bins") - 1, F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"))).cast("int")
-    n = v.join(F.broadcast(span)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))  # one row is broadcast
-    every = span.select("lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     w = (F.col("hi") - F.col("lo")) / F.col("bins")
-    return every.join(n, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * w).alias("left"), (F.col("lo") + (F.col("bin") + 1) * w).alias("right"), F.coalesce("n", F.lit(0)).alias("n"))
+    edge = lambda k: F.when(k >= F.col("bins"), F.col("hi")).otherwise(F.col("lo") + k * w)
+    v = v.join(F.broadcast(span))  # one row is broadcast
+    # Rounding can put the quotient one bin off; the edges decide.
+    k = F.least(F.col("bins") - 1, F.floor((F.col("v") - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))))
+    v = v.withColumn("k", k).withColumn("k", F.when(F.col("v") < edge(F.col("k")), F.col("k") - 1).when((F.col("k") < F.col("bins") - 1) & (F.col("v") >= edge(F.col("k") + 1)), F.col("k") + 1).otherwise(F.col("k")))
+    n = v.groupBy(F.col("k").cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = span.select("lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    return every.join(n, "bin", "left").select("bin", edge(F.col("bin")).alias("left"), edge(F.col("bin") + 1).alias("right"), F.coalesce("n", F.lit(0)).alias("n"))

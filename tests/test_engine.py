@@ -322,6 +322,17 @@ def test_views(aligned):
     assert views.contrast(views.project(aligned, "tic")).first().low > 0
 
 
+def test_histogram_bins_are_exact(spark):
+    """Every integer of every range in its own bin, and values on the edges of fixed bins where numpy has them."""
+    for span in (1, 2, 7, 49, 92, 93, 147, 200):
+        v = spark.range(span + 1).select(F.col("id").cast("double").alias("v"))
+        assert [r.n for r in views.histogram(v, "v", "integer").orderBy("bin").collect()] == [1] * (span + 1), span
+    for lo, hi, k in ((0.1, 0.7, 6), (-3.3, 9.9, 12), (1.0, 93.0, 46), (0.3, 4.2, 13)):
+        values = list(np.linspace(lo, hi, k + 1)) + list(np.linspace(lo, hi, 3 * k + 1))
+        h = views.histogram(spark.createDataFrame([(float(x),) for x in values], "v double"), "v", k).orderBy("bin").collect()
+        assert [r.n for r in h] == list(np.histogram(values, k)[0]) and [r.left for r in h] == pytest.approx(list(np.linspace(lo, hi, k + 1)[:-1]))
+
+
 def test_imzml_round_trip(spark, ds, aligned, tmp_path):
     path = f"{tmp_path}/x.imzML"
     imzml.write_imzml(ds, path)
