@@ -251,7 +251,7 @@ def _moran(kind: str):
 
 def _moran_fdr(s, d):
     ds = cells_dataset(s, d)
-    t = moran.moran_test(ds.cells, ds.channels, ds.pixels, moran.MoranParams(n_permutations=19, q_threshold=0.2), 7)
+    t = moran.moran_test(ds.cells, ds.channels, ds.pixels, moran.MoranParams(q_threshold=0.2), 7)
     return rounded(t, i=6, p=6, q=6).select("channel", "i", "p", "q", "kept")
 
 

@@ -207,10 +207,12 @@ SELECT channel, CAST(obs AS BIGINT) AS obs, CAST(balls AS BIGINT) AS balls, roun
     for k, e in (("queen", QUEEN), ("rook", ROOK)):
         out[f"morans_i_{k}"] = f"WITH {CELLS}, {DENSE}, {e}, {moran('dense', 'mo')} SELECT channel, round(i, 6) AS i FROM mo"
     out["morans_i_fdr"] = f"""WITH {CELLS}, {DENSE}, {QUEEN}, {moran('dense', 'mo')},
-sf AS (SELECT rep.range AS rep, pixel_id, row_number() OVER (PARTITION BY rep.range ORDER BY md5(concat_ws('|', '7', rep.range, pixel_id)), pixel_id) AS k FROM pixels, range(19) rep),
+ab AS (SELECT range AS rep, 1 + {md5i("'7'", "range", "'a'")} % 2147483646 AS a, {md5i("'7'", "range", "'b'")} % 2147483647 AS b FROM range(499)),
+uu AS (SELECT rep, pixel_id, (pixel_id % 2147483647 * a + b) % 2147483647 AS u FROM pixels, ab),
+sf AS (SELECT rep, pixel_id, row_number() OVER (PARTITION BY rep ORDER BY (u * u % 2147483647 * u + pixel_id) % 2147483647, pixel_id) AS k FROM uu),
 pl AS (SELECT pixel_id AS to_id, row_number() OVER (ORDER BY pixel_id) AS k FROM pixels),
 pd AS (SELECT rep, channel, to_id AS pixel_id, x FROM dense JOIN sf USING (pixel_id) JOIN pl USING (k)), {moran('pd', 'nu', 'rep')},
-pp AS (SELECT channel, any_value(mo.i) AS i, (count(*) FILTER (abs(nu.i) >= abs(mo.i) - 1e-12) + 1) / 20.0::DOUBLE AS p FROM mo JOIN nu USING (channel) GROUP BY channel), {BH.format(src='pp')}
+pp AS (SELECT channel, any_value(mo.i) AS i, (count(*) FILTER (abs(nu.i) >= abs(mo.i) - 1e-12) + 1) / 500.0::DOUBLE AS p FROM mo JOIN nu USING (channel) GROUP BY channel), {BH.format(src='pp')}
 SELECT channel, round(i, 6) AS i, round(p, 6) AS p, round(q, 6) AS q, q < 0.2 AS kept FROM qq"""
     out["hot_pixels_mark"] = f"WITH {PEAKS}, {PIXELS}, {hot()} SELECT pixel_id, round(tic, 2) AS tic, round(threshold, 2) AS threshold FROM hot"
     out["hot_pixels_zero"] = f"WITH {PEAKS}, {PIXELS}, {hot()} SELECT pixel_id, peak_idx, round(CASE WHEN pixel_id IN (SELECT pixel_id FROM hot) THEN 0 ELSE intensity END, 3) AS intensity FROM peaks"

@@ -322,6 +322,36 @@ def test_views(aligned):
     assert views.contrast(views.project(aligned, "tic")).first().low > 0
 
 
+def test_moran_in_memory_and_as_rows(spark, monkeypatch):
+    """Both ways of permuting give the same counts: two datasets, holes in the grid, a constant channel, an
+    empty one, several blocks of channels and of permutations, both neighbourhoods."""
+    rng = np.random.default_rng(3)
+    coords, cells, channels = [], [], []
+    for name, side in (("a", 9), ("b", 10)):
+        places = [(x, y) for y in range(side) for x in range(side) if rng.random() < 0.85]
+        coords += [(name, 7 * k + 2, x, y) for k, (x, y) in enumerate(places)]
+        for c in range(7):
+            channels.append((name, c, 100.0 + c, 0.5, 10))
+            for k, (x, y) in enumerate(places):
+                v = [1.0, float(rng.random()), float(x + rng.random()), 5.0 * (x < 4), float(rng.random() < 0.1), 0.0, float((x + y) % 2)][c]
+                if v > 0:
+                    cells.append((name, 7 * k + 2, c, v))
+    pixels, _ = M.pixels_of(spark.createDataFrame(coords, "dataset_id string, pixel_id long, x int, y int"))
+    cells = spark.createDataFrame(cells, "dataset_id string, pixel_id long, channel int, intensity double")
+    channels = spark.createDataFrame(channels, "dataset_id string, channel int, mz double, prevalence double, n_peaks long")
+    for side in ("queen", "rook"):
+        p = moran.MoranParams(n_permutations=30, neighborhood=side)
+        test = lambda: [(r.dataset_id, r.channel, round(r.p, 9), round(r.i, 9)) for r in moran.moran_test(cells, channels, pixels, p, 5).orderBy("dataset_id", "channel").collect()]  # noqa: E731, B023
+        with monkeypatch.context() as m:
+            m.setattr(moran, "IMAGE_PIXELS", 0)
+            rows = test()
+        with monkeypatch.context() as m:
+            m.setattr(moran, "REPS", 8)
+            m.setattr(moran, "VALUES", 200)
+            assert test() == rows
+        assert test() == rows and rows[0][3] == 0 and rows[3][2] < 0.05 < rows[1][2]
+
+
 def test_histogram_bins_are_exact(spark):
     """Every integer of every range in its own bin, and values on the edges of fixed bins where numpy has them."""
     for span in (1, 2, 7, 49, 92, 93, 147, 200):
