@@ -77,8 +77,8 @@ def _curve(b: int):
 
 def _block_bootstrap(s, d):
     ds = peaks_dataset(s, d)
-    c = tolerance.tolerance_curve(*refs(ds), ds.pixels, tolerance.ToleranceParams(bootstrap_B=5, block_size_pixels=16), 7, 16)
-    return rounded(c, mz_grid=5, ppm_quantile=4, ci_low=4, ci_high=4).drop("dataset_id")
+    c = tolerance.tolerance_curve(*refs(ds), ds.pixels, tolerance.ToleranceParams(), 7, 16)
+    return rounded(c, mz_grid=5, ppm_quantile=4, ci_low=4, ci_high=4).select("i", "mz_grid", "ppm_quantile", "ci_low", "ci_high")
 
 
 def _lock(strategy: str):
@@ -313,7 +313,7 @@ def queries() -> dict:
     out |= {f"roi_spectrum_matrix_{m}": _roi_matrix(m) for m in ("mean", "median", "sum", "max")}
     out |= {f"roi_spectrum_raw_{m}": _roi_raw(m) for m in ("sum", "mean", "max")}
     out |= {"ref_ions": _ref_ions(REF), "ref_ions_unmerged": _ref_ions(reference_ions.ReferenceIonParams(min_prevalence=0.3, merge_adjacent_bins=False)), "ref_obs_ppm": _ref_obs}
-    out |= {"tolerance_curve": _curve(0), "tolerance_bootstrap_ci": _curve(4), "tolerance_block_bootstrap": _block_bootstrap}
+    out |= {"tolerance_curve": _curve(0), "tolerance_bootstrap_ci": _curve(1000), "tolerance_block_bootstrap": _block_bootstrap}
     out |= {f"recal_lock_mass_{n}": _lock(k) for n, k in (("intensity", "highest_intensity"), ("prevalence", "highest_prevalence"), ("closest", "closest_to_mz"))}
     out |= {"recal_msiwarp": _msiwarp, "recal_msiwarp_inliers": _inliers}
     out |= {"norm_median": _norm("median"), "norm_tic": _norm("tic"), "norm_reference": _norm("reference")}

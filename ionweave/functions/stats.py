@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Modulus of keyed numbers.
+PRIME = 2**31 - 1
+
+
+def keyed(x: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """Reproducible numbers below ``PRIME`` of the whole numbers ``x``, other ones for each ``rep``: a cube modulo a
+    prime, with factors by md5. 64-bit arithmetic is enough, so other engines have the same."""
+    draw = lambda what: int(hashlib.md5(f"{seed}|{rep}|{what}".encode()).hexdigest()[:8], 16)
+    a, b = 1 + draw("a") % (PRIME - 1), draw("b") % PRIME
+    u = (x % PRIME * a + b) % PRIME
+    return (u * u % PRIME * u + x) % PRIME
+
+
 def bh(df: DataFrame, p: str = "p", on: list[str] | None = None, out: str = "q") -> DataFrame:
     """Benjamini-Hochberg q-values of each group: running minimum of p * n / rank from the largest p."""
     on = ["dataset_id"] if on is None else on

@@ -7,7 +7,6 @@ permutations, moves the images in memory, and returns counts. No row is made for
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_int
 from ..functions.grid import QUEEN, ROOK, neighbours
-from ..functions.stats import bh
+from ..functions.stats import PRIME, bh, keyed
 from ..model import DATASET, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 from .consensus import keep_channels, need_some
@@ -36,8 +35,6 @@ class MoranParams:
             raise ValueError("neighborhood must be queen or rook")
 
 
-#: Modulus of the permutations' keys.
-PRIME = 2**31 - 1
 #: Values that a task holds at once (pixels times channels), permutations of one task, and the pixels of an
 #: image beyond which permuted cells are rows, with the same result.
 VALUES, REPS, IMAGE_PIXELS = 1 << 21, 128, 1 << 25
@@ -58,10 +55,7 @@ def permutations(pixels: DataFrame, n: int, seed: int) -> DataFrame:
 
 def order(pixel_ids: np.ndarray, rep: int, seed: int) -> np.ndarray:
     """The places in ascending ``pixel_ids`` of the pixels in the order of their keys."""
-    draw = lambda what: int(hashlib.md5(f"{seed}|{rep}|{what}".encode()).hexdigest()[:8], 16)
-    a, b = 1 + draw("a") % (PRIME - 1), draw("b") % PRIME
-    u = (pixel_ids % PRIME * a + b) % PRIME
-    return np.argsort((u * u % PRIME * u + pixel_ids) % PRIME, kind="stable")
+    return np.argsort(keyed(pixel_ids, rep, seed), kind="stable")
 
 
 def edge_places(gx: np.ndarray, gy: np.ndarray, offsets) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import isotonic, lerp, md5_int, running_sums
+from ..functions.exprs import isotonic, lerp, running_sums
 from ..model import DATASET, PIXEL, MsiDataset, hold
+from . import bootstrap
 from .base import Diagnostic, Operator, OpResult, register
 
 GRID_POINTS = 200
@@ -75,35 +76,6 @@ def curve(pairs: DataFrame, alpha: float, keys: list[str], grid: DataFrame) -> D
     return points.select(*keys, "i", "mz_grid", value.alias("ppm"))
 
 
-def draws(pixels: DataFrame, n_reps: int, seed: int, block: int | None, width: int) -> DataFrame:
-    """(dataset_id, rep, pixel_id, m): bootstrap multiplicities, keyed by hashes and not by order.
-
-    Without blocks every replicate draws as many pixels as there are. With blocks, square blocks
-    of about ``block`` pixels are drawn until enough pixels are there; what is over is cut off.
-    """
-    n = pixels.groupBy("dataset_id").agg(F.count("*").alias("n"))
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))).alias("rep")
-    if block is None:
-        ranked = pixels.select("dataset_id", "pixel_id", (F.row_number().over(Window.partitionBy("dataset_id").orderBy("pixel_id")) - 1).alias("k"))
-        drawn = n.select("dataset_id", "n", reps).select("dataset_id", "rep", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
-        drawn = drawn.select("dataset_id", "rep", F.pmod(md5_int(seed, F.col("rep"), F.col("j")), F.col("n")).alias("k"))
-        return drawn.join(ranked, ["dataset_id", "k"]).groupBy("dataset_id", "rep", "pixel_id").agg(F.count("*").alias("m"))
-    side = max(1, round(block**0.5))
-    b = pixels.select(*PIXEL, (F.floor(F.col("gy") / side) * (width // side + 1) + F.floor(F.col("gx") / side)).alias("block"))
-    sizes = b.groupBy("dataset_id", "block").agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("k", F.row_number().over(Window.partitionBy("dataset_id").orderBy("block")) - 1).withColumn("blocks", F.count("*").over(Window.partitionBy("dataset_id")))
-    # No more draws can be needed than there are pixels; small blocks at the rim make that a bound.
-    per = sizes.groupBy("dataset_id").agg(F.max("blocks").alias("blocks"), F.sum("size").alias("n"), F.min("size").alias("least"))
-    drawn = per.select("dataset_id", "n", "blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / F.col("least")) - 1)).alias("j"), F.lit(n_reps).alias("_r"))
-    drawn = drawn.select("dataset_id", "n", "blocks", "j", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("rep"))
-    drawn = drawn.withColumn("k", F.pmod(md5_int(seed, F.col("rep"), F.col("j")), F.col("blocks")))
-    drawn = drawn.join(sizes.select("dataset_id", "k", "block", "size"), ["dataset_id", "k"])
-    before = F.sum("size").over(Window.partitionBy("dataset_id", "rep").orderBy("j")) - F.col("size")
-    drawn = drawn.withColumn("before", before).where("before < n").withColumn("room", F.least("size", F.col("n") - F.col("before")))
-    inner = b.withColumn("r", F.row_number().over(Window.partitionBy("dataset_id", "block").orderBy("pixel_id")))
-    return drawn.join(inner, ["dataset_id", "block"]).where("r <= room").groupBy("dataset_id", "rep", "pixel_id").agg(F.count("*").alias("m"))
-
-
 def tolerance_curve(ref_ions: DataFrame, ref_obs: DataFrame, pixels: DataFrame, p: ToleranceParams, seed: int = 0, width: int = 1) -> DataFrame:
     """(dataset_id, i, mz_grid, ppm_quantile, ci_low, ci_high), 200 points a dataset.
 
@@ -117,9 +89,7 @@ def tolerance_curve(ref_ions: DataFrame, ref_obs: DataFrame, pixels: DataFrame,
     fit = pairs.join(grid.select("dataset_id"), DATASET, "left_semi")
     point = curve(fit, p.alpha, DATASET, grid).withColumnRenamed("ppm", "ppm_quantile")
     if p.bootstrap_B > 0:
-        m = draws(pixels, p.bootstrap_B, seed, p.block_size_pixels if p.block_bootstrap else None, width)
-        boot = curve(fit.drop("m").join(m, PIXEL), p.alpha, ["dataset_id", "rep"], grid)
-        band = boot.groupBy("dataset_id", "i").agg(F.percentile("ppm", F.lit(0.025)).alias("ci_low"), F.percentile("ppm", F.lit(0.975)).alias("ci_high"))
+        band = bootstrap.band(fit, grid, pixels, p.bootstrap_B, p.alpha, seed, p.block_size_pixels if p.block_bootstrap else None, width)
         point = point.join(band, ["dataset_id", "i"], "left")
     else:
         point = point.withColumn("ci_low", F.col("ppm_quantile")).withColumn("ci_high", F.col("ppm_quantile"))

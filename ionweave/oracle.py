@@ -149,9 +149,17 @@ SELECT CAST(floor((x - lo) / (50.0::DOUBLE * 1e-6::DOUBLE)) AS BIGINT) AS bin, r
     out["ref_obs_ppm"] = f"WITH {refs(0.5)} SELECT pixel_id, ref_id, round(mz, 6) AS mz, round(intensity, 2) AS intensity, round(ppm_error, 4) AS ppm_error FROM ref_obs"
     pairs = "pairs AS (SELECT pixel_id, ref AS x, abs(ppm_error) AS y FROM ref_obs)"
     out["tolerance_curve"] = f"WITH {refs(0.5)}, {pairs}, {curve('pairs')} SELECT gi AS i, round(mz_grid, 5) AS mz_grid, round(ppm, 4) AS ppm_quantile FROM pts"
-    boot = f"""dw AS (SELECT rep.range AS rep, {md5i("'7'", "rep.range", "j.range")} % 256 AS pixel_id FROM range(4) rep, range(256) j),
-bp AS (SELECT rep, x, y FROM pairs JOIN dw USING (pixel_id))"""
-    out["tolerance_bootstrap_ci"] = f"""WITH {refs(0.5)}, {pairs}, {curve('pairs')}, {boot}, {curve('bp', 'rep', '2')},
+    keyed = "((j * a + b) % 2147483647) * ((j * a + b) % 2147483647) % 2147483647 * ((j * a + b) % 2147483647) + j"
+    ab = f"""ab AS (SELECT range AS rep, 1 + {md5i("'7'", "range", "'a'")} % 2147483646 AS a, {md5i("'7'", "range", "'b'")} % 2147483647 AS b FROM range(1000))"""
+    pixels_drawn = f"dw AS (SELECT rep, ({keyed}) % 2147483647 % 256 AS pixel_id FROM ab, (SELECT range AS j FROM range(256)))"
+    # Blocks of 6 x 6 pixels and what the rim leaves; of the last one the first pixels, until there are 256.
+    blocks_drawn = f"""bk AS (SELECT pixel_id, gy // 6 * 3 + gx // 6 AS block, row_number() OVER (PARTITION BY gy // 6 * 3 + gx // 6 ORDER BY pixel_id) AS r FROM pixels),
+bs AS (SELECT block, count(*) AS size, row_number() OVER (ORDER BY block) - 1 AS k FROM bk GROUP BY block),
+bd AS (SELECT rep, j, ({keyed}) % 2147483647 % 9 AS k FROM ab, (SELECT range AS j FROM range(16))),
+bc AS (SELECT rep, block, 256 - (sum(size) OVER (PARTITION BY rep ORDER BY j) - size) AS room FROM bd JOIN bs USING (k)),
+dw AS (SELECT rep, pixel_id FROM bc JOIN bk USING (block) WHERE r <= room)"""
+    for n, drawn in (("bootstrap_ci", pixels_drawn), ("block_bootstrap", f"{PIXELS}, {blocks_drawn}")):
+        out[f"tolerance_{n}"] = f"""WITH {refs(0.5)}, {pairs}, {curve('pairs')}, {ab}, {drawn}, bp AS (SELECT rep, x, y FROM pairs JOIN dw USING (pixel_id)), {curve('bp', 'rep', '2')},
 band AS (SELECT gi, quantile_cont(ppm, 0.025) AS a, quantile_cont(ppm, 0.975) AS b FROM pts2 GROUP BY gi)
 SELECT gi AS i, round(mz_grid, 5) AS mz_grid, round(ppm, 4) AS ppm_quantile, round(a, 4) AS ci_low, round(b, 4) AS ci_high FROM pts JOIN band USING (gi)"""
     for n, o in (("intensity", "-intensity"), ("prevalence", "-prevalence"), ("closest", "abs(ref - 455.0)")):

@@ -13,7 +13,7 @@ from ionweave import model as M
 from ionweave.cli import apply_spec, cohort_align
 from ionweave.functions import axis, exprs, grid, stats
 from ionweave.operators import names, operator
-from ionweave.operators import background, consensus, cwt, dbscan, hot_pixel, moran, normalize, pick, prevalence, recalibrate, reference_ions, tolerance
+from ionweave.operators import background, bootstrap, consensus, cwt, dbscan, hot_pixel, moran, normalize, pick, prevalence, recalibrate, reference_ions, tolerance
 from ionweave.plans import cohort, diagnostics, pipeline, views
 from ionweave.sources import andi, imzml, load, netcdf3, sidecar, spec, tiff
 
@@ -322,6 +322,47 @@ def test_views(aligned):
     assert views.contrast(views.project(aligned, "tic")).first().low > 0
 
 
+@pytest.mark.parametrize("block", [None, 9])
+def test_bootstrap_as_vectors_and_as_rows(spark, monkeypatch, block):
+    """The replicates' curves are those of pairs repeated as rows: pixels without pairs, few pairs, rare
+    anchors, ties of errors, replicates that aren't a multiple of a vector's length."""
+    rng = np.random.default_rng(8)
+    coords, pairs = [], []
+    for name, side, refs, share in (("a", 8, 12, 0.9), ("b", 5, 4, 0.5), ("c", 3, 3, 0.3)):
+        for k in range(side * side):
+            coords.append((name, 3 * k + 1, k % side, k // side))
+            for r in range(refs):
+                if rng.random() < (share if r else 0.1):
+                    pairs.append((name, 3 * k + 1, r, 100.0 + 7.3 * r, float(np.round(rng.gamma(2, 2 + r), 1))))
+    pixels, _ = M.pixels_of(spark.createDataFrame(coords, "dataset_id string, pixel_id long, x int, y int"))
+    pairs = spark.createDataFrame(pairs, "dataset_id string, pixel_id long, ref_id int, x double, y double")
+    grid_df = pairs.groupBy("dataset_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    n = 23
+    monkeypatch.setattr(bootstrap, "REPS", 10)
+    m = bootstrap.multiplicities(pixels, n, 3, block, 8)
+    reps = F.transform(F.sequence(F.lit(1), F.length("m")), lambda i: F.conv(F.hex(F.col("m").substr(i, F.lit(1))), 16, 10).cast("bigint"))
+    rows = m.select("dataset_id", "pixel_id", "rb", F.posexplode(reps).alias("k", "m")).select("dataset_id", "pixel_id", (F.col("rb") + F.col("k")).alias("rep"), "m").where("m > 0")
+    total = {(r.dataset_id, r.rep): r.m for r in rows.groupBy("dataset_id", "rep").agg(F.sum("m").alias("m")).collect()}
+    assert total == {(d, r): s for d, s in (("a", 64), ("b", 25), ("c", 9)) for r in range(n)}
+    for alpha in (0.01, 0.3):
+        want = {(r.dataset_id, r.rep, r.i): r.ppm for r in tolerance.curve(pairs.join(rows, ["dataset_id", "pixel_id"]), alpha, ["dataset_id", "rep"], grid_df).collect()}
+        got = {(r.dataset_id, r.rep, i): v for r in bootstrap.curves(pairs, grid_df, m, n, alpha).collect() for i, v in enumerate(r.ppm)}
+        assert got.keys() == want.keys() and len({k[:2] for k in got}) >= 2 * n
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+
+
+def test_keyed_draws_are_even():
+    """Draws fill bins as independent ones would, and replicates differ."""
+    n = 1000
+    for what in ("pixels", "blocks"):
+        m = np.stack([bootstrap.of_pixels(n, r, 7) if what == "pixels" else bootstrap.of_blocks(np.arange(n) // 10, r, 7) for r in range(200)])
+        assert (m.sum(axis=1) == n).all() and abs(m.mean(axis=0) - 1).max() < 0.5
+    share = np.mean([(bootstrap.of_pixels(n, r, 7) == 0).mean() for r in range(200)])
+    assert abs(share - math.exp(-1)) < 0.005
+    one, two = stats.keyed(np.arange(n), 0, 7), stats.keyed(np.arange(n), 1, 7)
+    assert abs(np.corrcoef(one, two)[0, 1]) < 0.1 and abs(np.corrcoef(np.arange(n), one)[0, 1]) < 0.1 and len(np.unique(one)) > 0.99 * n
+
+
 def test_moran_in_memory_and_as_rows(spark, monkeypatch):
     """Both ways of permuting give the same counts: two datasets, holes in the grid, a constant channel, an
     empty one, several blocks of channels and of permutations, both neighbourhoods."""
