@@ -351,6 +351,26 @@ def test_bootstrap_as_vectors_and_as_rows(spark, monkeypatch, block):
         assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
 
 
+@pytest.mark.parametrize("n, k", [(50, 30), (50, 200), (100, 100), (500, 560), (500, 20), (1000, 3), (2000, 2000), (3000, 100), (2000, 15000), (64, 1000), (2, 5), (1, 4), (7, 7)])
+def test_occupancy_by_balls_and_by_integrals(n, k):
+    middle = n * (1 - (1 - 1 / n) ** k)
+    for obs in {1, 2, min(n, k), *(int(min(max(middle + d * math.sqrt(n), 1), min(n, k))) for d in (-3, -1, -0.3, 0, 0.3, 1, 2))}:
+        if obs <= min(n, k):
+            a, b = stats._tail_by_balls(n, k, obs), stats._tail_by_integrals(n, k, obs)
+            assert b == pytest.approx(a, rel=1e-8, abs=1e-13), obs
+
+
+def test_occupancy_of_large_images():
+    """A million pixels; the sum of all probabilities is 1, and the mean is that of independent pixels."""
+    n = k = 10**6
+    middle, sd = n * (1 - math.exp(-1)), math.sqrt(n * (math.exp(-1) - 2 * math.exp(-2)))
+    j = np.arange(int(middle - 12 * sd), int(middle + 12 * sd))
+    p = np.exp(stats.occupancy_log(n, k, j))
+    assert p.sum() == pytest.approx(1, abs=1e-6) and (p * j).sum() == pytest.approx(-n * math.expm1(k * math.log1p(-1 / n)), rel=1e-6)
+    t = [stats.occupancy_tail(n, k, int(middle + d * sd)) for d in (-3, 0, 3)]
+    assert t == pytest.approx([0.9987, 0.5, 0.00135], abs=2e-3) and stats.occupancy_tail(n, k, n) == 0.0
+
+
 def test_keyed_draws_are_even():
     """Draws fill bins as independent ones would, and replicates differ."""
     n = 1000
