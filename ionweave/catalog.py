@@ -22,7 +22,7 @@ from .sources import files, imzml
 from .testdata import BG, FG, cells_dataset, peaks_dataset, profile_spectra, sparse_peaks
 
 REF = reference_ions.ReferenceIonParams(min_prevalence=0.5)
-KDE = consensus.KdeParams(n_grid_points=8192, bandwidth_ppm=200.0, default_tol_ppm=50.0)
+KDE = consensus.KdeParams()
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:

@@ -58,7 +58,7 @@ fl{s} AS (SELECT *, lead(c) OVER ({by} ORDER BY i) AS c2, lead(iso) OVER ({by} O
   FROM g JOIN fl{s} ON (is_first AND mz_grid <= c) OR (mz_grid > c AND (c2 IS NULL OR mz_grid <= c2)))"""
 
 
-def density(src: str = "peaks", bw: str = "2e-4::DOUBLE", n: int = 8192) -> str:
+def density(src: str = "peaks", bw: str = "50e-6::DOUBLE", n: int = 32768) -> str:
     return f"""sp AS (SELECT min(ln(mz)) - 5 * {bw} AS lo, max(ln(mz)) + 5 * {bw} AS hi, sum(intensity) AS total FROM {src}),
 sh AS (SELECT lo, total, (hi - lo) / {n - 1} AS h FROM sp),
 ex AS (SELECT lo, h, x, w, unnest(range(CAST(greatest(0, ceil((x - 5 * {bw} - lo) / h)) AS BIGINT), CAST(least({n - 1}, floor((x + 5 * {bw} - lo) / h)) AS BIGINT) + 1)) AS g

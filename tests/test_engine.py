@@ -371,6 +371,25 @@ def test_occupancy_of_large_images():
     assert t == pytest.approx([0.9987, 0.5, 0.00135], abs=2e-3) and stats.occupancy_tail(n, k, n) == 0.0
 
 
+@pytest.mark.parametrize("n, ppm", [(32768, 50.0), (4000, 200.0), (1500, 300.0), (3000, 100.0), (900, 50.0)])
+def test_density_is_the_sum_of_kernels(spark, n, ppm):
+    """Fine and coarse grids: moments of offsets, many terms, and peaks spread one by one."""
+    rng = np.random.default_rng(0)
+    x, w = rng.uniform(math.log(200), math.log(700), 800), rng.uniform(0, 10, 800)
+    df = spark.createDataFrame([("a", 0, i, float(m), float(v)) for i, (m, v) in enumerate(zip(np.exp(x), w))], M.PEAKS)
+    p = consensus.KdeParams(n_grid_points=n, bandwidth_ppm=ppm)
+    got = np.array([r.density for r in consensus.density(df, p).orderBy("g").collect()])
+    x, bw = np.log(np.exp(x)), p.bandwidth
+    lo, hi = x.min() - 5 * bw, x.max() + 5 * bw
+    h = (hi - lo) / (n - 1)
+    want = np.zeros(n)
+    for xi, wi in zip(x, w):
+        g = np.arange(max(0, math.ceil((xi - 5 * bw - lo) / h)), min(n - 1, math.floor((xi + 5 * bw - lo) / h)) + 1)
+        want[g] += wi * np.exp(-0.5 * ((lo + g * h - xi) / bw) ** 2)
+    want /= math.sqrt(2 * math.pi) * bw * w.sum()
+    assert np.abs(got - want).max() < 1e-9 * want.max()
+
+
 def test_keyed_draws_are_even():
     """Draws fill bins as independent ones would, and replicates differ."""
     n = 1000
