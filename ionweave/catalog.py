@@ -304,7 +304,8 @@ def _grades(s, d):
 
 
 def _default(s, d):
-    return rounded(pipeline.default_channels(peaks_dataset(s, d)), mz=4, prevalence=6)
+    # The tables' intensities are even, without a floor of noise: three deviations would leave next to nothing.
+    return rounded(pipeline.default_channels(peaks_dataset(s, d), pick=pick.SnrParams(snr_mad=0.5)), mz=4, prevalence=6)
 
 
 def queries() -> dict:

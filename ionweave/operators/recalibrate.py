@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import lerp, md5_int
 from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
@@ -54,29 +57,53 @@ def anchors(ref_ions: DataFrame, ref_obs: DataFrame, curve: DataFrame | None, p:
 
 
 def best_line(a: DataFrame, p: WarpParams, seed: int) -> DataFrame:
-    """(dataset_id, pixel_id, a, i, j): the pair of anchors whose line has most inliers, then the least
-    sum of squares, then comes first. All pairs are tried if no more than ``ransac_n_trials``; else as
-    many pairs are drawn by hashes of (seed, pixel, trial), repeats included."""
+    """``a`` with (slope, icpt) of the pair of anchors whose line has most inliers, then the least sum of
+    squares, then comes first. All pairs are tried if no more than ``ransac_n_trials``; else as many
+    pairs are drawn by hashes of (seed, pixel, trial), repeats included.
+
+    The trials of a pixel are one small matrix: nothing is exploded or shuffled."""
     n, pairs = F.col("n"), (F.col("n") * (F.col("n") - 1) / 2).cast("int")
-    trials = F.least(pairs, F.lit(p.ransac_n_trials))
-    t = a.where((n >= p.min_inliers) & (n >= 2)).select(*PIXEL, "a", "n", (pairs <= p.ransac_n_trials).alias("every"), F.explode(F.sequence(F.lit(0), trials - 1)).alias("t"))
+    trials = F.sequence(F.lit(0), F.least(pairs, F.lit(p.ransac_n_trials)) - 1)
+    every = pairs <= p.ransac_n_trials
     # The t-th pair of i < j in order: i is the largest with i * (2n - i - 1) / 2 <= t.
     before = lambda i: i * (2 * n - i - 1) / 2
-    i_all = F.size(F.filter(F.sequence(F.lit(0), n - 2), lambda i: before(i) <= F.col("t"))) - 1
-    j_all = F.col("t") - before(i_all).cast("int") + i_all + 1
-    x = F.pmod(md5_int(seed, F.col("pixel_id"), F.col("t"), "a"), n).cast("int")
-    y0 = F.pmod(md5_int(seed, F.col("pixel_id"), F.col("t"), "b"), n - 1).cast("int")
-    y = F.when(y0 >= x, y0 + 1).otherwise(y0)
-    t = t.withColumn("i", F.when(F.col("every"), i_all).otherwise(F.least(x, y)).cast("int")).withColumn("j", F.when(F.col("every"), j_all).otherwise(F.greatest(x, y)).cast("int"))
-    pi, pj = F.get("a", F.col("i")), F.get("a", F.col("j"))
-    slope = F.try_divide(pj["ref"] - pi["ref"], pj["obs"] - pi["obs"])
-    t = t.withColumn("slope", slope).where("slope IS NOT NULL").withColumn("icpt", pi["ref"] - F.col("slope") * pi["obs"])
-    # One row for each trial and anchor: counts and sums are combined before the shuffle.
-    r = t.select(*PIXEL, "t", "slope", "icpt", F.explode("a").alias("s"))
-    r = r.select(*PIXEL, "t", "slope", "icpt", residual(F.col("s")).alias("r"), F.col("s.thr").alias("thr")).where("r <= thr")
-    r = r.groupBy(*PIXEL, "t", "slope", "icpt").agg(F.count("*").alias("count"), F.sum(F.col("r") * F.col("r")).alias("sse"))
-    best = r.groupBy(*PIXEL).agg(F.max(F.struct("count", (-F.col("sse")).alias("s"), (-F.col("t")).alias("t"), "slope", "icpt")).alias("best"))
-    return best.select(*PIXEL, F.col("best.slope").alias("slope"), F.col("best.icpt").alias("icpt"))
+    i_all = lambda t: F.size(F.filter(F.sequence(F.lit(0), n - 2), lambda i: before(i) <= t)) - 1
+    x = lambda t: F.pmod(md5_int(seed, F.col("pixel_id"), t, "a"), n)
+    y = lambda t: F.pmod(md5_int(seed, F.col("pixel_id"), t, "b"), n - 1)
+    t = a.where((n >= p.min_inliers) & (n >= 2)).select(
+        *PIXEL, "a", F.when(every, F.transform(trials, lambda t: i_all(t).cast("bigint"))).otherwise(F.transform(trials, x)).alias("i"),
+        F.when(every, F.transform(trials, lambda t: (t - before(i_all(t)) + i_all(t) + 1).cast("bigint"))).otherwise(F.transform(trials, y)).alias("j"), every.alias("every"),
+    )
+
+    def run(batches):
+        for batch in batches:
+            anchors, i_of, j_of = (batch.column(c) for c in ("a", "i", "j"))
+            ref, obs, thr = (anchors.flatten().field(c).to_numpy() for c in ("ref", "obs", "thr"))
+            at = anchors.offsets.to_numpy() - anchors.offsets[0].as_py()
+            found = [line(ref[b:e], obs[b:e], thr[b:e], i.values.to_numpy(), j.values.to_numpy(), e_) for b, e, i, j, e_ in zip(at[:-1], at[1:], i_of, j_of, batch.column("every").to_pylist(), strict=True)]
+            cols = [pa.array([f and f[k] for f in found], pa.float64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*PIXEL, "a")), *cols], [*PIXEL, "a", "slope", "icpt"])
+
+    kept = [f for f in t.schema if f.name in (*PIXEL, "a")]
+    out = t.mapInArrow(run, T.StructType([*kept, T.StructField("slope", T.DoubleType()), T.StructField("icpt", T.DoubleType())]))
+    return out.where("slope IS NOT NULL")
+
+
+def line(ref: np.ndarray, obs: np.ndarray, thr: np.ndarray, i: np.ndarray, j: np.ndarray, every: bool) -> tuple[float, float] | None:
+    """(slope, intercept) of the best of the lines through the anchors ``i`` and ``j``."""
+    if not every:  # drawn: two different ones, the lower first
+        j = np.where(j >= i, j + 1, j)
+        i, j = np.minimum(i, j), np.maximum(i, j)
+    i, j = i[obs[i] != obs[j]], j[obs[i] != obs[j]]
+    if not len(i):
+        return None
+    slope = (ref[j] - ref[i]) / (obs[j] - obs[i])
+    icpt = ref[i] - slope * obs[i]
+    r = np.abs((slope[:, None] * obs + icpt[:, None] - ref) / ref) * 1e6
+    fits = r <= thr
+    count, sse = fits.sum(axis=1), np.where(fits, r * r, 0.0).sum(axis=1)
+    best = np.lexsort((np.arange(len(i)), sse, -count))[0]
+    return (float(slope[best]), float(icpt[best])) if count[best] else None
 
 
 def residual(s: Column) -> Column:
@@ -86,7 +113,7 @@ def residual(s: Column) -> Column:
 def warps(a: DataFrame, p: WarpParams, seed: int) -> DataFrame:
     """(dataset_id, pixel_id, obs, ref, n_inliers): ascending inlier anchors of the recalibrated pixels."""
     two = a.where((F.col("n") == 2) & (p.min_inliers <= 2)).select(*PIXEL, F.col("a").alias("inl"))
-    more = a.where("n > 2").join(best_line(a.where("n > 2"), p, seed), PIXEL).select(*PIXEL, F.filter("a", lambda s: residual(s) <= s["thr"]).alias("inl"))
+    more = best_line(a.where("n > 2"), p, seed).select(*PIXEL, F.filter("a", lambda s: residual(s) <= s["thr"]).alias("inl"))
     w = two.unionByName(more).where(F.size("inl") >= p.min_inliers)
     w = w.withColumn("inl", F.array_sort(F.transform("inl", lambda s: F.struct(s["obs"].alias("obs"), s["ref"].alias("ref")))))
     return w.select(*PIXEL, F.transform("inl", lambda s: s["obs"]).alias("obs"), F.transform("inl", lambda s: s["ref"]).alias("ref"), F.size("inl").alias("n_inliers"))

@@ -39,9 +39,10 @@ def kept_bins(best: DataFrame, n_pixels: DataFrame, p: ReferenceIonParams) -> Da
 def reference_ions(peaks: DataFrame, n_pixels: DataFrame, p: ReferenceIonParams) -> tuple[DataFrame, DataFrame]:
     """(ref_ions, ref_obs): ``ref_ions(dataset_id, ref_id, mz, prevalence, n_obs)`` by ascending m/z and
     ``ref_obs(dataset_id, pixel_id, ref_id, mz, intensity, ppm_error)``."""
-    best = best_of_bins(peaks, p.coarse_tol_ppm)
+    best = hold(best_of_bins(peaks, p.coarse_tol_ppm))
     bins = kept_bins(best, n_pixels, p)
-    obs = best.join(bins, ["dataset_id", "bin"]).groupBy(*PIXEL, "grp").agg(weighted_mean("mz", "intensity").alias("mz"), F.sum("intensity").alias("intensity"))
+    # Both results are made of the written observations: the peaks are read once.
+    obs = hold(best.join(bins, ["dataset_id", "bin"]).groupBy(*PIXEL, "grp").agg(weighted_mean("mz", "intensity").alias("mz"), F.sum("intensity").alias("intensity")))
     positive = F.col("intensity") > 0
     refs = obs.groupBy("dataset_id", "grp").agg(
         F.coalesce(F.try_divide(F.sum(F.when(positive, F.col("mz") * F.col("intensity"))), F.sum(F.when(positive, F.col("intensity")))), F.avg("mz")).alias("mz"),

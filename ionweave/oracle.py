@@ -119,18 +119,45 @@ def _projections() -> dict[str, str]:
     return {f"proj_{k}": f"WITH {PEAKS}, {PIXELS} SELECT pixel_id, round(coalesce({e}, 0), {n}) AS value FROM pixels LEFT JOIN peaks USING (pixel_id) GROUP BY pixel_id" for k, (e, n) in exprs.items()}
 
 
-def _warp() -> str:
-    return f"""WITH {refs(0.5)},
-an AS (SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY ref_id) - 1 AS k, mz AS obs, ref FROM ref_obs),
+def at_curve(pts: str, mz: str) -> str:
+    """The value of a curve's points (gi, mz_grid, ppm) at ``mz``, as an expression over its array ``v`` and range."""
+    t = f"greatest(0.0, least(199.0, ({mz} - glo) / ((ghi - glo) / 199)))"
+    i = f"least(CAST(floor({t}) AS BIGINT), 198)"
+    return f"v[{i} + 1] + (v[{i} + 2] - v[{i} + 1]) * ({t} - {i})"
+
+
+def _warp(head: str = "", thr: str = "6.0::DOUBLE", seed: int = 7) -> str:
+    """CTEs to ``wp``, the warps of ``ref_obs``; ``thr`` is an expression over ``ref`` (and what ``head`` joins as ``cv``)."""
+    source = "ref_obs, cv" if head else "ref_obs"
+    return f"""{head}an AS (SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY ref_id) - 1 AS k, mz AS obs, ref, {thr} AS thr FROM {source}),
 pn AS (SELECT pixel_id, count(*) AS n FROM an GROUP BY pixel_id HAVING count(*) >= 3),
 al AS (SELECT pixel_id, n, a.k AS i, b.k AS j, row_number() OVER (PARTITION BY pixel_id ORDER BY a.k, b.k) - 1 AS t FROM pn JOIN an a USING (pixel_id) JOIN an b USING (pixel_id) WHERE a.k < b.k AND n * (n - 1) / 2 <= 64),
-dr AS (SELECT pixel_id, n, range AS t, {md5i("'7'", "pixel_id", "range", "'a'")} % n AS x, {md5i("'7'", "pixel_id", "range", "'b'")} % (n - 1) AS y FROM pn, range(64) WHERE n * (n - 1) / 2 > 64),
+dr AS (SELECT pixel_id, n, range AS t, {md5i(f"'{seed}'", "pixel_id", "range", "'a'")} % n AS x, {md5i(f"'{seed}'", "pixel_id", "range", "'b'")} % (n - 1) AS y FROM pn, range(64) WHERE n * (n - 1) / 2 > 64),
 tr AS (SELECT pixel_id, i, j, t FROM al UNION ALL SELECT pixel_id, least(x, y2), greatest(x, y2), t FROM (SELECT *, CASE WHEN y >= x THEN y + 1 ELSE y END AS y2 FROM dr)),
 ln AS (SELECT tr.pixel_id, t, (q.ref - p.ref) / (q.obs - p.obs) AS slope, p.ref - (q.ref - p.ref) / (q.obs - p.obs) * p.obs AS icpt FROM tr JOIN an p ON p.pixel_id = tr.pixel_id AND p.k = i JOIN an q ON q.pixel_id = tr.pixel_id AND q.k = j WHERE p.obs <> q.obs),
-rs AS (SELECT ln.pixel_id, t, slope, icpt, abs((slope * obs + icpt - ref) / ref) * 1e6 AS r FROM ln JOIN an USING (pixel_id)),
-bl AS (SELECT pixel_id, slope, icpt FROM (SELECT pixel_id, t, slope, icpt, count(*) AS c, sum(r * r) AS sse FROM rs WHERE r <= 6.0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pixel_id ORDER BY c DESC, sse, t) = 1),
-il AS (SELECT pixel_id, obs, ref, count(*) OVER (PARTITION BY pixel_id) AS n_inliers FROM bl JOIN an USING (pixel_id) WHERE abs((slope * obs + icpt - ref) / ref) * 1e6 <= 6.0),
-wp AS (SELECT *, lead(obs) OVER w AS obs2, lead(ref) OVER w AS ref2, row_number() OVER w AS k FROM il WHERE n_inliers >= 3 WINDOW w AS (PARTITION BY pixel_id ORDER BY obs))"""
+rs AS (SELECT ln.pixel_id, t, slope, icpt, abs((slope * obs + icpt - ref) / ref) * 1e6 AS r, thr FROM ln JOIN an USING (pixel_id)),
+bl AS (SELECT pixel_id, slope, icpt FROM (SELECT pixel_id, t, slope, icpt, count(*) AS c, sum(r * r) AS sse FROM rs WHERE r <= thr GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pixel_id ORDER BY c DESC, sse, t) = 1),
+il AS (SELECT pixel_id, obs, ref, count(*) OVER (PARTITION BY pixel_id) AS n_inliers FROM bl JOIN an USING (pixel_id) WHERE abs((slope * obs + icpt - ref) / ref) * 1e6 <= thr),
+wp AS (SELECT *, lead(obs) OVER w AS obs2, lead(ref) OVER w AS ref2, row_number() OVER w AS k FROM il WHERE n_inliers >= 3 WINDOW w AS (PARTITION BY pixel_id ORDER BY obs)),
+sg AS (SELECT p.* EXCLUDE (mz), CASE WHEN w.obs IS NULL THEN p.mz WHEN p.mz < w.obs THEN p.mz + (w.ref - w.obs) WHEN w.obs2 IS NULL THEN CASE WHEN p.mz > w.obs THEN p.mz + (w.ref - w.obs) ELSE w.ref END ELSE w.ref + (p.mz - w.obs) * (w.ref2 - w.ref) / (w.obs2 - w.obs) END AS mz
+  FROM peaks p LEFT JOIN wp w ON w.pixel_id = p.pixel_id AND ((w.k = 1 AND p.mz < w.obs) OR (p.mz >= w.obs AND (w.obs2 IS NULL OR p.mz < w.obs2))))"""
+
+
+def default_chain() -> str:
+    """The recommended chain: anchors, curve, warp, median, noise, density maxima, windows of the curve."""
+    from .plans.pipeline import node_seed
+
+    cv = "cv AS (SELECT list(ppm ORDER BY gi) AS v, min(mz_grid) AS glo, max(mz_grid) AS ghi FROM pts),\n"
+    return f"""WITH {refs(0.8)}, pairs AS (SELECT pixel_id, ref AS x, abs(ppm_error) AS y FROM ref_obs), {curve('pairs')}, {_warp(cv, "2 * (" + at_curve('pts', 'ref') + ")", node_seed(0, 'recal'))},
+f1 AS (SELECT *, intensity / greatest(coalesce(median(intensity) FILTER (intensity > 0) OVER (PARTITION BY pixel_id), 0), 1e-12) AS i1 FROM sg),
+f2 AS (SELECT *, median(i1) OVER (PARTITION BY pixel_id) AS m FROM f1), f3 AS (SELECT *, median(abs(i1 - m)) OVER (PARTITION BY pixel_id) AS mad FROM f2),
+pp AS (SELECT pixel_id, mz, i1 AS intensity FROM f3 WHERE i1 > 0.5 * 1.4826 * mad), {density('pp')},
+aw AS (SELECT ax.*, {at_curve('pts', 'mz')} AS tol FROM ax, cv),
+hit AS (SELECT p.*, a.channel FROM pp p JOIN aw a ON p.mz >= a.mz * (1 - tol * 1e-6::DOUBLE) AND p.mz <= a.mz * (1 + tol * 1e-6::DOUBLE)
+  AND ((p.mz <= a.mz AND (a.before IS NULL OR p.mz > a.before)) OR (p.mz > a.mz AND (a.after IS NULL OR p.mz <= a.after)))),
+ev AS (SELECT pixel_id, channel, max(intensity) AS intensity, count(*) AS k FROM hit GROUP BY pixel_id, channel),
+ct AS (SELECT a.channel AS old, a.mz, coalesce(count(*) FILTER (e.intensity > 0), 0) / 256 AS prevalence, coalesce(sum(k), 0) AS n_peaks FROM aw a LEFT JOIN ev e ON e.channel = a.channel GROUP BY a.channel, a.mz)
+SELECT CAST(row_number() OVER (ORDER BY mz) - 1 AS INTEGER) AS channel, round(mz, 4) AS mz, round(prevalence, 6) AS prevalence, CAST(n_peaks AS BIGINT) AS n_peaks FROM ct WHERE prevalence >= 0.05"""
 
 
 def sql() -> dict[str, str]:
@@ -164,11 +191,9 @@ band AS (SELECT gi, quantile_cont(ppm, 0.025) AS a, quantile_cont(ppm, 0.975) AS
 SELECT gi AS i, round(mz_grid, 5) AS mz_grid, round(ppm, 4) AS ppm_quantile, round(a, 4) AS ci_low, round(b, 4) AS ci_high FROM pts JOIN band USING (gi)"""
     for n, o in (("intensity", "-intensity"), ("prevalence", "-prevalence"), ("closest", "abs(ref - 455.0)")):
         out[f"recal_lock_mass_{n}"] = f"WITH {refs(0.5)} SELECT pixel_id, round((mz / ref - 1) * 1e6, 4) AS shift_ppm FROM ref_obs QUALIFY row_number() OVER (PARTITION BY pixel_id ORDER BY {o}, ref_id) = 1 AND abs(mz - ref) / ref * 1e6 <= 500"
-    out["recal_msiwarp_inliers"] = f"{_warp()} SELECT DISTINCT pixel_id, CAST(n_inliers AS INTEGER) AS n_inliers FROM wp"
-    out["recal_msiwarp"] = f"""{_warp()},
-sg AS (SELECT p.pixel_id, p.peak_idx, p.intensity, CASE WHEN w.obs IS NULL THEN p.mz WHEN p.mz < w.obs THEN p.mz + (w.ref - w.obs) WHEN w.obs2 IS NULL THEN CASE WHEN p.mz > w.obs THEN p.mz + (w.ref - w.obs) ELSE w.ref END ELSE w.ref + (p.mz - w.obs) * (w.ref2 - w.ref) / (w.obs2 - w.obs) END AS mz
-  FROM peaks p LEFT JOIN wp w ON w.pixel_id = p.pixel_id AND ((w.k = 1 AND p.mz < w.obs) OR (p.mz >= w.obs AND (w.obs2 IS NULL OR p.mz < w.obs2))))
-SELECT pixel_id, peak_idx, round(mz, 5) AS mz, round(intensity, 2) AS intensity FROM sg"""
+    out["recal_msiwarp_inliers"] = f"WITH {refs(0.5)}, {_warp()} SELECT DISTINCT pixel_id, CAST(n_inliers AS INTEGER) AS n_inliers FROM wp"
+    out["recal_msiwarp"] = f"WITH {refs(0.5)}, {_warp()} SELECT pixel_id, peak_idx, round(mz, 5) AS mz, round(intensity, 2) AS intensity FROM sg"
+    out["pipeline_default"] = default_chain()
     norm = "SELECT pixel_id, peak_idx, round(mz, 6) AS mz, round(intensity / greatest(coalesce({f}, 0), 1e-12), 8) AS intensity FROM peaks"
     out["norm_median"] = f"WITH {PEAKS}, f AS (SELECT pixel_id, median(intensity) FILTER (intensity > 0) AS f FROM peaks GROUP BY pixel_id) {norm.format(f='f')} JOIN f USING (pixel_id)"
     out["norm_tic"] = f"WITH {PEAKS}, f AS (SELECT pixel_id, sum(intensity) AS f FROM peaks GROUP BY pixel_id) {norm.format(f='f')} JOIN f USING (pixel_id)"

@@ -11,16 +11,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..model import ExperimentParams, MsiDataset, combine_hashes, hash_obj, hold
+from ..model import ExperimentParams, MsiDataset, combine_hashes, hash_obj
 from ..operators import OpResult, operator
-from ..operators.consensus import KdeParams, align_kde
-from ..operators.normalize import scaled, with_factor
-from ..operators.pick import SnrParams, with_threshold
-from ..operators.recalibrate import WarpParams, anchors, warped, warps
-from ..operators.reference_ions import ReferenceIonParams, reference_ions
-from ..operators.tolerance import ToleranceParams, tolerance_curve
+from ..operators.tolerance import ToleranceParams
 
 
 def versions() -> dict[str, str]:
@@ -163,13 +157,10 @@ class Runner:
         return RunResult(results[p.nodes[-1].id].dataset if p.nodes else ds, results)
 
 
-def default_channels(ds: MsiDataset, seed: int = 0) -> DataFrame:
-    """The channels that the default chain finds; tables with several readers are written once."""
-    refs, obs = map(hold, reference_ions(ds.peaks, ds.n_pixels(), ReferenceIonParams(min_prevalence=0.5)))
-    curve = hold(tolerance_curve(refs, obs, ds.pixels, ToleranceParams(bootstrap_B=0)))
-    wp = WarpParams()
-    peaks = warped(ds.peaks, hold(warps(anchors(refs, obs, curve, wp), wp, seed)))
-    peaks = scaled(with_factor(peaks, "median", 1e-12))
-    peaks = hold(with_threshold(peaks, SnrParams(snr_mad=0.5)).where("intensity > threshold").drop("threshold"))
-    _, channels, _, _ = align_kde(ds.with_peaks(peaks).with_extras(tolerance_curve=curve), KdeParams(n_grid_points=131072, bandwidth_ppm=20.0))
-    return channels.select("channel", "mz", F.col("prevalence"), "n_peaks")
+def default_channels(ds: MsiDataset, seed: int = 0, replicates: int = 100, **changed: Any) -> DataFrame:
+    """(channel, mz, prevalence, n_peaks) that the recommended chain finds, its tolerance with so many replicates over
+    pixels; ``changed``: parameters of other nodes."""
+    p = recommend(ds.metadata, rng_seed=seed).replace("tol", params=ToleranceParams(bootstrap_B=replicates, block_bootstrap=False))
+    for node, params in changed.items():
+        p = p.replace(node, params=params)
+    return Runner().run(ds, p).dataset.channels.select("channel", "mz", "prevalence", "n_peaks")
