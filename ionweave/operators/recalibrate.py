@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import lerp, md5_int
+from ..functions.exprs import md5_int
 from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, register
 from .tolerance import evaluate
@@ -119,15 +119,27 @@ def warps(a: DataFrame, p: WarpParams, seed: int) -> DataFrame:
     return w.select(*PIXEL, F.transform("inl", lambda s: s["obs"]).alias("obs"), F.transform("inl", lambda s: s["ref"]).alias("ref"), F.size("inl").alias("n_inliers"))
 
 
-def warp(mz: Column, obs: Column, ref: Column) -> Column:
-    """Piecewise-linear inside the anchors; outside, the offset of the end."""
-    first, last = obs[0], F.element_at(obs, -1)
-    return F.when(mz < first, mz + (ref[0] - first)).when(mz > last, mz + (F.element_at(ref, -1) - last)).otherwise(lerp(mz, obs, ref))
+def pieces(w: DataFrame) -> DataFrame:
+    """(dataset_id, pixel_id, mz, piece): the linear pieces of each warp from where they begin: inside the
+    anchors between two of them, outside with the offset of the end."""
+    n = F.size("obs")
+    at = lambda c, k: F.get(c, k)
+    one = lambda start, k, slope: F.struct(start.alias("mz"), at("obs", k).alias("x"), at("ref", k).alias("y"), slope.alias("slope"))
+    inner = F.transform(F.sequence(F.lit(0), n - 1), lambda k: one(at("obs", k), k, F.when(k == n - 1, 1.0).otherwise(F.coalesce(F.try_divide(at("ref", k + 1) - at("ref", k), at("obs", k + 1) - at("obs", k)), F.lit(1.0)))))
+    first = F.array(one(F.lit(float("-inf")), F.lit(0), F.lit(1.0)))
+    p = w.select(*PIXEL, F.explode(F.concat(first, inner)).alias("p"))
+    return p.select(*PIXEL, "p.mz", F.struct("p.x", "p.y", "p.slope").alias("piece"))
 
 
 def warped(peaks: DataFrame, w: DataFrame) -> DataFrame:
-    out = peaks.join(w.select(*PIXEL, "obs", "ref"), PIXEL, "left")
-    return out.withColumn("mz", F.when(F.col("obs").isNotNull(), warp(F.col("mz"), F.col("obs"), F.col("ref"))).otherwise(F.col("mz"))).drop("obs", "ref")
+    """``peaks`` with their m/z moved by their pixel's warp, where it has one: peaks and pieces are sorted
+    together by pixel and m/z, and each peak takes the last piece before it."""
+    none = pieces(w).schema["piece"].dataType
+    both = peaks.withColumn("piece", F.lit(None).cast(none)).withColumn("_peak", F.lit(True)).unionByName(pieces(w).withColumn("_peak", F.lit(False)), allowMissingColumns=True)
+    by = Window.partitionBy(*PIXEL).orderBy("mz", "_peak").rowsBetween(Window.unboundedPreceding, 0)
+    p = F.col("_p")
+    moved = both.withColumn("_p", F.last("piece", ignorenulls=True).over(by)).where("_peak")
+    return moved.withColumn("mz", F.coalesce(p["y"] + (F.col("mz") - p["x"]) * p["slope"], F.col("mz"))).select(*peaks.columns)
 
 
 @register
