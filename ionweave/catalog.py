@@ -284,7 +284,8 @@ def _bg(what: str):
     return run
 
 
-COHORT = cohort.CohortParams(bandwidth_ppm=20.0, n_grid_points=131072, bootstrap_B=0, recalibrate=False, reference=REF)
+#: The defaults but for anchors, as a dataset of the cohort has a third of the peaks, and for noise (see _default).
+COHORT = cohort.CohortParams(reference=REF, snr_mad=0.5)
 
 
 def _cohort(what: str):

@@ -23,28 +23,31 @@ def md5i(*parts: str) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT)"
 
 
-def refs(min_prev: float, merge: bool = True) -> str:
+def refs(min_prev: float, merge: bool = True, head: str = PEAKS, ds: str = "") -> str:
+    """CTEs to ``ref_ions`` and ``ref_obs``; with ``ds``, a column of the peaks, for each of its values."""
     # log1p and ln(1 + x) differ in the last digits; bins are compared on jittered m/z off the edges.
-    grp = "bin - row_number() OVER (ORDER BY bin)" if merge else "bin"
-    return f"""{PEAKS},
-best AS (SELECT pixel_id, bin, mz, intensity FROM (SELECT *, CAST(floor(ln(mz) / {step(50.0)}) AS BIGINT) AS bin FROM peaks)
+    k = f"{ds}, " if ds else ""
+    by = f"PARTITION BY {ds} " if ds else ""
+    grp = f"bin - row_number() OVER ({by}ORDER BY bin)" if merge else "bin"
+    return f"""{head},
+best AS (SELECT pixel_id, {k}bin, mz, intensity FROM (SELECT *, CAST(floor(ln(mz) / {step(50.0)}) AS BIGINT) AS bin FROM peaks)
   QUALIFY row_number() OVER (PARTITION BY pixel_id, bin ORDER BY intensity DESC, peak_idx, mz) = 1),
-bins AS (SELECT bin, {grp} AS grp FROM (SELECT bin, count(*) AS n FROM best GROUP BY bin HAVING count(*) / 256 >= {min_prev} AND count(*) >= 5)),
-obs AS (SELECT pixel_id, grp, coalesce(sum(mz * intensity) / nullif(sum(intensity), 0), avg(mz)) AS mz, sum(intensity) AS intensity FROM best JOIN bins USING (bin) GROUP BY pixel_id, grp),
-r0 AS (SELECT grp, coalesce(sum(mz * intensity) FILTER (intensity > 0) / nullif(sum(intensity) FILTER (intensity > 0), 0), avg(mz)) AS mz, count(*) FILTER (intensity > 0) AS n_obs FROM obs GROUP BY grp),
-ref_ions AS (SELECT CAST(row_number() OVER (ORDER BY mz, grp) - 1 AS INTEGER) AS ref_id, grp, mz, n_obs / 256 AS prevalence, n_obs FROM r0),
-ref_obs AS (SELECT pixel_id, ref_id, o.mz, o.intensity, (o.mz - r.mz) / r.mz * 1e6 AS ppm_error, r.mz AS ref, r.prevalence FROM obs o JOIN ref_ions r USING (grp) WHERE o.intensity > 0)"""
+bins AS (SELECT {k}bin, {grp} AS grp FROM (SELECT {k}bin, count(*) AS n FROM best GROUP BY {k}bin HAVING count(*) / 256 >= {min_prev} AND count(*) >= 5)),
+obs AS (SELECT pixel_id, {k}grp, coalesce(sum(mz * intensity) / nullif(sum(intensity), 0), avg(mz)) AS mz, sum(intensity) AS intensity FROM best JOIN bins USING ({k}bin) GROUP BY pixel_id, {k}grp),
+r0 AS (SELECT {k}grp, coalesce(sum(mz * intensity) FILTER (intensity > 0) / nullif(sum(intensity) FILTER (intensity > 0), 0), avg(mz)) AS mz, count(*) FILTER (intensity > 0) AS n_obs FROM obs GROUP BY {k}grp),
+ref_ions AS (SELECT {k}CAST(row_number() OVER ({by}ORDER BY mz, grp) - 1 AS INTEGER) AS ref_id, grp, mz, n_obs / 256 AS prevalence, n_obs FROM r0),
+ref_obs AS (SELECT pixel_id, {k}ref_id, o.mz, o.intensity, (o.mz - r.mz) / r.mz * 1e6 AS ppm_error, r.mz AS ref, r.prevalence FROM obs o JOIN ref_ions r USING ({k}grp) WHERE o.intensity > 0)"""
 
 
-def curve(pairs: str, keys: str = "", s: str = "") -> str:
+def curve(pairs: str, keys: str = "", s: str = "", own_grid: bool = False) -> str:
     """CTEs (their names ending in ``s``) from ``pairs`` (keys, x, y) to ``pts``: the isotonic quantile curve
-    at the 200 points of ``g``, the grid over all pairs, which is made with the keyless curve."""
+    at the 200 points of ``g``, the grid over all pairs, which is made with the keyless curve, or with ``own_grid`` over those of each key."""
     k = f"{keys}, " if keys else ""
     by = f"PARTITION BY {keys}" if keys else ""
     own = lambda t: f"{t}.{keys}, " if keys else ""
     same = lambda t, u: f"AND {t}.{keys} = {u}.{keys}" if keys else ""
     qs = "[" + ", ".join(f"(CAST({j} AS DOUBLE) / 30)" for j in range(31)) + "]"
-    grid = "" if keys else """g AS (SELECT CAST(range AS INTEGER) AS gi, lo + range * (hi - lo) / 199 AS mz_grid FROM range(200), (SELECT min(x) AS lo, max(x) AS hi FROM pairs)),
+    grid = f"g AS (SELECT {k}CAST(r.range AS INTEGER) AS gi, lo + r.range * (hi - lo) / 199 AS mz_grid FROM range(200) r, (SELECT {k}min(x) AS lo, max(x) AS hi FROM {pairs} GROUP BY {keys})),\n" if own_grid else "" if keys else """g AS (SELECT CAST(range AS INTEGER) AS gi, lo + range * (hi - lo) / 199 AS mz_grid FROM range(200), (SELECT min(x) AS lo, max(x) AS hi FROM pairs)),
 """
     return f"""eg{s} AS (SELECT {k}list_sort(list_distinct(quantile_cont(x, {qs}))) AS e FROM {pairs} {f'GROUP BY {keys}' if keys else ''}),
 el{s} AS (SELECT {k}i, e[i] AS lo, e[i + 1] AS hi, i = len(e) - 1 AS last FROM (SELECT *, unnest(range(1, len(e))) AS i FROM eg{s})),
@@ -55,7 +58,7 @@ mi{s} AS (SELECT {own('f')}f.i, v.a, min(v.mean) AS m FROM qf{s} f JOIN mm{s} v
 fit{s} AS (SELECT {k}i, c, iso FROM qf{s} JOIN (SELECT {k}i, max(m) AS iso FROM mi{s} GROUP BY {k}i) USING ({k}i)),
 fl{s} AS (SELECT *, lead(c) OVER ({by} ORDER BY i) AS c2, lead(iso) OVER ({by} ORDER BY i) AS iso2, row_number() OVER ({by} ORDER BY i) = 1 AS is_first FROM fit{s}),
 {grid}pts{s} AS (SELECT {k}gi, mz_grid, CASE WHEN is_first AND mz_grid <= c THEN iso WHEN c2 IS NULL THEN iso ELSE iso + (mz_grid - c) * (iso2 - iso) / (c2 - c) END AS ppm
-  FROM g JOIN fl{s} ON (is_first AND mz_grid <= c) OR (mz_grid > c AND (c2 IS NULL OR mz_grid <= c2)))"""
+  FROM g JOIN fl{s} {'USING (' + keys + ') WHERE' if own_grid else 'ON'} (is_first AND mz_grid <= c) OR (mz_grid > c AND (c2 IS NULL OR mz_grid <= c2)))"""
 
 
 def density(src: str = "peaks", bw: str = "50e-6::DOUBLE", n: int = 32768) -> str:
@@ -126,13 +129,15 @@ def at_curve(pts: str, mz: str) -> str:
     return f"v[{i} + 1] + (v[{i} + 2] - v[{i} + 1]) * ({t} - {i})"
 
 
-def _warp(head: str = "", thr: str = "6.0::DOUBLE", seed: int = 7) -> str:
-    """CTEs to ``wp``, the warps of ``ref_obs``; ``thr`` is an expression over ``ref`` (and what ``head`` joins as ``cv``)."""
-    source = "ref_obs, cv" if head else "ref_obs"
+def _warp(head: str = "", thr: str = "6.0::DOUBLE", seed: int = 7, ds: str = "") -> str:
+    """CTEs to ``wp``, the warps of ``ref_obs``; ``thr`` is an expression over ``ref`` (and what ``head`` joins as ``cv``).
+    With ``ds``, pixel numbers are those of 256 pixels a dataset."""
+    source = f"ref_obs JOIN cv USING ({ds})" if ds else "ref_obs, cv" if head else "ref_obs"
+    px = "pixel_id % 256" if ds else "pixel_id"
     return f"""{head}an AS (SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY ref_id) - 1 AS k, mz AS obs, ref, {thr} AS thr FROM {source}),
 pn AS (SELECT pixel_id, count(*) AS n FROM an GROUP BY pixel_id HAVING count(*) >= 3),
 al AS (SELECT pixel_id, n, a.k AS i, b.k AS j, row_number() OVER (PARTITION BY pixel_id ORDER BY a.k, b.k) - 1 AS t FROM pn JOIN an a USING (pixel_id) JOIN an b USING (pixel_id) WHERE a.k < b.k AND n * (n - 1) / 2 <= 64),
-dr AS (SELECT pixel_id, n, range AS t, {md5i(f"'{seed}'", "pixel_id", "range", "'a'")} % n AS x, {md5i(f"'{seed}'", "pixel_id", "range", "'b'")} % (n - 1) AS y FROM pn, range(64) WHERE n * (n - 1) / 2 > 64),
+dr AS (SELECT pixel_id, n, range AS t, {md5i(f"'{seed}'", px, "range", "'a'")} % n AS x, {md5i(f"'{seed}'", px, "range", "'b'")} % (n - 1) AS y FROM pn, range(64) WHERE n * (n - 1) / 2 > 64),
 tr AS (SELECT pixel_id, i, j, t FROM al UNION ALL SELECT pixel_id, least(x, y2), greatest(x, y2), t FROM (SELECT *, CASE WHEN y >= x THEN y + 1 ELSE y END AS y2 FROM dr)),
 ln AS (SELECT tr.pixel_id, t, (q.ref - p.ref) / (q.obs - p.obs) AS slope, p.ref - (q.ref - p.ref) / (q.obs - p.obs) * p.obs AS icpt FROM tr JOIN an p ON p.pixel_id = tr.pixel_id AND p.k = i JOIN an q ON q.pixel_id = tr.pixel_id AND q.k = j WHERE p.obs <> q.obs),
 rs AS (SELECT ln.pixel_id, t, slope, icpt, abs((slope * obs + icpt - ref) / ref) * 1e6 AS r, thr FROM ln JOIN an USING (pixel_id)),
@@ -265,10 +270,20 @@ SELECT pixel_id, channel, round(intensity, 6) AS intensity FROM cells WHERE pixe
     bg = f"""WITH {CELLS}, {DENSE}, rt AS (SELECT channel, avg(x) FILTER ({FG}) AS mean_fg, avg(x) FILTER ({BG}) AS mean_bg FROM dense JOIN pixels USING (pixel_id) GROUP BY channel)"""
     out["bg_reject"] = f"{bg} SELECT channel, 100.0::DOUBLE + channel AS mz, round(mean_fg, 6) AS mean_fg, round(mean_bg, 6) AS mean_bg, round(mean_bg / greatest(mean_fg, 1e-9), 6) AS ratio FROM rt WHERE mean_bg / greatest(mean_fg, 1e-9) < 1.0"
     out["bg_subtract"] = f"{bg} SELECT pixel_id, channel, round(intensity - mean_bg, 6) AS intensity FROM cells JOIN rt USING (channel) WHERE intensity > mean_bg"
-    co = f"""WITH {PEAKS}, f1 AS (SELECT *, intensity / greatest(coalesce(median(intensity) FILTER (intensity > 0) OVER (PARTITION BY ds, pixel_id), 0), 1e-12) AS i1 FROM peaks),
-f2 AS (SELECT *, median(i1) OVER (PARTITION BY ds, pixel_id) AS m FROM f1), f3 AS (SELECT *, median(abs(i1 - m)) OVER (PARTITION BY ds, pixel_id) AS mad FROM f2),
-pp AS (SELECT ds, pixel_id, mz, i1 AS intensity FROM f3 WHERE i1 > 3.0 * 1.4826 * mad)"""
-    out["cohort_axis"] = f"{co}, {density('pp', '2e-5::DOUBLE', 131072)} SELECT channel, round(mz, 5) AS mz FROM ax"
+    # The cohort: pixel numbers of all three datasets in a row, anchors, curves and warps for each, one density for all.
+    names = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+    head = PEAKS.replace("l_orderkey % 256 AS pixel_id", f"{names} * 256 + l_orderkey % 256 AS pixel_id")
+    cv = "cv AS (SELECT ds, list(ppm ORDER BY gi) AS v, min(mz_grid) AS glo, max(mz_grid) AS ghi FROM pts GROUP BY ds),\n"
+    co = f"""WITH {refs(0.5, True, head, 'ds')}, pairs AS (SELECT ds, ref AS x, abs(ppm_error) AS y FROM ref_obs), {curve('pairs', 'ds', '', True)}, {_warp(cv, "2 * (" + at_curve('pts', 'ref') + ")", 0, 'ds')},
+f1 AS (SELECT *, intensity / greatest(coalesce(median(intensity) FILTER (intensity > 0) OVER (PARTITION BY pixel_id), 0), 1e-12) AS i1 FROM sg),
+f2 AS (SELECT *, median(i1) OVER (PARTITION BY pixel_id) AS m FROM f1), f3 AS (SELECT *, median(abs(i1 - m)) OVER (PARTITION BY pixel_id) AS mad FROM f2),
+pp AS (SELECT ds, pixel_id, mz, i1 AS intensity FROM f3 WHERE i1 > 0.5 * 1.4826 * mad), {density('pp')}"""
+    out["cohort_axis"] = f"{co} SELECT channel, round(mz, 5) AS mz FROM ax"
+    out["cohort_prevalence"] = f"""{co}, aw AS (SELECT ds, ax.*, {at_curve('pts', 'mz')} AS tol FROM ax, cv),
+hit AS (SELECT p.*, a.channel FROM pp p JOIN aw a ON p.ds = a.ds AND p.mz >= a.mz * (1 - tol * 1e-6::DOUBLE) AND p.mz <= a.mz * (1 + tol * 1e-6::DOUBLE)
+  AND ((p.mz <= a.mz AND (a.before IS NULL OR p.mz > a.before)) OR (p.mz > a.mz AND (a.after IS NULL OR p.mz <= a.after)))),
+ev AS (SELECT ds, pixel_id, channel, max(intensity) AS intensity, count(*) AS k FROM hit GROUP BY ds, pixel_id, channel)
+SELECT a.ds AS dataset_id, a.channel, round(any_value(a.mz), 5) AS mz, round(count(*) FILTER (e.intensity > 0) / 256, 6) AS prevalence, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_peaks FROM aw a LEFT JOIN ev e ON e.ds = a.ds AND e.channel = a.channel GROUP BY a.ds, a.channel"""
     out["diag_grades"] = f"""WITH {CELLS}, s AS (SELECT CAST(count(*) AS DOUBLE) AS a, min(prevalence) AS b, median(prevalence) AS c FROM channels)
 SELECT 'channels' AS node, 'n_channels' AS key, round(a, 6) AS value, '' AS grade FROM s
 UNION ALL SELECT 'channels', 'prevalence_min', round(b, 6), CASE WHEN b < 0.3 THEN 'bad' WHEN b >= 0.5 THEN 'ok' ELSE 'warn' END FROM s
