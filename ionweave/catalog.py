@@ -17,6 +17,7 @@ from .functions.axis import numbered
 from .functions.grid import image
 from .model import MsiDataset, hold, shared_dir
 from .operators import background, consensus, cwt, dbscan, hot_pixel, moran, normalize, pick, prevalence, recalibrate, reference_ions, tolerance
+from .operators.base import operator
 from .plans import cohort, diagnostics, pipeline, views
 from .sources import files, imzml
 from .testdata import BG, FG, cells_dataset, peaks_dataset, profile_spectra, sparse_peaks
@@ -304,6 +305,18 @@ def _grades(s, d):
     return rounded(diagnostics.graded(t, "channels"), value=6)
 
 
+def _graded(node: str, op: str, params, with_refs: bool = False, data=peaks_dataset):
+    """The summary of an operator, graded."""
+
+    def run(s, d):
+        ds = data(s, d)
+        if with_refs:
+            ds = ds.with_extras(**dict(zip(("ref_ions", "ref_obs"), refs(ds), strict=True)))
+        return rounded(diagnostics.graded(operator(op).apply(ds, params, seed=7).diagnostics[0].summary, node), value=6)
+
+    return run
+
+
 def _default(s, d):
     # The tables' intensities are even, without a floor of noise: three deviations would leave next to nothing.
     return rounded(pipeline.default_channels(peaks_dataset(s, d), pick=pick.SnrParams(snr_mad=0.5)), mz=4, prevalence=6)
@@ -330,6 +343,13 @@ def queries() -> dict:
     out |= {"hot_pixels_mark": _hot("mark"), "hot_pixels_zero": _hot("zero"), "hot_pixels_neighbors_pl": _hot("pl"), "hot_pixels_neighbors_pm": _hot("pm")}
     out |= {"bg_reject": _bg("reject"), "bg_subtract": _bg("subtract")}
     out |= {"cohort_axis": _cohort("axis"), "cohort_prevalence": _cohort("per")}
+    out |= {
+        "diag_hot_pixels": _graded("hot", "hot_pixel_filter", hot_pixel.HotPixelParams(k_mad=HOT_K, correction="mark")),
+        "diag_lock_mass": _graded("lock", "lock_mass_recalibrate", recalibrate.LockMassParams("closest_to_mz", explicit_anchor_mz=455.0), True),
+        "diag_warp": _graded("recal", "msiwarp_recalibrate", recalibrate.WarpParams(ransac_threshold_ppm=6.0), True),
+        "diag_dbscan": _graded("consensus", "dbscan_consensus", dbscan.DbscanParams(DB_EPS_PPM, DB_SAMPLES, 0.0), data=sparse_peaks),
+        "diag_prevalence_fdr": _graded("fdr", "prevalence_fdr_filter", prevalence.PrevalenceFdrParams(q_threshold=1.5), data=cells_dataset),
+    }
     out |= {"diag_grades": _grades, "pipeline_default": _default}
     return out
 

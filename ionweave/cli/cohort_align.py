@@ -9,7 +9,8 @@ import sys
 
 from pyspark.sql import functions as F
 
-from ..plans import cohort
+from ..model import MsiDataset
+from ..plans import cohort, diagnostics
 from ..session import session
 from ..sources import imzml, load, tiff
 
@@ -29,11 +30,22 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def summary(r: cohort.CohortResult) -> dict:
-    """The axis and its prevalences; channels are bounded by the density's grid."""
+def described(index: int, d: MsiDataset) -> dict:
+    """What the summary tells of a dataset."""
+    ep = d.metadata
+    return {"index": index, "source_path": d.identity.source_path, "n_pixels": d.pixels.count(), "grid_shape": list(d.grid_shape), "instrument_family": ep.instrument_family, "ionization": ep.ionization, "polarity": ep.polarity, "mode": ep.profile_or_centroided}
+
+
+def summary(r: cohort.CohortResult, parts: list[MsiDataset], values: dict[str, float], rng_seed: int) -> dict:
+    """The axis and its prevalences, the datasets, the diagnostics and the parameters; channels are bounded by the density's grid."""
     axis = r.prevalence.orderBy("channel").collect()
     per = r.per_dataset.groupBy("dataset_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "prevalence"))), lambda s: s["prevalence"]).alias("p")).collect()
-    return {"version": 1, "n_channels": len(axis), "shared_mz_axis": [a["mz"] for a in axis], "cohort_prevalence": [a["prevalence"] for a in axis], "per_dataset_prevalence": {x["dataset_id"]: x["p"] for x in per}}
+    p = r.params
+    return {
+        "n_datasets": len(parts), "shared_consensus_mz": [a["mz"] for a in axis], "cohort_prevalence": [a["prevalence"] for a in axis], "per_dataset_prevalence": {x["dataset_id"]: x["p"] for x in per},
+        "datasets": [described(k, d) for k, d in enumerate(parts)], "diagnostics": values,
+        "params": {k: getattr(p, k) for k in ("bandwidth_ppm", "bandwidth_scale", "min_prevalence", "min_prominence_quantile", "n_grid_points", "default_tol_ppm", "pool_normalize", "recalibrate")} | {"rng_seed": rng_seed},
+    }
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -50,17 +62,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         cohort.check(r)
         out = args.output or os.path.join(args.root, "aligned")
         os.makedirs(out, exist_ok=True)
+        values = {k: float("nan") if v is None else v for k, v in r.diagnostics.first().asDict().items()}
+        print(diagnostics.text({"cohort": values}))
+        shared = r.prevalence.select("channel", F.col("prevalence").alias("cohort_prevalence"))
         for d in parts:
             name = d.pixels.first()["dataset_id"]
             mine = lambda df, name=name: df.where(F.col("dataset_id") == name)
             one = d.with_matrix(mine(r.dataset.cells), mine(r.dataset.channels))
             stem = os.path.join(out, name.replace(os.sep, "_") + "_aligned")
             if not args.no_tiff:
-                tiff.write_tiff(one, stem + ".tiff")
+                tiff.write_tiff(one, stem + ".tiff", extra=shared)
             if not args.no_imzml:
                 imzml.write_imzml(one, stem + ".imzML")
         with open(os.path.join(out, "cohort_summary.json"), "w", encoding="utf-8") as f:
-            json.dump(summary(r), f, indent=1)
+            json.dump(summary(r, parts, values, args.rng_seed), f, indent=1)
     except Exception as e:  # noqa: BLE001  the exit code tells
         print(f"the alignment failed: {e}", file=sys.stderr)
         return 1

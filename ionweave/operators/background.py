@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import in_any
 from ..model import DATASET, PIXEL, MsiDataset, RoiDef
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, register
 from .consensus import keep_channels, need_some
 
 
@@ -76,5 +76,9 @@ class BackgroundSubtract(Operator):
             kept = keep_channels(cells, r, F.col("ratio") < params.bg_to_fg_ratio_threshold)
             need_some(kept[1], f"no channel has a ratio below {params.bg_to_fg_ratio_threshold}")
             out = ds.with_matrix(kept[0], kept[1].select(*ds.channels.columns))
-        summary = r.agg(F.count("*").cast("double").alias("n_channels_in"), F.count_if(F.col("ratio") < params.bg_to_fg_ratio_threshold).cast("double").alias("n_below_threshold"), F.median("ratio").alias("ratio_median"))
+        left = F.count("*") if params.mode == "subtract" else F.count_if(F.col("ratio") < params.bg_to_fg_ratio_threshold)
+        summary = r.agg(
+            F.count("*").cast("double").alias("n_channels_in"), left.cast("double").alias("n_channels_out"), F.median("ratio").alias("ratio_median"), F.max("ratio").alias("ratio_max"),
+            *numbers(n_fg_pixels=n[0], n_bg_pixels=n[1], bg_to_fg_ratio_threshold=params.bg_to_fg_ratio_threshold, mode_reject_channels=params.mode != "subtract"),
+        )
         return OpResult(out.with_extras(background=r), (Diagnostic(self.name, summary, {"ratios": r}, "scatter:fg_vs_bg"),))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..model import ExperimentParams, MsiDataset, OpRecord, combine_hashes, hash_obj
+from ..model import PIXEL, ExperimentParams, MsiDataset, OpRecord, combine_hashes, hash_obj
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,27 @@ class Operator:
         return OpResult(out.dataset.with_history(record), out.diagnostics)
 
 
+def one_row(*tables: DataFrame) -> DataFrame:
+    """One-row tables side by side."""
+    return functools.reduce(DataFrame.crossJoin, tables)
+
+
+def numbers(**values: float) -> list[Column]:
+    """Constants of a summary."""
+    return [F.lit(float(v)).alias(k) for k, v in values.items()]
+
+
+def kept_per_pixel(pixels: DataFrame, peaks: DataFrame) -> DataFrame:
+    """One row: the least, median and largest number of peaks of a pixel, pixels without any counted."""
+    n = pixels.select(*PIXEL).join(peaks.groupBy(*PIXEL).agg(F.count("*").alias("k")), PIXEL, "left").select(F.coalesce("k", F.lit(0)).cast("double").alias("k"))
+    return n.agg(F.min("k").alias("kept_per_pixel_min"), F.median("k").alias("kept_per_pixel_median"), F.max("k").alias("kept_per_pixel_max"))
+
+
+def prevalences(channels: DataFrame) -> DataFrame:
+    """One row: the least, median and largest prevalence."""
+    return channels.agg(F.min("prevalence").alias("prevalence_min"), F.median("prevalence").alias("prevalence_median"), F.max("prevalence").alias("prevalence_max"))
+
+
 _REGISTRY: dict[str, Operator] = {}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import assign, numbered
 from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, prevalences, register
 from .tolerance import evaluate
 
 #: The kernel ends at so many bandwidths.
@@ -156,8 +156,7 @@ class KdeConsensus(Operator):
         need_some(channels, f"no channel reaches min_prevalence={params.min_prevalence}; lower it or look at the peak picking")
         summary = every.agg(
             F.count("*").cast("double").alias("n_post_prominence"), F.count_if(F.col("prevalence") >= params.min_prevalence).cast("double").alias("n_consensus_peaks"),
-            F.count_if(F.col("prevalence") < params.min_prevalence).cast("double").alias("n_rejected_by_prevalence"), F.median(F.when(F.col("prevalence") >= params.min_prevalence, F.col("prevalence"))).alias("prevalence_median"),
-            F.lit(params.bandwidth).alias("bandwidth_log_mz"),
-        ).join(m.agg(F.count_if("prominent").cast("double").alias("n_prominent"), F.count_if(~F.col("prominent")).cast("double").alias("n_rejected_by_prominence"), F.count("*").cast("double").alias("n_local_maxima_total")))
+            F.count_if(F.col("prevalence") < params.min_prevalence).cast("double").alias("n_rejected_by_prevalence"), *numbers(bandwidth_log_mz=params.bandwidth, min_prominence_quantile=params.min_prominence_quantile, min_prevalence_threshold=params.min_prevalence),
+        ).crossJoin(prevalences(channels)).crossJoin(m.agg(F.count_if("prominent").cast("double").alias("n_prominent"), F.count_if(~F.col("prominent")).cast("double").alias("n_rejected_by_prominence"), F.count("*").cast("double").alias("n_local_maxima_total")))
         out = ds.with_matrix(cells, channels).with_extras(candidates=every, maxima=m)
         return OpResult(out, (Diagnostic(self.name, summary, {"candidates": every, "maxima": m}, "stem:mz_vs_prevalence"),))

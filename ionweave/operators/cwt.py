@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import PEAKS, PIXEL, ExperimentParams, MsiDataset
-from .base import Diagnostic, Operator, OpResult, register
+from ..model import PEAKS, PIXEL, ExperimentParams, MsiDataset, hold
+from .base import Diagnostic, Operator, OpResult, kept_per_pixel, numbers, one_row, register
 
 
 @dataclass(frozen=True)
@@ -128,8 +128,9 @@ class CwtPeakPick(Operator):
         lo, hi = peaks.agg(F.min("mz"), F.max("mz")).first()
         if lo is None:
             raise RuntimeError("the dataset has no spectra")
-        out = cwt_pick(packed(peaks), lo, hi, params)
+        out = hold(cwt_pick(packed(peaks), lo, hi, params))  # the kernel runs once
         if out.isEmpty():
             raise RuntimeError("no peaks found; lower min_snr or look at the widths")
-        summary = out.agg(F.count("*").cast("double").alias("n_peaks_out"), F.median("intensity").alias("height_median"))
+        grid = math.ceil((math.log(hi) - math.log(lo)) / math.log1p(params.grid_ppm_step * 1e-6)) + 1
+        summary = one_row(out.agg(F.count("*").cast("double").alias("n_peaks_total"), *numbers(grid_size=grid, n_widths=params.n_widths, min_snr=params.min_snr)), ds.pixels.agg(F.count("*").cast("double").alias("n_pixels")), kept_per_pixel(ds.pixels, out))
         return OpResult(ds.with_peaks(out), (Diagnostic(self.name, summary, {}, "histogram:peaks_per_pixel"),))

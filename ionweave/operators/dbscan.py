@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.axis import numbered
 from ..functions.exprs import weighted_mean
 from ..model import DATASET, PIXEL, MsiDataset, hold
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, one_row, prevalences, register
 from .consensus import keep_channels, need_some
 
 
@@ -88,8 +88,14 @@ class DbscanConsensus(Operator):
 
     def run(self, ds: MsiDataset, params: DbscanParams, seed: int) -> OpResult:
         eps = self.eps(ds, params)
-        cells, every = cluster_channels(dbscan(ds.need_peaks(self.name), eps, params.min_samples), ds.n_pixels())
+        hits = dbscan(ds.need_peaks(self.name), eps, params.min_samples)
+        cells, every = cluster_channels(hits, ds.n_pixels())
         cells, channels = keep_channels(cells, every, F.col("prevalence") >= params.min_prevalence)
         need_some(channels, f"no cluster reaches min_prevalence={params.min_prevalence}")
-        summary = every.agg(F.count("*").cast("double").alias("n_clusters"), F.count_if(F.col("prevalence") >= params.min_prevalence).cast("double").alias("n_consensus_peaks"), F.lit(eps).alias("eps_log_mz"))
+        summary = every.agg(
+            F.count_if(F.col("prevalence") >= params.min_prevalence).cast("double").alias("n_consensus_peaks"), F.count("*").cast("double").alias("n_clusters_pre_filter"),
+            *numbers(eps_log_mz=eps, eps_ppm_effective=math.expm1(eps) * 1e6, min_samples=params.min_samples),
+        )
+        noise = one_row(ds.peaks.agg(F.count("*").alias("n")), hits.agg(F.count("*").alias("k"))).select((F.col("n") - F.col("k")).cast("double").alias("n_noise_peaks"), (1 - F.col("k") / F.col("n")).alias("fraction_noise"))
+        summary = one_row(summary, noise, prevalences(channels))
         return OpResult(ds.with_matrix(cells, channels).with_extras(candidates=every), (Diagnostic(self.name, summary, {"candidates": every}, "stem:mz_vs_prevalence"),))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import MAD_SCALE
 from ..functions.grid import neighbours
 from ..model import DATASET, PIXEL, MsiDataset
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, one_row, register
 
 
 @dataclass(frozen=True)
@@ -30,12 +30,16 @@ def tics(pixels: DataFrame, values: DataFrame) -> DataFrame:
     return pixels.select(*PIXEL).join(t, PIXEL, "left").withColumn("tic", F.coalesce("tic", F.lit(0.0)))
 
 
-def hot_pixels(tic: DataFrame, k_mad: float) -> DataFrame:
-    """(dataset_id, pixel_id, tic, threshold): TIC over median + k * 1.4826 * MAD."""
+def limits(tic: DataFrame, k_mad: float) -> DataFrame:
+    """(dataset_id, m, mad, threshold): median + k * 1.4826 * MAD of the TIC."""
     m = tic.groupBy("dataset_id").agg(F.median("tic").alias("m"))
     mad = tic.join(m, DATASET).groupBy("dataset_id", "m").agg(F.median(F.abs(F.col("tic") - F.col("m"))).alias("mad"))
-    limit = mad.select("dataset_id", (F.col("m") + F.lit(k_mad * MAD_SCALE) * F.col("mad")).alias("threshold"))
-    return tic.join(limit, DATASET).where("tic > threshold")
+    return mad.withColumn("threshold", F.col("m") + F.lit(k_mad * MAD_SCALE) * F.col("mad"))
+
+
+def hot_pixels(tic: DataFrame, k_mad: float) -> DataFrame:
+    """(dataset_id, pixel_id, tic, threshold) of the pixels over their dataset's limit."""
+    return tic.join(limits(tic, k_mad).select("dataset_id", "threshold"), DATASET).where("tic > threshold")
 
 
 def good_neighbours(hot: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -85,5 +89,8 @@ class HotPixelFilter(Operator):
         out = ds.with_extras(hot_pixels=hot)
         if params.correction != "mark":
             out = out.with_(cells=correct_cells(ds.cells, hot, ds.pixels, params)) if ds.is_matrix else out.with_peaks(correct_peaks(ds.peaks, tic, hot, ds.pixels, params))
-        summary = tic.agg(F.median("tic").alias("tic_median"), F.max("tic").alias("tic_max"), F.count("*").cast("double").alias("n_pixels")).join(hot.agg(F.count("*").cast("double").alias("n_hot_pixels")))
+        # Of several datasets, the medians of their limits.
+        level = limits(tic, params.k_mad).agg(F.median("m").alias("tic_median"), F.median("mad").alias("tic_mad"), F.median("threshold").alias("tic_threshold"), *numbers(k_mad=params.k_mad))
+        n = one_row(hot.agg(F.count("*").cast("double").alias("n_hot_pixels")), tic.agg(F.count("*").alias("n")))
+        summary = one_row(n.select("n_hot_pixels", F.coalesce(F.try_divide("n_hot_pixels", "n"), F.lit(0.0)).alias("fraction_hot")), level)
         return OpResult(out, (Diagnostic(self.name, summary, {"hot_pixels": hot}, "image:tic"),))

@@ -18,7 +18,7 @@ from ..functions.exprs import md5_int
 from ..functions.grid import QUEEN, ROOK, neighbours
 from ..functions.stats import PRIME, bh, keyed
 from ..model import DATASET, MsiDataset, hold
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, register
 from .consensus import keep_channels, need_some
 
 
@@ -182,5 +182,5 @@ class MoransI(Operator):
         cells, channels = keep_channels(cells, t.select(*ds.channels.columns, "kept"), F.col("kept"))
         if not ds.channels.isEmpty():
             need_some(channels, f"no channel has q < {params.q_threshold}")
-        summary = t.agg(F.count("*").cast("double").alias("n_channels_in"), F.count_if("kept").cast("double").alias("n_channels_kept"), F.median("i").alias("i_median"), F.max("i").alias("i_max"), F.min("q").alias("q_min"))
+        summary = t.agg(F.count("*").cast("double").alias("n_channels_in"), F.count_if("kept").cast("double").alias("n_channels_out"), F.count_if(~F.col("kept")).cast("double").alias("n_dropped_by_fdr"), F.min("i").alias("I_min"), F.median("i").alias("I_median"), F.max("i").alias("I_max"), F.min("q").alias("q_value_min"), F.median("q").alias("q_value_median"), *numbers(n_permutations=params.n_permutations, q_threshold=params.q_threshold))
         return OpResult(ds.with_matrix(cells, channels.drop("kept")).with_extras(morans_i=t), (Diagnostic(self.name, summary, {"test": t}, "scatter:i_vs_q"),))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import PIXEL, MsiDataset
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, one_row, register
 
 
 @dataclass(frozen=True)
@@ -40,9 +40,11 @@ def scaled(peaks: DataFrame) -> DataFrame:
     return peaks.withColumn("intensity", F.col("intensity").cast("double") / F.col("factor")).drop("factor")
 
 
-def _result(op: Operator, ds: MsiDataset, with_f: DataFrame, notes: tuple[str, ...] = ()) -> OpResult:
+def _result(op: Operator, ds: MsiDataset, with_f: DataFrame, *more: DataFrame, notes: tuple[str, ...] = (), eps: float | None = None, **constants: float) -> OpResult:
     factors = with_f.groupBy(*PIXEL).agg(F.first("factor").alias("factor"))
-    summary = factors.agg(F.min("factor").alias("factor_min"), F.median("factor").alias("factor_median"), F.max("factor").alias("factor_max"))
+    quartile = lambda q: F.percentile("factor", F.lit(q)).alias(f"factor_q{round(100 * q)}")
+    floor = [] if eps is None else [F.count_if(F.col("factor") <= eps).cast("double").alias("n_pixels_at_floor")]
+    summary = one_row(factors.agg(F.min("factor").alias("factor_min"), quartile(0.25), F.median("factor").alias("factor_median"), quartile(0.75), F.max("factor").alias("factor_max"), *floor, *numbers(**constants)), *more)
     return OpResult(ds.with_peaks(scaled(with_f)), (Diagnostic(op.name, summary, {"factors": factors}, "histogram:factor", notes),))
 
 
@@ -52,7 +54,7 @@ class MedianNormalize(Operator):
     params_cls = NormalizeParams
 
     def run(self, ds: MsiDataset, params: NormalizeParams, seed: int) -> OpResult:
-        return _result(self, ds, with_factor(ds.need_peaks(self.name), "median", params.eps))
+        return _result(self, ds, with_factor(ds.need_peaks(self.name), "median", params.eps), factor_kind_tic=0)
 
 
 @register
@@ -64,7 +66,7 @@ class TicNormalize(Operator):
         return ["The total ion current follows the few strongest ions; the median is usually the safer factor."]
 
     def run(self, ds: MsiDataset, params: NormalizeParams, seed: int) -> OpResult:
-        return _result(self, ds, with_factor(ds.need_peaks(self.name), "tic", params.eps), tuple(self.validate(ds.metadata)))
+        return _result(self, ds, with_factor(ds.need_peaks(self.name), "tic", params.eps), notes=tuple(self.validate(ds.metadata)), factor_kind_tic=1)
 
 
 @register
@@ -76,4 +78,5 @@ class ReferenceIonNormalize(Operator):
         refs = ds.extras.get("ref_obs")
         if refs is None or refs.isEmpty():
             raise RuntimeError(f"{self.name} needs reference ions; detect them first")
-        return _result(self, ds, with_reference_factor(ds.need_peaks(self.name), refs, params.eps))
+        n = refs.agg(F.count_distinct("dataset_id", "ref_id").cast("double").alias("n_reference_ions"))
+        return _result(self, ds, with_reference_factor(ds.need_peaks(self.name), refs, params.eps), n, eps=params.eps)

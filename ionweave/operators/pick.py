@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_SCALE
 from ..model import PIXEL, MsiDataset, hold
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, kept_per_pixel, one_row, register
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,7 @@ class SnrPeakPick(Operator):
     def run(self, ds: MsiDataset, params: SnrParams, seed: int) -> OpResult:
         t = hold(with_threshold(ds.need_peaks(self.name), params))
         kept = t.where("intensity > threshold")
-        summary = t.agg(F.count("*").cast("double").alias("n_peaks_in"), F.count_if(F.col("intensity") > F.col("threshold")).cast("double").alias("n_peaks_out"), F.median("threshold").alias("threshold_median"))
-        summary = summary.withColumn("fraction_kept", F.try_divide("n_peaks_out", "n_peaks_in"))
+        summary = t.agg(F.count("*").cast("double").alias("n_peaks_in"), F.count_if(F.col("intensity") > F.col("threshold")).cast("double").alias("n_peaks_out"))
+        level = ds.pixels.select(*PIXEL).join(t.groupBy(*PIXEL).agg(F.first("threshold").alias("t")), PIXEL, "left").agg(F.median(F.coalesce("t", F.lit(0.0))).alias("threshold_median"))
+        summary = one_row(summary.withColumns({"fraction_kept": F.coalesce(F.try_divide("n_peaks_out", "n_peaks_in"), F.lit(0.0)), "snr_mad": F.lit(float(params.snr_mad))}), level, kept_per_pixel(ds.pixels, kept))
         return OpResult(ds.with_peaks(kept.drop("threshold")), (Diagnostic(self.name, summary, {}, "histogram:peaks_per_pixel"),))

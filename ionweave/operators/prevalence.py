@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import md5_int
 from ..functions.stats import bh, occupancy_tail
 from ..model import DATASET, MsiDataset
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, register
 from .consensus import keep_channels, need_some
 
 
@@ -73,5 +73,5 @@ class PrevalenceFdrFilter(Operator):
         cells, channels = keep_channels(cells, t.select(*ds.channels.columns, "kept"), F.col("kept"))
         if not ds.channels.isEmpty():
             need_some(channels, f"no channel has q < {params.q_threshold}")
-        summary = t.agg(F.count("*").cast("double").alias("n_channels_in"), F.count_if("kept").cast("double").alias("n_channels_kept"), F.min("q").alias("q_min"), F.median("q").alias("q_median"), F.max(F.col("assumed").cast("double")).alias("assumed_peak_counts"))
+        summary = t.agg(F.count("*").cast("double").alias("n_channels_in"), F.count_if("kept").cast("double").alias("n_channels_out"), F.count_if(~F.col("kept")).cast("double").alias("n_dropped_by_fdr"), F.min("p").alias("p_value_min"), F.median("p").alias("p_value_median"), F.min("q").alias("q_value_min"), F.median("q").alias("q_value_median"), F.max(F.col("assumed").cast("double")).alias("warning_conservative_fallback"), *numbers(n_permutations=params.n_permutations, q_threshold=params.q_threshold))
         return OpResult(ds.with_matrix(cells, channels.drop("kept")).with_extras(prevalence_fdr=t), (Diagnostic(self.name, summary, {"test": t}, "histogram:q"),))

@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import md5_int
 from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, one_row, register
 from .tolerance import evaluate
 
 FLAT_THRESHOLD_PPM = 50.0
+STRATEGIES = ("highest_intensity", "highest_prevalence", "closest_to_mz")
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class LockMassParams:
     max_shift_ppm: float = 500.0
 
     def __post_init__(self) -> None:
-        if self.anchor_strategy not in ("highest_intensity", "highest_prevalence", "closest_to_mz"):
+        if self.anchor_strategy not in STRATEGIES:
             raise ValueError(f"unknown anchor strategy {self.anchor_strategy!r}")
         if self.anchor_strategy == "closest_to_mz" and not self.explicit_anchor_mz > 0:
             raise ValueError("closest_to_mz needs explicit_anchor_mz above 0")
@@ -160,10 +161,20 @@ class MsiwarpRecalibrate(Operator):
         summary = ds.pixels.select(*PIXEL).join(w, PIXEL, "left").agg(
             F.count("n_inliers").cast("double").alias("n_pixels_recalibrated"), F.count_if(F.col("n_inliers").isNull()).cast("double").alias("n_pixels_skipped"),
             F.avg(F.col("n_inliers").isNotNull().cast("double")).alias("fraction_pixels_recalibrated"), F.coalesce(F.median("n_inliers"), F.lit(0.0)).alias("inliers_median"),
+            F.coalesce(F.min("n_inliers"), F.lit(0)).cast("double").alias("inliers_min"),
         )
+        summary = one_row(summary, residuals(ds.extras["ref_ions"], ds.extras["ref_obs"], w))
         return OpResult(ds.with_peaks(warped(peaks, w)), (Diagnostic(self.name, summary, {}, "histogram:residuals"),))
 
 
+def residuals(ref_ions: DataFrame, ref_obs: DataFrame, w: DataFrame) -> DataFrame:
+    """One row: the median error of all anchors before, that of recalibrated pixels' anchors after, and the difference."""
+    before = ref_obs.agg(F.median(F.abs("ppm_error")).alias("pre_residual_median_ppm"))
+    moved = warped(ref_obs.select(*PIXEL, "ref_id", "mz").join(w.select(*PIXEL), PIXEL, "left_semi"), w).join(ref_ions.select("dataset_id", "ref_id", F.col("mz").alias("ref")), ["dataset_id", "ref_id"])
+    after = moved.agg(F.median(F.abs((F.col("mz") - F.col("ref")) / F.col("ref") * 1e6)).alias("post_residual_median_ppm"))
+    return one_row(before, after).withColumn("improvement_ppm", F.coalesce(F.col("pre_residual_median_ppm") - F.col("post_residual_median_ppm"), F.lit(0.0)))
+
+
 def lock_factors(ref_ions: DataFrame, ref_obs: DataFrame, p: LockMassParams) -> DataFrame:
     """(dataset_id, pixel_id, factor): observed over reference m/z of each pixel's one anchor."""
     seen = ref_obs.select(*PIXEL, "ref_id", F.col("mz").alias("obs"), "intensity").join(ref_ions.select("dataset_id", "ref_id", F.col("mz").alias("ref"), "prevalence"), ["dataset_id", "ref_id"])
@@ -184,5 +195,8 @@ class LockMassRecalibrate(Operator):
         f = lock_factors(ds.extras["ref_ions"], ds.extras["ref_obs"], params)
         out = peaks.join(f, PIXEL, "left").withColumn("mz", F.col("mz") / F.coalesce("factor", F.lit(1.0))).drop("factor")
         shift = (F.col("factor") - 1) * 1e6
-        summary = ds.pixels.select(*PIXEL).join(f, PIXEL, "left").agg(F.count("factor").cast("double").alias("n_pixels_recalibrated"), F.count_if(F.col("factor").isNull()).cast("double").alias("n_pixels_skipped"), F.median(F.abs(shift)).alias("shift_median_ppm"), F.max(F.abs(shift)).alias("shift_max_ppm"))
+        summary = ds.pixels.select(*PIXEL).join(f, PIXEL, "left").agg(
+            F.count("factor").cast("double").alias("n_pixels_recalibrated"), F.count_if(F.col("factor").isNull()).cast("double").alias("n_pixels_skipped"), F.avg(F.col("factor").isNotNull().cast("double")).alias("fraction_pixels_recalibrated"),
+            *(F.coalesce(x, F.lit(0.0)).alias(k) for k, x in (("ppm_shift_median", F.median(shift)), ("ppm_shift_abs_median", F.median(F.abs(shift))), ("ppm_shift_abs_max", F.max(F.abs(shift))))), *numbers(anchor_strategy_index=STRATEGIES.index(params.anchor_strategy)),
+        )
         return OpResult(ds.with_peaks(out), (Diagnostic(self.name, summary, {}, "histogram:shift"),))

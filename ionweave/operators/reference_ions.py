@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import log_bin, ppm_error, weighted_mean
 from ..model import DATASET, PIXEL, ExperimentParams, MsiDataset, hold
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, one_row, prevalences, register
 
 
 @dataclass(frozen=True)
@@ -66,5 +66,5 @@ class DetectReferenceIons(Operator):
 
     def run(self, ds: MsiDataset, params: ReferenceIonParams, seed: int) -> OpResult:
         refs, obs = map(hold, reference_ions(ds.need_peaks(self.name), ds.n_pixels(), params))
-        summary = refs.agg(F.count("*").cast("double").alias("n_reference_ions"), F.min("prevalence").alias("prevalence_min"), F.median("prevalence").alias("prevalence_median"), F.min("mz").alias("mz_min"), F.max("mz").alias("mz_max"))
+        summary = one_row(refs.agg(F.count("*").cast("double").alias("n_reference_ions"), *numbers(coarse_tol_ppm=params.coarse_tol_ppm, min_prevalence=params.min_prevalence)), prevalences(refs), ds.pixels.agg(F.count("*").cast("double").alias("n_pixels")))
         return OpResult(ds.with_extras(ref_ions=refs, ref_obs=obs), (Diagnostic(self.name, summary, {"ref_ions": refs}, "stem:mz_vs_prevalence"),))

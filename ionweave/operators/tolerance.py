@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.exprs import isotonic, lerp, running_sums
 from ..model import DATASET, PIXEL, MsiDataset, hold
 from . import bootstrap
-from .base import Diagnostic, Operator, OpResult, register
+from .base import Diagnostic, Operator, OpResult, numbers, one_row, register
 
 GRID_POINTS = 200
 FLAT_PPM = 50.0
+#: Anchors and pairs that a curve needs.
+LEAST_REFS, LEAST_PAIRS = 3, 5
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ def tolerance_curve(ref_ions: DataFrame, ref_obs: DataFrame, pixels: DataFrame,
     pairs = hold(_pairs(ref_ions, ref_obs).withColumn("m", F.lit(1).cast("bigint")))
     stats = pairs.groupBy("dataset_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n_pairs"), F.percentile("y", F.lit(1 - p.alpha / 2)).alias("flat"))
     stats = pixels.select("dataset_id").distinct().join(ref_ions.groupBy("dataset_id").agg(F.count("*").alias("refs"), F.min("mz").alias("ref_lo"), F.max("mz").alias("ref_hi")), DATASET, "left").join(stats, DATASET, "left")
-    good = (F.coalesce("refs", F.lit(0)) >= 3) & (F.coalesce("n_pairs", F.lit(0)) >= 5)
+    good = (F.coalesce("refs", F.lit(0)) >= LEAST_REFS) & (F.coalesce("n_pairs", F.lit(0)) >= LEAST_PAIRS)
     grid = stats.where(good).select("dataset_id", "lo", "hi")
     fit = pairs.join(grid.select("dataset_id"), DATASET, "left_semi")
     point = curve(fit, p.alpha, DATASET, grid).withColumnRenamed("ppm", "ppm_quantile")
@@ -121,6 +123,10 @@ class EmpiricalTolerance(Operator):
         c = hold(tolerance_curve(ds.extras["ref_ions"], ds.extras["ref_obs"], ds.pixels, params, seed, max(ds.grid_shape[1], 1)))
         summary = c.agg(
             F.min_by("ppm_quantile", "i").alias("ppm_at_mz_lo"), F.max_by("ppm_quantile", "i").alias("ppm_at_mz_hi"), F.median("ppm_quantile").alias("ppm_median"),
-            F.median(F.col("ci_high") - F.col("ci_low")).alias("ci_band_median_width"), F.lit(float(params.alpha)).alias("alpha"), F.lit(float(params.bootstrap_B)).alias("bootstrap_B"),
+            F.median(F.col("ci_high") - F.col("ci_low")).alias("ci_band_median_width"), *numbers(alpha=params.alpha, bootstrap_B=params.bootstrap_B),
         )
+        # A dataset of fewer anchors or pairs than a curve needs has a flat tolerance.
+        n = ds.pixels.select("dataset_id").distinct().join(ds.extras["ref_ions"].groupBy("dataset_id").agg(F.count("*").alias("refs")), DATASET, "left").join(ds.extras["ref_obs"].groupBy("dataset_id").agg(F.count("*").alias("pairs")), DATASET, "left")
+        flat = (F.coalesce("refs", F.lit(0)) < LEAST_REFS) | (F.coalesce("pairs", F.lit(0)) < LEAST_PAIRS)
+        summary = one_row(summary, n.agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("double").alias("n_reference_observations"), F.max(flat.cast("double")).alias("warning_flat_tolerance")))
         return OpResult(ds.with_extras(tolerance_curve=c), (Diagnostic(self.name, summary, {"curve": c}, "line_with_band:mz_vs_tolerance"),))

@@ -165,6 +165,35 @@ ct AS (SELECT a.channel AS old, a.mz, coalesce(count(*) FILTER (e.intensity > 0)
 SELECT CAST(row_number() OVER (ORDER BY mz) - 1 AS INTEGER) AS channel, round(mz, 4) AS mz, round(prevalence, 6) AS prevalence, CAST(n_peaks AS BIGINT) AS n_peaks FROM ct WHERE prevalence >= 0.05"""
 
 
+def keyed_rows(node: str, src: str, *rows: tuple[str, str, str]) -> str:
+    """(node, key, value, grade) of the one row of ``src``; a row is a key, its value and its grade."""
+    return " UNION ALL ".join(f"SELECT '{node}' AS node, '{k}' AS key, round(CAST({v} AS DOUBLE), 6) AS value, {g or chr(39) * 2} AS grade FROM {src}" for k, v, g in rows)
+
+
+def _graded(db: str, fdr: str) -> dict[str, str]:
+    """Summaries of operators with their grades."""
+    three = lambda c, good, bad: f"CASE WHEN {c} < {bad} THEN 'bad' WHEN {c} >= {good} THEN 'ok' ELSE 'warn' END"
+    out = {}
+    out["diag_hot_pixels"] = f"""WITH {PEAKS}, {PIXELS}, {hot()}, md AS (SELECT median(tic) AS m FROM tic), s AS (SELECT (SELECT count(*) FROM hot) AS n, (SELECT count(*) FROM hot) / 256 AS f, m, (SELECT median(abs(tic - m)) FROM tic, md) AS mad, (SELECT threshold FROM lim) AS t FROM md)
+{keyed_rows('hot', 's', ('n_hot_pixels', 'n', ''), ('fraction_hot', 'f', "CASE WHEN f > 0.15 THEN 'bad' WHEN f <= 0.05 THEN 'ok' ELSE 'warn' END"), ('tic_median', 'm', ''), ('tic_mad', 'mad', ''), ('tic_threshold', 't', ''), ('k_mad', '2.0', ''))}"""
+    out["diag_lock_mass"] = f"""WITH {refs(0.5)}, o AS (SELECT pixel_id, (mz / ref - 1) * 1e6 AS x FROM ref_obs QUALIFY row_number() OVER (PARTITION BY pixel_id ORDER BY abs(ref - 455.0), ref_id) = 1 AND abs(mz - ref) / ref * 1e6 <= 500),
+s AS (SELECT count(*) AS n, median(x) AS m, median(abs(x)) AS a, max(abs(x)) AS t FROM o)
+{keyed_rows('lock', 's', ('n_pixels_recalibrated', 'n', ''), ('n_pixels_skipped', '256 - n', ''), ('fraction_pixels_recalibrated', 'n / 256', three('n / 256', 0.9, 0.6)), ('ppm_shift_median', 'm', ''), ('ppm_shift_abs_median', 'a', "CASE WHEN a >= 200 THEN 'bad' WHEN a < 50 THEN 'ok' ELSE 'warn' END"), ('ppm_shift_abs_max', 't', ''), ('anchor_strategy_index', '2', ''))}"""
+    out["diag_warp"] = f"""WITH {refs(0.5)}, {_warp()},
+mv AS (SELECT a.ref, CASE WHEN a.obs < w.obs THEN a.obs + (w.ref - w.obs) WHEN w.obs2 IS NULL THEN a.obs + (w.ref - w.obs) ELSE w.ref + (a.obs - w.obs) * (w.ref2 - w.ref) / (w.obs2 - w.obs) END AS mz
+  FROM an a JOIN wp w ON w.pixel_id = a.pixel_id AND ((w.k = 1 AND a.obs < w.obs) OR (a.obs >= w.obs AND (w.obs2 IS NULL OR a.obs < w.obs2)))),
+px AS (SELECT pixel_id, any_value(n_inliers) AS k FROM wp GROUP BY pixel_id),
+s AS (SELECT (SELECT count(*) FROM px) AS n, (SELECT median(k) FROM px) AS im, (SELECT min(k) FROM px) AS il, (SELECT median(abs(ppm_error)) FROM ref_obs) AS a, (SELECT median(abs((mz - ref) / ref * 1e6)) FROM mv) AS b)
+{keyed_rows('recal', 's', ('n_pixels_recalibrated', 'n', ''), ('n_pixels_skipped', '256 - n', ''), ('fraction_pixels_recalibrated', 'n / 256', three('n / 256', 0.9, 0.6)), ('inliers_median', 'im', three('im', 5, 3)), ('inliers_min', 'il', ''), ('pre_residual_median_ppm', 'a', ''), ('post_residual_median_ppm', 'b', ''), ('improvement_ppm', 'a - b', "CASE WHEN a - b <= 0 THEN 'bad' ELSE 'ok' END"))}"""
+    out["diag_dbscan"] = f"""{db}, pv AS (SELECT cluster, count(*) FILTER (intensity > 0) / (SELECT count(DISTINCT user_id) FROM events) AS p FROM ev GROUP BY cluster),
+s AS (SELECT (SELECT count(*) FROM ch) AS n, (SELECT count(*) FROM pk) AS k, (SELECT count(*) FROM lb) AS h, (SELECT eps FROM ep) AS eps, (SELECT min(p) FROM pv) AS lo, (SELECT median(p) FROM pv) AS md, (SELECT max(p) FROM pv) AS hi)
+{keyed_rows('consensus', 's', ('n_consensus_peaks', 'n', three('n', 10, 1)), ('n_clusters_pre_filter', 'n', ''), ('eps_log_mz', 'eps', ''), ('eps_ppm_effective', '(exp(eps) - 1) * 1e6', ''), ('min_samples', '4', ''), ('n_noise_peaks', 'k - h', ''), ('fraction_noise', '1 - h / k', "CASE WHEN 1 - h / k >= 0.8 THEN 'bad' WHEN 1 - h / k < 0.5 THEN 'ok' ELSE 'warn' END"), ('prevalence_min', 'lo', three('lo', 0.5, 0.3)), ('prevalence_median', 'md', three('md', 0.7, 0.5)), ('prevalence_max', 'hi', ''))}"""
+    head, tail = fdr.rsplit("\nSELECT ", 1)
+    out["diag_prevalence_fdr"] = f"""{head}, s AS (SELECT count(*) AS n, min(p) AS p0, median(p) AS p1, min(q) AS q0, median(q) AS q1 FROM qq)
+{keyed_rows('fdr', 's', ('n_channels_in', 'n', ''), ('n_channels_out', 'n', "CASE WHEN n < 1 THEN 'bad' ELSE 'ok' END"), ('n_dropped_by_fdr', '0', ''), ('p_value_min', 'p0', ''), ('p_value_median', 'p1', ''), ('q_value_min', 'q0', ''), ('q_value_median', 'q1', ''), ('warning_conservative_fallback', '0', ''), ('n_permutations', '499', ''), ('q_threshold', '1.5', ''))}"""
+    return out
+
+
 def sql() -> dict[str, str]:
     out = _projections()
     out["image_raster_tic"] = f"WITH {PEAKS}, {PIXELS} SELECT gy, gx, round(coalesce(sum(intensity), 0), 2) AS value FROM pixels LEFT JOIN peaks USING (pixel_id) GROUP BY gy, gx"
@@ -284,6 +313,7 @@ hit AS (SELECT p.*, a.channel FROM pp p JOIN aw a ON p.ds = a.ds AND p.mz >= a.m
   AND ((p.mz <= a.mz AND (a.before IS NULL OR p.mz > a.before)) OR (p.mz > a.mz AND (a.after IS NULL OR p.mz <= a.after)))),
 ev AS (SELECT ds, pixel_id, channel, max(intensity) AS intensity, count(*) AS k FROM hit GROUP BY ds, pixel_id, channel)
 SELECT a.ds AS dataset_id, a.channel, round(any_value(a.mz), 5) AS mz, round(count(*) FILTER (e.intensity > 0) / 256, 6) AS prevalence, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_peaks FROM aw a LEFT JOIN ev e ON e.ds = a.ds AND e.channel = a.channel GROUP BY a.ds, a.channel"""
+    out |= _graded(db, out["fdr_prevalence_exact"])
     out["diag_grades"] = f"""WITH {CELLS}, s AS (SELECT CAST(count(*) AS DOUBLE) AS a, min(prevalence) AS b, median(prevalence) AS c FROM channels)
 SELECT 'channels' AS node, 'n_channels' AS key, round(a, 6) AS value, '' AS grade FROM s
 UNION ALL SELECT 'channels', 'prevalence_min', round(b, 6), CASE WHEN b < 0.3 THEN 'bad' WHEN b >= 0.5 THEN 'ok' ELSE 'warn' END FROM s

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import numbered
 from ..model import MsiDataset, hold
+from ..operators.base import one_row
 from ..operators.consensus import KdeParams, aligned, density, maxima, need_some, windowed
 from ..operators.normalize import scaled, with_factor
 from ..operators.pick import SnrParams, with_threshold
@@ -41,6 +42,9 @@ class CohortResult:
     axis: DataFrame
     prevalence: DataFrame
     per_dataset: DataFrame
+    #: One row of counts and prevalences, computed when asked for.
+    diagnostics: DataFrame
+    params: CohortParams
 
 
 def union(datasets: list[MsiDataset]) -> MsiDataset:
@@ -83,10 +87,15 @@ def align_cohort(ds: MsiDataset, p: CohortParams | None = None, seed: int = 0) -
     total = n.agg(F.sum("n_pixels").alias("total"))
     carriers = cells.groupBy("channel").agg(F.count("*").alias("k"))
     prevalence = axis.join(carriers, "channel", "left").crossJoin(total).select("channel", "mz", (F.coalesce("k", F.lit(0)) / F.col("total")).alias("prevalence"))
+    candidates = axis
     if p.apply_min_prevalence:
         kept = prevalence.where(F.col("prevalence") >= p.min_prevalence).select("channel")
         axis, prevalence, cells, per = (x.join(kept, "channel", "left_semi") for x in (axis, prevalence, cells, per))
-    return CohortResult(ds.with_matrix(cells, per), axis, prevalence, per)
+    diagnostics = one_row(
+        n.agg(F.count("*").cast("double").alias("n_datasets"), F.sum("n_pixels").cast("double").alias("n_total_pixels")), peaks.agg(F.count("*").cast("double").alias("n_total_peaks_pooled")), candidates.agg(F.count("*").cast("double").alias("n_consensus_candidates_pre_filter")),
+        prevalence.agg(F.count("*").cast("double").alias("n_consensus_shared"), F.min("prevalence").alias("cohort_prevalence_min"), F.median("prevalence").alias("cohort_prevalence_median"), F.max("prevalence").alias("cohort_prevalence_max")),
+    )
+    return CohortResult(ds.with_matrix(cells, per), axis, prevalence, per, diagnostics, p)
 
 
 def check(result: CohortResult) -> None:

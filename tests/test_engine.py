@@ -517,7 +517,15 @@ def test_command_lines(spark, ds, tmp_path):
     assert {"s0_processed.tiff", "s0_processed.csv", "s0_processed.imzML", "s0_processed.ibd", "s0_processed.spec.xml"} <= set(os.listdir(f"{tmp_path}/out"))
     assert apply_spec.main([f"{tmp_path}/none.imzML", f"{tmp_path}/p.spec.xml"], spark) == 2
     assert cohort_align.main([f"{tmp_path}/in", "-o", f"{tmp_path}/co", "--no-imzml", "--bandwidth-ppm", "20"], spark) == 0
-    assert json.load(open(f"{tmp_path}/co/cohort_summary.json"))["n_channels"] >= 5
+    told = json.load(open(f"{tmp_path}/co/cohort_summary.json"))
+    assert set(told) == {"n_datasets", "shared_consensus_mz", "cohort_prevalence", "per_dataset_prevalence", "datasets", "diagnostics", "params"}
+    n = len(told["shared_consensus_mz"])
+    assert told["n_datasets"] == len(told["datasets"]) == len(told["per_dataset_prevalence"]) and n >= 5 and len(told["cohort_prevalence"]) == n
+    assert told["datasets"][0]["n_pixels"] == 25 and told["datasets"][0]["grid_shape"] == [5, 5] and told["datasets"][0]["mode"] == "centroided"
+    assert told["diagnostics"]["n_consensus_shared"] == n and told["diagnostics"]["n_total_pixels"] == 25 * told["n_datasets"] and told["diagnostics"]["cohort_prevalence_max"] == max(told["cohort_prevalence"])
+    assert told["params"]["bandwidth_ppm"] == 20.0 and told["params"]["rng_seed"] == 0
+    pages = [tiff.page_metadata(f"{tmp_path}/co/{f}") for f in sorted(os.listdir(f"{tmp_path}/co")) if f.endswith(".tiff")]
+    assert all([p["cohort_prevalence"] for p in one] == pytest.approx(told["cohort_prevalence"]) for one in pages)
     assert cohort_align.main([f"{tmp_path}/co"], spark) == 2
 
 
@@ -577,6 +585,37 @@ def test_bins_and_union(spark):
     assert [r.mz for r in views.plotted_mz(spark.createDataFrame([(2.0,), (1.0,)], "mz double"), spark.createDataFrame([(2.0,), (None,)], "mz double")).collect()] == [1.0, 2.0]
 
 
+def test_formats_and_advice_of_keys():
+    shown = diagnostics.shown
+    assert [shown("inliers_median", 4.25), shown("improvement_ppm", 3.14159), shown("factor_q25", 0.000123456), shown("bandwidth_log_mz", 5e-5)] == ["4.2", "+3.14", "0.0001235", "5.00e-05"]
+    assert [shown("n_channels_out", 12.0), shown("prevalence_max", 0.5), shown("min_snr", 3.0), shown("unknown", 1234.567), shown("alpha", math.nan)] == ["12", "0.500", "3.0", "1235", "-"]
+    advice = diagnostics.advice
+    assert advice("n_reference_ions", "warn") != advice("n_reference_ions", "bad") and advice("n_reference_ions", "ok") == ""
+    assert advice("warning_flat_tolerance", "bad") == advice("warning_flat_tolerance", "warn") != "" and advice("unknown", "bad") == ""
+    assert set(diagnostics.ADVICE) == set(diagnostics.LIMITS) <= set(diagnostics.FORMATS)
+
+
+def test_operators_emit_the_graded_keys(spark, with_refs, aligned):
+    """Every key with limits is emitted by some operator or the cohort."""
+    values = {}
+    for op, d, p in (
+        ("detect_reference_ions", with_refs, None), ("empirical_tolerance_from_reference_ions", with_refs, tolerance.ToleranceParams(bootstrap_B=5)), ("msiwarp_recalibrate", with_refs, None), ("lock_mass_recalibrate", with_refs, None),
+        ("median_normalize", with_refs, None), ("reference_ion_normalize", with_refs, None), ("snr_peak_pick", with_refs, pick.SnrParams(snr_mad=0.5)), ("kde_consensus_alignment", with_refs, consensus.KdeParams(bandwidth_ppm=20.0, default_tol_ppm=200.0)),
+        ("dbscan_consensus", with_refs, dbscan.DbscanParams(100.0, 3)), ("morans_i_permutation", aligned, None), ("prevalence_fdr_filter", aligned, None), ("hot_pixel_filter", with_refs, None),
+    ):
+        got = operator(op).apply(d, p).diagnostics[0].values()
+        assert all(isinstance(v, float) for v in got.values()) and len(got) >= 5, op
+        values |= got
+    few = with_refs.with_extras(ref_ions=with_refs.extras["ref_ions"].limit(2), ref_obs=with_refs.extras["ref_obs"].where("ref_id < 2"))
+    assert operator("empirical_tolerance_from_reference_ions").apply(few, tolerance.ToleranceParams(bootstrap_B=5)).diagnostics[0].values()["warning_flat_tolerance"] == 1.0
+    assert values["warning_flat_tolerance"] == 0.0 and values["improvement_ppm"] == pytest.approx(values["pre_residual_median_ppm"] - values["post_residual_median_ppm"]) and values["kept_per_pixel_max"] >= values["kept_per_pixel_min"]
+    union = cohort.union([cohort.with_id(with_refs, n) for n in "xy"])
+    r = cohort.align_cohort(union, cohort.CohortParams(bandwidth_ppm=20.0, bootstrap_B=3))
+    values |= r.diagnostics.first().asDict()
+    assert values["n_datasets"] == 2 and values["n_total_pixels"] == 50 and values["n_consensus_shared"] == r.axis.count()
+    assert set(diagnostics.LIMITS) <= set(values)
+
+
 def test_grades_of_all_ways():
     grades = lambda key, *vs: [diagnostics.grade(key, v) for v in vs]
     assert grades("fraction_hot", 0.05, 0.1, 0.15, 0.2) == ["ok", "warn", "warn", "bad"]
