@@ -22,45 +22,68 @@ class DbscanParams:
     min_prevalence: float = 0.05
 
 
-def cores(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """``points`` (dataset_id, x, ...) with ``b`` (bucket) and ``core``: at least ``min_samples`` points
-    within eps, itself included. Buckets carry a halo of eps, so a window never leaves its bucket."""
-    width = max(eps * 16, 1e-4)
-    own = F.floor(F.col("x") / F.lit(width)).cast("bigint")
-    p = points.withColumn("b", own)
-    into = F.array_distinct(F.array(F.floor((F.col("x") - eps) / width).cast("bigint"), own, F.floor((F.col("x") + eps) / width).cast("bigint")))
-    spread = p.withColumn("at", F.explode(into))
-    n = F.expr(f"count(*) over (partition by dataset_id, at order by x range between {eps!r}D preceding and {eps!r}D following)")
-    return spread.withColumn("n", n).where("at = b").withColumn("core", F.col("n") >= min_samples).drop("at", "n")
-
-
-def clusters(points: DataFrame, eps: float) -> DataFrame:
-    """(dataset_id, cluster, lo, hi, first): intervals of the core points; ``first`` is the earliest
-    of them in pool order. Islands are found in buckets and joined over one row per island."""
-    c = points.where("core")
-    by = Window.partitionBy("dataset_id", "b").orderBy("x")
-    start = F.coalesce((F.col("x") - F.lag("x").over(by) > eps).cast("int"), F.lit(0))
-    isl = c.withColumn("s", start).withColumn("isl", F.sum("s").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    isl = isl.groupBy("dataset_id", "b", "isl").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(F.struct("pixel_id", "peak_idx")).alias("first"))
-    over = Window.partitionBy("dataset_id").orderBy("lo")  # over islands: a few for each bucket
-    isl = isl.withColumn("new", F.coalesce((F.col("lo") - F.lag("hi").over(over) > eps).cast("int"), F.lit(0)))
-    isl = isl.withColumn("cluster", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+def cells_of(points: DataFrame) -> DataFrame:
+    """(dataset_id, cell, n, lo, hi, first): cells of half a radius; ``first`` is the earliest point in pool order."""
+    return points.groupBy("dataset_id", "cell").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(F.struct("pixel_id", "peak_idx")).alias("first"))
+
+
+def _near(cells: DataFrame, by: int, *cols: str) -> DataFrame:
+    """``cells`` as seen from the cell ``by`` places to the left."""
+    return cells.select("dataset_id", (F.col("cell") - by).alias("cell"), *(F.col(c).alias(f"{c}{by:+d}") for c in cols))
+
+
+def core_cells(points: DataFrame, cells: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """(dataset_id, cell, lo, hi, first) of the core points of each cell: those with at least ``min_samples``
+    points within eps, itself included.
+
+    All points of a cell and its two neighbours are within eps of each other's: where these are enough, the whole
+    cell is core, from its counts alone, however many points it has. In other cells, which have less than
+    ``min_samples`` points, each point looks at the nearest ``min_samples`` of the two cells beyond."""
+    wide = cells.join(_near(cells, -1, "n"), ["dataset_id", "cell"], "left").join(_near(cells, 1, "n"), ["dataset_id", "cell"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    wide = hold(wide.withColumn("n3", F.col("n") + zero("n-1") + zero("n+1")).select("dataset_id", "cell", "n3", "lo", "hi", "first"))
+    sparse = wide.where(F.col("n3") < min_samples)
+    loose = points.join(sparse.select("dataset_id", "cell", "n3"), ["dataset_id", "cell"])
+    for by, order in ((2, F.col("x")), (-2, -F.col("x"))):
+        # The rows of a full cell are cut to min_samples before they are shuffled.
+        asked = sparse.select("dataset_id", (F.col("cell") + by).alias("cell"))
+        rank = F.row_number().over(Window.partitionBy("dataset_id", "cell").orderBy(order))
+        ends = points.join(asked, ["dataset_id", "cell"], "left_semi").select("dataset_id", "cell", "x").withColumn("r", rank).where(F.col("r") <= min_samples)
+        ends = ends.groupBy("dataset_id", "cell").agg(F.collect_list("x").alias("v"))
+        loose = loose.join(_near(ends, by, "v"), ["dataset_id", "cell"], "left")
+    within = lambda c: F.coalesce(F.size(F.filter(c, lambda v: F.abs(v - F.col("x")) <= eps)), F.lit(0))
+    core = loose.where(F.col("n3") + within("v-2") + within("v+2") >= min_samples)
+    found = core.groupBy("dataset_id", "cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(F.struct("pixel_id", "peak_idx")).alias("first"))
+    return wide.where(F.col("n3") >= min_samples).select("dataset_id", "cell", "lo", "hi", "first").unionByName(found)
+
+
+def clusters(cores: DataFrame, eps: float) -> DataFrame:
+    """(dataset_id, cluster, lo, hi, first): runs of cells whose core points are no more than eps apart."""
+    over = Window.partitionBy("dataset_id").orderBy("lo")  # over occupied cells, not points
+    new = F.coalesce((F.col("lo") - F.lag("hi").over(over) > eps).cast("int"), F.lit(0))
+    isl = cores.withColumn("new", new).withColumn("cluster", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     return isl.groupBy("dataset_id", "cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"))
 
 
 def labelled(points: DataFrame, c: DataFrame, eps: float) -> DataFrame:
     """``points`` in a cluster, with ``cluster``; a border point of two goes to the one whose first
-    core point comes first in the pool. Noise is left out."""
-    width = max(eps * 16, 1e-4)
-    reach = c.withColumn("b", F.explode(F.sequence(F.floor((F.col("lo") - eps) / width).cast("bigint"), F.floor((F.col("hi") + eps) / width).cast("bigint"))))
-    got = points.join(reach, ["dataset_id", "b"]).where((F.col("lo") - F.col("x") <= eps) & (F.col("x") - F.col("hi") <= eps))
-    one = got.groupBy(*PIXEL, "peak_idx", "x", "mz", "intensity").agg(F.min(F.struct("first", "cluster")).alias("c"))
-    return one.select(*PIXEL, "peak_idx", "mz", "intensity", F.col("c.cluster").alias("cluster"))
+    core point comes first in the pool. Noise is left out.
+
+    Each cell knows the few clusters that reach into it, so a point chooses in its row."""
+    at = lambda v: F.floor(v / F.lit(eps / 2)).cast("bigint")
+    reach = c.withColumn("cell", F.explode(F.sequence(at(F.col("lo") - eps) - 1, at(F.col("hi") + eps) + 1)))
+    reach = reach.groupBy("dataset_id", "cell").agg(F.sort_array(F.collect_list(F.struct("first", "cluster", "lo", "hi"))).alias("c"))
+    x = F.col("x")
+    mine = F.get(F.filter("c", lambda k: (k["lo"] - x <= eps) & (x - k["hi"] <= eps)), F.lit(0))
+    got = points.join(reach, ["dataset_id", "cell"]).withColumn("k", mine).where("k IS NOT NULL")
+    return got.select(*PIXEL, "peak_idx", "mz", "intensity", F.col("k.cluster").alias("cluster"))
 
 
 def dbscan(peaks: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    points = hold(cores(peaks.select(*PIXEL, "peak_idx", "mz", "intensity", F.log("mz").alias("x")), eps, min_samples))
-    return hold(labelled(points, clusters(points, eps), eps))
+    x = F.log("mz")
+    points = hold(peaks.select(*PIXEL, "peak_idx", "mz", "intensity", x.alias("x"), F.floor(x / F.lit(eps / 2)).cast("bigint").alias("cell")))
+    found = hold(clusters(core_cells(points, hold(cells_of(points)), eps, min_samples), eps))
+    return hold(labelled(points, found, eps))
 
 
 def cluster_channels(hits: DataFrame, n_pixels: DataFrame) -> tuple[DataFrame, DataFrame]:

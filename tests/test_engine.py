@@ -197,6 +197,21 @@ def test_dbscan_is_exact(spark):
         assert len({(want[i], c) for i, c in got.items()}) == len(set(got.values()))
 
 
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_dbscan_with_full_cells(spark, k):
+    """One ion with most of the points, many at the same m/z, and stragglers at all distances from it: full cells are
+    core by their counts, those beside them look at the nearest of their points."""
+    rng = np.random.default_rng(k)
+    eps = 1.55e-5
+    x = np.concatenate([rng.normal(5.5, 0.4 * eps, 350), np.full(60, 5.5 + 2.3 * eps), 5.5 + eps * rng.uniform(-9, 9, 60), 5.5 + eps * (np.arange(-12, 13) * 0.5 + 0.01), rng.uniform(5.49, 5.51, 40)])
+    x = rng.permutation(x)
+    peaks = spark.createDataFrame([("a", i, 0, float(math.exp(v)), 1.0) for i, v in enumerate(x)], M.PEAKS).repartition(5)
+    got = {r.pixel_id: r.cluster for r in dbscan.dbscan(peaks, eps, k).collect()}
+    want = brute_dbscan(np.log(np.exp(x)), eps, k)
+    assert {i for i, c in enumerate(want) if c >= 0} == set(got)
+    assert len({(want[i], c) for i, c in got.items()}) == len(set(got.values())) == max(want) + 1
+
+
 def test_two_nearest_assignment_and_ties(spark):
     ax = spark.createDataFrame([("a", i, m, m - 1.5, m + 1.5) for i, m in enumerate([100.0, 101.0, 102.0])], "dataset_id string, channel int, mz double, lo double, hi double")
     p = spark.createDataFrame([("a", 0, 0, m, 1.0) for m in (99.0, 100.5, 101.0, 103.4, 104.0)], M.PEAKS)
