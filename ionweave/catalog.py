@@ -19,7 +19,7 @@ from .model import MsiDataset, hold, shared_dir
 from .operators import background, consensus, cwt, dbscan, hot_pixel, moran, normalize, pick, prevalence, recalibrate, reference_ions, tolerance
 from .operators.base import operator
 from .plans import cohort, diagnostics, pipeline, views
-from .sources import files, imzml
+from .sources import files, imzml, tiff
 from .testdata import BG, FG, cells_dataset, peaks_dataset, profile_spectra, sparse_peaks
 
 REF = reference_ions.ReferenceIonParams(min_prevalence=0.5)
@@ -228,6 +228,14 @@ def _imzml_pixels(s, d):
     return rounded(p.groupBy("pixel_id").agg(F.count("*").alias("n"), F.sum("intensity").alias("tic")), tic=0)
 
 
+def _tiff(s, d):
+    """All channel images, written as pages of strips and read back."""
+    folder = files.mounted(f"{shared_dir(s)}/tiff-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    tiff.write_tiff(cells_dataset(s, d), f"{folder}/image.tiff")
+    return rounded(tiff.read_cells(s, f"{folder}/image.tiff"), intensity=6)
+
+
 def _contrast(s, d):
     return rounded(views.contrast(views.project(peaks_dataset(s, d), "tic")), low=2, high=2).select("low", "high")
 
@@ -337,7 +345,7 @@ def queries() -> dict:
     out |= {"consensus_dbscan_axis": _dbscan("axis"), "consensus_dbscan_cells": _dbscan("cells")}
     out |= {"channel_table": _channel_table, "channel_topn": _top, "channel_nearest": _nearest, "channel_image": _channel_image, "axis_nearest_join": _nearest_join}
     out |= {"whatif_prevalence": _whatif, "cdf_prevalence": _cdf, "hist_factor": _hist(16), "hist_factor_sqrt": _hist("sqrt"), "hist_peak_counts": _hist_counts, "plotted_mz": _plotted}
-    out |= {"imzml_round_trip": _imzml, "imzml_some_pixels": _imzml_pixels}
+    out |= {"imzml_round_trip": _imzml, "imzml_some_pixels": _imzml_pixels, "tiff_round_trip": _tiff}
     out |= {"fdr_prevalence": _fdr("draws"), "fdr_prevalence_exact": _fdr("exact")}
     out |= {"morans_i_queen": _moran("queen"), "morans_i_rook": _moran("rook"), "morans_i_fdr": _moran_fdr}
     out |= {"hot_pixels_mark": _hot("mark"), "hot_pixels_zero": _hot("zero"), "hot_pixels_neighbors_pl": _hot("pl"), "hot_pixels_neighbors_pm": _hot("pm")}

@@ -267,6 +267,7 @@ SELECT bin, round(l, 3) AS "left", round(r, 3) AS "right", (SELECT count(*) FROM
 SELECT CAST(g.range - lo AS INTEGER) AS bin, CAST(g.range AS DOUBLE) AS "left", CAST(g.range + 1 AS DOUBLE) AS "right", (SELECT count(*) FROM f WHERE v = g.range) AS n FROM s, range((SELECT lo FROM s), (SELECT hi + 1 FROM s)) g"""
     out["plotted_mz"] = f"WITH {PEAKS} SELECT round(m, 6) AS mz FROM (SELECT DISTINCT mz AS m FROM peaks WHERE pixel_id IN (4 * 16 + 3, 4 * 16 + 4))"
     out["imzml_round_trip"] = f"WITH {PEAKS} SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY peak_idx, mz, intensity) - 1 AS peak_idx, round(mz, 6) AS mz, round(CAST(CAST(intensity AS FLOAT) AS DOUBLE), 2) AS intensity FROM peaks"
+    out["tiff_round_trip"] = f"WITH {CELLS} SELECT channel, pixel_id AS grid_idx, round(CAST(CAST(intensity AS FLOAT) AS DOUBLE), 6) AS intensity FROM cells"
     out["imzml_some_pixels"] = f"WITH {PEAKS} SELECT pixel_id, count(*) AS n, round(sum(CAST(CAST(intensity AS FLOAT) AS DOUBLE)), 0) AS tic FROM peaks WHERE pixel_id BETWEEN 100 AND 131 GROUP BY pixel_id"
     out["fdr_prevalence"] = f"""WITH {CELLS}, fl AS (SELECT channel, rep.range AS rep, count(DISTINCT {md5i("'7'", "rep.range", "channel", "ball")} % (SELECT n FROM np)) AS fu FROM (SELECT channel, unnest(range(1, n_peaks + 1)) AS ball FROM channels), range(9) rep GROUP BY channel, rep.range),
 pp AS (SELECT channel, any_value(n_peaks) AS balls, any_value(n_peaks // 2) AS obs, (count(*) FILTER (fu >= n_peaks // 2) + 1) / 10.0::DOUBLE AS p FROM fl JOIN channels USING (channel) GROUP BY channel), {BH.format(src='pp')}

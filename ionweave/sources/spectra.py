@@ -19,15 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from ..model import PEAKS
 from . import files
+from .ranges import Places, Written
 
 #: Spectra of one partition; peaks of one batch; bytes that one read may take in for nothing.
 SPECTRA, PEAKS_AT_ONCE, GAP = 2048, 1 << 18, 1 << 16
-#: Bytes that a writing task gathers before it writes.
-GATHER = 1 << 22
 INDEX = ["pixel_id", "mo", "ml", "mt", "io", "il", "it"]
 
 
@@ -120,11 +119,6 @@ class SpectraReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(cols, ["dataset_id", "pixel_id", "peak_idx", "mz", "intensity"])
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    bytes: int
-
-
 class RangesWriter(DataSourceArrowWriter):
     """Rows (at, mz, intensity, xml_at, xml): 64-bit m/z and 32-bit intensities, then text, each at its place."""
 
@@ -132,7 +126,7 @@ class RangesWriter(DataSourceArrowWriter):
         self.paths, self.bytes = (options["ibd"], options["xml"]), int(options["bytes"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        outs = [_Places(p) for p in self.paths]
+        outs = [Places(p) for p in self.paths]
         for batch in iterator:
             at, mz, inten, xml_at, xml = (batch.column(c) for c in ("at", "mz", "intensity", "xml_at", "xml"))
             for k in range(batch.num_rows):
@@ -152,34 +146,6 @@ class RangesWriter(DataSourceArrowWriter):
                 os.remove(p)
 
 
-class _Places:
-    """Writes at places; pieces that follow one another are gathered."""
-
-    def __init__(self, path: str) -> None:
-        self.fd, self.at, self.parts, self.size, self.total = os.open(path, os.O_WRONLY), 0, [], 0, 0
-
-    def put(self, at: int, data: bytes) -> None:
-        if at != self.at + self.size or self.size > GATHER:
-            self._flush()
-            self.at = at
-        self.parts.append(data)
-        self.size += len(data)
-
-    def _flush(self) -> None:
-        data, at = memoryview(b"".join(self.parts)), self.at
-        self.total += len(data)
-        while data:
-            n = os.pwrite(self.fd, data, at)
-            data, at = data[n:], at + n
-        self.parts, self.size = [], 0
-
-    def close(self) -> int:
-        self._flush()
-        os.fsync(self.fd)
-        os.close(self.fd)
-        return self.total
-
-
 def read(spark: SparkSession, ibd: str, index: DataFrame, first: int, stop: int, dataset_id: str) -> DataFrame:
     """Peaks of the spectra from ``first`` to before ``stop`` in ``index``, a written table (columns INDEX)."""
     spark.dataSource.register(Spectra)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionweave import model as M
-from ionweave.sources import files, imzml, spectra
+from ionweave.sources import files, imzml, ranges, spectra
 from ionweave.testdata import peaks_dataset
 
 SMALL = "/root/testdata/sf0.001"
@@ -153,14 +153,14 @@ def test_writes_of_a_second_attempt(tmp_path):
     path = f"{tmp_path}/x"
     open(path, "wb").write(b"." * 10)
     for _ in range(2):  # the first attempt died after its writes
-        out = spectra._Places(path)
+        out = ranges.Places(path)
         for at, data in ((2, b"ab"), (4, b"cd"), (8, b"e")):
             out.put(at, data)
         assert out.close() == 5
     assert open(path, "rb").read() == b"..abcd..e."
     w = spectra.RangesWriter({"ibd": path, "xml": path + "2", "bytes": "6"})
     with pytest.raises(RuntimeError):
-        w.commit([spectra.Written(5), None])
+        w.commit([ranges.Written(5), None])
     w.abort([None])
     assert not os.path.exists(path)
     with pytest.raises(ValueError, match="mounted"):
