@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 import platform
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from ..model import ExperimentParams, MsiDataset, combine_hashes, hash_obj
 from ..operators import OpResult, operator
 from ..operators.tolerance import ToleranceParams
+from .store import Store, fingerprint
 
 
 def versions() -> dict[str, str]:
@@ -131,16 +133,35 @@ class RunResult:
 
 
 class Runner:
-    """Runs pipelines; a node whose operator, parameters, seed and input are known isn't run again."""
+    """Runs pipelines; a node whose operator, parameters, seed and input are known isn't run again.
 
-    def __init__(self) -> None:
+    Without a store, results are known as long as the runner is, and inputs are the same if they are the same
+    object. With one, results outlive the session, and inputs are the same if their contents are."""
+
+    def __init__(self, store: Store | None = None) -> None:
         self.cache: dict[str, OpResult] = {}
         self.executed: list[str] = []
+        self.store = store
+        #: Inputs by identity; they are held, so no other object can take their place.
+        self.inputs: list[tuple[MsiDataset, str]] = []
+
+    def _start(self, ds: MsiDataset) -> str:
+        for known, key in self.inputs:
+            if known is ds:
+                return key
+        key = fingerprint(ds) if self.store else combine_hashes(ds.hash(), uuid.uuid4().hex)
+        self.inputs.append((ds, key))
+        return key
+
+    def _known(self, key: str) -> OpResult | None:
+        if key not in self.cache and self.store and (found := self.store.get(key)):
+            self.cache[key] = found
+        return self.cache.get(key)
 
     def run(self, ds: MsiDataset, p: Pipeline, *, on_progress: Callable[[int, int, str], None] | None = None, on_node: Callable[[str, OpResult], None] | None = None) -> RunResult:
         results: dict[str, OpResult] = {}
         keys: dict[str, str] = {}
-        start = combine_hashes(ds.hash(), str(id(ds)))
+        start = self._start(ds)
         self.executed = []
         for k, n in enumerate(p.nodes):
             if on_progress:
@@ -148,8 +169,9 @@ class Runner:
             src = results[n.upstream[-1]].dataset if n.upstream else ds
             seed = node_seed(p.rng_seed, n.id)
             key = keys[n.id] = combine_hashes(n.op_name, hash_obj(n.params), str(seed), keys[n.upstream[-1]] if n.upstream else start)
-            if key not in self.cache:
-                self.cache[key] = operator(n.op_name).apply(src, n.params, seed=seed)
+            if self._known(key) is None:
+                made = operator(n.op_name).apply(src, n.params, seed=seed)
+                self.cache[key] = self.store.put(key, made) if self.store else made
                 self.executed.append(n.id)
             results[n.id] = self.cache[key]
             if on_node:

@@ -1,4 +1,5 @@
-"""Files by path or address, for the driver and for tasks: whatever pyarrow's file systems open."""
+"""Files by path or address, for the driver and for tasks: whatever pyarrow's file systems open; and folders
+of tables, on the file systems of Spark."""
 
 from __future__ import annotations
 
@@ -58,3 +59,31 @@ def mounted(path: str) -> str:
     if not isinstance(where, fs.LocalFileSystem):
         raise ValueError(f"{path} isn't in a mounted folder; write there and copy the files")
     return p
+
+
+def _hadoop(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def spark_exists(spark, path: str) -> bool:
+    p, where = _hadoop(spark, path)
+    return where.exists(p)
+
+
+def spark_rename(spark, old: str, new: str) -> bool:
+    """Rename a folder; false if something of the new name is there."""
+    p, where = _hadoop(spark, old)
+    to = _hadoop(spark, new)[0]
+    return not where.exists(to) and where.rename(p, to)
+
+
+def spark_delete(spark, path: str) -> None:
+    p, where = _hadoop(spark, path)
+    where.delete(p, True)
+
+
+def spark_folders(spark, path: str) -> list[tuple[str, int]]:
+    """(name, time of change) of the folders in a folder."""
+    p, where = _hadoop(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime()) for s in where.listStatus(p) if s.isDirectory()] if where.exists(p) else []

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import SparkSession
 
 from ..model import MsiDataset
-from . import native, spec
+from . import files, native, spec
 from .andi import read_cdf, read_cdf_image
 from .imzml import read_imzml
 
@@ -18,7 +18,7 @@ def load(spark: SparkSession, path: str, dataset_id: str | None = None) -> MsiDa
     low = path.lower()
     if low.endswith(".spec.xml"):
         return spec.read(path)
-    if os.path.exists(os.path.join(path, native.ABOUT)):
+    if files.spark_exists(spark, f"{path}/{native.ABOUT}"):
         return native.read(spark, path)
     if os.path.isdir(path):
         return read_cdf_image(spark, path, dataset_id=dataset_id)

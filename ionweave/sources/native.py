@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import PIXEL, DatasetIdentity, ExperimentParams, MsiDataset, OpRecord, RoiDef
+from . import files
 
 ABOUT = "about.json"
 TABLES = ("pixels", "peaks", "cells", "channels")
@@ -20,8 +22,14 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def write(ds: MsiDataset, folder: str) -> None:
-    """Save ``ds`` below ``folder``, which any file system of Spark may hold; the metadata are written last."""
-    spark = ds.pixels.sparkSession
+    """Save ``ds`` as ``folder``, which any file system of Spark may hold.
+
+    All is written to a new folder, which then takes the place of an old one of that name: a dataset can
+    be saved over the one that it was read from, and a writer that dies leaves the old one."""
+    spark, final = ds.pixels.sparkSession, folder.rstrip("/")
+    head, _, name = final.rpartition("/")
+    aside = lambda what: f"{head}/.{name}-{what}-{uuid.uuid4().hex}" if head else f".{name}-{what}-{uuid.uuid4().hex}"
+    folder, old = aside("new"), aside("old")
     tables = [t for t in TABLES if getattr(ds, t) is not None]
     for t in tables:
         _write(getattr(ds, t), f"{folder}/{t}")
@@ -32,6 +40,11 @@ def write(ds: MsiDataset, folder: str) -> None:
         "identity": dataclasses.asdict(ds.identity), "history": [dataclasses.asdict(h) for h in ds.history], "rois": [dataclasses.asdict(r) for r in ds.rois], "rng_seed": ds.rng_seed,
     }
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{ABOUT}")
+    replaces = files.spark_exists(spark, final) and files.spark_rename(spark, final, old)
+    if not files.spark_rename(spark, folder, final):
+        raise RuntimeError(f"{final} was written by another session meanwhile")
+    if replaces:
+        files.spark_delete(spark, old)
 
 
 def read(spark: SparkSession, folder: str) -> MsiDataset:
