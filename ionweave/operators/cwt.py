@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,65 +28,112 @@ class CwtParams:
     noise_perc: float = 10.0
 
 
-def ricker(points: int, a: float) -> np.ndarray:
-    x = np.arange(points) - (points - 1) / 2
-    z = (x / a) ** 2
-    return 2 / (math.sqrt(3 * a) * math.pi**0.25) * (1 - z) * np.exp(-z / 2)
+def ricker(width: float, most: int) -> np.ndarray:
+    """The second derivative of a Gaussian over ten widths, ``most`` points at most."""
+    points = min(10 * width, most)
+    x = np.arange(0, points) - (points - 1) / 2
+    z = (x / width) ** 2
+    return 2 / (math.sqrt(3 * width) * math.pi**0.25) * (1 - z) * np.exp(-z / 2)
 
 
 def transform(y: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    return np.stack([np.convolve(y, ricker(min(10 * int(round(w)) | 1, len(y)), w)[::-1], mode="same")[: len(y)] for w in widths])
+    """One row a width. Sums are direct: where the spectrum is zero the rows are, which a Fourier transform would miss."""
+    out = np.empty((len(widths), len(y)))
+    for k, w in enumerate(widths):
+        kernel = ricker(float(w), len(y))[::-1]
+        out[k] = np.convolve(y, kernel)[(len(kernel) - 1) // 2 :][: len(y)]
+    return out
 
 
 def row_maxima(row: np.ndarray) -> np.ndarray:
     return np.flatnonzero((row[1:-1] > row[:-2]) & (row[1:-1] > row[2:])) + 1
 
 
-def ridges(cwt: np.ndarray, widths: np.ndarray, gap: int) -> list[list[tuple[int, int]]]:
-    """Chains of maxima from wide to narrow scales; a chain ends after more than ``gap`` scales without one."""
-    done, live = [], [[(len(widths) - 1, int(c))] for c in row_maxima(cwt[-1])]
-    for k in range(len(widths) - 2, -1, -1):
-        cols = row_maxima(cwt[k])
-        used = np.zeros(len(cols), bool)
-        reach = widths[k] / 4
-        for line in live:
-            if len(cols):
-                j = int(np.searchsorted(cols, line[-1][1]))
-                near = min((i for i in (j - 1, j) if 0 <= i < len(cols)), key=lambda i: abs(cols[i] - line[-1][1]))
-                if abs(cols[near] - line[-1][1]) <= reach:
-                    line.append((k, int(cols[near])))
-                    used[near] = True
-        done += [x for x in live if x[-1][0] - k > gap]
-        live = [x for x in live if x[-1][0] - k <= gap] + [[(k, int(c))] for c in cols[~used]]
-    return done + live
-
-
-def pick(mz: np.ndarray, intensity: np.ndarray, grid: np.ndarray, p: CwtParams) -> tuple[np.ndarray, np.ndarray]:
-    """(m/z, height) of the peaks of one spectrum on a logarithmic grid."""
-    empty = np.zeros(0), np.zeros(0)
-    if len(mz) < 2 or len(grid) < 8:
-        return empty
-    y = np.interp(grid, mz, intensity, left=0.0, right=0.0)
-    widths = np.maximum(np.linspace(p.width_min_ppm / p.grid_ppm_step, p.width_max_ppm / p.grid_ppm_step, p.n_widths), 1.0)
+def nearest_lines(cols: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, distance) of the line whose last place is nearest to each column; of equal ones that of the lower number."""
+    by = np.argsort(last, kind="stable")
+    at = last[by]
+    # The first of equal places stands for them, as numbers ascend among them.
+    places, first = np.unique(at, return_index=True)
+    k = np.searchsorted(places, cols, "right")
+    left, right = np.maximum(k - 1, 0), np.minimum(k, len(places) - 1)
+    dl, dr = np.abs(cols - places[left]), np.abs(cols - places[right])
+    ll, lr = by[first[left]], by[first[right]]
+    take_right = (dr < dl) | ((dr == dl) & (lr < ll))
+    return np.where(take_right, lr, ll), np.minimum(dl, dr)
+
+
+def ridges(cwt: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scale, place, length) of the ends of all chains of maxima, from wide to narrow scales.
+
+    A maximum goes on with the chain that was last nearest to it, within a quarter of the scale's width; several can
+    go on with one. A chain ends after more scales without a maximum than the least width."""
+    rows = [row_maxima(r) for r in cwt]
+    top = max((k for k, r in enumerate(rows) if len(r)), default=-1)
+    if top < 0:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    gap_most = math.ceil(widths[0])
+    last = rows[top].copy()
+    scale, length, gap = np.full(len(last), top), np.ones(len(last), np.int64), np.zeros(len(last), np.int64)
+    done: list[tuple[np.ndarray, ...]] = []
+    for k in range(top - 1, -1, -1):
+        cols = rows[k]
+        gap = gap + 1
+        goes_on = np.zeros(len(cols), bool)
+        if len(last) and len(cols):
+            line, apart = nearest_lines(cols, last)
+            goes_on = apart <= widths[k] / 4
+            line, place = line[goes_on], cols[goes_on]
+            np.add.at(length, line, 1)
+            last[line] = place  # ascending: of several the last counts
+            scale[line] = k
+            gap[line] = 0
+        new = cols[~goes_on]
+        last, scale, length, gap = (np.concatenate(x) for x in ((last, new), (scale, np.full(len(new), k)), (length, np.ones(len(new), np.int64)), (gap, np.zeros(len(new), np.int64))))
+        ended = gap > gap_most
+        done.append((scale[ended], last[ended], length[ended]))
+        last, scale, length, gap = last[~ended], scale[~ended], length[~ended], gap[~ended]
+    done.append((scale, last, length))
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
+def places(y: np.ndarray, widths: np.ndarray, min_snr: float, noise_perc: float) -> np.ndarray:
+    """Where the peaks of a spectrum are: ends of chains over a quarter of the scales whose height exceeds the noise, a
+    percentile of the narrowest scale around them, by ``min_snr``."""
     c = transform(y, widths)
-    least, out = math.ceil(len(widths) / 4), {}
-    window = max(1, math.ceil(len(y) / 20))
-    base = c[0]
-    for line in ridges(c, widths, max(1, math.ceil(widths[0]))):
-        if len(line) < least:
-            continue
-        k, at = line[-1]
-        a, b = max(0, at - window // 2), min(len(y), at + window // 2 + window % 2)
-        noise = np.percentile(base[a:b], p.noise_perc)
-        if noise == 0 or abs(c[k, at] / noise) < p.min_snr or c[k, at] <= 0:
-            continue
-        r = max(1, round(float(widths.mean())))
-        a, b = max(0, at - r), min(len(y), at + r + 1)
-        w = y[a:b]
-        if w.sum() > 0:
-            out[at] = (float((grid[a:b] * w).sum() / w.sum()), float(w.max()))
-    got = sorted(out.values())
-    return np.array([g[0] for g in got]), np.array([g[1] for g in got])
+    scale, at, length = ridges(c, widths)
+    long = length >= math.ceil(len(widths) / 4)
+    scale, at = scale[long], at[long]
+    half, odd = divmod(math.ceil(len(y) / 20), 2)
+    noise = np.array([np.percentile(c[0][max(k - half, 0) : min(k + half + odd, len(y))], noise_perc) for k in at])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weak = np.abs(c[scale, at] / noise) < min_snr if len(at) else np.zeros(0, bool)
+    return np.sort(at[~weak])
+
+
+def grid_of(lo: float, hi: float, p: CwtParams) -> tuple[np.ndarray, np.ndarray]:
+    """(m/z of the grid, widths in its steps)."""
+    step = math.log1p(p.grid_ppm_step * 1e-6)
+    widths = np.linspace(math.log1p(p.width_min_ppm * 1e-6) / step, math.log1p(p.width_max_ppm * 1e-6) / step, p.n_widths)
+    return np.exp(np.arange(math.log(lo), math.log(hi) + step, step)), np.maximum(widths, 1.0)
+
+
+def pick(mz: np.ndarray, intensity: np.ndarray, grid: np.ndarray, widths: np.ndarray, p: CwtParams) -> tuple[np.ndarray, np.ndarray]:
+    """(m/z, height) of the peaks of one spectrum, ascending: the centroid and maximum around each place."""
+    if not len(mz):
+        return np.zeros(0), np.zeros(0)
+    y = np.interp(grid, mz, intensity, left=0.0, right=0.0)
+    at = places(y, widths, p.min_snr, p.noise_perc)
+    r = int(max(1, np.round(widths.mean())))
+    lo, hi = np.maximum(at - r, 0), np.minimum(at + r + 1, len(y))
+    centre, height = np.empty(len(at)), np.empty(len(at))
+    for k, (i, a, b) in enumerate(zip(at, lo, hi, strict=True)):
+        total = y[a:b].sum()
+        centre[k] = (grid[a:b] * y[a:b]).sum() / total if total > 0 else grid[i]
+        height[k] = y[a:b].max()
+    by = np.argsort(centre, kind="stable")
+    return centre[by], height[by]
 
 
 def packed(peaks: DataFrame) -> DataFrame:
@@ -96,19 +143,19 @@ def packed(peaks: DataFrame) -> DataFrame:
 
 
 def cwt_pick(spectra: DataFrame, lo: float, hi: float, p: CwtParams) -> DataFrame:
-    """Peaks of packed spectra on the grid from ``lo`` to ``hi``."""
-    step = math.log1p(p.grid_ppm_step * 1e-6)
+    """Peaks of packed spectra on the grid from ``lo`` to ``hi``; one batch of peaks for a batch of spectra."""
+    names = ["dataset_id", "pixel_id", "peak_idx", "mz", "intensity"]
 
     def run(batches):
-        grid = np.exp(np.arange(math.log(lo), math.log(hi) + step, step))
-        for pdf in batches:
-            rows = []
-            for d, px, mz, inten in pdf.itertuples(index=False):
-                m, h = pick(np.asarray(mz, float), np.asarray(inten, float), grid, p)
-                rows.append(pd.DataFrame({"dataset_id": d, "pixel_id": px, "peak_idx": np.arange(len(m)), "mz": m, "intensity": h}))
-            yield pd.concat(rows) if rows else pd.DataFrame(columns=["dataset_id", "pixel_id", "peak_idx", "mz", "intensity"])
+        grid, widths = grid_of(lo, hi, p)
+        for batch in batches:
+            found = [pick(m.values.to_numpy(), i.values.to_numpy(), grid, widths, p) for m, i in zip(batch.column("mz"), batch.column("intensity"), strict=True)]
+            n = np.array([len(m) for m, _ in found], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(n)), n))
+            cols = [batch.column("dataset_id").take(rows), batch.column("pixel_id").take(rows), pa.array(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)), *(pa.array(np.concatenate([x[k] for x in found] or [np.zeros(0)])) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return spectra.select(*PIXEL, "mz", "intensity").mapInPandas(run, PEAKS)
+    return spectra.select(*PIXEL, "mz", "intensity").mapInArrow(run, PEAKS)
 
 
 @register
@@ -128,9 +175,11 @@ class CwtPeakPick(Operator):
         lo, hi = peaks.agg(F.min("mz"), F.max("mz")).first()
         if lo is None:
             raise RuntimeError("the dataset has no spectra")
+        if not 0 < lo < hi:
+            raise RuntimeError(f"m/z from {lo} to {hi} make no grid")
         out = hold(cwt_pick(packed(peaks), lo, hi, params))  # the kernel runs once
         if out.isEmpty():
             raise RuntimeError("no peaks found; lower min_snr or look at the widths")
-        grid = math.ceil((math.log(hi) - math.log(lo)) / math.log1p(params.grid_ppm_step * 1e-6)) + 1
+        grid = len(grid_of(lo, hi, params)[0])
         summary = one_row(out.agg(F.count("*").cast("double").alias("n_peaks_total"), *numbers(grid_size=grid, n_widths=params.n_widths, min_snr=params.min_snr)), ds.pixels.agg(F.count("*").cast("double").alias("n_pixels")), kept_per_pixel(ds.pixels, out))
         return OpResult(ds.with_peaks(out), (Diagnostic(self.name, summary, {}, "histogram:peaks_per_pixel"),))

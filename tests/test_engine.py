@@ -148,6 +148,85 @@ def test_normalisation_and_picking(ds, with_refs):
     assert operator("snr_peak_pick").apply(ds, pick.SnrParams(min_intensity_abs=1000.0)).dataset.peaks.agg(F.min("intensity")).first()[0] > 1000
 
 
+def plain_cwt_peaks(y, widths, min_snr, noise_perc):
+    """The published method, with lists: a line is [scales, places, gap]."""
+    n = len(y)
+    c = []
+    for w in widths:
+        points = min(10 * w, n)
+        x = np.arange(0, points) - (points - 1) / 2
+        kernel = 2 / (math.sqrt(3 * w) * math.pi**0.25) * (1 - (x / w) ** 2) * np.exp(-(x**2) / (2 * w**2))
+        full = [sum(y[j] * kernel[::-1][i - j] for j in range(max(0, i - len(kernel) + 1), min(n, i + 1))) for i in range(n + len(kernel) - 1)]
+        start = (len(full) - n) // 2
+        c.append(full[start : start + n])
+    c = np.array(c)
+    tops = [[i for i in range(1, n - 1) if r[i] > r[i - 1] and r[i] > r[i + 1]] for r in c]
+    some = [k for k, t in enumerate(tops) if t]
+    if not some:
+        return []
+    live, done = [[[some[-1]], [i], 0] for i in tops[some[-1]]], []
+    for k in range(some[-1] - 1, -1, -1):
+        for x in live:
+            x[2] += 1
+        before = [x[1][-1] for x in live]
+        for i in tops[k]:
+            near = min(range(len(before)), key=lambda j: abs(before[j] - i)) if before else None
+            if near is not None and abs(before[near] - i) <= widths[k] / 4:
+                live[near][0].append(k)
+                live[near][1].append(i)
+                live[near][2] = 0
+            else:
+                live.append([[k], [i], 0])
+        done += [x for x in live if x[2] > math.ceil(widths[0])]
+        live = [x for x in live if x[2] <= math.ceil(widths[0])]
+    out = []
+    half, odd = divmod(math.ceil(n / 20), 2)
+    for scales, at, _ in done + live:
+        i = at[-1]
+        noise = np.percentile(c[0][max(i - half, 0) : min(i + half + odd, n)], noise_perc)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if len(scales) >= math.ceil(len(widths) / 4) and not abs(np.float64(c[scales[-1], i]) / noise) < min_snr:
+                out.append(i)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_wavelet_peaks_are_those_of_the_plain_method(seed):
+    rng = np.random.default_rng(seed)
+    n = [60, 130, 200, 90, 40, 150, 30, 77][seed]
+    x = np.arange(n)
+    y = np.zeros(n) if seed % 3 == 0 else np.abs(rng.normal(0.3, 0.1, n))
+    for _ in range(seed + 1):
+        y = y + rng.uniform(1, 9) * np.exp(-(((x - rng.uniform(0, n)) / rng.uniform(1, 5)) ** 2))
+    y[rng.random(n) < 0.1] = 0.0
+    y = np.round(y, 3)  # ties
+    for widths, snr in ((np.linspace(1, 8, 6), 1.0), (np.linspace(2.3, 12.7, 9), 3.0), (np.array([1.0]), 0.5)):
+        assert cwt.places(y, widths, snr, 10.0).tolist() == plain_cwt_peaks(y, widths, snr, 10.0)
+    assert cwt.places(np.zeros(n), np.linspace(1, 8, 6), 1.0, 10.0).tolist() == []
+
+
+def test_planted_profile_spectra(spark):
+    """25 spectra of three peaks over a floor, with the default widths of their instrument."""
+    rng = np.random.default_rng(123)
+    grid = np.linspace(150.0, 450.0, 1024)
+    rows = []
+    for p in range(25):
+        y = rng.normal(0.5, 0.05, 1024).clip(min=0)
+        for m in (200.0, 300.0, 400.0):
+            y = y + (30 + 5 * rng.normal()) * np.exp(-((grid - m) ** 2) / (2 * (0.05 / 2.355) ** 2))
+        rows += [("a", p, k, float(m), float(v)) for k, (m, v) in enumerate(zip(grid, y))]
+    pixels, shape = M.pixels_of(spark.createDataFrame([("a", p, p % 5 + 1, p // 5 + 1) for p in range(25)], "dataset_id string, pixel_id long, x int, y int"))
+    d = M.MsiDataset(pixels, peaks=spark.createDataFrame(rows, M.PEAKS), grid_shape=shape, metadata=M.ExperimentParams("qtof", "esi", "profile", "positive", 150.0, 450.0))
+    out = operator("cwt_peak_pick").apply(d, cwt.CwtParams(width_min_ppm=500.0, width_max_ppm=3000.0, n_widths=8, grid_ppm_step=250.0, min_snr=2.0))
+    got = [(r.pixel_id, r.mz) for r in out.dataset.peaks.where("intensity > 5").collect()]
+    for m in (200.0, 300.0, 400.0):
+        seen = {p for p, x in got if abs(x - m) < 0.5}
+        planted = {p for p in range(25) if max(v for _, q, _, x, v in rows if q == p and abs(x - m) < 0.2) > 6}
+        assert planted <= seen
+    values = out.diagnostics[0].values()
+    assert values["n_pixels"] == 25 and values["n_widths"] == 8 and values["n_peaks_total"] == out.dataset.peaks.count() and values["grid_size"] == len(cwt.grid_of(150.0, 450.0, cwt.CwtParams(grid_ppm_step=250.0))[0])
+
+
 def test_cwt(spark):
     rng = np.random.default_rng(123)
     mz = np.linspace(150, 450, 1024)
