@@ -307,6 +307,15 @@ def _cohort(what: str):
     return run
 
 
+def _growth(s, d):
+    """The cohort's datasets added one after another, the first again at last."""
+    ds = peaks_dataset(s, d, cohort=True)
+    c = cohort.GrowingCohort(s, f"{shared_dir(s)}/cohort-{uuid.uuid4().hex}", COHORT)
+    for name in ("A", "N", "R", "A"):
+        c.add(ds.with_(pixels=ds.pixels.where(F.col("dataset_id") == name), peaks=ds.peaks.where(F.col("dataset_id") == name)))
+    return rounded(c.align().prevalence, mz=5, prevalence=6)
+
+
 def _grades(s, d):
     ds = cells_dataset(s, d)
     t = ds.channels.agg(F.count("*").cast("double").alias("n_channels"), F.min("prevalence").alias("prevalence_min"), F.median("prevalence").alias("prevalence_median"))
@@ -350,7 +359,7 @@ def queries() -> dict:
     out |= {"morans_i_queen": _moran("queen"), "morans_i_rook": _moran("rook"), "morans_i_fdr": _moran_fdr}
     out |= {"hot_pixels_mark": _hot("mark"), "hot_pixels_zero": _hot("zero"), "hot_pixels_neighbors_pl": _hot("pl"), "hot_pixels_neighbors_pm": _hot("pm")}
     out |= {"bg_reject": _bg("reject"), "bg_subtract": _bg("subtract")}
-    out |= {"cohort_axis": _cohort("axis"), "cohort_prevalence": _cohort("per")}
+    out |= {"cohort_axis": _cohort("axis"), "cohort_prevalence": _cohort("per"), "cohort_growth": _growth}
     out |= {
         "diag_hot_pixels": _graded("hot", "hot_pixel_filter", hot_pixel.HotPixelParams(k_mad=HOT_K, correction="mark")),
         "diag_lock_mass": _graded("lock", "lock_mass_recalibrate", recalibrate.LockMassParams("closest_to_mz", explicit_anchor_mz=455.0), True),

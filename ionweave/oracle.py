@@ -309,11 +309,12 @@ f1 AS (SELECT *, intensity / greatest(coalesce(median(intensity) FILTER (intensi
 f2 AS (SELECT *, median(i1) OVER (PARTITION BY pixel_id) AS m FROM f1), f3 AS (SELECT *, median(abs(i1 - m)) OVER (PARTITION BY pixel_id) AS mad FROM f2),
 pp AS (SELECT ds, pixel_id, mz, i1 AS intensity FROM f3 WHERE i1 > 0.5 * 1.4826 * mad), {density('pp')}"""
     out["cohort_axis"] = f"{co} SELECT channel, round(mz, 5) AS mz FROM ax"
-    out["cohort_prevalence"] = f"""{co}, aw AS (SELECT ds, ax.*, {at_curve('pts', 'mz')} AS tol FROM ax, cv),
+    prevalences = f"""{co}, aw AS (SELECT ds, ax.*, {at_curve('pts', 'mz')} AS tol FROM ax, cv),
 hit AS (SELECT p.*, a.channel FROM pp p JOIN aw a ON p.ds = a.ds AND p.mz >= a.mz * (1 - tol * 1e-6::DOUBLE) AND p.mz <= a.mz * (1 + tol * 1e-6::DOUBLE)
   AND ((p.mz <= a.mz AND (a.before IS NULL OR p.mz > a.before)) OR (p.mz > a.mz AND (a.after IS NULL OR p.mz <= a.after)))),
-ev AS (SELECT ds, pixel_id, channel, max(intensity) AS intensity, count(*) AS k FROM hit GROUP BY ds, pixel_id, channel)
-SELECT a.ds AS dataset_id, a.channel, round(any_value(a.mz), 5) AS mz, round(count(*) FILTER (e.intensity > 0) / 256, 6) AS prevalence, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_peaks FROM aw a LEFT JOIN ev e ON e.ds = a.ds AND e.channel = a.channel GROUP BY a.ds, a.channel"""
+ev AS (SELECT ds, pixel_id, channel, max(intensity) AS intensity, count(*) AS k FROM hit GROUP BY ds, pixel_id, channel)"""
+    out["cohort_prevalence"] = f"""{prevalences} SELECT a.ds AS dataset_id, a.channel, round(any_value(a.mz), 5) AS mz, round(count(*) FILTER (e.intensity > 0) / 256, 6) AS prevalence, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_peaks FROM aw a LEFT JOIN ev e ON e.ds = a.ds AND e.channel = a.channel GROUP BY a.ds, a.channel"""
+    out["cohort_growth"] = f"{prevalences} SELECT a.channel, round(any_value(a.mz), 5) AS mz, round(count(e.pixel_id) FILTER (e.intensity > 0) / 768, 6) AS prevalence FROM ax a LEFT JOIN ev e USING (channel) GROUP BY a.channel"
     out |= _graded(db, out["fdr_prevalence_exact"])
     out["diag_grades"] = f"""WITH {CELLS}, s AS (SELECT CAST(count(*) AS DOUBLE) AS a, min(prevalence) AS b, median(prevalence) AS c FROM channels)
 SELECT 'channels' AS node, 'n_channels' AS key, round(a, 6) AS value, '' AS grade FROM s

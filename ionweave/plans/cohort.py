@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.axis import numbered
-from ..model import MsiDataset, hold
+from ..model import PEAKS, PIXELS, MsiDataset, hold
 from ..operators.base import one_row
 from ..operators.consensus import KdeParams, aligned, density, maxima, need_some, windowed
 from ..operators.normalize import scaled, with_factor
@@ -75,14 +75,18 @@ def prepared(ds: MsiDataset, p: CohortParams, seed: int) -> tuple[DataFrame, Dat
 def align_cohort(ds: MsiDataset, p: CohortParams | None = None, seed: int = 0) -> CohortResult:
     """Shared channels of all datasets of ``ds``; cells keep their dataset."""
     p = p or CohortParams()
-    peaks, curve = prepared(ds, p, seed)
+    return align_prepared(ds, *prepared(ds, p, seed), p)
+
+
+def align_prepared(ds: MsiDataset, peaks: DataFrame, curve: DataFrame, p: CohortParams) -> CohortResult:
+    """As :func:`align_cohort`, for the ``peaks`` and tolerance curves that :func:`prepared` made."""
     kde = KdeParams(p.n_grid_points, p.bandwidth_ppm, p.bandwidth_scale, p.min_prominence_quantile, p.default_tol_ppm)
     pooled = peaks.withColumn("dataset_id", F.lit("cohort"))
     shared = hold(numbered(maxima(density(pooled, kde), p.min_prominence_quantile).where("prominent").select("dataset_id", "mz")))
     axis = shared.select("channel", "mz")
     mine = windowed(ds.n_pixels().select("dataset_id").crossJoin(axis), curve, p.default_tol_ppm)  # datasets x channels
     cells, per = aligned(peaks, mine, ds.n_pixels())
-    # Carriers over all pixels of the cohort.
+    # Carriers of a channel over all pixels of the cohort: those of the datasets together.
     n = ds.n_pixels()
     total = n.agg(F.sum("n_pixels").alias("total"))
     carriers = cells.groupBy("channel").agg(F.count("*").alias("k"))
@@ -98,6 +102,36 @@ def align_cohort(ds: MsiDataset, p: CohortParams | None = None, seed: int = 0) -
     return CohortResult(ds.with_matrix(cells, per), axis, prevalence, per, diagnostics, p)
 
 
+class GrowingCohort:
+    """A cohort in a folder, to which datasets are added as they are acquired.
+
+    What a dataset goes through on its own, from anchors to picked peaks, is done once, when it's added, and
+    kept by dataset; draws are keyed by pixels, so that it doesn't matter what else is added with it. The axis is
+    found anew from all kept peaks, in one pass over them, so the result is that of a full run. A dataset
+    that is added again takes the place of its old one."""
+
+    def __init__(self, spark: SparkSession, folder: str, params: CohortParams | None = None, seed: int = 0) -> None:
+        self.spark, self.folder, self.params, self.seed = spark, folder.rstrip("/"), params or CohortParams(), seed
+
+    def add(self, ds: MsiDataset) -> None:
+        """Prepare and keep the datasets of ``ds``. Pixels are written last: a dataset without them isn't there."""
+        peaks, curve = prepared(ds, self.params, self.seed)
+        about = ds.pixels.select("dataset_id").distinct().select("dataset_id", F.lit(ds.grid_shape[0]).alias("height"), F.lit(ds.grid_shape[1]).alias("width"))
+        for name, df in (("peaks", peaks), ("curves", curve), ("about", about), ("pixels", ds.pixels)):
+            df.hint("rebalance", "dataset_id").write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.folder}/{name}")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def align(self) -> CohortResult:
+        pixels = self._table("pixels", PIXELS)
+        here = pixels.select("dataset_id").distinct()
+        peaks = self._table("peaks", PEAKS).join(here, "dataset_id", "left_semi")
+        curve = self._table("curves", "dataset_id string, i int, mz_grid double, ppm_quantile double, ci_low double, ci_high double").join(here, "dataset_id", "left_semi")
+        h, w = self._table("about", "dataset_id string, height int, width int").agg(F.max("height"), F.max("width")).first()
+        return align_prepared(MsiDataset(pixels, peaks=peaks, grid_shape=(h, w)), peaks, curve, self.params)
+
+
 def check(result: CohortResult) -> None:
     need_some(result.axis, "the cohort shares no channel")
 

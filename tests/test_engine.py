@@ -679,6 +679,24 @@ def test_bins_and_union(spark):
     assert [r.mz for r in views.plotted_mz(spark.createDataFrame([(2.0,), (1.0,)], "mz double"), spark.createDataFrame([(2.0,), (None,)], "mz double")).collect()] == [1.0, 2.0]
 
 
+def test_growing_cohort_is_a_full_run(spark, tmp_path):
+    """Datasets added one by one, one of them twice, give what a run over all gives; a dataset whose writer died isn't there."""
+    parts = [cohort.with_id(synthetic(spark, seed=k), n) for k, n in enumerate("xyz")]
+    p = cohort.CohortParams(bandwidth_ppm=20.0, bootstrap_B=3)
+    c = cohort.GrowingCohort(spark, f"file://{tmp_path}/c", p)
+    show = lambda r: (sorted(map(tuple, r.prevalence.collect())), sorted(map(tuple, r.per_dataset.collect())), sorted(tuple(x) for x in r.dataset.cells.select("dataset_id", "pixel_id", "channel", "intensity").collect()), r.diagnostics.first().asDict())
+    c.add(parts[0])
+    c.add(cohort.with_id(synthetic(spark, seed=9), "y"))
+    assert show(c.align())[3]["n_datasets"] == 2
+    c.add(parts[1])  # the right one takes the place of the other
+    c.add(parts[2])
+    (tmp_path / "c" / "peaks" / "dataset_id=w").mkdir()
+    full = show(cohort.align_cohort(cohort.union(parts), p))
+    grown = show(c.align())
+    for a, b in zip(grown, full, strict=True):
+        assert a == pytest.approx(b) if isinstance(a, dict) else len(a) == len(b) and all(x == pytest.approx(y) for x, y in zip(a, b, strict=True))
+
+
 def test_formats_and_advice_of_keys():
     shown = diagnostics.shown
     assert [shown("inliers_median", 4.25), shown("improvement_ppm", 3.14159), shown("factor_q25", 0.000123456), shown("bandwidth_log_mz", 5e-5)] == ["4.2", "+3.14", "0.0001235", "5.00e-05"]
