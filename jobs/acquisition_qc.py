@@ -52,7 +52,8 @@ def pixel_report(peaks: DataFrame, refs_seen: DataFrame, config: dict) -> DataFr
 def run(spark: SparkSession, input_path: str, output_path: str, config: dict) -> dict[str, int]:
     """Read peaks, write both tables; returns how many rows were read, and how many of them are peaks."""
     rows, valid = Observation("input"), Observation("peaks")
-    source = spark.read.format(config["format"]).load(input_path).observe(rows, F.count(F.lit(1)).alias("n"))
+    reader = spark.read.format(config["format"])
+    source = (reader.schema(config["schema"]) if "schema" in config else reader).load(input_path).observe(rows, F.count(F.lit(1)).alias("n"))
     peaks = hold(peaks_of(source, config["columns"]).observe(valid, F.count(F.lit(1)).alias("n")))
     read = {"rows": rows.get["n"], "peaks": valid.get["n"]}
     log.info("read %d rows of %s, %d of them peaks", read["rows"], input_path, read["peaks"])

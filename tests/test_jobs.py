@@ -211,6 +211,22 @@ def test_ledger_of_nothing(spark, config, tmp_path):
     assert {r[0] for r in held(spark, out)} == {UNNAMED} and len(held(spark, out)) == 3
 
 
+@pytest.mark.parametrize("kind", ["json", "csv", "orc"])
+def test_other_formats(spark, config, tmp_path, kind):
+    """Both jobs over files of other formats, text ones with a stated schema; the stream takes later files of a folder."""
+    rng = random.Random(9)
+    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    lines = [planted("a", range(8), rng), planted("a", range(8, 14), rng, (200.0, 450.0))]
+    put = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").format(kind).save(src)
+    config |= {"format": kind} | ({} if kind == "orc" else {"schema": SCHEMA})
+    put(lines[0])
+    assert ledger.run(spark, src, out, config) == len(lines[0])
+    put(lines[1])
+    assert ledger.run(spark, src, out, config) == len(lines[1])
+    assert held(spark, out) == expected(spark, sum(lines, []))
+    assert qc.run(spark, src, f"{out}-qc", config)["peaks"] == len(sum(lines, [])) and qc.read_pixels(spark, f"{out}-qc").count() == 14
+
+
 def test_command_lines(spark, config, tmp_path):
     src, conf = f"file://{tmp_path}/in", tmp_path / "own.json"
     write(spark, planted("a", range(10), random.Random(8)), src)
