@@ -11,6 +11,8 @@ Tables carry ``dataset_id`` in every key, so one plan serves one acquisition or
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import dataclasses
 import hashlib
 import json
@@ -212,10 +214,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_held: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("held", default=None)
+
+
+@contextlib.contextmanager
+def held_until_end(spark: SparkSession):
+    """Tables that :func:`hold` writes inside go at the end: for work whose results are written by then."""
+    mine: list[str] = []
+    before = _held.set(mine)
+    try:
+        yield
+    finally:
+        _held.reset(before)
+        for path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read to the shared folder and read it again: plans stay
     short, and a lost executor costs no earlier step."""
     out = f"{shared_dir(df.sparkSession)}/hold-{uuid.uuid4().hex}"
+    if (mine := _held.get()) is not None:
+        mine.append(out)
     df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 

@@ -23,7 +23,7 @@ import sys
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.model import DATASET, PIXEL, hold
+from ionweave.model import DATASET, PIXEL, held_until_end, hold
 from ionweave.operators.hot_pixel import hot_pixels
 from ionweave.operators.pick import SnrParams, with_threshold
 from ionweave.operators.reference_ions import ReferenceIonParams, reference_ions
@@ -51,6 +51,11 @@ def pixel_report(peaks: DataFrame, refs_seen: DataFrame, config: dict) -> DataFr
 
 def run(spark: SparkSession, input_path: str, output_path: str, config: dict) -> dict[str, int]:
     """Read peaks, write both tables; returns how many rows were read, and how many of them are peaks."""
+    with held_until_end(spark):
+        return _run(spark, input_path, output_path, config)
+
+
+def _run(spark: SparkSession, input_path: str, output_path: str, config: dict) -> dict[str, int]:
     rows, valid = Observation("input"), Observation("peaks")
     reader = spark.read.format(config["format"])
     source = (reader.schema(config["schema"]) if "schema" in config else reader).load(input_path).observe(rows, F.count(F.lit(1)).alias("n"))

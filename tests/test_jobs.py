@@ -13,6 +13,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from ionweave.model import shared_dir
 from ionweave.operators.reference_ions import ReferenceIonParams, reference_ions
 from jobs import acquisition_qc as qc
 from jobs import reference_ledger as ledger
@@ -227,6 +228,19 @@ def test_other_formats(spark, config, tmp_path, kind):
     assert qc.run(spark, src, f"{out}-qc", config)["peaks"] == len(sum(lines, [])) and qc.read_pixels(spark, f"{out}-qc").count() == 14
 
 
+def test_jobs_leave_no_scratch(spark, config, tmp_path):
+    src, shared = f"file://{tmp_path}/in", shared_dir(spark).removeprefix("file://")
+    write(spark, planted("a", range(8), random.Random(10)), src)
+    before = set(os.listdir(shared))
+    qc.run(spark, src, f"file://{tmp_path}/qc", config)
+    ledger.run(spark, src, f"file://{tmp_path}/ledger", config)
+    assert set(os.listdir(shared)) == before
+    with pytest.raises(KeyError):
+        qc.run(spark, src, f"file://{tmp_path}/qc", {k: v for k, v in config.items() if k != "snr_mad"})
+    assert set(os.listdir(shared)) == before
+    assert qc.read_pixels(spark, f"file://{tmp_path}/qc").count() == 8
+
+
 def test_command_lines(spark, config, tmp_path):
     src, conf = f"file://{tmp_path}/in", tmp_path / "own.json"
     write(spark, planted("a", range(10), random.Random(8)), src)
