@@ -8,8 +8,8 @@ make up for, O is the best tag whatever they are, so the exact best path is sear
 
 The model is trained here, by maximum likelihood (forward-backward, Adam), on ``TRAIN_CHAINS``
 invented texts from a seeded generator; nothing of the corpus goes into it, so its size and cost
-are fixed. The three base patterns are always reported; chains add spans of kind ``crf`` where no
-base span lies.
+are fixed. The three base patterns are always reported; chains add spans of kind ``crf``: the parts
+of what they tag that no base span covers and that hold a letter or digit.
 
 Defined cases: null and empty texts have no spans (the digest of the empty text); very long texts
 are scanned whole, in time that follows their length; several spans at one start are ordered by
@@ -321,18 +321,29 @@ class Tagger:
         return found
 
 
+def outside(found: list, covered: list) -> list[tuple[int, int]]:
+    """The parts of the ``found`` spans, which don't overlap, that no ``covered`` span has; both sorted."""
+    parts: list[tuple[int, int]] = []
+    k, reach = 0, 0
+    for a, b in found:
+        at = max(a, reach)
+        while k < len(covered) and covered[k][0] < b:
+            if at < covered[k][0]:
+                parts.append((at, covered[k][0]))
+            reach = max(reach, covered[k][1])
+            at = max(at, reach)
+            k += 1
+        if at < b:
+            parts.append((at, b))
+    return parts
+
+
 def scan(text: str | None, tagger: Tagger) -> list[tuple[int, int, str]]:
     """All spans of a whole text, by start and then kind."""
     text = text or ""
     out = base_spans(text)
-    covered = sorted((a, b) for a, b, _ in out)
-    k, reach = 0, -1
-    for a, b in tagger.spans(text):
-        while k < len(covered) and covered[k][0] < b:
-            reach = max(reach, covered[k][1])
-            k += 1
-        if reach <= a:
-            out.append((a, b, "crf"))
+    more = outside(tagger.spans(text), sorted((a, b) for a, b, _ in out))
+    out += [(a, b, "crf") for a, b in more if any(map(str.isalnum, text[a:b]))]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

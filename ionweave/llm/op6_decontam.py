@@ -1,12 +1,15 @@
-"""Benchmark decontamination with an Aho-Corasick automaton over normalised items.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
-Every window of ten consecutive item words (or the whole item, if it is shorter) is a pattern
-" w1 w2 ... w10 ". A document is normalised once, scanned once, and each match is mapped back to
-its words and to the code points of the original text.
+Every window of ten consecutive item words (or the whole item, if it is shorter) is a pattern. A word
+of the benchmark is coded as two characters, of two alphabets of about the root of the vocabulary's
+size, so no node has more children than that, and a pattern has 20 nodes whatever its words. A
+document is normalised and coded once (words that no item has are one code of their own) and scanned
+once; each match is mapped back to its words and to the code points of the original text.
 
-The automaton is broadcast, so the benchmark is cut into shards of at most ``shard_chars``
-characters of items; each shard has an automaton of its own and is one more scan. A benchmark of
-any usual size is one shard.
+The automaton is built once, on the driver, and broadcast as built; a Python worker loads it once.
+Its size is checked first: ``most_words`` item words take at most about 0.8 KB each. A benchmark of
+more words is cut by a hash of its items into parts below the bound, which are collected, built
+and let go one after another; each further part is a further scan, and the result is the same.
 
 Defined cases: null or empty texts have no words; items without words are never found; items with
 the same words are all reported; repeated rows are judged each; a null item id is reported as the
@@ -16,11 +19,14 @@ whatever their names, are neither read nor returned.
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,40 +42,61 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(UPPER))
 
 
-def build(items: list[tuple[str, str | None]]):
-    """One automaton of all windows; a pattern's value is (number of words, indices of its items)."""
-    import ahocorasick
-
-    found: dict[str, tuple[int, list[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        w = words_of(text)
-        for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            part = w[i : i + WINDOW]
-            found.setdefault(f" {' '.join(part)} ", (len(part), []))[1].append(k)
-    auto = ahocorasick.Automaton()
-    for pattern, value in found.items():
-        auto.add_word(pattern, value)
-    if found:
-        auto.make_automaton()
-    return auto, bool(found)
-
-
-def scan(text: str | None, auto, some: bool):
-    """(words, hit flags, indices of found items) of one whole text."""
+#: Code of the words that no item has.
+OTHER = "\0\0"
+#: A word in a text that isn't lower-cased yet, as a pattern of Java.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+class Finder:
+    """The automaton of all windows of some items: ``codes`` of words, and for each pattern its
+    number of words and the numbers of its items in ``names``."""
+
+    def __init__(self, items: Iterable[tuple[str, str | None]]) -> None:
+        import ahocorasick
+
+        self.names: list[str] = []
+        texts: list[list[str]] = []
+        for name, text in items:
+            self.names.append(name)
+            texts.append(words_of(text))
+        vocabulary = sorted({w for words in texts for w in words})
+        side = math.isqrt(len(vocabulary)) + 1
+        self.codes = {w: chr(1 + k // side) + chr(1 + side + k % side) for k, w in enumerate(vocabulary)}
+        self.owners: list[list[int]] = []
+        self.lengths: list[int] = []
+        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, words in enumerate(texts):
+            for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
+                part = words[i : i + WINDOW]
+                pattern = "".join(map(self.codes.__getitem__, part))
+                at = auto.get(pattern, -1)
+                if at < 0:
+                    auto.add_word(pattern, len(self.owners))
+                    self.owners.append([k])
+                    self.lengths.append(len(part))
+                elif self.owners[at][-1] != k:
+                    self.owners[at].append(k)
+        self.auto = auto if self.owners else None
+        if self.auto:
+            auto.make_automaton()
+
+    def matches(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """(place of the last code, pattern) of all matches."""
+        return self.auto.iter("".join(map(self.codes.get, words, repeat(OTHER)))) if self.auto and words else iter(())
+
+
+def scan(text: str | None, finder: Finder):
+    """(words, hit flags, names of found items) of one whole text."""
     w = words_of(text)
     cover = np.zeros(len(w) + 1, np.int64)
-    items: set[int] = set()
-    if some and w:
-        # The blank that ends word i is at ends[i]; a match ends on one.
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        at = [(end, n, ks) for end, (n, ks) in auto.iter(f" {' '.join(w)} ")]
-        if at:
-            last = np.searchsorted(ends, np.array([x[0] for x in at]))
-            for (_, n, ks), i in zip(at, last, strict=True):
-                cover[i - n + 1] += 1
-                cover[i + 1] -= 1
-                items.update(ks)
-    return w, np.cumsum(cover)[:-1] > 0, items
+    patterns: set[int] = set()
+    for end, k in finder.matches(w):
+        last = end // 2
+        cover[last - finder.lengths[k] + 1] += 1
+        cover[last + 1] -= 1
+        patterns.add(k)
+    return w, np.cumsum(cover)[:-1] > 0, {finder.names[i] for k in patterns for i in finder.owners[k]}
 
 
 def spans(text: str, hit: np.ndarray) -> list[list[int]]:
@@ -79,25 +106,20 @@ def spans(text: str, hit: np.ndarray) -> list[list[int]]:
     return [[at[a][0], at[b - 1][1]] for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def shards(benchmark: DataFrame, item_col: str, text_col: str, shard_chars: int) -> list[list[tuple[str, str]]]:
-    """The items in lists of at most ``shard_chars`` characters (or one item each)."""
-    out: list[list[tuple[str, str]]] = []
-    size = shard_chars
-    for row in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), text_col).toLocalIterator():
-        n = len(row[1] or "")
-        if not out or size + n > shard_chars:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
-        size += n
-    return out
+def finders(benchmark: DataFrame, item_col: str, text_col: str, most_words: int) -> list[Broadcast]:
+    """Broadcast automata of the benchmark: one, if it has at most ``most_words`` words."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(ANY_CASE)))).first()[0] or 0
+    parts = -(-words // most_words) or 1
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    # A broadcast is a file: the driver holds one automaton at a time.
+    return [items.sparkSession.sparkContext.broadcast(Finder(map(tuple, items.where(part == k).toLocalIterator()))) for k in range(parts)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_chars: int = 8_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, items (array of found item ids, sorted),
     spans (array of [start, end) in code points), contaminated."""
-    sc = docs.sparkSession.sparkContext
-    parts = shards(benchmark, item_col, item_text_col, shard_chars) or [[]]
+    parts = finders(benchmark, item_col, item_text_col, most_words)
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = df.schema["id"].dataType
     one = T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
@@ -105,17 +127,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if more:
         one.add("text", T.StringType()).add("hit", T.BinaryType())
         df = df.select("id", "text", F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    for part in parts:
-        shared = sc.broadcast(part)
+    for shared in parts:
 
         def step(batches, shared=shared, more=more):
-            auto, some = build(shared.value)
-            names = [x[0] for x in shared.value]
+            finder = shared.value
             for batch in batches:
                 rows = []
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    w, hit, items = scan(text, auto, some)
-                    found = {names[k] for k in items}
+                    w, hit, found = scan(text, finder)
                     if more:
                         found |= set(batch.column("items")[i].as_py() or ())
                         if (before := batch.column("hit")[i].as_py()) is not None:
@@ -131,17 +150,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return df.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_chars: int = 8_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = 500_000) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns; a row is judged by
-    its own text. Each shard is one more filter."""
+    its own text. Each automaton is one filter; it leaves a text at its first match."""
     at = docs.columns.index(text_col)
-    for part in shards(benchmark, item_col, item_text_col, shard_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    for shared in finders(benchmark, item_col, item_text_col, most_words):
 
         def run(batches, shared=shared):
-            auto, some = build(shared.value)
+            finder = shared.value
             for batch in pieces(batches):
-                yield batch.filter(pa.array([not scan(t, auto, some)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([next(finder.matches(words_of(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

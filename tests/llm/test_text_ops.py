@@ -191,17 +191,17 @@ def test_op6_hits(spark, docs, rows, nothing):
                     hit |= set(range(i, i + n))
                     found |= windows[k]
         want[r[0], len(w), len(hit), tuple(sorted(found)), bool(hit)] += 1
-    for chars in (8_000_000, 100):  # one shard, and many
-        got = o6.decontaminate(docs, bench, shard_chars=chars)
+    for words in (500_000, 60):  # one automaton, and several
+        got = o6.decontaminate(docs, bench, most_words=words)
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got.collect()) == want
     assert o6.decontaminate(nothing, bench).count() == 0
     assert o6.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
 def test_op6_spans_are_of_the_original_text():
-    auto, some = o6.build([("1", "alpha BETA gamma")])
+    finder = o6.Finder([("1", "alpha BETA gamma")])
     text = "é -- Alpha, beta\nGAMMA. x"
-    _, hit, _ = o6.scan(text, auto, some)
+    _, hit, _ = o6.scan(text, finder)
     (a, b), = o6.spans(text, hit)
     assert text[a:b] == "Alpha, beta\nGAMMA"
 
@@ -420,6 +420,34 @@ def test_op2_crf_on_texts_of_another_kind():
     assert hit / wanted > 0.9 and hit / (hit + found) > 0.9, (hit, wanted, found)
 
 
+def test_op2_parts_outside_base_spans(spark):
+    rng = random.Random(5)
+    for _ in range(500):
+        cuts = sorted(rng.sample(range(60), 8))
+        found = list(zip(cuts[::2], cuts[1::2], strict=True))
+        covered = sorted((a, a + rng.randint(1, 25)) for a in rng.sample(range(60), rng.randint(0, 4)))
+        under = {i for a, b in covered for i in range(a, b)}
+        parts = o2.outside(found, covered)
+        assert all(a < b for a, b in parts)
+        assert sorted(i for a, b in parts for i in range(a, b)) == [i for a, b in found for i in range(a, b) if i not in under]
+    # The key ends where small letters follow; the tagged token goes on, and its rest is reported.
+    text = "Authorization: Bearer AKIA" + "Z9" * 10 + "k9XqwTr7Tb4VmN8sYc1Hd6Jf was sent"
+    got = o2.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert [(s.kind, s.secret) for s in got] == [("access", "AKIA" + "Z9" * 10), ("crf", "k9XqwTr7Tb4VmN8sYc1Hd6Jf")]
+
+
+def test_op2_chains_add_rows_to_a_planted_table(spark):
+    """Through the operator: secrets that no base pattern has are reported, and little else."""
+    rng = random.Random(123)
+    planted = [other_invented(rng) for _ in range(300)]
+    rows = {r.doc_id: r.spans for r in o2.secrets(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string")).collect()}
+    wanted = [(i, a, b) for i, (_, secrets) in enumerate(planted) for a, b in secrets]
+    found = sum(any(s.start < b and a < s.end for s in rows[i]) for i, a, b in wanted)
+    by_base = sum(any(s.start < b and a < s.end and s.kind != "crf" for s in rows[i]) for i, a, b in wanted)
+    wrong = sum(not any(s.start < b and a < s.end for a, b in planted[i][1]) for i, spans in rows.items() for s in spans)
+    assert found > 0.9 * len(wanted) and by_base < 0.5 * found and wrong < 0.1 * found, (len(wanted), found, by_base, wrong)
+
+
 def test_op2_best_path_over_all_tokens():
     """The search in the tokens that may be secrets finds the best path over all tokens of the text."""
     import numpy as np
