@@ -8,7 +8,9 @@
 2. A feature enters the model, with its signed score, if the signed root of its likelihood ratio is at
    least ``least_root``, for or against. The model keeps all of them; the labelled rows, which are
    bounded, bound their number. A token has the score of its word, else of its longest beginning in the
-   model; all other tokens share one score, the log-odds of a token outside the model (below 0: ``-drift``).
+   model; all other tokens share one score, the log-odds of a token outside the model (``-drift``). It's
+   held below 0, at ``-LEAST_DRIFT`` at most, where clean texts have more of the model's words than toxic
+   ones: segments would never end otherwise.
 3. Extreme-value calibration, on the training rows: lambda solves E[exp(lambda * score)] = 1 over the
    tokens of clean documents, and K is the maximum-likelihood estimate from the best segments of clean
    documents, so that K * n * exp(-lambda * S) segments of score S are expected by chance in n tokens.
@@ -126,8 +128,10 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, max_labelled: int)
 
 #: Model without evidence: nothing is toxic.
 NOTHING = {"scores": {}, "drift": 1.0, "lam": 1.0, "k": 1.0, "a": -10.0, "b": 0.0}
-#: Bins of token scores and of logarithms of p-values that reach the driver.
-SCORE_BIN, LOG_P_BIN, LEAST_LOG_P = 0.1, 0.25, -200.0
+#: Bins of token scores and of logarithms of p-values that reach the driver: no more than labelled rows.
+SCORE_BIN, LOG_P_BIN = 0.1, 0.25
+#: A token outside the model costs this much at least.
+LEAST_DRIFT = 1e-3
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=400_000, least_root=5.0, prior=10.0) -> dict:
@@ -152,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     # Pseudo-counts: prior documents spread as the feature is over the corpus, and half of one more.
     a = prior * F.col("n_all") / n + 0.5
     pt, pc_ = (F.col("n_toxic") + a) / (t + prior + 1), (F.col("n_clean") + a) / (c + prior + 1)
-    odds = F.log(pt / (1 - F.least(pt, F.lit(0.999)))) - F.log(pc_ / (1 - F.least(pc_, F.lit(0.999))))
+    odds = F.log(pt / (1 - pt)) - F.log(pc_ / (1 - pc_))  # the pseudo-counts keep shares below 1
 
     def part(k, expected):
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
@@ -214,7 +218,7 @@ def calibrated(train: DataFrame, scores: dict, scratch: Scratch) -> dict:
     (ht, nt), (hc, nc) = share.get(True, (0, 0)), share.get(False, (0, 0))
     if not nt or not nc:
         return NOTHING
-    model = {"scores": scores, "drift": max(1e-3, math.log((1 - hc / (nc + 1)) / (1 - ht / (nt + 1))))}
+    model = {"scores": scores, "drift": max(LEAST_DRIFT, math.log((1 - hc / (nc + 1)) / (1 - ht / (nt + 1))))}
     bins = hits.where("NOT label").select("s").mapInArrow(_bins, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
     model["lam"] = exponent([(r["s"], r["n"]) for r in bins.collect()] + [(-model["drift"], nc - hc)])
     best = scratch.keep(hits.mapInArrow(_best(model["drift"]), "label boolean, n long, best array<double>"), "best")
@@ -222,7 +226,7 @@ def calibrated(train: DataFrame, scores: dict, scratch: Scratch) -> dict:
     mass = best.where("NOT label AND n > 0").agg(F.count("*").alias("d"), F.sum(F.col("n") * F.exp(-model["lam"] * top)).alias("m")).first()
     model["k"] = mass["d"] / mass["m"] if mass["d"] else 1.0
     log_p = best.mapInArrow(_log_p(model), "label boolean, v double")
-    log_p = log_p.groupBy("label", (F.round(F.greatest("v", F.lit(LEAST_LOG_P)) / LOG_P_BIN) * LOG_P_BIN).alias("x")).agg(F.count("*").alias("n")).collect()
+    log_p = log_p.groupBy("label", (F.round(F.col("v") / LOG_P_BIN) * LOG_P_BIN).alias("x")).agg(F.count("*").alias("n")).collect()
     model["a"], model["b"] = logistic([(r["x"], bool(r["label"]), r["n"]) for r in log_p])
     return model
 
@@ -232,13 +236,18 @@ def exponent(bins: list[tuple[float, int]]) -> float:
     total = sum(n for _, n in bins)
     if not any(s > 0 and n for s, n in bins) or sum(s * n for s, n in bins) >= 0:
         return 1.0  # log-odds: the exponent in theory
-    low, high = 1e-6, 64.0
+
+    def above(x: float) -> bool:
+        top = max(x * s for s, n in bins if n)
+        return top + math.log(sum(n * math.exp(x * s - top) for s, n in bins if n) / total) > 0
+
+    low, high = 1e-6, 1.0
+    while not above(high):
+        high *= 2
     for _ in range(80):
         mid = (low + high) / 2
-        top = max(mid * s for s, n in bins if n)
-        above = top + math.log(sum(n * math.exp(mid * s - top) for s, n in bins if n) / total) > 0
-        low, high = (low, mid) if above else (mid, high)
-    return min(low, 8.0)
+        low, high = (low, mid) if above(mid) else (mid, high)
+    return low
 
 
 def logistic(bins: list[tuple[float, bool, int]], ridge: float = 1.0) -> tuple[float, float]:
@@ -326,7 +335,7 @@ class Scorer:
         segs = segments(hits, m["drift"]) if hits else []
         log_p = p_value(sorted((x for *_, x in segs), reverse=True), n, m)
         good = [x for x in segs if m["lam"] * x[2] - math.log(max(n, 1) * m["k"]) > math.log(20)]
-        return 1 / (1 + math.exp(max(-700.0, min(700.0, m["b"] * max(log_p, LEAST_LOG_P) - m["a"])))), log_p, good
+        return 1 / (1 + math.exp(max(-700.0, min(700.0, m["b"] * log_p - m["a"])))), log_p, good
 
 
 def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -596,7 +596,7 @@ def test_op3_scores_against_brute_force(spark):
         p, q = (k + a) / (t + 11), (m + a) / (c + 11)
         g = sum(x * math.log(x / ((k + m) * y / (t + c))) for x, y in ((k, t), (m, c)) if x)
         if math.sqrt(2 * max(0, g)) >= 4:
-            scores[f] = math.log(p / (1 - min(p, 0.999))) - math.log(q / (1 - min(q, 0.999)))
+            scores[f] = math.log(p / (1 - p)) - math.log(q / (1 - q))
     assert model["scores"] == pytest.approx(scores) and any(v < 0 for v in scores.values()) and any(v > 0 for v in scores.values())
     row = {i: [next((scores[f] for f in o3.features(w) if f in scores), 0.0) for w in tokens[i]] for i in tokens}
     part = lambda y: 1 - sum(v != 0 for i in held_in[y] for v in row[i]) / (sum(len(row[i]) for i in held_in[y]) + 1)
@@ -604,7 +604,7 @@ def test_op3_scores_against_brute_force(spark):
     assert model["drift"] == pytest.approx(drift)
     row = {i: [v or -drift for v in r] for i, r in row.items()}
     flat = np.array([v if v == -drift else round(v / 0.1) * 0.1 for i in held_in[0] for v in row[i]])
-    assert np.exp(model["lam"] * flat).mean() == pytest.approx(1, abs=1e-6) or model["lam"] in (1.0, 8.0)
+    assert np.exp(model["lam"] * flat).mean() == pytest.approx(1, abs=1e-6) or model["lam"] == 1.0
 
     def best(s):
         top = run = 0.0
@@ -641,14 +641,24 @@ def test_op3_scores_against_brute_force(spark):
     got = {r.doc_id: r for r in o3.toxicity(df, model).collect()}
     want = {i: log_p(s) for i, s in row.items()}
     assert {i: r.log_p for i, r in got.items()} == {i: pytest.approx(v, abs=1e-6) for i, v in want.items()}
-    z = {i: model["a"] - model["b"] * max(v, -200) for i, v in want.items()}
+    z = {i: model["a"] - model["b"] * v for i, v in want.items()}
     assert {i: r.score for i, r in got.items()} == {i: pytest.approx(1 / (1 + math.exp(-v)), abs=1e-6) for i, v in z.items()}
     # The logistic function is at its optimum: gradients vanish, up to the bins and the ridge.
-    p = {i: 1 / (1 + math.exp(-(model["a"] - model["b"] * max(-200, round(want[i] / 0.25) * 0.25)))) for i in train}
+    p = {i: 1 / (1 + math.exp(-(model["a"] - model["b"] * round(want[i] / 0.25) * 0.25))) for i in train}
     assert abs(sum(p[i] - truth[i] for i in train)) < 1e-3 and model["b"] > 0
     assert got[500].score == got[1].score and got[502].score == got[503].score == min(r.score for r in got.values())
 
 
+def test_op3_exponent_is_not_bounded():
+    import math
+
+    for s, n in [(0.1, 3), (0.3, 1), (5.0, 2)]:
+        bins = [(s, n), (-2.0, 100_000)]
+        lam = o3.exponent(bins)
+        assert sum(k * math.exp(lam * x) for x, k in bins) / 100_000 == pytest.approx(1 + n / 100_000, rel=1e-6)
+    assert o3.exponent([(0.1, 3), (-2.0, 100_000)]) > 64
+
+
 def test_op3_segments_are_maximal():
     rng = random.Random(4)
 
