@@ -152,7 +152,8 @@ def _dbscan(what: str):
         import math
 
         ds = sparse_peaks(s, d)
-        cells, channels = dbscan.cluster_channels(dbscan.dbscan(ds.peaks, math.log1p(DB_EPS_PPM * 1e-6), DB_SAMPLES), ds.n_pixels())
+        # In the SQL a cluster without intensity has no centroid (0 / 0), and its channel comes last.
+        cells, channels = dbscan.cluster_channels(dbscan.dbscan(ds.peaks, math.log1p(DB_EPS_PPM * 1e-6), DB_SAMPLES), ds.n_pixels(), weightless=math.nan)
         return rounded(cells, intensity=4).select("pixel_id", "channel", "intensity") if what == "cells" else rounded(channels, mz=5, prevalence=6).select("channel", "mz", "prevalence", "n_peaks")
 
     return run

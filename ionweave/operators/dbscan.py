@@ -86,10 +86,14 @@ def dbscan(peaks: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return hold(labelled(points, found, eps))
 
 
-def cluster_channels(hits: DataFrame, n_pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, channels) of labelled peaks: centroid in m/z, strongest peak of each pixel."""
+def cluster_channels(hits: DataFrame, n_pixels: DataFrame, weightless: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, channels) of labelled peaks: centroid in m/z, strongest peak of each pixel.
+
+    A cluster whose peaks have no intensity has its plain mean as centroid, or ``weightless`` if that is given."""
+    weight = F.col("intensity").cast("double")
+    centroid = weighted_mean("mz", weight) if weightless is None else F.coalesce(F.try_divide(F.sum(F.col("mz") * weight), F.sum(weight)), F.lit(weightless))
     every = hits.groupBy(*PIXEL, "cluster").agg(F.max("intensity").alias("intensity"))
-    axis = hits.groupBy("dataset_id", "cluster").agg(weighted_mean("mz", F.col("intensity").cast("double")).alias("mz"), F.count("*").alias("n_peaks"))
+    axis = hits.groupBy("dataset_id", "cluster").agg(centroid.alias("mz"), F.count("*").alias("n_peaks"))
     seen = every.groupBy("dataset_id", "cluster").agg(F.count_if(F.col("intensity") > 0).alias("seen"))
     ch = axis.join(seen, ["dataset_id", "cluster"]).join(n_pixels, DATASET).select("dataset_id", "cluster", "mz", (F.col("seen") / F.col("n_pixels")).alias("prevalence"), "n_peaks")
     ch = numbered(ch)
