@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import md5_int
 from ..functions.stats import bh, occupancy_tail
-from ..model import DATASET, MsiDataset
+from ..model import DATASET, MsiDataset, hold
 from .base import Diagnostic, Operator, OpResult, numbers, register
 from .consensus import keep_channels, need_some
 
@@ -46,12 +46,35 @@ def p_exact(c: DataFrame) -> DataFrame:
     return c.join(c.select(*key).distinct().repartition(*key).withColumn("p", _tail(*key)), key)
 
 
+#: Balls of one draw that a row throws, balls made at once from a row, and balls for which there is a task.
+THROWS, STEP, TASK = 1 << 24, 1 << 12, 1 << 18
+#: Longs of a bitmap of pixels, and the most tasks that throw balls.
+LONGS, MOST_TASKS = 16, 4096
+
+
+def filled(c: DataFrame, n_draws: int, seed: int) -> DataFrame:
+    """(dataset_id, channel, rep, obs, full): the pixels that each draw fills.
+
+    Draws are dealt to tasks before their balls are made. A ball is a bit of a bitmap that its task updates,
+    so a task holds and shuffles bits of pixels, and no row for a ball."""
+    total = c.agg(F.sum("balls")).first()[0] or 0
+    long = lambda v: F.lit(v).cast("bigint")
+    d = c.where("balls > 0").select("dataset_id", "channel", "n_pixels", "obs", "balls", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("rep"))
+    d = d.withColumn("start", F.explode(F.sequence(long(1), F.col("balls"), long(THROWS))))
+    d = d.repartition(min(MOST_TASKS, total * n_draws // TASK + 1), "dataset_id", "channel", "rep", "start")
+    d = d.withColumn("last", F.least(F.col("start") + THROWS - 1, "balls")).withColumn("at", F.explode(F.sequence("start", "last", long(STEP))))
+    d = d.withColumn("ball", F.explode(F.sequence("at", F.least(F.col("at") + STEP - 1, "last"))))
+    d = d.select("dataset_id", "channel", "rep", "obs", F.pmod(md5_int(seed, F.col("rep"), F.col("channel"), F.col("ball")), F.col("n_pixels")).alias("pixel"))
+    bit, word = F.expr("shiftleft(1L, cast(pixel & 63 as int))"), F.shiftright("pixel", 6) % LONGS
+    d = d.select("dataset_id", "channel", "rep", "obs", F.floor(F.col("pixel") / (64 * LONGS)).alias("block"), word.alias("word"), bit.alias("bit"))
+    maps = d.groupBy("dataset_id", "channel", "rep", "obs", "block").agg(*(F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(long(0))).alias(f"b{k}") for k in range(LONGS)))
+    return maps.groupBy("dataset_id", "channel", "rep", "obs").agg(F.sum(sum((F.bit_count(f"b{k}") for k in range(LONGS)), F.lit(0))).alias("full"))
+
+
 def p_draws(c: DataFrame, n_draws: int, seed: int) -> DataFrame:
     """(#draws at least as full + 1) / (draws + 1), each ball keyed by (seed, draw, channel, ball)."""
-    b = c.where("balls > 0").select("dataset_id", "channel", "n_pixels", "obs", "balls", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("rep"))
-    b = b.withColumn("ball", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("balls"))))
-    filled = b.groupBy("dataset_id", "channel", "rep", "obs").agg(F.count_distinct(F.pmod(md5_int(seed, F.col("rep"), F.col("channel"), F.col("ball")), F.col("n_pixels"))).alias("full"))
-    p = filled.groupBy("dataset_id", "channel").agg(((F.count_if(F.col("full") >= F.col("obs")) + 1) / F.lit(n_draws + 1.0)).alias("p"))
+    c = hold(c)
+    p = filled(c, n_draws, seed).groupBy("dataset_id", "channel").agg(((F.count_if(F.col("full") >= F.col("obs")) + 1) / F.lit(n_draws + 1.0)).alias("p"))
     return c.join(p, ["dataset_id", "channel"], "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
 
 

@@ -734,3 +734,24 @@ def test_grades_of_all_ways():
     assert grades("improvement_ppm", 0.1, 0.0) == ["ok", "bad"] and grades("factor_min", 1.0, 0.0) == ["", "bad"]
     assert grades("warning_flat_tolerance", 0.0, 1.0) == ["", "bad"] and grades("cohort_prevalence_median", 0.4, 0.3, 0.1) == ["ok", "warn", "bad"]
     assert diagnostics.shown("fraction_kept", 0.25) == "25.0%" and diagnostics.shown("p_value_min", 0.00123) == "0.0012" and diagnostics.shown("n_pixels", 7.0) == "7" and diagnostics.shown("ppm_shift_median", 3.0) == "+3.00"
+
+
+def test_prevalence_draws_shuffle_bits(spark, monkeypatch):
+    """Draws by more than one row and task equal plain ones, and no row for each ball is shuffled."""
+    import hashlib
+
+    monkeypatch.setattr(prevalence, "THROWS", 20_000, raising=False)
+    monkeypatch.setattr(prevalence, "STEP", 999, raising=False)
+    balls, n, draws = {0: 50_000, 1: 1, 2: 0}, 60_000, 2
+    c = spark.createDataFrame([("a", k, n, 33_900 if k == 0 else 1, b) for k, b in balls.items()], "dataset_id string, channel int, n_pixels long, obs long, balls long")
+    full = lambda k, r: len({int(hashlib.md5(f"7|{r}|{k}|{b}".encode()).hexdigest()[:8], 16) % n for b in range(1, balls[k] + 1)})
+    want = {0: (sum(full(0, r) >= 33_900 for r in range(draws)) + 1) / (draws + 1), 1: 1.0, 2: 1.0}
+    got = prevalence.p_draws(c, draws, 7)
+    spark.sparkContext.setJobGroup("draws", "draws")
+    try:
+        assert {r.channel: r.p for r in got.collect()} == pytest.approx(want)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = [s for j in tracker.getJobIdsForGroup("draws") for s in tracker.getJobInfo(j).stageIds]
+    assert max(store.lastStageAttempt(s).shuffleWriteRecords() for s in set(stages)) < 5_000
