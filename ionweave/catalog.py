@@ -311,7 +311,11 @@ def _cohort(what: str):
 def _growth(s, d):
     """The cohort's datasets added one after another, the first again at last."""
     ds = peaks_dataset(s, d, cohort=True)
-    c = cohort.GrowingCohort(s, f"{shared_dir(s)}/cohort-{uuid.uuid4().hex}", COHORT)
+    folder = f"{shared_dir(s)}/cohort-{uuid.uuid4().hex}"
+    # As acquisitions are: the peaks of each dataset in a folder of their own, so that adding one reads no other.
+    ds.peaks.write.partitionBy("dataset_id").parquet(f"{folder}/acquired")
+    ds = ds.with_(peaks=s.read.schema(ds.peaks.schema).parquet(f"{folder}/acquired"))
+    c = cohort.GrowingCohort(s, folder, COHORT)
     for name in ("A", "N", "R", "A"):
         c.add(ds.with_(pixels=ds.pixels.where(F.col("dataset_id") == name), peaks=ds.peaks.where(F.col("dataset_id") == name)))
     return rounded(c.align().prevalence, mz=5, prevalence=6)

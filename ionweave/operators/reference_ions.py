@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_bin, ppm_error, weighted_mean
@@ -21,10 +22,17 @@ class ReferenceIonParams:
 
 
 def best_of_bins(peaks: DataFrame, ppm: float) -> DataFrame:
-    """The strongest peak of each pixel and bin; ties go to the earliest peak, then the lowest m/z."""
-    top = F.max(F.struct(F.col("intensity").cast("double").alias("i"), (-F.col("peak_idx")).alias("k"), (-F.col("mz")).alias("m")))
-    got = peaks.groupBy(*PIXEL, log_bin("mz", ppm).alias("bin")).agg(top.alias("t"))
-    return got.select(*PIXEL, "bin", (-F.col("t.k")).alias("peak_idx"), (-F.col("t.m")).alias("mz"), F.col("t.i").alias("intensity"))
+    """The strongest peak of each pixel and bin; ties go to the earliest peak, then the lowest m/z.
+
+    The largest intensities come from a hash aggregation of numbers; only peaks that have them are compared further,
+    as the largest of a struct would sort all peaks."""
+    b = peaks.select(*PIXEL, log_bin("mz", ppm).alias("bin"), F.col("intensity").cast("double").alias("intensity"), "peak_idx", "mz")
+    top = hold(b.groupBy(*PIXEL, "bin").agg(F.max("intensity").alias("most")))
+    same = [b[c].eqNullSafe(top[c]) for c in (*PIXEL, "bin")] + [b["intensity"].eqNullSafe(top["most"])]
+    tied = b.join(top, functools.reduce(Column.__and__, same)).select(b["*"])
+    first = F.max(F.struct((-F.col("peak_idx")).alias("k"), (-F.col("mz")).alias("m")))
+    got = tied.groupBy(*PIXEL, "bin").agg(first.alias("t"), F.max("intensity").alias("i"))
+    return got.select(*PIXEL, "bin", (-F.col("t.k")).alias("peak_idx"), (-F.col("t.m")).alias("mz"), F.col("i").alias("intensity"))
 
 
 def kept_bins(best: DataFrame, n_pixels: DataFrame, p: ReferenceIonParams) -> DataFrame:

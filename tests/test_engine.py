@@ -755,3 +755,15 @@ def test_prevalence_draws_shuffle_bits(spark, monkeypatch):
     tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
     stages = [s for j in tracker.getJobIdsForGroup("draws") for s in tracker.getJobInfo(j).stageIds]
     assert max(store.lastStageAttempt(s).shuffleWriteRecords() for s in set(stages)) < 5_000
+
+
+def test_strongest_of_bins_hashes_numbers(spark, monkeypatch):
+    """The aggregation that reads all peaks is one of numbers by hash, without a sort; ties, also of bins without
+    a number and of intensities that are null or no numbers, go as before."""
+    plans, hold = [], reference_ions.hold if hasattr(reference_ions, "hold") else M.hold
+    monkeypatch.setattr(reference_ions, "hold", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or hold(df))
+    nan = float("nan")
+    rows = [("a", 1, 5, 200.0, 9.0), ("a", 1, 3, 200.0, 9.0), ("a", 1, 3, 199.999, 9.0), ("a", 1, 2, 200.0, 8.0), ("a", 2, 4, 300.0, None), ("a", 2, 1, 300.0, None), ("a", 3, 7, 300.0, nan), ("a", 3, 6, 300.0, 5.0), ("a", 4, 2, -1.0, 1.0), ("a", 4, 1, -1.0, 1.0)]
+    got = reference_ions.best_of_bins(spark.createDataFrame(rows, M.PEAKS), 5000.0).collect()
+    assert sorted((r.pixel_id, r.peak_idx, r.mz, str(r.intensity)) for r in got) == [(1, 3, 199.999, "9.0"), (2, 1, 300.0, "None"), (3, 7, 300.0, "nan"), (4, 1, -1.0, "1.0")]
+    assert len(plans) == 1 and "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
