@@ -27,7 +27,7 @@ from ionweave.llm import op6_decontam as leaks
 from ionweave.llm.op4_near_dedup import near_dedup
 from ionweave.llm.op8_mixing import mix
 from ionweave.llm.op9_exact_dedup import exact_dedup
-from ionweave.llm.shared import Scratch, table
+from ionweave.llm.shared import Scratch, small_batches, table
 
 #: Toxicity and mixing can't be expressed in SQL (fitted scores; hash order), so the whole can't.
 ORACLE_SQL = None
@@ -40,7 +40,8 @@ def _as_rows(docs: DataFrame, **more) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of op3 predicts toxic go; it learns from what the labels cover."""
-    model = toxic.fit(docs, table(spark, sf_dir, "labels"))
+    with small_batches(spark):
+        model = toxic.fit(docs, table(spark, sf_dir, "labels"))
     return toxic.clean(docs, model)
 
 
@@ -69,14 +70,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shared = scratch.keep(shared, "shared-ids")
     rows = _as_rows(docs, id=F.col("doc_id").cast("bigint"))
     if shared.isEmpty():
-        kept = near_dedup(rows, "id").where("kept").select("id")
+        with small_batches(spark):
+            kept = near_dedup(rows, "id").where("kept").select("id")
         return rows.select("row", "id").join(kept, "id", "left_semi").select("row.*")
     top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("bigint")).first()[0]
     rows = rows.join(shared, rows["id"].eqNullSafe(shared["id"]), "left").select("row", "text", rows["id"], "odd")
     number = F.when(F.col("odd"), F.lit(top) + 1 + F.monotonically_increasing_id()).otherwise(F.col("id"))
     # Written once, so that a row's number is the same in all that follows.
     rows = scratch.keep(rows.select("row", "text", number.alias("number")), "numbered")
-    kept = near_dedup(rows, "number").where("kept").select("number")
+    with small_batches(spark):
+        kept = near_dedup(rows, "number").where("kept").select("number")
     return rows.select("row", "number").join(kept, "number", "left_semi").select("row.*")
 
 

@@ -6,6 +6,8 @@ rows through; what must be exact is joined after it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,11 +50,14 @@ def holds(words: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def thinned(df: DataFrame, keys: DataFrame, n_bits: int = BITS) -> DataFrame:
-    """The rows of ``df`` whose first column (LONG) may be among ``keys``; null isn't."""
+def thinned(df: DataFrame, keys: DataFrame, n_bits: int = BITS, then: Callable | None = None, schema=None) -> DataFrame:
+    """The rows of ``df`` whose first column (LONG) may be among ``keys``; null isn't.
+
+    ``then`` maps the batches that are left to those of ``schema``, in the same worker: a mapInArrow
+    after this one would hold a second Python process for each task."""
     shared = df.sparkSession.sparkContext.broadcast(build(keys, n_bits))
 
-    def run(batches):
+    def left(batches):
         for batch in batches:
             col = batch.column(0)
             ok = pa.compute.is_valid(col).to_numpy(zero_copy_only=False)
@@ -60,4 +65,7 @@ def thinned(df: DataFrame, keys: DataFrame, n_bits: int = BITS) -> DataFrame:
             if ok.any():
                 yield batch.filter(pa.array(ok))
 
-    return df.mapInArrow(run, df.schema)
+    def run(batches):
+        return then(left(batches)) if then else left(batches)
+
+    return df.mapInArrow(run, schema or df.schema)

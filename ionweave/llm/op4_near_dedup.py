@@ -212,7 +212,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_promising(cut, percent, 100), "leaf long, item long")
     near = scratch.keep(near.distinct(), "promising")
     wanted = near.select(F.col("item").alias("id")).distinct()
-    sets = thinned(texts, wanted).mapInArrow(_sets, "item long, elems array<long>")
+    sets = thinned(texts, wanted, then=_sets, schema="item long, elems array<long>")
     full = near.join(sets, "item").select("leaf", "item", "elems")
     links = full.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_links(percent, 100), "a long, b long")
     links = scratch.keep(links.distinct(), "links")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..model import shared_dir
 
+#: Rows of an Arrow batch where batches are to be small.
+BATCH_ROWS = 1000
 #: White space of the word contracts, as a character class of Java, RE2 and Python.
 SPACE = r"\x20\x09-\x0D"
 
@@ -41,6 +43,12 @@ def runtime_filters(spark: SparkSession):
     return session_conf(spark, {f"{name}enabled": "true", f"{name}applicationSideScanSizeThreshold": "0", f"{name}creationSideThreshold": "1g", f"{name}expectedNumItems": "4000000", f"{name}maxNumBits": str(1 << 26)})
 
 
+def small_batches(spark: SparkSession):
+    """Inside, what is written goes to Python workers in batches of BATCH_ROWS rows at most: the batch that a
+    task holds, in the JVM and in its worker, is small beside the rest."""
+    return session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)})
+
+
 def pieces(batches, rows: int = 256):
     """Arrow batches cut into pieces of some rows: what a worker holds, and what goes back to the JVM at
     once, stays small whatever the texts' lengths."""

@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from ionweave.llm import op3_toxicity as o3
+from ionweave.llm.shared import Scratch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -111,6 +112,34 @@ def test_empty_tables(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
+def workers(plan, above=0):
+    """The most Python steps that one task of a plan runs, one after another."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return workers(plan.initialPlan(), above)
+    above = 0 if "Exchange" in plan.nodeName() else above + (plan.nodeName() == "MapInArrow")
+    kids = plan.children()
+    return max([above, *(workers(kids.apply(k), above) for k in range(kids.size()))])
+
+
+def test_a_task_holds_one_worker(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    docs = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(40)]
+    rows = [(i, t, "en", "s0", 0) for i, t in enumerate(docs + [f"{t} more" for t in docs])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    most, keep = [], Scratch.keep
+
+    def noted(self, df, name):
+        most.append(workers(df._jdf.queryExecution().executedPlan()))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", noted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = cp.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+    assert max(most) == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_entry_lists_them():
     import __spark_entry__ as e
 
