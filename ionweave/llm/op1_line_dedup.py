@@ -45,6 +45,8 @@ CHUNK, UNIT, STEP = 4096, 4, 4
 ROWS, BANDS = 3, 8
 WIDTH = ROWS * BANDS
 LEADERS, SALTS = 4, 16
+#: How much wider blocks of bitmaps are than groups of lines.
+WIDE = 32
 #: Longs of a parity bitmap.
 BITMAP = 16
 ROTATIONS = (0, 8, 16, 24)
@@ -191,7 +193,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = join_counted(known, open_, ["leaf"], "rows").where(~F.array_contains("leaders", F.col("item")))
     known = scratch.keep(known.select("leaf", "item", "n", "w", "root"), "open")
     if not known.isEmpty():
-        dealt = blocks(known.join(marks, "item"), leaf_items, leaf_weight)
+        # Only bitmaps meet here, which are short whatever the lines are: blocks are wide, so a member of a
+        # group is repeated for few of them.
+        dealt = blocks(known.join(marks, "item"), WIDE * leaf_items, WIDE * leaf_weight)
         left, right = (dealt.select("block", *(F.col(c).alias(f"{c}_{side}") for c in dealt.columns if c != "block")) for side in "ab")
         # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
         pairs = left.join(right, (left["block"] == right["block"]) & F.expr("item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)") & may_be_similar("_a", "_b", percent))

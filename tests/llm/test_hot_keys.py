@@ -62,6 +62,23 @@ def test_very_long_texts(spark):
     assert [found[k].n_words for k in (1, 2, 3)] == [600_002, 600_002, 2] and all("mit" in found[k].base_labels for k in (1, 2, 3))
 
 
+def test_members_of_open_groups_are_dealt_once(spark, monkeypatch):
+    """A band's group of 300 lines, in two classes and some more, isn't repeated for each 32 of them."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    body = letters(120)
+    rows = [(k, body[: 20 + k % 100] + letters(16) + body[20 + k % 100 :]) for k in range(300)]
+    seen, blocks = [], o1.blocks
+
+    def noted(large, *a):
+        seen.append((large.count(), blocks(large, *a).count()))
+        return blocks(large, *a)
+
+    monkeypatch.setattr(o1, "blocks", noted)
+    o1.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert max(n for n, _ in seen) > 100 and all(dealt == n for n, dealt in seen)
+
+
 def test_recall_on_short_lines(spark):
     """Pairs of lines of 9 to 40 shingles at a similarity of 0.8 and more, each pair alone: nearly all are found."""
     rng = random.Random(11)
