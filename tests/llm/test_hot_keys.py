@@ -63,7 +63,7 @@ def test_very_long_texts(spark):
 
 
 def test_members_of_open_groups_are_dealt_once(spark, monkeypatch):
-    """A band's group of 300 lines, in two classes and some more, isn't repeated for each 32 of them."""
+    """Lines of large groups that their leaders left open come once to a block, not once for each 32 of the group."""
     rng = random.Random(6)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
     body = letters(120)
