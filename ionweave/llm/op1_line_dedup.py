@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .branching import blocks, distinct_groups
 from .components import components
-from .shared import Scratch, join_counted, one_space, runtime_filters, table
+from .shared import Scratch, join_counted, maybe_among, one_space, runtime_filters, table
 
 SHINGLE = 8
 #: Starting places of shingles in one piece of a line, bytes of a character in UTF-32, and shingles
@@ -155,25 +155,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per line that isn't blank: id, line_no (from 0), keep_id and keep_line_no (the line
     that stays of its component), n_lines (lines of the component), kept."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.keep(lines_of(docs, id_col, text_col), "lines").where("form != ''")
+    lines = scratch.keep(lines_of(docs, id_col, text_col), "lines", compression="zstd").where("form != ''")
     bands = scratch.keep(banded(lines).withColumn("item", F.monotonically_increasing_id()), "bands")
     items = bands.select("item", "h1", "h2", "n_lines")
 
     nodes = bands.select(F.explode("leaves").alias("leaf"), "item", "weight")
     shared = scratch.keep(nodes.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    # Most bands are of one item alone: they stay out of the join's shuffle.
+    nodes = scratch.keep(maybe_among(nodes, shared, "leaf"), "nodes")
     together = scratch.keep(join_counted(nodes, shared, ["leaf"], "n").drop("n"), "together")
     kept = scratch.keep(distinct_groups(together, leaf_items, leaf_weight), "groups")
-    scratch.drop(shared, together)
+    scratch.drop(shared, nodes, together)
     # An item that is in many and large groups is central: it has the better chance to link a group.
     central = scratch.keep(kept.groupBy("item").agg(F.sum("n").alias("score")), "central")
-    wanted = scratch.keep(items.join(central, "item"), "wanted")
     with runtime_filters(docs.sparkSession):
+        wanted = scratch.keep(items.join(central.where("score > 1"), "item"), "wanted")
         forms = lines.select("h1", "h2", "form").join(wanted.where("score > 1").select("h1", "h2", "item"), ["h1", "h2"])
         forms = scratch.keep(forms.dropDuplicates(["item"]).select("item", "form"), "forms")
-    # A pair alone is compared at once; bitmaps are for members of larger groups.
-    many = kept.where("n > 2").select("item").distinct()
-    marks = scratch.keep(bitmaps(forms.join(many, "item", "left_semi")), "bitmaps")
-
     # Leaders: the most central member of a small group, and some members of least hashes of a large one.
     seen = kept.join(central, "item")
     least = [F.min(F.struct((-F.col("score")).alias("s"), F.xxhash64("item").alias("h"), "item")).getField("item")]
@@ -181,9 +179,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leads = F.when(F.first("small"), F.array(least[0])).otherwise(F.array_distinct(F.array(*least))).alias("leaders")
     groups = scratch.keep(seen.groupBy("leaf").agg(F.count("*").alias("rows"), leads), "leaders")
     pairs = join_counted(kept.select("leaf", "item"), groups.select("leaf", "rows", F.explode("leaders").alias("other")), ["leaf"], "rows").where("item != other")
-    pairs = pairs.select("item", "other").distinct().join(marks, "item", "left").join(marks.select(F.col("item").alias("other"), *(F.col(c).alias(f"{c}_o") for c in marks.columns[1:])), "other", "left")
-    pairs = pairs.where(F.coalesce(may_be_similar("", "_o", percent), F.lit(True))).select("item", "other")
-    classes = components(verified(pairs, forms, percent, scratch, "stars"), scratch)
+    classes = components(verified(pairs.select("item", "other"), forms, percent, scratch, "stars"), scratch)
 
     # Pairs are done, and groups of one component. In others, pairs that are joined already, or hold a
     # leader, aren't compared again.
@@ -193,8 +189,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = join_counted(known, open_, ["leaf"], "rows").where(~F.array_contains("leaders", F.col("item")))
     known = scratch.keep(known.select("leaf", "item", "n", "w", "root"), "open")
     if not known.isEmpty():
-        # Only bitmaps meet here, which are short whatever the lines are: blocks are wide, so a member of a
-        # group is repeated for few of them.
+        # Bitmaps are made for members of open groups alone. Only they meet here, which are short whatever the
+        # lines are: blocks are wide, so a member of a group is repeated for few of them.
+        marks = scratch.keep(bitmaps(forms.join(known.select("item").distinct(), "item", "left_semi")), "bitmaps")
         dealt = blocks(known.join(marks, "item"), WIDE * leaf_items, WIDE * leaf_weight)
         left, right = (dealt.select("block", *(F.col(c).alias(f"{c}_{side}") for c in dealt.columns if c != "block")) for side in "ab")
         # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
@@ -207,7 +204,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = items.join(classes.withColumnRenamed("node", "item"), "item", "left").where("root IS NOT NULL OR n_lines > 1")
     of = scratch.keep(of.select("h1", "h2", "n_lines", F.coalesce("root", "item").alias("root")), "classes")
     rows = join_counted(lines.select("id", "line_no", "h1", "h2"), of, ["h1", "h2"], "n_lines", "left")
-    scratch.drop(kept, central, wanted, forms, marks)
+    scratch.drop(kept, central, wanted, forms)
     rows = scratch.keep(rows.select("id", "line_no", "root"), "rows")
     scratch.drop(bands, lines, of)
     many = rows.where("root IS NOT NULL")

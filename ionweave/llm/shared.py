@@ -69,11 +69,13 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it again: this cuts lineage and survives lost executors."""
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it again: this cuts lineage and survives lost executors.
+
+        ``options`` are the writer's."""
         out = self.path(name)
         with cleaned_shuffles(self.spark):
-            df.write.parquet(out)
+            df.write.options(**options).parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, *dfs: DataFrame) -> None:
@@ -122,3 +124,19 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, h
         return rows.join(keyed, on, how)
     cold = rows.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti").join(keyed.where(F.col(count) <= most), on, how)
     return cold.unionByName(rows.join(F.broadcast(hot), on))
+
+
+#: Words of 64 bits, as a power of two, of the bitmap that :func:`maybe_among` broadcasts.
+FILTER_WORDS = 19
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose LONG hash ``key`` may be among ``keys``; of the others, those whose bit is free go.
+
+    The bitmap has 2**FILTER_WORDS words at most, however many keys there are, and is broadcast as rows of
+    a word; a full one lets more rows through, so an exact join follows."""
+    word = F.shiftrightunsigned(key, 64 - FILTER_WORDS)
+    bit = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
+    words = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    held = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
+    return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)

@@ -79,6 +79,34 @@ def test_members_of_open_groups_are_dealt_once(spark, monkeypatch):
     assert max(n for n, _ in seen) > 100 and all(dealt == n for n, dealt in seen)
 
 
+def test_filter_of_hashes_loses_none(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS leaf", "id AS item")
+    keys = rows.where("item % 50 = 0").select("leaf")
+    want = {r.item for r in rows.where("item % 50 = 0").collect()}
+    got = {r.item for r in shared.maybe_among(rows, keys, "leaf").collect()}
+    assert want <= got and len(got) < 450
+    monkeypatch.setattr(shared, "FILTER_WORDS", 1)  # a full bitmap: rows get through, none is lost
+    assert want <= {r.item for r in shared.maybe_among(rows, keys, "leaf").collect()}
+
+
+def test_bands_of_one_item_are_not_joined(spark, monkeypatch):
+    """Bands that no other item has stay out of the join with the shared ones."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [letters(80) for _ in range(400)]
+    seen, joined = [], o1.join_counted
+
+    def noted(rows, keyed, on, *a):
+        if on == ["leaf"] and "weight" in rows.columns:
+            seen.append(rows.count())
+        return joined(rows, keyed, on, *a)
+
+    monkeypatch.setattr(o1, "join_counted", noted)
+    got = o1.line_dedup(spark.createDataFrame([*enumerate(texts), (900, texts[5] + "x")], "doc_id long, text string")).where("NOT kept").collect()
+    assert [(r.doc_id, r.keep_id) for r in got] == [(900, 5)]
+    assert seen and max(seen) < 400  # of 401 items with 8 bands each
+
+
 def test_recall_on_short_lines(spark):
     """Pairs of lines of 9 to 40 shingles at a similarity of 0.8 and more, each pair alone: nearly all are found."""
     rng = random.Random(11)
