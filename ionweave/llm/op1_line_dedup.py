@@ -13,7 +13,7 @@
    least 0.8), then joined by distributed union-find. Members of a group are first compared with its
    leader, the member that is in most and largest groups (a large group has several leaders); then
    all pairs that these links don't yet join are compared, those of a large group block against
-   block. Before any sets are compared, a parity bitmap of 1,024 bits bounds their difference from
+   block. There, before any sets are compared, a parity bitmap of 1,024 bits bounds their difference from
    below: two lines whose bitmaps differ in too many bits can't be similar, so nothing is missed. Of
    each component the line that comes first by (id, line number) stays.
 
