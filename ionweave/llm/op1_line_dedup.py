@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .branching import blocks, distinct_groups
 from .components import components
-from .shared import Scratch, join_counted, maybe_among, one_space, runtime_filters, table
+from .shared import Scratch, join_counted, marked_among, maybe_among, maybe_items, one_space, runtime_filters, table
 
 SHINGLE = 8
 #: Starting places of shingles in one piece of a line, bytes of a character in UTF-32, and shingles
@@ -63,7 +63,8 @@ for _band in range(BANDS):
 
 
 def line_form(line):
-    return F.trim(one_space(F.lower(line)))
+    # Lines hold no ends of lines.
+    return F.trim(one_space(F.lower(line), "\t\x0b\x0c"))
 
 
 def pieces(form):
@@ -131,15 +132,16 @@ def may_be_similar(x: str, y: str, percent: int):
     return fits & (apart * (100 + percent) <= (100 - percent) * (size(x) + size(y)))
 
 
-def verified(pairs: DataFrame, forms: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b): the pairs (item, other) whose shingle sets are similar enough, from items' ``forms`` (item, form).
+def verified(pairs: DataFrame, forms: DataFrame, percent: int, scratch: Scratch, name: str, few: bool = False) -> DataFrame:
+    """(a, b): the pairs (item, other) whose shingle sets are similar enough, from items' ``forms`` (item, form),
+    of which the pairs may need but ``few``.
 
     Pairs are dealt out by their second member, which brings its form once to each of SALTS places;
     shingle sets are made there and not shuffled."""
     pairs = scratch.keep(pairs.distinct().withColumn("star", F.xxhash64("other", F.pmod(F.xxhash64("item"), F.lit(SALTS)))), f"{name}-pairs")
 
     def members(df: DataFrame, side: str) -> DataFrame:
-        full = df.join(forms, "item").repartition("star")
+        full = df.join(maybe_items(forms, df) if few else forms, "item").repartition("star")
         return full.select("star", F.col("item").alias(side), shingle_set(F.col("form")).alias(f"s_{side}"))
 
     near = members(pairs.select("star", "item"), "a").join(members(pairs.select("star", F.col("other").alias("item")).distinct(), "b"), "star")
@@ -155,7 +157,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per line that isn't blank: id, line_no (from 0), keep_id and keep_line_no (the line
     that stays of its component), n_lines (lines of the component), kept."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.keep(lines_of(docs, id_col, text_col), "lines", compression="zstd").where("form != ''")
+    # Blank lines are told by their hashes: steps that need no forms don't read them.
+    blank = (F.col("h1") == F.xxhash64(F.lit(""))) & (F.col("h2") == F.xxhash64(F.lit(1), F.lit("")))
+    lines = scratch.keep(lines_of(docs, id_col, text_col), "lines").where(~blank)
     bands = scratch.keep(banded(lines).withColumn("item", F.monotonically_increasing_id()), "bands")
     items = bands.select("item", "h1", "h2", "n_lines")
 
@@ -169,9 +173,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # An item that is in many and large groups is central: it has the better chance to link a group.
     central = scratch.keep(kept.groupBy("item").agg(F.sum("n").alias("score")), "central")
     with runtime_filters(docs.sparkSession):
-        wanted = scratch.keep(items.join(central.where("score > 1"), "item"), "wanted")
-        forms = lines.select("h1", "h2", "form").join(wanted.where("score > 1").select("h1", "h2", "item"), ["h1", "h2"])
-        forms = scratch.keep(forms.dropDuplicates(["item"]).select("item", "form"), "forms")
+        wanted = scratch.keep(items.join(central.where("score > 1"), "item").select("h1", "h2", "item"), "wanted")
+    # One form of each hash is left before the join, which needs no other shuffle of forms.
+    forms = maybe_among(lines.select("h1", "h2", "form"), wanted, "h1").dropDuplicates(["h1", "h2"])
+    forms = scratch.keep(forms.join(wanted, ["h1", "h2"]).select("item", "form"), "forms")
     # Leaders: the most central member of a small group, and some members of least hashes of a large one.
     seen = kept.join(central, "item")
     least = [F.min(F.struct((-F.col("score")).alias("s"), F.xxhash64("item").alias("h"), "item")).getField("item")]
@@ -191,22 +196,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not known.isEmpty():
         # Bitmaps are made for members of open groups alone. Only they meet here, which are short whatever the
         # lines are: blocks are wide, so a member of a group is repeated for few of them.
-        marks = scratch.keep(bitmaps(forms.join(known.select("item").distinct(), "item", "left_semi")), "bitmaps")
+        marks = scratch.keep(bitmaps(maybe_items(forms, known).join(known.select("item").distinct(), "item", "left_semi")), "bitmaps")
         dealt = blocks(known.join(marks, "item"), WIDE * leaf_items, WIDE * leaf_weight)
         left, right = (dealt.select("block", *(F.col(c).alias(f"{c}_{side}") for c in dealt.columns if c != "block")) for side in "ab")
         # Within a pair of blocks, only pairs across; a block's own pair of blocks gives its own.
         pairs = left.join(right, (left["block"] == right["block"]) & F.expr("item_a < item_b AND root_a != root_b AND (own_a != own_b OR same_a)") & may_be_similar("_a", "_b", percent))
-        across = verified(pairs.select(F.col("item_a").alias("item"), F.col("item_b").alias("other")), forms, percent, scratch, "across")
+        across = verified(pairs.select(F.col("item_a").alias("item"), F.col("item_b").alias("other")), forms, percent, scratch, "across", few=True)
         if not across.isEmpty():
             classes = components(classes.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), scratch)
 
     # Lines whose component has one line alone stay; the others look for the first of theirs.
-    of = items.join(classes.withColumnRenamed("node", "item"), "item", "left").where("root IS NOT NULL OR n_lines > 1")
+    # Items and lines that are surely none of these stay out of the joins.
+    classes = classes.withColumnRenamed("node", "item")
+    of = maybe_items(items.where("n_lines = 1"), classes).join(classes, "item")
+    of = of.unionByName(items.where("n_lines > 1").join(classes, "item", "left"))
     of = scratch.keep(of.select("h1", "h2", "n_lines", F.coalesce("root", "item").alias("root")), "classes")
-    rows = join_counted(lines.select("id", "line_no", "h1", "h2"), of, ["h1", "h2"], "n_lines", "left")
+    marked = scratch.keep(marked_among(lines.select("id", "line_no", "h1", "h2"), of, "h1", "maybe"), "marked")
+    rows = join_counted(marked.where("maybe").drop("maybe"), of, ["h1", "h2"], "n_lines", "left").select("id", "line_no", "root")
+    rows = rows.unionByName(marked.where("NOT maybe").select("id", "line_no", F.lit(None).cast("bigint").alias("root")))
     scratch.drop(kept, central, wanted, forms)
-    rows = scratch.keep(rows.select("id", "line_no", "root"), "rows")
-    scratch.drop(bands, lines, of)
+    rows = scratch.keep(rows, "rows")
+    scratch.drop(bands, lines, of, marked)
     many = rows.where("root IS NOT NULL")
     tops = many.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line_no")).alias("top"), F.count("*").alias("n"))
     many = join_counted(many, scratch.keep(tops, "tops"), ["root"], "n")

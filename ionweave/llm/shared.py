@@ -99,11 +99,11 @@ def ascii_lower(col):
     return F.lower(F.replace(col, F.lit("K"), F.lit("ĸ")))
 
 
-def one_space(col):
+def one_space(col, white: str = "\t\n\x0b\x0c\r"):
     """Runs of white space made one space; only texts that hold such a run, or white space that isn't
-    a space, go through the pattern."""
+    a space (``white``: what may occur), go through the pattern."""
     odd = F.contains(col, F.lit("  "))
-    for c in "\t\n\x0b\x0c\r":
+    for c in white:
         odd = odd | F.contains(col, F.lit(c))
     return F.when(odd, F.regexp_replace(col, f"[{SPACE}]+", " ")).otherwise(col)
 
@@ -130,13 +130,23 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, h
 FILTER_WORDS = 19
 
 
-def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose LONG hash ``key`` may be among ``keys``; of the others, those whose bit is free go.
+def marked_among(rows: DataFrame, keys: DataFrame, key: str, mark: str) -> DataFrame:
+    """``rows`` with the boolean ``mark``: false where the LONG hash ``key`` is surely not among ``keys``.
 
     The bitmap has 2**FILTER_WORDS words at most, however many keys there are, and is broadcast as rows of
-    a word; a full one lets more rows through, so an exact join follows."""
+    a word; in a full one more rows are marked, so an exact join follows."""
     word = F.shiftrightunsigned(key, 64 - FILTER_WORDS)
     bit = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
     words = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    held = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
-    return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    held = rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return held.select(*rows.columns, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)).alias(mark))
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose LONG hash ``key`` may be among ``keys``; those that surely aren't go."""
+    return marked_among(rows, keys, key, "_mark").where("_mark").drop("_mark")
+
+
+def maybe_items(rows: DataFrame, keys: DataFrame, key: str = "item") -> DataFrame:
+    """As :func:`maybe_among`, for a ``key`` that is no hash."""
+    return maybe_among(rows.withColumn("_hash", F.xxhash64(key)), keys.select(F.xxhash64(key).alias("_hash")), "_hash").drop("_hash")

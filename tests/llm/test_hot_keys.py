@@ -107,6 +107,36 @@ def test_bands_of_one_item_are_not_joined(spark, monkeypatch):
     assert seen and max(seen) < 400  # of 401 items with 8 bands each
 
 
+def test_lines_that_stay_alone_are_not_joined(spark, monkeypatch):
+    """Lines that surely have no other like them stay out of the join with the components."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [letters(80) for _ in range(400)]
+    seen, joined = [], o1.join_counted
+
+    def noted(rows, keyed, on, *a):
+        if on == ["h1", "h2"]:
+            seen.append(rows.count())
+        return joined(rows, keyed, on, *a)
+
+    monkeypatch.setattr(o1, "join_counted", noted)
+    got = o1.line_dedup(spark.createDataFrame([*enumerate(texts), (900, texts[5] + "x"), (901, texts[6]), (902, " \n")], "doc_id long, text string")).collect()
+    assert len(got) == 402 and [(r.doc_id, r.keep_id, r.n_lines) for r in got if not r.kept] == [(900, 5, 2), (901, 6, 2)]
+    assert seen and max(seen) < 20  # of 402 lines, four have another
+
+
+def test_marks_of_keys_lose_none(spark):
+    rows = spark.range(20_000).selectExpr("id AS item")
+    keys = rows.where("item % 50 = 0")
+    want = {r.item for r in keys.collect()}
+    got = {r.item for r in shared.maybe_items(rows, keys).collect()}
+    assert want <= got and len(got) < 450
+    assert shared.maybe_items(rows, keys.limit(0)).count() == 0
+    hashed = rows.selectExpr("item", "xxhash64(item) AS h")
+    marked = shared.marked_among(hashed, hashed.where("item % 50 = 0"), "h", "maybe").collect()
+    assert len(marked) == 20_000 and {r.item for r in marked if r.maybe} == got
+
+
 def test_recall_on_short_lines(spark):
     """Pairs of lines of 9 to 40 shingles at a similarity of 0.8 and more, each pair alone: nearly all are found."""
     rng = random.Random(11)
