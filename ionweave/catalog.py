@@ -244,7 +244,7 @@ def _contrast(s, d):
 def _fdr(method: str):
     def run(s, d):
         ds = cells_dataset(s, d)
-        t = prevalence.prevalence_test(ds.cells, ds.channels, ds.n_pixels(), prevalence.PrevalenceFdrParams(n_permutations=9, method=method), 7)
+        t = prevalence.prevalence_test(ds.cells, ds.channels, ds.n_pixels(), prevalence.PrevalenceFdrParams(method=method), 7)
         return rounded(t, p=6, q=6).select("channel", "obs", "balls", "p", "q", "kept")
 
     return run

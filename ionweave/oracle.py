@@ -269,8 +269,8 @@ SELECT CAST(g.range - lo AS INTEGER) AS bin, CAST(g.range AS DOUBLE) AS "left",
     out["imzml_round_trip"] = f"WITH {PEAKS} SELECT pixel_id, row_number() OVER (PARTITION BY pixel_id ORDER BY peak_idx, mz, intensity) - 1 AS peak_idx, round(mz, 6) AS mz, round(CAST(CAST(intensity AS FLOAT) AS DOUBLE), 2) AS intensity FROM peaks"
     out["tiff_round_trip"] = f"WITH {CELLS} SELECT channel, pixel_id AS grid_idx, round(CAST(CAST(intensity AS FLOAT) AS DOUBLE), 6) AS intensity FROM cells"
     out["imzml_some_pixels"] = f"WITH {PEAKS} SELECT pixel_id, count(*) AS n, round(sum(CAST(CAST(intensity AS FLOAT) AS DOUBLE)), 0) AS tic FROM peaks WHERE pixel_id BETWEEN 100 AND 131 GROUP BY pixel_id"
-    out["fdr_prevalence"] = f"""WITH {CELLS}, fl AS (SELECT channel, rep.range AS rep, count(DISTINCT {md5i("'7'", "rep.range", "channel", "ball")} % (SELECT n FROM np)) AS fu FROM (SELECT channel, unnest(range(1, n_peaks + 1)) AS ball FROM channels), range(9) rep GROUP BY channel, rep.range),
-pp AS (SELECT channel, any_value(n_peaks) AS balls, any_value(n_peaks // 2) AS obs, (count(*) FILTER (fu >= n_peaks // 2) + 1) / 10.0::DOUBLE AS p FROM fl JOIN channels USING (channel) GROUP BY channel), {BH.format(src='pp')}
+    out["fdr_prevalence"] = f"""WITH {CELLS}, fl AS (SELECT channel, rep.range AS rep, count(DISTINCT {md5i("'7'", "rep.range", "channel", "ball")} % (SELECT n FROM np)) AS fu FROM (SELECT channel, unnest(range(1, n_peaks + 1)) AS ball FROM channels), range(499) rep GROUP BY channel, rep.range),
+pp AS (SELECT channel, any_value(n_peaks) AS balls, any_value(n_peaks // 2) AS obs, (count(*) FILTER (fu >= n_peaks // 2) + 1) / 500.0::DOUBLE AS p FROM fl JOIN channels USING (channel) GROUP BY channel), {BH.format(src='pp')}
 SELECT channel, CAST(obs AS BIGINT) AS obs, CAST(balls AS BIGINT) AS balls, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS kept FROM qq"""
     # Ball by ball: the list holds the probabilities of 0, 1, ... filled pixels.
     out["fdr_prevalence_exact"] = f"""WITH RECURSIVE {CELLS}, oc AS (SELECT 0 AS t, list_transform(range(0, n + 1), lambda x: CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p, n FROM np

@@ -49,3 +49,20 @@ def test_cluster_without_intensity(spark, tmp_path, name):
     got = catalog.queries()[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
     rows = lambda df: sorted(map(repr, df.astype(float).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_draws_are_enough_to_keep_channels(spark, tmp_path):
+    """With 9 draws no p was below a tenth, so that no input had a channel with q < 0.05."""
+    import duckdb
+
+    # Channels seen in 200, 190, 180, 160 and 100 of 200 pixels; chance fills 173, 170, 167, 160 and 126.
+    rows = [(v, [1.0 if v < k else -1.0 for k in (200, 190, 180, 160, 100)]) for v in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(catalog.oracle_sql()["fdr_prevalence"]).df()
+    got = catalog.queries()["fdr_prevalence"](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    exact = catalog.queries()["fdr_prevalence_exact"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+    assert dict(zip(got.channel, got.kept, strict=True)) == dict(zip(exact.channel, exact.kept, strict=True)) == {0: True, 1: True, 2: True, 3: False, 4: False}
+    assert got.sort_values("channel").p.tolist() == pytest.approx(exact.sort_values("channel").p.tolist(), abs=0.1) and got.p.between(0.3, 0.7).any()
